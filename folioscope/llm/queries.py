@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, quality, token_files
+from . import chat, html_crf, langid, packing, quality, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": langid.op2_language_id,
+    "op3_chat_format": chat.op3_chat_format,
+    "op4_html_main_text": html_crf.op4_html_main_text,
     "op6_packing": packing.op6_packing,
     "op9_quality": quality.op9_quality,
     "op7_token_counts": token_files.op7_token_counts,
