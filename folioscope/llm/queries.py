@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_crf, langid, packing, quality, token_files
+from . import chat, decontaminate, html_crf, langid, packing, quality, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": langid.op2_language_id,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_main_text": html_crf.op4_html_main_text,
     "op6_packing": packing.op6_packing,
     "op9_quality": quality.op9_quality,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
     "op7_token_counts": token_files.op7_token_counts,
 }
 
