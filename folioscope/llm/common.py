@@ -10,7 +10,6 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: White space that separates words: blank and 0x09-0x0D.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -48,24 +47,27 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
 
 
-def range_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """Add `bucket`: ranges of the numeric key of about the same number of rows, ascending; null keys go first, to bucket -1.
+def range_buckets(df: DataFrame, key: str, buckets: int, segments: int = 32) -> DataFrame:
+    """Add `bucket`: ranges of the whole-number key, ascending, of about the same number of rows; null keys go first, to bucket -1.
 
-    The bounds are approximate percentiles over all rows: at most `buckets` numbers on the driver.
+    Segments end at approximate percentiles over all rows (at most `segments` numbers on the driver); each is divided evenly.
     """
-    points = [i / buckets for i in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(key, points, 10_000).alias("q")).first()["q"] if points else None
-    bounds = sorted({int(x) for x in bounds}) if bounds else []
-    if not bounds:
-        return df.withColumn("bucket", F.when(F.col(key).isNull(), -1).otherwise(0))
-    # width_bucket needs even steps; a search in a sorted array literal is what array_position cannot do, so count the bounds below by halves
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(key) <= F.lit(bounds[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
+    low, high, points = df.agg(F.min(key), F.max(key), F.percentile_approx(key, [i / segments for i in range(1, segments)], 10_000)).first()
+    if low is None:
+        return df.withColumn("bucket", F.lit(-1).cast("long"))
+    ends = sorted({int(x) for x in points} | {int(high)})
+    starts = [int(low), *(e + 1 for e in ends[:-1])]
+    parts = -(-buckets // len(ends))
+    k = F.col(key).cast("long")
 
-    return df.withColumn("bucket", F.when(F.col(key).isNull(), -1).otherwise(search(0, len(bounds))))
+    def place(lo: int, hi: int) -> Column:
+        if lo < hi:
+            mid = (lo + hi) // 2
+            return F.when(k <= F.lit(ends[mid]), place(lo, mid)).otherwise(place(mid + 1, hi))
+        within = F.floor((k - F.lit(starts[lo])).cast("double") * F.lit(parts / (ends[lo] - starts[lo] + 1)))
+        return F.lit(lo * parts) + F.least(within, F.lit(parts - 1))
+
+    return df.withColumn("bucket", F.when(k.isNull(), F.lit(-1)).otherwise(place(0, len(ends) - 1)).cast("long"))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -124,8 +126,3 @@ def encoder(path: str | None = None) -> ByteBpe:
         else:
             _ENCODERS[path] = ByteBpe(path)
     return _ENCODERS[path]
-
-
-def next_bucket(df: DataFrame, order: str = "bucket") -> DataFrame:
-    """For a table of one row a bucket (bounded by the number of buckets): `after`, the next bucket; null for the last."""
-    return df.withColumn("after", F.lead(order).over(Window.orderBy(order)))
