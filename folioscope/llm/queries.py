@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, cws, decontaminate, html_crf, langid, packing, quality, token_files
+from . import chat, cws, decontaminate, html_crf, jaccard_join, langid, packing, quality, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": langid.op2_language_id,
     "op3_chat_format": chat.op3_chat_format,
     "op4_html_main_text": html_crf.op4_html_main_text,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_packing": packing.op6_packing,
     "op8_fingerprints": cws.op8_fingerprints,
     "op9_quality": quality.op9_quality,
