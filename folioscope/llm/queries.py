@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, cws, decontaminate, html_crf, jaccard_join, langid, packing, quality, token_files
+from . import chat, ctw, cws, decontaminate, html_crf, jaccard_join, langid, packing, quality, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ctw_score": ctw.op1_ctw_score,
     "op2_language_id": langid.op2_language_id,
     "op3_chat_format": chat.op3_chat_format,
     "op4_html_main_text": html_crf.op4_html_main_text,
