@@ -1,12 +1,82 @@
-"""Corpus pipeline."""
-from folioscope.llm.common import table
+"""Corpus pipeline: quality, language, near duplicates, benchmark leaks, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return the columns of docs. Rows are matched by
+doc_id, null included. Nulls, ties, repeated rows and empty tables: as the operator of each stage says.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.llm import decontaminate, jaccard_join, langid, packing, quality
+from folioscope.llm.common import table, written
+
+#: A text of at least MIN_CHARS characters goes if no language has this share of its n-grams.
+MIN_SHARE, MIN_CHARS = 0.2, 20
+#: Near duplicates: shingles of so many words, similarity in per cent.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
+def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    ids = ids.select(F.col("doc_id").alias("_matched_id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_matched_id")), how)
+
+
+def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling draws; the others go."""
+    drawn = quality.resample(docs, table(spark, sf_dir, "labels"))
+    return _by_id(docs, drawn.where("kept"), "left_semi")
+
+
+def select_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that is known; texts without letters, and longer texts in which no language is found, go."""
+    filters = langid.fit(docs)
+    found = langid.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), filters, [F.col("row")])
+    clear = (F.col("lang_pred") != "und") & ((F.col("score") >= MIN_SHARE) | (F.char_length("row.text") < MIN_CHARS))
+    return found.where(clear).select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near duplicates; texts without words are in no group."""
+    groups = written(jaccard_join.components(docs, NEAR_WORDS, NEAR_PERCENT), "groups")
+    kept = _by_id(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)), "left_semi")
+    if groups.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    words = F.size(jaccard_words("text")) > 0  # rows that repeat a doc_id: one stays
+    return kept.where(words).dropDuplicates(["doc_id"]).unionByName(kept.where(~words))
+
+
+def jaccard_words(column: str) -> Column:
+    return decontaminate.words_of(F.col(column))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return _by_id(docs, leaks, "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", select_quality),
+    ("language id", select_language),
+    ("n-gram jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_leaks),
+    ("packing", pack),
+]
+
+#: Stages learn models and draw samples, which SQL can't express; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir, each written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
