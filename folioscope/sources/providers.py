@@ -113,7 +113,7 @@ def articles(answers: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [{"lookup": d} | article_fields(b) for d, b in zip(batch["lookup"], batch["body"])]
-            yield pd.DataFrame([r for r in rows if len(r) > 1], columns=["lookup", *KEYS])
+            yield pd.DataFrame([[r.get(k) for k in ("lookup", *KEYS)] for r in rows if len(r) > 1], columns=["lookup", *KEYS], dtype=object)
 
     return answers.where("status = 200").select("lookup", "body").mapInPandas(parse, "lookup string, " + ", ".join(f"`{k}` string" for k in KEYS))
 

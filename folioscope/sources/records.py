@@ -14,7 +14,7 @@ CSV_TAGS = {
 #: Tags of the second tagged-text format and the field tags that they become; others keep their names.
 MEDLINE_TAGS = {"TI": "TI", "JT": "SO", "FAU": "AU", "DP": "PY", "VI": "VL", "IP": "IS", "PG": "BP", "AB": "AB", "LA": "LA", "AD": "C1", "OT": "DE", "PT": "DT", "LID": "DI", "PMID": "PMID"}
 #: How lines of the two tagged formats look: tag and value of a tagged line, and the tag that begins a record.
-FORMATS = {"plaintext": (r"^([A-Z][A-Z0-9]) (.*)$", "PT", {}), "medline": (r"^([A-Z]{2,4}) *- (.*)$", "PMID", MEDLINE_TAGS)}
+FORMATS = {"plaintext": (r"^([A-Z][A-Z0-9])(?: (.*))?$", "PT", {}), "medline": (r"^([A-Z]{2,4}) *- (.*)$", "PMID", MEDLINE_TAGS)}
 
 
 def csv_records(spark: SparkSession, path: str, tags: dict[str, str] | None = None, db: str = "scopus") -> DataFrame:
