@@ -2,12 +2,15 @@
 
 Each document is the set of its distinct word n-grams (64-bit hashes). The work goes in steps, each a table:
 
-1. Sets. Texts with equal sets become one node; copies cost nothing further.
+1. Sets. Texts with equal sets become one node; copies cost nothing further. Sets are not stored: later steps make them again from
+   the texts that they need, which are smaller.
 2. A global order of n-grams, rare first, by a count sketch of fixed size over all sets (any fixed order gives right results;
    counts only keep frequent n-grams out of the prefixes).
-3. Prefix filter: similar sets share an n-gram among each one's first n - ceil(t n) + 1. Within an n-gram's nodes, sorted by size,
-   only neighbours are paired while their sizes fit: that keeps all that may be similar connected, with one edge a node instead of
-   all pairs. Their components are clusters: every link lies inside one.
+3. Prefix filter: similar sets share an n-gram among each one's first n - ceil(t n) + 1. Nodes that share one are compared by
+   parity sketches: the bits in which two sketches differ are at most the n-grams in which the sets do, so two sets whose sketches
+   differ in more bits than a link allows are no link. What the sketches leave is searched breadth first, nodes leaving as they are
+   reached: one edge a node, not all pairs. Components of these edges are clusters: every link lies inside one. Short sketches tell
+   nothing about long texts, so clusters that are too large for one task are searched once more with long sketches.
 4. Inside a cluster (cut into pairs of chunks where it is large) sets are stored in a compressed trie. A set is searched by
    walking the trie level by level: the overlap with a path is counted once for all sets below, and a subtree is dropped when even
    all remaining n-grams could not reach the threshold. Links are found by breadth-first search; nodes already reached leave
@@ -30,14 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, table, written
+from .common import mix64, small_batches, table, written
 from .components import EDGES, connected_components, forest
 
 WORDS, PERCENT = 4, 85
 SKETCH, FILTER = 1 << 19, 1 << 24
 #: n-grams of a cluster (8 bytes each) that one task takes at a time.
-UNIT = 4_000_000
+UNIT = 2_000_000
 SEGMENT = 48
+#: Bits of a parity sketch. In an n-gram's group of more than HOT nodes, neighbours by size are paired without looking at sketches.
+BITS, HOT = 1_024, 20_000
+#: Bits of the long sketches of sets of more than BITS n-grams, and of more than LONG[0] * 2; bytes of sketches that one task holds.
+LONG, SKETCH_BYTES = (4_096, 32_768), 24_000_000
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -71,34 +78,35 @@ class Shingles:
             return np.unique(mix64(out + np.uint64(n)))
 
 
-def _sets(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def node_of(grams: np.ndarray) -> int | None:
+    """The number that stands for a set; None for the empty one."""
+    import xxhash
 
-        shingles = Shingles(n)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                sets = [shingles.of(t) for t in batch.column("text").slice(lo, 512).to_pylist()]
-                blobs = [s.tobytes() for s in sets]
-                nodes = [int(np.uint64(xxhash.xxh3_64_intdigest(b)).view(np.int64)) if b else None for b in blobs]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, 512), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "size", "node", "grams"])
+    return int(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes())).view(np.int64)) if len(grams) else None
 
-    return run
 
+def parity(grams: np.ndarray, bits: int = BITS) -> bytes:
+    """For each of `bits` slots, whether an odd number of n-grams falls to it."""
+    return np.packbits(np.bincount(((grams >> np.uint64(24)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
-def _grams(column: pa.Array) -> Iterator[np.ndarray]:
-    for blob in column:
-        yield np.frombuffer(blob.as_buffer(), np.uint64)
 
+def _survey(n: int, slots: int, parts: int = 64):
+    """Rows of two kinds: each document's set size and node; and the task's count sketch, in parts."""
 
-def _sketch(slots: int, parts: int = 64):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(slots, np.int64)
+        names = ["doc_id", "text_key", "size", "node", "sketch", "long", "part", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+        shingles, sums = Shingles(n), np.zeros(slots, np.int64)
         for batch in batches:
-            if batch.num_rows:
-                sums += np.bincount((np.concatenate(list(_grams(batch.column("grams")))) & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
-        pieces = np.split(np.minimum(sums, 0xFFFFFFFF).astype(np.uint32), parts)
-        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int64()), pa.array([p.tobytes() for p in pieces])], ["part", "counts"])
+            for lo in range(0, batch.num_rows, 256):
+                own = batch.slice(lo, 256)
+                sets = [shingles.of(t) for t in own.column("text").to_pylist()]
+                sums += np.bincount((np.concatenate(sets) & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+                none = [None] * len(sets)
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("text_key"), *(pa.array(x, k) for x, k in zip(([len(s) for s in sets], [node_of(s) for s in sets], [parity(s) if len(s) else None for s in sets], [parity(s, LONG[len(s) > 2 * LONG[0]]) if len(s) > BITS else None for s in sets], none, none), kinds[2:]))], names)
+        none = [None] * parts
+        pieces = [p.tobytes() for p in np.split(np.minimum(sums, 0xFFFFFFFF).astype(np.uint32), parts)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((none, none, none, none, none, none, list(range(parts)), pieces), kinds)], names)
 
     return run
 
@@ -112,9 +120,9 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
 
 
-def count_sketch(sets: DataFrame, slots: int = SKETCH) -> np.ndarray:
+def count_sketch(survey: DataFrame, slots: int = SKETCH) -> np.ndarray:
     """How many sets have an n-gram that falls to each slot: a table of fixed size."""
-    parts = sets.where("size > 0").select("grams").mapInArrow(_sketch(slots), "part long, counts binary").repartition("part").mapInArrow(_add, "part long, counts binary").collect()
+    parts = survey.where("part is not null").select("part", "counts").repartition("part").mapInArrow(_add, "part long, counts binary").collect()
     out = np.zeros(slots, np.uint32)
     for r in parts:
         own = np.frombuffer(r["counts"], np.uint32)
@@ -122,53 +130,188 @@ def count_sketch(sets: DataFrame, slots: int = SKETCH) -> np.ndarray:
     return out
 
 
-def _prefixes(shared, percent: int):
+def _prefixes(n: int, shared, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        counts, shingles = shared.value, Shingles(n)
         mask = np.uint64(len(counts) - 1)
+        seen: set[int] = set()
         for batch in batches:
-            seen: set[int] = set()
+            if len(seen) > 1_000_000:
+                seen.clear()
             found, nodes, sizes = [], [], []
-            for node, grams in zip(batch.column("node").to_pylist(), _grams(batch.column("grams"))):
-                if node in seen:
+            for text in batch.column("text").to_pylist():
+                grams = shingles.of(text)
+                node, size = node_of(grams), len(grams)
+                if node is None or node in seen:
                     continue
                 seen.add(node)
-                n = len(grams)
-                keep = n - (percent * n + 99) // 100 + 1
+                keep = size - (percent * size + 99) // 100 + 1
                 rank = counts[(grams & mask).astype(np.int64)]
-                first = grams[np.lexsort((grams, rank))[:keep]]
-                found.append(first)
+                found.append(grams[np.lexsort((grams, rank))[:keep]])
                 nodes.append(np.full(keep, node, np.int64))
-                sizes.append(np.full(keep, n, np.int64))
+                sizes.append(np.full(keep, size, np.int64))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], ["gram", "node", "size"])
 
     return run
 
 
-def _neighbours(percent: int):
-    """Edges between rows next to each other, sorted by n-gram, size and node, whose sizes allow a link."""
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by n-gram, those whose n-gram another row has too."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        gram, node, size = (batch.column(c).to_numpy() for c in ("gram", "node", "size"))
+        if held is not None:
+            gram, node, size = (np.concatenate([[x], y]) for x, y in zip(held[:3], (gram, node, size)))
+        same = gram[1:] == gram[:-1]
+        keep = np.concatenate([[held is not None and held[3]], same]) | np.concatenate([same, [False]])
+        held = (gram[-1], node[-1], size[-1], bool(same[-1]) if len(same) else False)
+        keep[-1] = False  # the last row waits for the next batch
+        yield pa.RecordBatch.from_arrays([pa.array(gram[keep]), pa.array(node[keep]), pa.array(size[keep])], ["gram", "node", "size"])
+    if held is not None and held[3]:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in held[:3]], ["gram", "node", "size"])
+
+
+def plausible(nodes: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, percent: int) -> tuple[list[int], list[int]]:
+    """Edges that connect whatever pairs that may be links connect. sizes ascend; sketches: a row of 64-bit words each."""
+    a: list[int] = []
+    b: list[int] = []
+    left = np.arange(len(nodes))
+    queue: list[int] = []
+    while len(left):
+        if queue:
+            x = queue.pop()
+        else:
+            x, left = int(left[0]), left[1:]
+        most = (sizes[x] + sizes[left]) * (100 - percent) // (100 + percent)
+        small, large = np.minimum(sizes[left], sizes[x]), np.maximum(sizes[left], sizes[x])
+        near = (100 * small >= percent * large) & (np.bitwise_count(sketches[left] ^ sketches[x]).sum(axis=1, dtype=np.int64) <= most)
+        if near.any():
+            found = left[near]
+            a += [int(nodes[x])] * len(found)
+            b += nodes[found].tolist()
+            queue += found.tolist()
+            left = left[~near]
+    return a, b
+
 
+def _plausible(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        new_a: list[int] = []
+        new_b: list[int] = []
+        held: list[tuple[np.ndarray, ...]] = []  # pieces of the group that may go on
+        count = 0
+
+        def chain() -> None:
+            nodes, sizes, _ = (np.concatenate(x) for x in zip(*held))
+            ok = (nodes[1:] != nodes[:-1]) & (100 * sizes[:-1] >= percent * sizes[1:])
+            new_a.extend(nodes[1:][ok].tolist())
+            new_b.extend(nodes[:-1][ok].tolist())
+            held[:] = [tuple(x[-1:] for x in held[-1])]
+
+        def finish() -> None:
+            if count > HOT:
+                chain()
+            elif count > 1:
+                nodes, sizes, sketches = (np.concatenate(x) for x in zip(*held))
+                once = np.concatenate([[True], nodes[1:] != nodes[:-1]])  # copies of a node lie together
+                x, y = plausible(nodes[once], sizes[once], sketches[once], percent)
+                new_a.extend(x)
+                new_b.extend(y)
+            held.clear()
+
+        group = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            gram, size, node = (batch.column(c).to_numpy() for c in ("gram", "size", "node"))
-            if last is not None:
-                gram, size, node = (np.concatenate([[x], y]) for x, y in zip(last, (gram, size, node)))
-            last = (gram[-1], size[-1], node[-1])
-            ok = (gram[1:] == gram[:-1]) & (node[1:] != node[:-1]) & (100 * size[:-1] >= percent * size[1:])
-            a, b = np.concatenate([a, node[1:][ok]]), np.concatenate([b, node[:-1][ok]])
-            if len(a) > 500_000:
-                a, b = forest(a, b)
-        a, b = forest(a, b)
+            gram, nodes, sizes = (batch.column(c).to_numpy() for c in ("gram", "node", "size"))
+            sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(len(gram), -1)
+            cuts = np.concatenate([[0], np.flatnonzero(gram[1:] != gram[:-1]) + 1, [len(gram)]])
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if gram[lo] != group:
+                    finish()
+                    group, count = gram[lo], 0
+                held.append((nodes[lo:hi], sizes[lo:hi], sketches[lo:hi]))
+                count += hi - lo
+                if count > HOT:  # too many to hold: from now on neighbours by size are connected, which keeps all that may be similar together
+                    chain()
+            if len(new_a) > 300_000:
+                a, b = forest(np.concatenate([a, np.array(new_a, np.int64)]), np.concatenate([b, np.array(new_b, np.int64)]))
+                new_a.clear()
+                new_b.clear()
+        finish()
+        a, b = forest(np.concatenate([a, np.array(new_a, np.int64)]), np.concatenate([b, np.array(new_b, np.int64)]))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
+def folded(sketch: np.ndarray, bits: int) -> np.ndarray:
+    """A parity sketch of fewer bits from one of more: slots that fall together add up."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, bits // 64), axis=0)
+
+
+def plausible_long(nodes: np.ndarray, sizes: np.ndarray, sketches: list[bytes], percent: int) -> tuple[list[int], list[int]]:
+    """As `plausible`, by long sketches: first at LONG[0] bits, then at LONG[1] where both have them."""
+    order = np.argsort(sizes, kind="stable")
+    nodes, sizes = nodes[order], sizes[order]
+    whole = [np.frombuffer(sketches[k], np.uint64) for k in order]
+    short = np.stack([folded(w, LONG[0]) if len(w) * 64 > LONG[0] else np.pad(w, (0, LONG[0] // 64 - len(w))) for w in whole])
+    # a set of at most BITS n-grams has a sketch of BITS bits; others are folded to it to be compared with it
+    base = np.stack([folded(w, BITS) for w in whole])
+    small, large = sizes <= BITS, sizes > 2 * LONG[0]
+    a: list[int] = []
+    b: list[int] = []
+    left = np.arange(len(nodes))
+    queue: list[int] = []
+    while len(left):
+        if queue:
+            x = queue.pop()
+        else:
+            x, left = int(left[0]), left[1:]
+        lo, hi = np.searchsorted(sizes[left], [-(-percent * sizes[x] // 100), 100 * sizes[x] // percent + 1])
+        own = left[lo:hi]
+        most = (sizes[x] + sizes[own]) * (100 - percent) // (100 + percent)
+        apart = np.bitwise_count(base[own] ^ base[x]).sum(axis=1, dtype=np.int64)
+        if not small[x]:
+            far = ~small[own] & (apart <= most)
+            apart[far] = np.bitwise_count(short[own[far]] ^ short[x]).sum(axis=1, dtype=np.int64)
+        near = apart <= most
+        if large[x]:
+            for k in np.flatnonzero(near & large[own]).tolist():
+                near[k] = int(np.bitwise_count(whole[own[k]] ^ whole[x]).sum(dtype=np.int64)) <= most[k]
+        if near.any():
+            found = own[near]
+            a += [int(nodes[x])] * len(found)
+            b += nodes[found].tolist()
+            queue += found.tolist()
+            keep = np.ones(len(left), bool)
+            keep[lo:hi] = ~near
+            left = left[keep]
+    return a, b
+
+
+def _refine(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        nodes, sizes = table.column("node").to_numpy(), table.column("size").to_numpy()
+        a, b = plausible_long(nodes, sizes, table.column("best").to_pylist(), percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def chunk_pairs(rows: DataFrame, sizes: DataFrame, total: str, most: int) -> DataFrame:
+    """Rows of clusters with `pair`, the unit of work they go to. A cluster whose total is over `most` is cut into chunks of half as much;
+    each pair of chunks is a unit, so a row goes to as many as there are chunks."""
+    chunks = sizes.select("component", F.ceil(F.col(total) * 2 / F.lit(most)).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("node"), "chunks")
+    pairs = F.when(F.col("chunks") <= 2, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda k: F.least(k, chunk) * F.col("chunks") + F.greatest(k, chunk)))
+    return rows.join(chunks, "component").withColumn("pair", F.explode(pairs)).drop("chunks")
+
+
 class Trie:
     """Compressed prefix tree of sorted rank arrays. Nodes are kept in breadth-first order, so children lie together."""
 
@@ -271,8 +414,9 @@ def links(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[list[int], li
     return a, b
 
 
-def _join(percent: int):
+def _join(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(n)
         key, nodes, sets = None, [], []
         a: list[int] = []
         b: list[int] = []
@@ -284,13 +428,13 @@ def _join(percent: int):
                 b.extend(min(nodes[i], nodes[j]) for i, j in zip(x, y))
 
         for batch in batches:
-            for unit, node, blob in zip(batch.column("unit").to_pylist(), batch.column("node").to_pylist(), batch.column("grams").to_pylist()):
+            for unit, node, text in zip(batch.column("unit").to_pylist(), batch.column("node").to_pylist(), batch.column("text").to_pylist()):
                 if unit != key:
                     finish()
                     key, nodes, sets = unit, [], []
-                if not nodes or nodes[-1] != node:  # copies of a set lie together
+                if not nodes or nodes[-1] != node:  # copies of a text lie together
                     nodes.append(node)
-                    sets.append(np.frombuffer(blob, np.uint64))
+                    sets.append(shingles.of(text))
         finish()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -298,20 +442,29 @@ def _join(percent: int):
 
 
 def _member(shared):
+    """Rows whose text_key is marked, each key once in a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
+        seen: set[int] = set()
         for batch in batches:
-            node = batch.column("node").to_numpy().view(np.uint64)
-            slot = (node & np.uint64(8 * len(marks) - 1)).astype(np.int64)
-            yield batch.filter(pa.array((marks[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
+            key = batch.column("text_key").to_numpy()
+            slot = (key.view(np.uint64) & np.uint64(8 * len(marks) - 1)).astype(np.int64)
+            inside = (marks[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+            for k in np.flatnonzero(inside).tolist():
+                inside[k] = key[k] not in seen
+                seen.add(int(key[k]))
+            if len(seen) > 1_000_000:
+                seen.clear()
+            yield batch.filter(pa.array(inside))
 
     return run
 
 
-def marks_of(nodes: DataFrame, bits: int = FILTER) -> np.ndarray:
-    """A bitmap of fixed size that has a mark for each node: what isn't marked is no node."""
-    slot = F.col("node").bitwiseAND(F.lit(bits - 1))
-    words = nodes.groupBy(F.shiftright(slot, 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 31 as int))")).alias("value")).toArrow()
+def marks_of(keys: DataFrame, bits: int = FILTER) -> np.ndarray:
+    """A bitmap of fixed size that has a mark for each text_key: what isn't marked is no such key."""
+    slot = F.col("text_key").bitwiseAND(F.lit(bits - 1))
+    words = keys.groupBy(F.shiftright(slot, 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(text_key & 31 as int))")).alias("value")).toArrow()
     out = np.zeros(bits // 32, np.uint32)
     out[words["word"].to_numpy()] = words["value"].to_numpy().astype(np.uint32)
     return out.view(np.uint8)
@@ -320,24 +473,33 @@ def marks_of(nodes: DataFrame, bits: int = FILTER) -> np.ndarray:
 def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, unit: int = UNIT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) for each row of docs."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = written(rows.mapInArrow(_sets(n), "doc_id long, size long, node long, grams binary"), "sets")
-    filled = sets.where("size > 0")
-    counts = spark.sparkContext.broadcast(count_sketch(sets))
-    prefixes = filled.select("node", "grams").mapInArrow(_prefixes(counts, percent), "gram long, node long, size long")
-    near = prefixes.repartition("gram").sortWithinPartitions("gram", "size", "node").mapInArrow(_neighbours(percent), EDGES)
-    clusters = written(connected_components(near), "clusters")
-
-    marks = spark.sparkContext.broadcast(marks_of(clusters))
-    inside = filled.select("node", "size", "grams").mapInArrow(_member(marks), "node long, size long, grams binary").join(clusters, "node")
-    # a cluster over `unit` n-grams is cut into chunks; each pair of chunks is a unit of work
-    sizes = filled.select("node", "size").join(clusters, "node").groupBy("component").agg(F.sum("size").alias("total"))
-    sizes = sizes.select("component", F.ceil(F.col("total") * 2 / F.lit(unit)).alias("chunks"))
-    chunk = F.pmod(F.xxhash64("node"), "chunks")
-    pairs = F.when(F.col("chunks") <= 2, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda k: F.least(k, chunk) * F.col("chunks") + F.greatest(k, chunk)))
-    units = inside.join(sizes, "component").select("node", "grams", F.col("component"), F.explode(pairs).alias("pair")).withColumn("unit", F.struct("component", "pair"))
-    units = units.repartition("component", "pair").sortWithinPartitions("component", "pair", "node").select(F.concat_ws(" ", F.col("component").cast("string"), F.col("pair").cast("string")).alias("unit"), "node", "grams")
-    linked = written(connected_components(units.mapInArrow(_join(percent), EDGES)), "linked")
+    small_batches(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    survey = written(rows.mapInArrow(_survey(n, SKETCH), "doc_id long, text_key long, size long, node long, sketch binary, long binary, part long, counts binary"), "survey")
+    sets = survey.where("part is null").select("doc_id", "text_key", "size", "node")
+    counts = spark.sparkContext.broadcast(count_sketch(survey))
+    prefixes = rows.select("text").mapInArrow(_prefixes(n, counts, percent), "gram long, node long, size long")
+    shared = prefixes.repartition("gram").sortWithinPartitions("gram").mapInArrow(_shared, "gram long, node long, size long")
+    sketches = survey.where("size > 0").groupBy("node").agg(F.min("sketch").alias("sketch"))
+    near = shared.join(sketches, "node").repartition("gram").sortWithinPartitions("gram", "size", "node").mapInArrow(_plausible(percent), EDGES)
+    clusters = connected_components(near)
+
+    # one text for each node of a cluster
+    best = F.coalesce("long", "sketch")
+    firsts = written(survey.where("size > 0").groupBy("node").agg(F.min("text_key").alias("text_key"), F.min("size").alias("size"), F.min(best).alias("best")).join(clusters, "node"), "firsts")
+    sizes = firsts.groupBy("component").agg(F.sum("size").alias("total"), F.sum(F.length("best")).alias("bytes")).withColumn("giant", F.col("total") > unit)
+    giant = firsts.join(sizes.where("giant").select("component"), "component", "left_semi")
+    fine = chunk_pairs(giant.select("component", "node", "size", "best"), sizes, "bytes", SKETCH_BYTES)
+    fine = connected_components(fine.groupBy("component", "pair").applyInArrow(_refine(percent), EDGES))
+    tight = firsts.join(sizes.where("not giant").select("component"), "component", "left_semi").select("node", "component").unionAll(fine)
+    firsts = written(firsts.drop("component", "best").join(tight, "node"), "tight")
+
+    sizes = firsts.groupBy("component").agg(F.sum("size").alias("total"))
+    work = chunk_pairs(firsts.select("component", "node", "text_key"), sizes, "total", unit)
+    marks = spark.sparkContext.broadcast(marks_of(firsts))
+    texts = rows.select("text_key", "text").mapInArrow(_member(marks), "text_key long, text string")
+    units = texts.join(work, "text_key").repartition("component", "pair").sortWithinPartitions("component", "pair", "node").select(F.concat_ws(" ", F.col("component").cast("string"), F.col("pair").cast("string")).alias("unit"), "node", "text")
+    linked = connected_components(units.mapInArrow(_join(n, percent), EDGES))
 
     named = sets.select("doc_id", F.col("size").alias("n_shingles"), "node").join(linked.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
