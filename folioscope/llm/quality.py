@@ -163,7 +163,7 @@ def top_k(scored: DataFrame, k: int, cells: int = 1 << 12) -> DataFrame:
         return scored.withColumn("kept", F.lit(bool(n) and k > 0) & F.col("score").isNotNull())
     width = (high - low) / cells or 1.0
     cell = F.least(F.floor((F.col("score") - F.lit(low)) / F.lit(width)), F.lit(cells - 1)).cast("long")
-    scored = scored.withColumn("cell", cell)
+    scored = scored.withColumn("cell", F.when(F.col("score").isNotNull(), cell))
     counts = {r["cell"]: r["n"] for r in scored.where("score is not null").groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most `cells` rows
     above = 0
     for at in sorted(counts, reverse=True):
