@@ -73,7 +73,7 @@ def _distinct(n: int):
             for lang in sorted(set(langs)):
                 each = [np.unique(grams_of(normal(t), n)) for x, t in zip(langs, texts) if x == lang]
                 grams, docs = np.unique(np.concatenate(each), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(docs.astype(np.int64))], ["lang", "gram", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(docs.astype(np.int64))], ["lang", "gram", "docs"])
 
     return run
 
@@ -123,7 +123,7 @@ def shares(filters: Filters, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def _predict(shared, id_type: pa.DataType):
+def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = shared.value
         for batch in batches:
@@ -134,7 +134,7 @@ def _predict(shared, id_type: pa.DataType):
                 best = got.argmax(axis=1) if filters.languages else np.zeros(len(plain), int)
                 known = [bool(p) and bool(filters.languages) for p in plain]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(lo, 1024) for c in batch.schema.names if c != "text"), pa.array([filters.languages[b] if k else "und" for b, k in zip(best, known)]), pa.array([float(got[i, b]) if k else 0.0 for i, (b, k) in enumerate(zip(best, known))])],
+                    [*(batch.column(c).slice(lo, 1024) for c in batch.schema.names if c != "text"), pa.array([filters.languages[b] if k else "und" for b, k in zip(best, known)], pa.string()), pa.array([float(got[i, b]) if k else 0.0 for i, (b, k) in enumerate(zip(best, known))], pa.float64())],
                     [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"],
                 )
 
@@ -146,7 +146,7 @@ def identify(docs: DataFrame, filters: Filters, keep: list[Column] | None = None
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # its size is fixed by `slots`
     rows = docs.select(*(keep or [F.col("doc_id")]), F.col("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(_predict(shared, None), f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(_predict(shared), f"{schema}, lang_pred string, score double")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,11 +103,13 @@ def test_stages_do_what_they_say(spark, tmp_path):
     d = fixture(spark, tmp_path)
     docs = spark.read.parquet(f"{d}/documents.parquet")
     columns = docs.columns
-    for (name, stage), gone in zip(cp.STAGES[:-1], ({*range(100, 120), 400, 401, 402}, set(), {200, 201}, {300})):
+    # 402 has marks but no letters: the draw may take it or leave it, the language stage rejects it
+    for (name, stage), gone in zip(cp.STAGES[:-1], ({*range(100, 120), 400, 401}, {402}, {200, 201}, {300})):
         made = stage(spark, docs, d)
         assert made.columns == columns, name
         before, after = [r["doc_id"] for r in docs.collect()], [r["doc_id"] for r in made.collect()]
-        assert set(before) - set(after) == gone & set(before), name
+        assert (set(before) - set(after)) - {402} == (gone & set(before)) - {402}, name
+        assert 402 not in after or 402 not in gone
         assert all(r["text"] for r in made.collect())
         path = f"{d}/{name.replace(' ', '-')}"
         made.write.parquet(path)
