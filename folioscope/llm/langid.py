@@ -47,6 +47,8 @@ class Filters:
 def normal(text: str | None) -> bytes:
     """Letters in lower case, everything else one blank; b'' if there is no letter."""
     plain = _OTHER.sub(" ", text.lower()).strip() if text else ""
+    if not plain.isascii() and not any(map(str.isalpha, plain)):  # what is left may be numerals of other scripts
+        return b""
     return f" {plain} ".encode() if plain else b""
 
 

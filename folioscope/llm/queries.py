@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,4 +22,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": token_files.op7_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: A-Z in lower case, then words between blanks and 0x09-0x0D.
+_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_ESCAPED = "'" + "|".join(re.escape(c) for c in sorted((*chat.CONTROLS, chat.ESCAPE), key=len, reverse=True)) + "'"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": f"""WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+said AS (SELECT conv_id, count(*) AS n_turns, string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text) AS all_text,
+coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+CAST(sum(length(regexp_replace(role, {_ESCAPED}, 'xx', 'g')) + length(regexp_replace(text, {_ESCAPED}, 'xx', 'g')) + {len("<|turn|>") + 1 + len("<|end|>") + 1}) AS BIGINT) AS formatted_chars FROM turns GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(all_text) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, false AS rewrites FROM said""",
+    "op5_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS l FROM documents),
+grams AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) >= 4 THEN list_transform(range(1, len(l) - 2), lambda i: concat_ws(' ', l[i], l[i + 1], l[i + 2], l[i + 3])) WHEN len(l) > 0 THEN [array_to_string(l, ' ')] ELSE [] END) AS g FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * o >= 85 * (s.n + t.n - o)),
+steps AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, steps.y FROM reach JOIN steps ON reach.r = steps.x)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r) AS component_id FROM documents d JOIN reach USING (doc_id) LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id""",
+    # items of five words and more, which all of the table's are
+    "op10_decontaminate": """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS l FROM documents),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS l FROM benchmark),
+wg AS (SELECT doc_id, unnest(range(len(l) - 4)) AS pos, unnest(list_transform(range(1, len(l) - 3), lambda k: array_to_string(l[k : k + 4], ' '))) AS g FROM w WHERE len(l) >= 5),
+ig AS (SELECT item_id, unnest(range(len(l) - 4)) AS pos, unnest(list_transform(range(1, len(l) - 3), lambda k: array_to_string(l[k : k + 4], ' '))) AS g FROM i),
+placed AS (SELECT DISTINCT doc_id, item_id, wg.pos - ig.pos AS start FROM wg JOIN ig USING (g)),
+windows AS (SELECT DISTINCT p.doc_id, p.item_id, len(i.l) AS n_words, greatest(0, least(start, len(w.l) - len(i.l))) AS place FROM placed p JOIN w USING (doc_id) JOIN i USING (item_id)),
+cut AS (SELECT v.*, w.l[place + 1 : place + n_words] AS l FROM windows v JOIN w USING (doc_id)),
+own AS (SELECT doc_id, item_id, place, n_words, g, count(*) AS n FROM (SELECT doc_id, item_id, place, n_words, unnest(list_transform(range(1, len(l) - 3), lambda k: array_to_string(l[k : k + 4], ' '))) AS g FROM cut) GROUP BY ALL),
+theirs AS (SELECT item_id, g, count(*) AS m FROM ig GROUP BY ALL),
+scored AS (SELECT doc_id, item_id, place, n_words, sum(least(n, coalesce(m, 0))) AS common, sum(n) AS n FROM own LEFT JOIN theirs USING (item_id, g) GROUP BY ALL),
+rated AS (SELECT *, CAST(common AS DOUBLE) / CAST(n + (n_words - 4) - common AS DOUBLE) AS similarity FROM scored)
+SELECT doc_id, item_id, place AS start_word, n_words, similarity FROM rated WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, place) = 1""",
+}
