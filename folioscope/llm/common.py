@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +89,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def packed(a: np.ndarray) -> bytes:
+    """An array as compressed bytes, its numbers' first bytes together, then their second ones, and so on."""
+    body = np.ascontiguousarray(a).reshape(-1).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, dtype: type) -> np.ndarray:
+    body = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).reshape(-1).view(dtype)
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in byte-level vocabularies, by the published rule."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
