@@ -48,14 +48,23 @@ def clean_pages(pages: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
     return pages.select("doc_id", "page", spec.clean(F.col("text")).alias("text"))
 
 
+#: Keyword lists up to this length become one expression each, in the page's row.
+INLINE_WORDS = 256
+
+
 def page_hits(pages: DataFrame, keywords: KeywordSet, keep_text: bool = False) -> DataFrame:
     """doc_id, page, ord, keyword, hits (all keywords for every page, zeros too). pages: cleaned.
 
-    The keywords are a literal array, exploded next to each page: no join and no shuffle."""
+    Counts are made in the page's row, each with a constant pattern that is compiled once, and only they are exploded: no join, no
+    shuffle, and no copies of the text. A longer list is exploded next to the page as a literal array."""
     keywords.validate(pages)
+    others = ["doc_id", "page", *["text"] * keep_text]
+    if len(keywords.words) <= INLINE_WORDS:
+        counted = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(w).alias("keyword"), hit_count(F.col("text"), w, keywords.regex).alias("hits")) for k, w in enumerate(keywords.words)])
+        return pages.select(*others, F.inline(counted))
     listed = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(w).alias("keyword")) for k, w in enumerate(keywords.words)])
     rows = pages.select("doc_id", "page", "text", F.inline(listed))
-    return rows.select("doc_id", "page", *["text"] * keep_text, "ord", "keyword", hit_count(F.col("text"), F.col("keyword"), keywords.regex).alias("hits"))
+    return rows.select(*others, "ord", "keyword", hit_count(F.col("text"), F.col("keyword"), keywords.regex).alias("hits"))
 
 
 def document_counts(hits: DataFrame) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import context_slice, half_window, hit_count, keyword_tokens
+from ..functions.text import context_slice, half_window, hit_count, keyword_class, keyword_tokens
 from .keywords import KeywordSet
 
 
@@ -24,14 +24,26 @@ def contexts(pages: DataFrame, keywords: KeywordSet, length: int = 30, compat: b
     keywords.validate(pages)
     pattern = keywords.prefilter()
     pages = pages.where(F.col("text").rlike(pattern)) if pattern else pages
-    half = half_window(length)
-    found = []
+    # tokens of each kind are a column, made once a page and only where a keyword of the kind has a hit
+    kinds: dict[str, list[str]] = {}
     for word in keywords.words:
-        rows = hit_pages(pages, word, keywords.regex).select("doc_id", "page", keyword_tokens(F.col("text"), word).alias("t"))
-        places = F.filter(F.transform("t", lambda x, i: F.when(x == F.lit(word), i)), lambda i: i.isNotNull())
-        cut = F.transform(places, lambda i: F.struct(i.alias("pos"), context_slice(F.col("t"), i, half, compat).alias("context")))
-        found.append(rows.select(F.lit(word).alias("keyword"), "doc_id", "page", F.inline(cut)))
-    return reduce(DataFrame.unionAll, found)
+        kind = keyword_class(word)
+        kinds.setdefault(word if kind == "phrase" else kind, []).append(word)
+    hit = {word: hit_count(F.col("text"), word, keywords.regex) > 0 for word in keywords.words}
+    columns = {words[0]: F.when(reduce(Column.__or__, [hit[w] for w in words]), keyword_tokens(F.col("text"), words[0])) for words in kinds.values()}
+    flags = [F.array(*[hit[w] for w in keywords.words]).alias("hit")]
+    rows = pages.select("doc_id", "page", *flags, *[c.alias(f"t{k}") for k, c in enumerate(columns.values())])
+    half = half_window(length)
+    at = {w: f"t{k}" for k, words in enumerate(kinds.values()) for w in words}
+    found = [F.when(F.col("hit")[k], _contexts_of(w, F.col(at[w]), half, compat)) for k, w in enumerate(keywords.words)]
+    made = rows.select("doc_id", "page", F.inline(F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull()))))
+    return made.select("keyword", "doc_id", "page", "pos", "context")
+
+
+def _contexts_of(word: str, tokens: Column, half: int, compat: bool) -> Column:
+    """(keyword, pos, context) of each token equal to the word."""
+    places = F.filter(F.transform(tokens, lambda x, i: F.when(x == F.lit(word), i)), lambda i: i.isNotNull())
+    return F.transform(places, lambda i: F.struct(F.lit(word).alias("keyword"), i.alias("pos"), context_slice(tokens, i, half, compat).alias("context")))
 
 
 def contexts_by_frame(pages: DataFrame, keyword: str, length: int = 30) -> DataFrame:

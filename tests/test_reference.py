@@ -110,6 +110,24 @@ def test_counts_add_up(spark):
     assert levels[(None, "the")] == levels[("d", "the")] == 3
 
 
+def test_long_keyword_lists_count_alike(spark, monkeypatch):
+    words = keywords.KeywordSet.of(["the", "o.", "zzz"])
+    own = pages(spark, " the of the x the ", " of ", "none")
+    short = {tuple(r) for r in keywords.page_hits(own, words).collect()}
+    monkeypatch.setattr(keywords, "INLINE_WORDS", 1)
+    assert {tuple(r) for r in keywords.page_hits(own, words, keep_text=False).collect()} == short
+    assert keywords.page_hits(own, words, keep_text=True).columns == ["doc_id", "page", "text", "ord", "keyword", "hits"]
+
+
+def test_counting_is_one_scan_without_copies(spark):
+    words = keywords.KeywordSet.of(["the", "on the", "by-nc"])
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    own = keywords.clean_pages(corpus.text_pages(docs))
+    for made in (keywords.page_hits(own, words), kwic.contexts(own, words)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan and plan.count("Scan") == 1
+
+
 def test_pages(spark):
     docs = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, ""), (3, None)], "doc_id int, text string")
     assert [tuple(r) for r in corpus.text_pages(docs, 3).orderBy("doc_id", "page").collect()] == [(1, 1, "a\nb\nc"), (1, 2, "d"), (2, 1, "")]
