@@ -128,18 +128,22 @@ ASIDE_TAGS = frozenset("nav footer aside form button select label menu dialog op
 ASIDE_WORDS = frozenset(
     "nav navbar navigation menu header masthead topbar banner logo breadcrumb breadcrumbs crumbs footer foot copyright legal colophon sidebar side rail widget aside related recommended recommendations more promo promotion sponsor sponsored sponsors ad ads adv advert adverts advertisement adsense dfp cookie cookies consent notice notices gdpr alert popup modal overlay banner newsletter subscribe subscription signup login signin search form share sharing social comment comments commentlist respond reply replies discussion disqus thread tags tag pagination pager paging byline author bio meta tools toolbar hidden skip contentinfo complementary navigation dialog".split()
 )
+#: Beginnings by which longer names count as the names above.
+STEMS = ("cookie", "comment", "advert", "sidebar", "footer", "navig", "newsletter", "related", "recommend", "subscri", "sponsor", "breadcrumb", "promo", "popup", "banner", "disqus", "pagination", "social", "consent", "masthead")
 MAIN_WORDS = frozenset("article content contents post entry main story body text maincontent page".split())
 
+_OFF_WORDS = ASIDE_WORDS | frozenset(STEMS)
+
 
 @lru_cache(maxsize=100_000)
 def _path_features(path: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[str, ...]:
     tags = {t for t, _ in path}
-    words = {w for t, names in path for w in names if t not in ("html", "body")}
+    words = {next((x for x in STEMS if w.startswith(x)), w) for t, names in path for w in names if t not in ("html", "body")}
     inside = "article" in tags or "main" in tags or bool(words & MAIN_WORDS)
     outer_header = "header" in tags and not any(t in ("article", "main") for t, _ in path[: next((k for k, (t, _) in enumerate(path) if t == "header"), 0)])
-    off = bool(tags & ASIDE_TAGS) or bool(words & ASIDE_WORDS) or outer_header
+    off = bool(tags & ASIDE_TAGS) or bool(words & _OFF_WORDS) or outer_header
     last = next((t for t, _ in reversed(path) if t in BLOCKS), "")
-    out = [f"tag {t}" for t in sorted(tags)] + [f"word {w}" for w in sorted(words & (ASIDE_WORDS | MAIN_WORDS))] + [f"leaf {last}", f"off {off}", f"inside {inside} {off}"]
+    out = [f"tag {t}" for t in sorted(tags)] + [f"word {w}" for w in sorted(words & (_OFF_WORDS | MAIN_WORDS))] + [f"leaf {last}", f"off {off}", f"inside {inside} {off}"]
     return tuple(out + ["outer header"] * outer_header)
 
 

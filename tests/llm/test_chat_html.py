@@ -105,6 +105,38 @@ def test_main_text(model, html, want):
     assert text(model, html) == want
 
 
+P = "Tion erlyha heat and the ouenst with reth anha."
+L = " ".join([P]*4)
+PAGES = {
+"std":(f"<html><head><title>x</title></head><body><nav><ul><li><a href=/a>a</a></li></ul></nav><div class='ad'>{P}</div><article><h1>Title here</h1><p>{L}</p><p>Ti.</p></article><footer>&copy; x</footer>",f"Title here\n{L}\nTi."),
+"cookiebar":(f"<body><div class='cookiebar'><p>{L}</p></div><article><h1>T</h1><p>{L}</p></article></body>",f"T\n{L}"),
+"comments in article":(f"<body><article><h1>T</h1><p>{L}</p><section class='comments'><h2>Comments</h2><div class='comment'><p>{L}</p></div></section></article>",f"T\n{L}"),
+"comments after":(f"<body><article><h1>T</h1><p>{L}</p></article><div id='comments'><ul><li><b>Joe</b> {L}</li><li>{P}</li></ul></div>",f"T\n{L}"),
+"aside mid":(f"<body><header><h1>Site</h1><p>Slogan {P}</p></header><main><article><h1>T</h1><p>{L}</p><aside><h3>Also</h3><p>{L}</p></aside><p>{P}</p></article></main><aside class='sidebar'><p>{L}</p></aside><footer><p>{L}</p></footer>",f"T\n{L}\n{P}"),
+"form":(f"<body><article><h1>T</h1><p>{L}</p><form action=x><p>{P}</p><label>Mail</label><input><button>Go</button></form></article>",f"T\n{L}"),
+"notice":(f"<body><div class='notice'>{P}</div><div role='dialog'>{P}</div><article><p>{L}</p><div class='notice'>{P}</div></article>",L),
+"noscript":(f"<body><noscript>{P}</noscript><article><p>{L}</p><script>{P}</script><style>p</style></article>",L),
+"lists":(f"<body><article><h1>T</h1><ul><li>{P}<li>{P}</ul><table><tr><td>{P}<td>x</table><blockquote>{P}</blockquote><pre>a  b</pre></article>",f"T\n{P}\n{P}\n{P}\nx\n{P}\na b"),
+"advert inside":(f"<body><article><p>{L}</p><div class='advert'>{L}</div><p>{L}</p></article>",f"{L}\n{L}"),
+"social":(f"<body><article><h1>T</h1><div class='share-buttons'><a href=x>Share</a></div><p>{L}</p></article><div class='related'><h2>{P}</h2><p>{L}</p></div>",f"T\n{L}"),
+"div content":(f"<body><div id='header'><p>{P}</p></div><div id='menu'><ul><li>{P}</li></ul></div><div id='content'><h1>T</h1><p>{L}</p></div><div id='footer'>{L}</div>",f"T\n{L}"),
+"short":(f"<body><nav><a href=x>a</a></nav><article><h1>x</h1><p>y</p></article>","x\ny"),
+"no p":(f"<body><nav>n</nav><article>{L}</article>",L),
+"reader":(f"<body><article><h1>T</h1><p>{L}</p></article><section id='reader-comments'><article><p>{L}</p></article></section>",f"T\n{L}"),
+"article comment":(f"<body><article><h1>T</h1><p>{L}</p></article><article class='comment'><p>{L}</p></article>",f"T\n{L}"),
+"section header":(f"<body><header class='top'><nav>{P}</nav></header><section><h2>T</h2><p>{L}</p></section><footer>{P}</footer>",f"T\n{L}"),
+"ads2":(f"<body><div class='ad-slot'>{L}</div><aside class='ads'>{L}</aside><article><p>{L}</p></article>",L),
+"popups":(f"<body><div id='newsletter-popup' class='modal'><p>{L}</p><form><input></form></div><article><p>{L}</p></article>",L),
+"header in article":(f"<body><article><header><h1>T</h1></header><p>{L}</p><footer><p>{P}</p></footer></article>",f"T\n{L}"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PAGES))
+def test_layouts(model, name):
+    html, want = PAGES[name]
+    assert text(model, html) == want
+
+
 def test_broken_markup_is_read(model):
     for html in ("<p", "<article><p>abc def ghi jkl.", "</p></div>text of the page", "<a <b>>x", "<!-- open", "<script>never", "<p>" * 3000 + "x", "&#xZZ; &amp &lt;b&gt;", "<p title='a>b'>quoted</p>"):
         assert isinstance(text(model, html), str)
