@@ -53,10 +53,12 @@ def reduce_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, component (its smallest node), for all nodes that have an edge to another node."""
+def connected_components(edges: DataFrame, rounds: int = 60, reduced: bool = False) -> DataFrame:
+    """node, component (its smallest node), for all nodes that have an edge to another node.
+
+    reduced: each task's edges are a forest already; another Python step in the same task would need workers of its own."""
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    edges = written(edges.mapInArrow(reduce_edges, EDGES).distinct(), "edges")  # a > b
+    edges = written((edges if reduced else edges.mapInArrow(reduce_edges, EDGES)).distinct(), "edges")
     seen = None
     for _ in range(rounds):
         # large star: each node's larger neighbours go to the smallest of its neighbours and itself

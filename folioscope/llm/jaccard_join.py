@@ -63,7 +63,7 @@ class Shingles:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         ids = []
         for w in words:
@@ -438,7 +438,8 @@ def _join(n: int, percent: int):
                     nodes.append(node)
                     sets.append(shingles.of(text))
         finish()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        x, y = forest(np.array(a, np.int64), np.array(b, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
     return run
 
@@ -484,7 +485,7 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, unit: in
     shared = prefixes.repartition("gram").sortWithinPartitions("gram").mapInArrow(_shared, "gram long, node long, size long")
     sketches = survey.where("size > 0").groupBy("node").agg(F.min("sketch").alias("sketch"))
     near = shared.join(sketches, "node").repartition("gram").sortWithinPartitions("gram", "size", "node").mapInArrow(_plausible(percent), EDGES)
-    clusters = connected_components(near)
+    clusters = connected_components(near, reduced=True)
 
     # one text for each node of a cluster. From here on a node's number is its smallest doc_id, so a component's number is what is asked for;
     # texts that have only null ids get numbers over all others
@@ -495,7 +496,7 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, unit: in
     sizes = firsts.groupBy("component").agg(F.sum("size").alias("total"), F.sum(F.length("best")).alias("bytes")).withColumn("giant", F.col("total") > unit)
     giant = firsts.join(sizes.where("giant").select("component"), "component", "left_semi")
     fine = chunk_pairs(giant.select("component", "node", "size", "best"), sizes, "bytes", SKETCH_BYTES)
-    fine = connected_components(fine.groupBy("component", "pair").applyInArrow(_refine(percent), EDGES))
+    fine = connected_components(fine.groupBy("component", "pair").applyInArrow(_refine(percent), EDGES), reduced=True)
     tight = firsts.join(sizes.where("not giant").select("component"), "component", "left_semi").select("node", "component").unionAll(fine)
     firsts = written(firsts.drop("component", "best").join(tight, "node"), "tight")
 
@@ -504,7 +505,7 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, unit: in
     marks = spark.sparkContext.broadcast(marks_of(firsts))
     texts = rows.select("text_key", "text").mapInArrow(_member(marks), "text_key long, text string")
     units = texts.join(work, "text_key").repartition("component", "pair").sortWithinPartitions("component", "pair", "node").select(F.concat_ws(" ", F.col("component").cast("string"), F.col("pair").cast("string")).alias("unit"), "node", "text")
-    linked = connected_components(units.mapInArrow(_join(n, percent), EDGES))
+    linked = connected_components(units.mapInArrow(_join(n, percent), EDGES), reduced=True)
 
     found = nodes.select(F.col("node").alias("set"), "number").join(linked, F.col("number") == F.col("node"), "left").select(F.col("set").alias("node"), F.coalesce("component", "number").alias("component_id"))
     found = written(found, "found")  # so that both sides of the last join are plain, and a set with very many copies can be split

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, mix64, table
 
 N, SLOTS, HASHES, FIT_ROWS, MIN_DOCS = 5, 1 << 22, 2, 20_000, 3
+#: Bytes of text that are looked up at a time.
+PIECE = 1 << 19
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -108,21 +110,41 @@ def fit(labelled: DataFrame, n: int = N, slots: int = SLOTS, fit_rows: int = FIT
     return Filters(languages, planes, fill**HASHES, n)
 
 
+def _pieces(texts: list[bytes], n: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Texts in lots of at most about PIECE bytes; a longer text comes in overlapping pieces, which have each of its n-grams once."""
+    at: list[int] = []
+    own: list[bytes] = []
+    size = 0
+    for k, t in enumerate(texts):
+        for lo in range(0, max(1, len(t) - n + 1), PIECE):
+            own.append(t[lo : lo + PIECE + n - 1])
+            at.append(k)
+            size += len(own[-1])
+            if size >= PIECE:
+                yield at, own
+                at, own, size = [], [], 0
+    if own:
+        yield at, own
+
+
 def shares(filters: Filters, texts: list[bytes]) -> np.ndarray:
     """For each text and language the share of the text's n-grams that the language contains, corrected for false positives."""
-    sizes = np.array([max(0, len(t) - filters.n + 1) for t in texts], np.int64)
-    out = np.zeros((len(texts), len(filters.languages)))
-    if not sizes.sum():
-        return out
-    masks = filters.masks(grams_of(b"".join(texts), filters.n))
-    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]])
-    kind = masks.dtype.type
-    for k in range(len(filters.languages)):
-        hits = np.concatenate([[0], np.cumsum((masks >> kind(k)) & kind(1), dtype=np.int64)])
-        ok = sizes > 0
-        got = (hits[starts[ok] + sizes[ok]] - hits[starts[ok]]) / sizes[ok]
-        out[ok, k] = np.clip((got - filters.false_rate[k]) / max(1e-9, 1 - filters.false_rate[k]), 0, 1)
-    return out
+    n, languages = filters.n, len(filters.languages)
+    hits, sizes = np.zeros((len(texts), languages)), np.zeros(len(texts))
+    for at, own in _pieces(texts, n):
+        counts = np.array([max(0, len(t) - n + 1) for t in own], np.int64)
+        if not counts.sum():
+            continue
+        masks = filters.masks(grams_of(b"".join(own), n))
+        starts = np.concatenate([[0], np.cumsum([len(t) for t in own])[:-1]])
+        ok = counts > 0
+        where = np.array(at)[ok]
+        np.add.at(sizes, where, counts[ok])
+        for k in range(languages):
+            total = np.concatenate([[0], np.cumsum((masks >> masks.dtype.type(k)) & masks.dtype.type(1), dtype=np.int64)])
+            np.add.at(hits[:, k], where, total[starts[ok] + counts[ok]] - total[starts[ok]])
+    got = hits / np.maximum(sizes, 1)[:, None]
+    return np.where(sizes[:, None] > 0, np.clip((got - filters.false_rate) / np.maximum(1e-9, 1 - filters.false_rate), 0, 1), 0)
 
 
 def _predict(shared):
@@ -130,13 +152,13 @@ def _predict(shared):
         filters = shared.value
         for batch in batches:
             texts = batch.column("text")
-            for lo in range(0, len(texts), 1024):
-                plain = [normal(t) for t in texts.slice(lo, 1024).to_pylist()]
+            for lo in range(0, len(texts), 256):
+                plain = [normal(t) for t in texts.slice(lo, 256).to_pylist()]
                 got = shares(filters, plain)
                 best = got.argmax(axis=1) if filters.languages else np.zeros(len(plain), int)
                 known = [bool(p) and bool(filters.languages) for p in plain]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(lo, 1024) for c in batch.schema.names if c != "text"), pa.array([filters.languages[b] if k else "und" for b, k in zip(best, known)], pa.string()), pa.array([float(got[i, b]) if k else 0.0 for i, (b, k) in enumerate(zip(best, known))], pa.float64())],
+                    [*(batch.column(c).slice(lo, 256) for c in batch.schema.names if c != "text"), pa.array([filters.languages[b] if k else "und" for b, k in zip(best, known)], pa.string()), pa.array([float(got[i, b]) if k else 0.0 for i, (b, k) in enumerate(zip(best, known))], pa.float64())],
                     [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"],
                 )
 

@@ -47,7 +47,7 @@ class Features:
             shape = _DIGITS if token.isdigit() else _MIXED if len(token) == 1 else _CAPS if token.isupper() else _LOWER if token.islower() else _MIXED
         else:
             shape = 6 + h % 1_000_003
-        if len(self.known) > 400_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         self.known[token] = found = (h % self.buckets, shape)
         return found

@@ -158,6 +158,17 @@ def test_every_language_of_an_ngram_is_returned():
         assert abs(((f.masks(others) >> k) & 1).mean() - f.false_rate[k]) < 0.01
 
 
+def test_long_texts_are_cut_without_loss(monkeypatch):
+    r = np.random.default_rng(6)
+    planes = r.integers(0, 4, 1 << 12).astype(np.uint8)
+    f = langid.Filters(("a", "b"), planes, np.array([0.1, 0.2]))
+    texts = [b"", b"abc", *(bytes(r.integers(97, 123, int(n)).astype(np.uint8)) for n in (5, 40, 41, 700, 64, 68))]
+    whole = langid.shares(f, texts)
+    for piece in (7, 64, 100):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert np.allclose(langid.shares(f, texts), whole)
+
+
 def test_odd_languages(spark):
     train = spark.createDataFrame([(k, prose(k, 80) if k % 2 else prose(k, 80).replace("a", "ü").replace("o", "ß"), "one" if k % 2 else "two") for k in range(40)], "doc_id long, text string, lang string")
     filters = langid.fit(train)
