@@ -31,21 +31,26 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE), "")
 
 
-def shingle_rows(df: DataFrame, n: int, hashed: bool) -> DataFrame:
-    """df with `words` exploded to n-word shingles: columns pos and gram (hash or text); df's other columns stay."""
+def shingle_rows(df: DataFrame, n: int) -> DataFrame:
+    """df with `words` exploded to n-word shingles: columns pos and gram (a hash); df's other columns stay."""
     others = [c for c in df.columns if c != "words"]
     arrays = [F.col("words")] + [F.slice("words", F.lit(k + 1), F.size("words")) for k in range(1, n)]
     zipped = F.arrays_zip(*[a.alias(f"w{k}") for k, a in enumerate(arrays)])
     rows = df.where(F.size("words") >= n).select(*others, F.posexplode(zipped).alias("pos", "g"))
     parts = [F.col("g")[f"w{k}"] for k in range(n)]
-    return rows.where(parts[-1].isNotNull()).select(*others, "pos", (F.xxhash64(*parts) if hashed else F.concat_ws(" ", *parts)).alias("gram"))
+    return rows.where(parts[-1].isNotNull()).select(*others, "pos", F.xxhash64(*parts).alias("gram"))
 
 
 def item_shingles(items: DataFrame, n: int, hashed: bool) -> DataFrame:
-    """Shingles of items: n words, or all words of a shorter item. Also `len`, the shingle's number of words."""
-    sized = items.withColumn("len", F.least(F.size("words"), F.lit(n)))
-    parts = [shingle_rows(sized.where(F.col("len") == k), k, hashed) for k in range(1, n + 1)]
-    return reduce(DataFrame.unionByName, parts)
+    """Shingles of items and windows: n words, or all words of a shorter one. Also `len`, the shingle's number of words.
+
+    One expression for all lengths; the hash of an array is that of its elements one after the other, as in shingle_rows."""
+    others = [c for c in items.columns if c != "words"]
+    size = F.least(F.size("words"), F.lit(n))
+    starts = F.sequence(F.lit(1), F.size("words") - size + 1)
+    cut = F.transform(starts, lambda k: F.slice("words", k, size))
+    rows = items.where(F.size("words") > 0).select(*others, size.alias("len"), F.posexplode(cut).alias("pos", "g"))
+    return rows.select(*others, "len", "pos", (F.xxhash64("g") if hashed else F.array_join("g", " ")).alias("gram"))
 
 
 def fingerprint(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,7 +77,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, similari
     hits = []
     for k, count in sorted(lens.items()):
         own = marks.where(F.col("len") == k).drop("len")
-        grams = shingle_rows(rows, k, True)
+        grams = shingle_rows(rows, k)
         hits.append(grams.join(F.broadcast(own) if count <= BROADCAST_SHINGLES else own, "gram").select("doc_id", "item_id", "size", (F.col("pos") - F.col("item_pos")).alias("start")))
     if not hits:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start_word long, n_words long, hamming int, similarity double")
