@@ -1,12 +1,14 @@
 import hashlib
+import pathlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from folioscope.llm import cws, decontaminate
-from folioscope.llm.common import range_buckets
+from folioscope.llm.common import packed, range_buckets, remove_written, shared_dir, unpacked, written
 
 from .helpers import DATA, HAVE, empty_documents, odd_documents, prose
 
@@ -81,6 +83,36 @@ def test_ranges_keep_the_order(spark, buckets):
     assert all(a[1] <= b[1] for a, b in zip(known, known[1:])) and {r["bucket"] for r in rows if r["id"] is None} == {-1}
 
 
+def test_packed_arrays():
+    for a in (np.array([], np.uint32), np.arange(300, dtype=np.int64) - 5, np.array([1.5, -2.25, 0], np.float32)):
+        assert (unpacked(packed(a), a.dtype.type) == a).all()
+
+
+def test_written_tables_can_be_removed(spark):
+    made = written(spark.range(3).toDF("x"), "t")
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file:").replace("//", "/")) / "folioscope"
+    assert made.count() == 3 and folder.exists()
+    remove_written(spark)
+    assert not folder.exists()
+
+
+def test_a_shared_folder_is_made_where_none_is_set():
+    class Context:
+        known = None
+
+        def getCheckpointDir(self):
+            return self.known
+
+        def setCheckpointDir(self, path):
+            self.known = path + "/id"
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    assert shared_dir(Session()) == shared_dir(Session()) == Session.sparkContext.known
+
+
 # --- pipeline
 
 
