@@ -2,8 +2,10 @@
 
 A window is as many words of a document as an item has. Each window's 64-bit SimHash (words weighted by their counts) is
 cut into radius + 1 blocks; a window and an item whose fingerprints differ in at most `radius` bits agree in a block, so
-an equi-join on blocks finds all of them. The pairs within the radius are verified by the exact weighted similarity of
-their n-word shingles (the sum of the smaller counts over the sum of the larger).
+an equi-join on blocks finds all of them. A SimHash of words bounds no similarity of shingles, so a window outside the radius
+isn't dropped: it goes on if the number of its shingles that the item has, which is at least what both share, can still reach
+the similarity. Both kinds are verified by the exact weighted similarity of their n-word shingles (the sum of the smaller
+counts over the sum of the larger), so the radius decides the way that a window takes and not the result.
 
 Only windows that share a shingle with the item, at the place where the shingle is aligned, are made: no other window
 can be similar. So the number of windows follows the matches, not the documents' lengths times the items.
@@ -90,19 +92,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, similari
     windows = written(windows.withColumn("copy", F.xxhash64("words")), "window-words")  # rows that repeat a doc_id with other words
     keys = ["doc_id", "item_id", "start", "copy"]
 
-    prints = fingerprint(windows.select(*keys, F.explode("words").alias("word")), keys)
+    prints = written(fingerprint(windows.select(*keys, F.explode("words").alias("word")), keys), "prints")
     item_prints = fingerprint(items.select("item_id", F.explode("words").alias("word")), ["item_id"])
     left = with_blocks(prints, radius)
     right = with_blocks(item_prints, radius).withColumnRenamed("print", "item_print")
     near = left.join(right, ["item_id", "block", "bits"]).withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
-    near = near.where(F.col("hamming") <= radius).groupBy(*keys).agg(F.min("hamming").alias("hamming"))
+    near = written(near.where(F.col("hamming") <= radius).groupBy(*keys).agg(F.min("hamming").alias("hamming")), "near")
+
+    # outside the radius: shingles that the item has, whatever their counts, are an upper bound of what both share
+    size_of = lambda c: F.greatest(F.size(c) - (n - 1), F.lit(1))
+    sizes = items.select("item_id", size_of("words").alias("item_size"), F.size("words").alias("n_words"))
+    far = windows.join(near, keys, "left_anti").withColumn("own", size_of("words"))
+    known = marks.select("item_id", "gram").distinct()
+    most = item_shingles(far, n, True).join(known, ["item_id", "gram"]).groupBy(*keys, "own").agg(F.count("*").alias("most")).join(sizes, "item_id")
+    may = most.where(F.col("most") / (F.col("own") + F.col("item_size") - F.col("most")) >= similarity).select(*keys)
+    may = may.join(prints, keys).join(item_prints.withColumnRenamed("print", "item_print"), "item_id")
+    near = near.unionAll(may.select(*keys, F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))).alias("hamming")))
 
     # exact: counts of shingles as texts
     inside = windows.join(near, keys)
     grams = item_shingles(inside.select(*keys, "hamming", "words"), n, False).groupBy(*keys, "hamming", "gram").agg(F.count("*").alias("own"))
     theirs = item_shingles(items, n, False).groupBy("item_id", "gram").agg(F.count("*").alias("theirs"))
-    size_of = lambda c: F.greatest(F.size(c) - (n - 1), F.lit(1))
-    sizes = items.select("item_id", size_of("words").alias("item_size"), F.size("words").alias("n_words"))
     shared = grams.join(theirs, ["item_id", "gram"], "left").groupBy(*keys, "hamming").agg(F.sum("own").alias("own"), F.sum(F.least("own", F.coalesce("theirs", F.lit(0)))).alias("both"))
     scored = shared.join(sizes, "item_id").withColumn("similarity", F.col("both") / (F.col("own") + F.col("item_size") - F.col("both")))
     best = scored.where(F.col("similarity") >= similarity).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("at"), (-F.col("hamming")).alias("h"), "n_words")).alias("x"))

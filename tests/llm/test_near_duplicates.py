@@ -182,6 +182,22 @@ def test_leaks_equal_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in got.collect()} == {k: round(v, 9) for k, v in brute_leaks(docs, items).items()}
 
 
+def test_no_leak_is_lost_outside_the_radius(spark):
+    """Ends replaced by one repeated word: similarity 0.80 to 0.85, but fingerprints of words that are far apart."""
+    items, docs = [], []
+    for k, (size, tail) in enumerate([(50, 5), (58, 6), (58, 5), (100, 10), (100, 9), (31, 3)] * 4):
+        words = [f"w{k}x{i}" for i in range(size)]
+        items.append((k, " ".join(words)))
+        docs.append((k, prose(k, 20) + " " + " ".join(words[: size - tail] + ["....."] * tail) + " " + prose(100 + k, 20)))
+    want = brute_leaks(docs, items)
+    assert len(want) >= 20 and sum(0.8 <= v < 0.85 for v in want.values()) >= 16
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = dc.contaminated(*frames).collect()
+    assert any(r["hamming"] > dc.RADIUS for r in rows)
+    for got in (rows, dc.contaminated(*frames, radius=3).collect()):
+        assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+
+
 def test_leaks_of_odd_rows(spark):
     items = spark.createDataFrame([(1, prose(1, 60)), (None, "x"), (2, "word word word word word word")], "item_id long, text string")
     got = dc.contaminated(odd_documents(spark), items)
