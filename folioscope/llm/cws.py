@@ -1,10 +1,11 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame operations only.
 
-A document's terms are its pairs of neighbouring words (the last word with nothing), weighted by their counts. For each of
-`slots` samples every term gets, from its hash, two gamma variates r and c and a uniform b; with t = floor(ln w / r + b),
-the term with the smallest ln c - r (t - b) - r is the sample. Two documents draw the same term at the same t with
-a probability equal to the generalised Jaccard similarity of their weights. The smallest value itself stands for (term, t):
-its 16-bit hash is a slot of the fingerprint, and likeness is the share of equal slots.
+A document's terms are its pairs of neighbouring words (the last word with nothing), weighted by their counts. A count is a whole
+number, so a term of weight w is w numbered copies, and for each of `slots` samples every copy gets a uniform variate from its
+hash; the copy with the smallest one is the sample. A copy number is drawn from the same variates whatever the weight, so two
+documents draw the same copy of the same term with a probability equal to the generalised Jaccard similarity of their weights,
+as with the gamma variates that real weights need, but without their logarithms. The smallest variate itself stands for (term,
+copy): its 16-bit hash is a slot of the fingerprint, and likeness is the share of equal slots. Copies are as many as words.
 
 The edited text of a document (its second half replaced by the beginning of the next document by ascending doc_id) is
 fingerprinted beside it. Next documents come from ranges of doc_id: one shuffle of the texts brings a range together, and
@@ -26,24 +27,15 @@ from pyspark.sql.window import Window
 
 from .common import SPACE, range_buckets, table, written
 
-SLOTS = 32
-#: Bits of hash that make one uniform variate.
-BITS = 21
+SLOTS = 128
+#: Samples that a row is asked for at a time: columns of one aggregation, few enough for compiled code.
+PART = 32
 
 
-def _uniform(h: Column, k: int) -> Column:
-    """The k-th uniform variate over (0, 1) in a 64-bit hash."""
-    return (F.shiftrightunsigned(h, BITS * k).bitwiseAND(F.lit((1 << BITS) - 1)) + F.lit(0.5)) * F.lit(2.0**-BITS)
-
-
-def sample_value(term: Column, log_weight: Column, slot: int) -> Column:
-    """What is minimised over a document's terms for one slot: ln c - r (t - b) - r, r and c of Gamma(2, 1)."""
-    h, g = F.xxhash64(term, F.lit(2 * slot)), F.xxhash64(term, F.lit(2 * slot + 1))
-    r = -F.log(_uniform(h, 0) * _uniform(h, 1))
-    c = -F.log(_uniform(g, 0) * _uniform(g, 1))
-    b = _uniform(h, 2)
-    t = F.floor(log_weight / r + b)
-    return F.log(c) - r * (t - b) - r
+def sample_value(h: Column, slot: int) -> Column:
+    """What is minimised over a document's copies of terms for one slot: half of a 64-bit hash of the copy's hash."""
+    g = F.xxhash64(h, F.lit(slot // 2))
+    return F.shiftrightunsigned(g, 32) if slot % 2 else g.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def terms_of(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -55,22 +47,34 @@ def terms_of(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def fingerprints(rows: DataFrame, keys: list[str], text: str, slots: int = SLOTS) -> DataFrame:
-    """keys and `print` of each row, by the keys' groups; keys must tell rows apart."""
-    terms = terms_of(rows, keys, text).withColumn("ln", F.when(F.col("term").isNotNull(), F.log(F.col("n").cast("double"))))
-    values = terms.groupBy(*keys).agg(*[F.min(sample_value(F.col("term"), F.col("ln"), k)).alias(f"s{k}") for k in range(slots)])
-    return values.select(*keys, printed(slots).alias("print"))
-
-
-def printed(slots: int, prefix: str = "s") -> Column:
+    """keys and `print` (numbers of four slots each) of each row, by the keys' groups; keys must tell rows apart."""
+    if slots % PART:
+        raise ValueError(f"slots come in {PART}s")
+    parts = slots // PART
+    terms = terms_of(rows, keys, text)
+    # each copy comes once for each part of the slots; its number is part of its hash
+    copies = terms.select(*keys, "term", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") * parts - 1)).alias("copy"))
+    copies = copies.select(*keys, "term", (F.col("copy") % parts).cast("int").alias("part"), F.xxhash64("term", "copy").alias("h"))
+    values = copies.groupBy(*keys, "part").agg(F.count("term").alias("n_terms"), *[F.min(sample_value(F.col("h"), k)).alias(f"s{k}") for k in range(PART)])
+    values = values.select(*keys, F.struct("part", F.when(F.col("n_terms") > 0, packed_slots()).otherwise(F.array_repeat(F.lit(0).cast("long"), PART // 4)).alias("own")).alias("p"))
+    return values.groupBy(*keys).agg(F.flatten(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["own"])).alias("print"))
+
+
+def packed_slots(prefix: str = "s") -> Column:
+    """The 16-bit hashes of PART smallest values, four in a number."""
+    lane = lambda k: F.shiftleft(F.xxhash64(f"{prefix}{k}").bitwiseAND(F.lit(0xFFFF)), 48 - 16 * (k % 4))
+    return F.array(*[reduce(Column.bitwiseOR, [lane(k) for k in range(low, low + 4)]) for low in range(0, PART, 4)])
+
+
+def printed(print_: Column) -> Column:
     """The fingerprint's text: four hexadecimal digits a slot; zeros where there is none."""
-    digit = lambda c: F.lpad(F.lower(F.hex(F.xxhash64(c).bitwiseAND(F.lit(0xFFFF)))), 4, "0")
-    return F.concat(*[F.coalesce(F.when(F.col(f"{prefix}{k}").isNotNull(), digit(F.col(f"{prefix}{k}"))), F.lit("0000")) for k in range(slots)])
+    return F.array_join(F.transform(print_, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
 def likeness(a: Column, b: Column, slots: int) -> Column:
     """Share of equal slots of two fingerprints."""
-    same = [F.when(F.substring(a, 4 * k + 1, 4) == F.substring(b, 4 * k + 1, 4), 1).otherwise(0) for k in range(slots)]
-    return reduce(Column.__add__, same) / F.lit(float(slots))
+    equal = lambda x: reduce(Column.__add__, [F.when(F.shiftrightunsigned(x, 16 * k).bitwiseAND(F.lit(0xFFFF)) == 0, 1).otherwise(0) for k in range(4)])
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda n, x: n + equal(x)) / F.lit(float(slots))
 
 
 def with_next(docs: DataFrame, partitions: int, ranges: int = 8) -> DataFrame:
@@ -102,7 +106,8 @@ def fingerprint_documents(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     told = rows.select(*key, "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     both = rows.select(*key, F.inline(F.array(*[F.struct(F.lit(k).alias("is_edited"), F.coalesce(c, F.lit("")).alias("t")) for k, c in ((False, F.col("text")), (True, F.col("edited")))])))
     prints = fingerprints(both, [*key, "is_edited"], "t", slots)
-    pairs = prints.groupBy(*key).agg(F.max(F.when(~F.col("is_edited"), F.col("print"))).alias("fingerprint"), F.max(F.when(F.col("is_edited"), F.col("print"))).alias("edited_fingerprint"))
+    first = lambda of: F.first(F.when(of, F.col("print")), ignorenulls=True)  # noqa: E731  there is one of each
+    pairs = prints.groupBy(*key).agg(first(~F.col("is_edited")).alias("fingerprint"), first(F.col("is_edited")).alias("edited_fingerprint"))
     found = written(told.join(pairs, key), "fingerprints")
 
     # the next document's fingerprint: within a range by its row, over its end from the next range's first row
@@ -111,7 +116,7 @@ def fingerprint_documents(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     firsts = firsts.select(F.coalesce(F.lag("bucket").over(around), F.max("bucket").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("bucket"), "first_print")
     following = F.coalesce(F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("row")), "first_print")
     found = found.join(firsts, "bucket", "left").withColumn("next_print", following)
-    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint"), slots).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_print"), slots).alias("near_next"))
+    return found.select("doc_id", "n_chars", "edited_sha256", printed(F.col("fingerprint")).alias("fingerprint"), printed(F.col("edited_fingerprint")).alias("edited_fingerprint"), likeness(F.col("fingerprint"), F.col("edited_fingerprint"), slots).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_print"), slots).alias("near_next"))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

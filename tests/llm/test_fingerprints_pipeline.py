@@ -50,6 +50,20 @@ def test_weights_count(spark):
     assert abs(r["near_next"] - similarity(a, b)) < 0.1 and similarity(a, b) < 0.4
 
 
+def test_accuracy_of_the_samples_in_use(spark):
+    """The query's own number of samples against exact similarity: no bias, and the error of 128 samples, not of 32."""
+    rows = []
+    for k in range(120):
+        words = (prose(k, 80) + " of the" * (k % 7)).split()
+        cut = len(words) * (k % 24 + 1) // 40
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[cut:] + prose(1000 + k, cut).split()))]
+    got = {r["doc_id"]: r["near_next"] for r in cws.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    exact = np.array([similarity(rows[k][1], rows[k + 1][1]) for k in range(0, len(rows), 2)])
+    error = np.array([got[k] for k in range(0, len(rows), 2)]) - exact
+    assert exact.min() < 0.3 and exact.max() > 0.9
+    assert abs(error.mean()) < 0.012 and np.sqrt((error**2).mean()) < 0.047 and abs(error).max() < 0.15
+
+
 def test_odd_fingerprints(spark):
     df = odd_documents(spark)
     rows = cws.fingerprint_documents(df).collect()
