@@ -1,12 +1,12 @@
 """Corpus pipeline: quality, language, near duplicates, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return the columns of docs. Rows are matched by
-doc_id, null included. Nulls, ties, repeated rows and empty tables: as the operator of each stage says.
+doc_id, null included, but near duplicates by row. Nulls, ties, repeated rows and empty tables: as the operator of each stage says.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import decontaminate, jaccard_join, langid, packing, quality
@@ -38,17 +38,15 @@ def select_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates; texts without words are in no group."""
-    groups = written(jaccard_join.components(docs, NEAR_WORDS, NEAR_PERCENT), "groups")
-    kept = _by_id(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)), "left_semi")
-    if groups.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    words = F.size(jaccard_words("text")) > 0  # rows that repeat a doc_id: one stays
-    return kept.where(words).dropDuplicates(["doc_id"]).unionByName(kept.where(~words))
-
-
-def jaccard_words(column: str) -> Column:
-    return decontaminate.words_of(F.col(column))
+    """The row with the smallest doc_id of each group of near duplicates; texts without words are in no group.
+
+    Rows are told apart by numbers of their own, so it doesn't matter whether doc_ids are null or repeat."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = written(jaccard_join.components(rows.select(F.col("_row").alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT), "groups").withColumnRenamed("doc_id", "_row")
+    named = groups.where("n_shingles > 0").join(rows.select("_row", "doc_id"), "_row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("first"))
+    kept = first.select("first._row").unionAll(groups.where("n_shingles = 0").select("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,8 +38,6 @@ from .components import EDGES, connected_components, forest
 
 WORDS, PERCENT = 4, 85
 SKETCH, FILTER = 1 << 19, 1 << 24
-#: Numbers from here on stand for texts without a doc_id.
-NO_ID = 1 << 62
 #: n-grams of a cluster (8 bytes each) that one task takes at a time.
 UNIT = 2_000_000
 SEGMENT = 48
@@ -487,12 +485,10 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, unit: in
     near = shared.join(sketches, "node").repartition("gram").sortWithinPartitions("gram", "size", "node").mapInArrow(_plausible(percent), EDGES)
     clusters = connected_components(near, reduced=True)
 
-    # one text for each node of a cluster. From here on a node's number is its smallest doc_id, so a component's number is what is asked for;
-    # texts that have only null ids get numbers over all others
+    # one text for each node of a cluster; a node keeps its own number, for texts may share their smallest doc_id
     best = F.coalesce("long", "sketch")
-    each = survey.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.min("size").alias("size"), F.min(best).alias("best"))
-    nodes = written(each.withColumn("number", F.coalesce("doc_id", F.lit(NO_ID) + F.shiftrightunsigned("node", 3))).drop("doc_id"), "nodes")
-    firsts = written(nodes.join(clusters, "node").drop("node").withColumnRenamed("number", "node"), "firsts")
+    nodes = written(survey.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.min("size").alias("size"), F.min(best).alias("best")), "nodes")
+    firsts = written(nodes.drop("doc_id").join(clusters, "node"), "firsts")
     sizes = firsts.groupBy("component").agg(F.sum("size").alias("total"), F.sum(F.length("best")).alias("bytes")).withColumn("giant", F.col("total") > unit)
     giant = firsts.join(sizes.where("giant").select("component"), "component", "left_semi")
     fine = chunk_pairs(giant.select("component", "node", "size", "best"), sizes, "bytes", SKETCH_BYTES)
@@ -507,10 +503,14 @@ def components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, unit: in
     units = texts.join(work, "text_key").repartition("component", "pair").sortWithinPartitions("component", "pair", "node").select(F.concat_ws(" ", F.col("component").cast("string"), F.col("pair").cast("string")).alias("unit"), "node", "text")
     linked = connected_components(units.mapInArrow(_join(n, percent), EDGES), reduced=True)
 
-    found = nodes.select(F.col("node").alias("set"), "number").join(linked, F.col("number") == F.col("node"), "left").select(F.col("set").alias("node"), F.coalesce("component", "number").alias("component_id"))
+    members = written(nodes.select("node", "doc_id").join(linked, "node", "left"), "members")
+    inside = members.where("component is not null")
+    least = inside.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    alone = members.where("component is null").select("node", F.col("doc_id").alias("component_id"))
+    found = inside.join(least, "component").select("node", "component_id").unionAll(alone)
     found = written(found, "found")  # so that both sides of the last join are plain, and a set with very many copies can be split
     named = sets.select("doc_id", F.col("size").alias("n_shingles"), "node").join(found, "node", "left")
-    return named.select("doc_id", "n_shingles", F.when(F.col("component_id") < NO_ID, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

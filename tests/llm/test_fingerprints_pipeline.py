@@ -165,6 +165,15 @@ def test_stages_do_what_they_say(spark, tmp_path):
     assert {r["doc_id"] for r in pieces} == set(range(60))
 
 
+def test_near_duplicates_are_rows_not_ids(spark):
+    """Null and repeated doc_ids: unrelated texts stay, and of each group one row does."""
+    a, b, c, d, e, f = (prose(700 + k, 80) for k in range(6))
+    rows = [(None, a), (None, b), (5, c), (5, d), (7, e), (5, e), (None, e), (1, e), (None, f), (None, f), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, n_chars int").repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in cp.drop_near_duplicates(spark, docs, "").collect())
+    assert got == Counter([(None, a), (None, b), (5, c), (5, d), (1, e), (None, f), (None, ""), (None, "")])
+
+
 def test_stages_take_odd_and_empty_tables(spark, tmp_path):
     d = fixture(spark, tmp_path)
     extra = odd_documents(spark)

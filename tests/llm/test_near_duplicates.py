@@ -151,6 +151,18 @@ def test_connected_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_texts_that_share_their_smallest_id(spark):
+    """w - x - y - z are a chain of links; x and y have the same doc_id."""
+    base = prose(800, 200).split()
+    text = lambda k: " ".join(base[k : k + 100])
+    rows = [(3, text(0)), (1, text(6)), (1, text(12)), (2, text(18))]
+    sets = [jj.Shingles().of(t) for _, t in rows]
+    near = lambda i, j: len(np.intersect1d(sets[i], sets[j])) * 185 >= 85 * (len(sets[i]) + len(sets[j]))
+    assert [near(i, j) for i, j in ((0, 1), (1, 2), (2, 3), (0, 2), (1, 3), (0, 3))] == [True] * 3 + [False] * 3
+    got = jj.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r["component_id"] for r in got] == [1] * 4
+
+
 # --- benchmark decontamination
 
 
