@@ -4,8 +4,10 @@ Each slot of the filter is a bitmask of languages: asking for an n-gram ANDs the
 one look-up, every language whose filter may contain it. A document's per-language popcounts over all its n-grams are
 corrected for each language's false-positive rate; the language with the largest corrected share wins.
 
-The filters are fitted on labelled rows, at most about `fit_rows` of them, chosen by a hash of doc_id (a documented bound
-on the fit; every document is then predicted from its whole text). The filter's size is fixed by `slots`.
+The filters are fitted on labelled rows, about `fit_rows` of them, chosen by a hash of doc_id (a documented bound on the fit;
+every document is then predicted from its whole text), but of each language about LEAST_ROWS, or all where it has fewer, so
+each label is learned. A filter's size is fixed by `slots`; one holds 64 languages, and further ones get filters of their own.
+More than MOST_LANGUAGES labels are an error.
 
 Text is lower-cased; runs of anything but letters become one blank; n-grams are of bytes, within words and over their
 edges. Nulls: a null text, or one without letters, is `und` with score 0; rows with a null text or label teach nothing.
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, mix64, table
 
 N, SLOTS, HASHES, FIT_ROWS, MIN_DOCS = 5, 1 << 22, 2, 20_000, 3
+#: Rows that each language is fitted on, if it has them; languages (64 take up to 32 MB on the driver and in each worker).
+LEAST_ROWS, MOST_LANGUAGES = 300, 256
 #: Bytes of text that are looked up at a time.
 PIECE = 1 << 19
 _OTHER = re.compile(r"[\W\d_]+")
@@ -38,6 +42,11 @@ class Filters:
     planes: np.ndarray  # one mask of languages for each slot
     false_rate: np.ndarray  # of each language
     n: int = N
+    more: tuple[Filters, ...] = ()  # of further languages
+
+    @property
+    def names(self) -> tuple[str, ...]:
+        return sum((f.languages for f in self.more), self.languages)
 
     def masks(self, grams: np.ndarray) -> np.ndarray:
         found = None
@@ -85,17 +94,27 @@ def _distinct(n: int):
 def fit(labelled: DataFrame, n: int = N, slots: int = SLOTS, fit_rows: int = FIT_ROWS, min_docs: int = MIN_DOCS, id_col: str = "doc_id") -> Filters:
     """Filters of the n-grams that occur in at least min_docs of a language's rows (1 where a language has fewer than 10 * min_docs)."""
     usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
+    found = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1)
+    counts = {r["lang"]: r["n"] for r in found.collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     total = sum(counts.values())
     if not total:
         return Filters((), np.zeros(2, np.uint64), np.zeros(0), n)
-    share = min(1.0, fit_rows / total)
-    languages = tuple(sorted(counts, key=lambda x: (-counts[x], x)))  # ties go to the more frequent
-    sample = usable.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).where(F.col("lang").isin(*languages)).select("lang", "text")
-    least = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min_docs if c * share >= 10 * min_docs else 1)) for x, c in counts.items()])
+    share = {x: min(1.0, max(fit_rows / total, LEAST_ROWS / c)) for x, c in counts.items()}
+    languages = sorted(counts, key=lambda x: (-counts[x], x))  # ties go to the more frequent
+    parts = [_fit_part(usable, tuple(languages[k : k + 64]), counts, share, n, slots, min_docs, id_col) for k in range(0, len(languages), 64)]
+    return replace(parts[0], more=tuple(parts[1:]))
+
+
+def _fit_part(usable: DataFrame, languages: tuple[str, ...], counts: dict[str, int], share: dict[str, float], n: int, slots: int, min_docs: int, id_col: str) -> Filters:
+    """Filters of at most 64 languages, fitted on the given share of each one's rows."""
+    of = lambda value: F.coalesce(*[F.when(F.col("lang") == x, F.lit(value(x))) for x in languages])
+    sample = usable.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < of(lambda x: int(share[x] * (1 << 20)) + 1)).select("lang", "text")
+    least = of(lambda x: min_docs if counts[x] * share[x] >= 10 * min_docs else 1)
     grams = sample.mapInArrow(_distinct(n), "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
     # each gram sets HASHES slots; masks are ORed by slot before they come to the driver, so at most `slots` rows do
-    bit = F.coalesce(*[F.when(F.col("lang") == x, F.lit(1 << k)) for k, x in enumerate(languages)]).cast("long")
+    bit = F.coalesce(*[F.when(F.col("lang") == x, F.lit(1 << k if k < 63 else -(1 << 63))) for k, x in enumerate(languages)]).cast("long")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,21 +163,23 @@ def shares(filters: Filters, texts: list[bytes]) -> np.ndarray:
             total = np.concatenate([[0], np.cumsum((masks >> masks.dtype.type(k)) & masks.dtype.type(1), dtype=np.int64)])
             np.add.at(hits[:, k], where, total[starts[ok] + counts[ok]] - total[starts[ok]])
     got = hits / np.maximum(sizes, 1)[:, None]
-    return np.where(sizes[:, None] > 0, np.clip((got - filters.false_rate) / np.maximum(1e-9, 1 - filters.false_rate), 0, 1), 0)
+    own = np.where(sizes[:, None] > 0, np.clip((got - filters.false_rate) / np.maximum(1e-9, 1 - filters.false_rate), 0, 1), 0)
+    return np.hstack([own, *(shares(f, texts) for f in filters.more)]) if filters.more else own
 
 
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = shared.value
+        names = filters.names
         for batch in batches:
             texts = batch.column("text")
             for lo in range(0, len(texts), 256):
                 plain = [normal(t) for t in texts.slice(lo, 256).to_pylist()]
                 got = shares(filters, plain)
-                best = got.argmax(axis=1) if filters.languages else np.zeros(len(plain), int)
-                known = [bool(p) and bool(filters.languages) for p in plain]
+                best = got.argmax(axis=1) if names else np.zeros(len(plain), int)
+                known = [bool(p) and bool(names) for p in plain]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(lo, 256) for c in batch.schema.names if c != "text"), pa.array([filters.languages[b] if k else "und" for b, k in zip(best, known)], pa.string()), pa.array([float(got[i, b]) if k else 0.0 for i, (b, k) in enumerate(zip(best, known))], pa.float64())],
+                    [*(batch.column(c).slice(lo, 256) for c in batch.schema.names if c != "text"), pa.array([names[b] if k else "und" for b, k in zip(best, known)], pa.string()), pa.array([float(got[i, b]) if k else 0.0 for i, (b, k) in enumerate(zip(best, known))], pa.float64())],
                     [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"],
                 )
 

@@ -237,3 +237,33 @@ def test_quality_agrees_with_labels(spark):
     got = quality.op9_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
     good, bad = [r for r in got if r["quality"] == 1], [r for r in got if r["quality"] == 0]
     assert sum(r["kept"] for r in good) >= 0.98 * len(good) and sum(not r["kept"] for r in bad) >= 0.9 * len(bad)
+
+
+def own_words(language, row, n=12):
+    """A text in an invented language: words that no other one has."""
+    import random
+
+    vocabulary = random.Random(language)
+    words = ["".join(vocabulary.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(20)]
+    pick = random.Random(row)
+    return " ".join(pick.choice(words) for _ in range(n))
+
+
+def test_languages_beyond_one_mask_and_rare_ones_are_learned(spark):
+    rows = [(1000 * k + j, f"l{k:02}", own_words(k, j, 40)) for k in range(70) for j in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    filters = langid.fit(df, slots=1 << 16)
+    assert len(filters.names) == 70
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, filters).collect()}
+    assert all(got[k] == x for k, x, _ in rows)
+    many = [(k, "big", own_words(900, k)) for k in range(4000)] + [(5000 + k, "rare", own_words(901, k, 40)) for k in range(6)]
+    df = spark.createDataFrame(many, "doc_id long, lang string, text string")
+    filters = langid.fit(df, slots=1 << 16, fit_rows=40)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, filters).collect()}
+    assert all(got[k] == x for k, x, _ in many)
+
+
+def test_too_many_languages_are_an_error(spark):
+    df = spark.createDataFrame([(k, f"l{k}", "text") for k in range(langid.MOST_LANGUAGES + 1)], "doc_id long, lang string, text string")
+    with pytest.raises(ValueError):
+        langid.fit(df)
