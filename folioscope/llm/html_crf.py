@@ -11,7 +11,7 @@ fixed set of them from a seed: many layouts, invented words.
 White space inside a block becomes one blank (a line break element counts as white space); character references are
 decoded; main blocks are joined by one line end in page order. Scripts, styles, comments and the like are no text.
 Nulls: null or empty html gives an empty text. Broken markup (elements not closed, stray end tags, a page cut off inside
-a tag) is read as far as it goes. Repeated rows are extracted each. An empty table gives no rows; other columns are
+a tag; a head, noscript, svg, object, iframe or template without its end tag) is read as far as it goes. Repeated rows are extracted each. An empty table gives no rows; other columns are
 ignored.
 """
 
@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|object|title|head(?=>))\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
+#: Elements that are no text if they are closed; without an end tag only the tag itself is left out.
+_WHOLE = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("noscript", "template", "svg", "iframe", "object")}
 _ATTR = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<![\w=\"'-])(hidden)(?![\w=-])")
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -91,7 +93,8 @@ def blocks_of(html: str | None) -> list[Block]:
 
     at = 0
     html = html or ""
-    for m in _MARKUP.finditer(html):
+    open_ended: set[str] = set()  # elements of _WHOLE that have no end tag from here on
+    while m := _MARKUP.search(html, at):
         if m.start() > at:
             parts.append(html[at : m.start()])
             if in_link:
@@ -101,6 +104,15 @@ def blocks_of(html: str | None) -> list[Block]:
         if not tag:
             continue
         tag = tag.lower()
+        if tag == "head":  # both of its tags may be missing; what it holds is no text of its own
+            continue
+        if tag in _WHOLE:
+            if not m["end"] and tag not in open_ended:
+                if end := _WHOLE[tag].search(html, at):
+                    at = end.end()
+                else:
+                    open_ended.add(tag)
+            continue
         if tag in BLOCKS:
             flush()
         elif tag == "br":

@@ -180,3 +180,16 @@ def test_query_extracts_articles(spark):
         inside = re.search(r"<article>(.*?)</article>", p["html"], re.S)[1].replace("<br>", " ")
         parts = [" ".join(unescape(re.sub(r"<[^>]+>", "", s)).split()) for s in re.split(r"</?(?:p|h1)>", inside)]
         assert made[p["page_id"]] == "\n".join(x for x in parts if x)
+
+
+def test_elements_without_their_end_tags_hide_nothing():
+    article = "<div class=article><p>First part of the story.</p><p>Second part of it.</p></div>"
+    want = ["First part of the story.", "Second part of it."]
+    texts = lambda page: [b.text for b in html_crf.blocks_of(page)]
+    assert texts(f"<html><head><title>t</title><script>'<p>no</p>'</script><body>{article}</body></html>") == want
+    assert texts(f"<html><head><title>t</title><meta name=x>{article}") == want
+    whole = f"<html><head><title>t</title><noscript><p>no</p></noscript></head><body>{article}</body></html>"
+    assert texts(whole) == want and html_crf.blocks_of(whole) == html_crf.blocks_of(whole.replace("</head>", ""))
+    for tag in ("noscript", "svg", "object", "iframe", "template"):
+        assert texts(f"<body><{tag} class='a'>{article}</body>") == want, tag
+        assert texts(f"<body><{tag}><p>no</p></{tag}>{article}<{tag.upper()}></body>") == want, tag
