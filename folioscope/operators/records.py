@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.fields import is_missing, normal_doi
+from ..storage import written
 
 #: Order of sources where records are the same.
 SOURCE_ORDER = ("wos", "scopus", "pubmed")
@@ -20,29 +21,37 @@ def union_by_name(parts: list[DataFrame]) -> DataFrame:
 
 
 def with_index(df: DataFrame, *order: str) -> DataFrame:
-    """Add `index`, from 0 in the given order: ranges are numbered each by itself and shifted by the rows before them."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    ranged = ranged.withColumns({"_part": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND((1 << 33) - 1)})
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("n"))  # a row for each range
-    before = counts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return ranged.join(F.broadcast(before), "_part").withColumn("index", F.col("_before") + F.col("_row")).drop("_id", "_part", "_row", "_before")
+    """Add `index`, from 0 in the given order (rows equal in it in any order); a column of that name is replaced.
+
+    Ranges are numbered each by itself and shifted by the rows before them. Range and place are written with the rows once, so that
+    counting and shifting see the same ranges however the plan is adapted or a task repeated. An empty table gives no rows."""
+    rows = df.drop("index")
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = ranged.select(F.struct(*[f"`{c}`" for c in rows.columns]).alias("row"), F.monotonically_increasing_id().alias("id"))
+    placed = written(numbered.select("row", F.shiftright("id", 33).alias("range"), F.col("id").bitwiseAND((1 << 33) - 1).alias("place")), "indexed")
+    counts = placed.groupBy("range").agg(F.count("*").alias("n"))  # a row for each range
+    before = counts.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return placed.join(F.broadcast(before), "range", "left").select("row.*", (F.col("before") + F.col("place")).alias("index"))
 
 
 def dedup_key(di: Column, ti: Column, py: Column) -> Column:
-    """What makes records the same: the DOI; without one, the title's letters and digits with the year; null without either."""
-    title = F.upper(F.regexp_replace(ti, "[^A-Za-z0-9 ]", ""))
-    return F.when(~is_missing(di), F.concat(F.lit("doi:"), normal_doi(di))).when(~is_missing(ti), F.concat(F.lit("ti:"), title, F.lit("|"), F.coalesce(py, F.lit(""))))
+    """What makes records the same: the DOI; without one, the title's letters and digits of any script with the year. Null without
+    either, or where a title has neither letters nor digits."""
+    title = F.upper(F.regexp_replace(ti, "[^\\p{L}\\p{M}\\p{N} ]", ""))
+    named = ~is_missing(ti) & (F.trim(title) != "")
+    return F.when(~is_missing(di), F.concat(F.lit("doi:"), normal_doi(di))).when(named, F.concat(F.lit("ti:"), title, F.lit("|"), F.coalesce(py, F.lit(""))))
 
 
 def dedup(records: DataFrame, order: tuple[str, ...] = SOURCE_ORDER) -> DataFrame:
-    """One record of each key: from the first source, then the lowest rec_id. Records without a key all stay.
+    """One record of each key: from the first source, then the lowest rec_id, then the least hash of the row. Records without a key all
+    stay. A null db or rec_id comes last. An empty table gives no rows.
 
-    The winner is found by an aggregation, which combines before the shuffle, so a key with very many rows is no hot spot."""
+    The winner is carried through an aggregation, which combines before its only shuffle, so a key with very many rows is no hot spot."""
     rank = F.coalesce(*[F.when(F.col("db") == d, k) for k, d in enumerate(order)], F.lit(len(order)))
-    keyed = records.withColumn("_key", dedup_key(F.col("di"), F.col("ti"), F.col("py")))
-    first = keyed.where("_key is not null").groupBy("_key").agg(F.min(F.struct(rank.alias("rank"), "rec_id")).alias("w")).select("_key", F.col("w.rec_id").alias("_first"))
-    kept = keyed.where("_key is not null").join(first, "_key").where(F.col("rec_id") == F.col("_first")).drop("_first")
-    return kept.select(*records.columns).unionAll(keyed.where("_key is null").select(*records.columns))
+    row = F.struct(*[f"`{c}`" for c in records.columns])
+    keyed = records.select(row.alias("row"), dedup_key(F.col("di"), F.col("ti"), F.col("py")).alias("key"), F.struct(rank.alias("rank"), F.col("rec_id").isNull().alias("no_id"), "rec_id", F.xxhash64(F.to_json(row)).alias("tie")).alias("place"))
+    first = keyed.where("key is not null").groupBy("key").agg(F.min_by("row", "place").alias("row"))
+    return first.select("row.*").unionAll(keyed.where("key is null").select("row.*"))
 
 
 def swap_reference_column(df: DataFrame) -> DataFrame:
