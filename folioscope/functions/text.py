@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..storage import file_text
+
 WS = "[ \\t\\n\\x0B\\f\\r]"
 
 
@@ -28,8 +30,8 @@ class FilterSpec:
 
     @classmethod
     def from_file(cls, path: str) -> FilterSpec:
-        with open(path, encoding="utf-8") as f:
-            return cls.resolve(file_text=f.read())
+        """Read once on the driver, from any storage that Spark reads."""
+        return cls.resolve(file_text=file_text(path))
 
     def apply(self, text: Column) -> Column:
         if self.mode == "basic":

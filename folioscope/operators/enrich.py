@@ -1,23 +1,48 @@
 """Filling of missing fields from providers in order of priority, with a change log.
 
-The first provider with a usable value wins each missing field, so the result is a coalesce over one left join: offers are pivoted to one
-row for each key, then joined once."""
+The first provider with a usable value wins each missing field. So offers are reduced to one row for each key - of each target field the
+usable value of the smallest priority - and joined once.
+
+Nulls: a record without a DOI, and a null lookup, match nothing; a null value is missing. DOIs are compared without white space at
+their ends. Where a provider answered a key more than once, the smallest usable value of each field counts. Records that repeat are
+filled each; an empty table gives no rows. Columns other than DI, rec_id and the targets are carried along, whatever their names."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fields import begin_page, end_page, is_missing, usable
+from ..functions.fields import begin_page, end_page, is_missing, strip_ws, usable
+from .references import resolve, split_references
+
+
+def same(value: Column) -> Column:
+    return value
+
 
-#: Target field of each canonical key of a provider's answer, in mapping order.
+@dataclass(frozen=True)
+class FieldRule:
+    """How a canonical key of a provider's answer fills fields: a target and what makes its value from the key's."""
+
+    key: str
+    targets: tuple[tuple[str, Callable[[Column], Column]], ...]
+
+    @classmethod
+    def of(cls, key: str, *targets: str) -> FieldRule:
+        """Targets get the value as it is; of two, the first gets what comes before a hyphen and the second what comes after."""
+        made = (begin_page, end_page) if len(targets) == 2 else (same,) * len(targets)
+        return cls(key, tuple(zip(targets, made)))
+
+
+#: Target field of each canonical key of a provider's answer, in mapping order.
 MAPPING = (
-    ("DOI", ("DI",)), ("title", ("TI",)), ("container-title", ("SO",)), ("author", ("AU",)), ("issued", ("PY",)), ("volume", ("VL",)), ("issue", ("IS",)), ("page", ("BP", "EP")),
-    ("publisher", ("PU",)), ("abstract", ("AB",)), ("reference", ("CR",)), ("language", ("LA",)), ("affiliation", ("C1",)), ("keywords", ("DE",)), ("corresponding-author", ("RP",)), ("document-type", ("DT",)),
+    FieldRule.of("DOI", "DI"), FieldRule.of("title", "TI"), FieldRule.of("container-title", "SO"), FieldRule.of("author", "AU"), FieldRule.of("issued", "PY"), FieldRule.of("volume", "VL"), FieldRule.of("issue", "IS"), FieldRule.of("page", "BP", "EP"),
+    FieldRule.of("publisher", "PU"), FieldRule.of("abstract", "AB"), FieldRule.of("reference", "CR"), FieldRule.of("language", "LA"), FieldRule.of("affiliation", "C1"), FieldRule.of("keywords", "DE"), FieldRule.of("corresponding-author", "RP"), FieldRule.of("document-type", "DT"),
 )
-#: Providers' labels in order of priority.
+#: providers' labels in order of priority.
 PROVIDERS = ("NIH-OCC", "PubMed", "PMC", "OpenAlex", "Crossref", "Semantic Scholar")
 
 
@@ -25,46 +50,46 @@ PROVIDERS = ("NIH-OCC", "PubMed", "PMC", "OpenAlex", "Crossref", "Semantic Schol
 class Enrichment:
     table: DataFrame
     changes: DataFrame  # rec_id, field, old_value, new_value, provider, prio, map_pos
-    rules: tuple[tuple[str, tuple[str, ...]], ...] = field(default=MAPPING)
+    rules: tuple[FieldRule, ...] = field(default=MAPPING)
 
 
-def _offered(key: str, target: str, targets: tuple[str, ...], value: Column) -> Column:
-    if len(targets) == 2:
-        return begin_page(value) if target == targets[0] else end_page(value)
-    return value
+def first_usable(offers: DataFrame, rules: tuple[FieldRule, ...]) -> DataFrame:
+    """One row for each lookup key: of each target the usable value of the smallest priority, with that priority, as a struct."""
+    made = [(t, make(F.col(f"`{r.key}`").cast("string"))) for r in rules for t, make in r.targets]
+    best = [F.min(F.when(usable(v), F.struct("prio", v.alias("value")))).alias(t) for t, v in made]
+    return offers.withColumn("lookup", strip_ws(F.col("lookup"))).where("lookup is not null").groupBy("lookup").agg(*best)
 
 
-def widen(offers: DataFrame, keys: list[str], prios: list[int]) -> DataFrame:
-    """One row for each lookup key with a struct of the canonical keys for each priority (the smallest where a provider answered twice)."""
-    packed = offers.select("lookup", "prio", F.struct(*[F.col(f"`{k}`").cast("string").alias(k) for k in keys]).alias("offer"))
-    return packed.where("lookup is not null").groupBy("lookup").pivot("prio", prios).agg(F.min("offer"))
+def resolve_offers(offers: DataFrame, works: DataFrame) -> DataFrame:
+    """Offers with their references resolved: ids of works become citations, unknown ones are dropped, others cleaned."""
+    own = [c for c in offers.columns if c != "reference"]
+    listed = offers.where("reference is not null").select("lookup", "prio", "reference").distinct()
+    rows = listed.select(F.struct("lookup", "prio", "reference").alias("offer"), split_references(F.col("reference")).alias("refs"))
+    found = resolve(rows, F.col("refs"), works, "offer").select(F.col("offer.lookup").alias("_l"), F.col("offer.prio").alias("_p"), F.col("offer.reference").alias("_r"), F.col("references").alias("_found"))
+    same_offer = F.col("lookup").eqNullSafe(F.col("_l")) & F.col("prio").eqNullSafe(F.col("_p")) & (F.col("reference") == F.col("_r"))
+    return offers.join(found, same_offer, "left").select(*[f"`{c}`" for c in own], F.col("_found").alias("reference"))
 
 
-def enrich(records: DataFrame, offers: DataFrame, rules: tuple[tuple[str, tuple[str, ...]], ...] = MAPPING, providers: tuple[str, ...] = PROVIDERS) -> Enrichment:
-    """records: rec_id, DI and target columns; offers: prio (from 1), lookup (a DOI) and canonical keys.
+def enrich(records: DataFrame, offers: DataFrame, rules: tuple[FieldRule, ...] = MAPPING, providers: tuple[str, ...] = PROVIDERS, works: DataFrame | None = None) -> Enrichment:
+    """records: rec_id, DI and target columns; offers: prio (from 1), lookup (a DOI) and canonical keys; works: as `resolve` takes them,
+    for ids among the references.
 
     Rows without a DOI are left as they are. A page pair's halves are filled each by itself."""
-    keys = [k for k, _ in rules if k in offers.columns]
-    rules = tuple((k, t) for k, t in rules if k in keys)
-    prios = list(range(1, len(providers) + 1))
-    wide = widen(offers, keys, prios)
-    keyed = records.withColumn("_doi", F.when(~is_missing(F.col("DI")), F.col("DI")))
-    both = keyed.join(wide, keyed["_doi"] == wide["lookup"], "left").drop("lookup")
-    values, winners = {}, {}
-    for key, targets in rules:
-        for target in targets:
-            old = F.col(target)
-            offer = {p: _offered(key, target, targets, F.col(f"`{p}`.`{key}`")) for p in prios}
-            new = F.coalesce(*[F.when(usable(o), o) for o in offer.values()])
-            prio = F.coalesce(*[F.when(usable(o), p) for p, o in offer.items()])
-            fill = is_missing(old) & F.col("_doi").isNotNull()
-            values[target] = F.when(fill, F.coalesce(new, old)).otherwise(old)
-            winners[target] = F.when(fill, prio)
-    order = [t for _, targets in rules for t in targets]
-    log = F.array(*[F.struct(F.lit(t).alias("field"), F.col(t).cast("string").alias("old_value"), values[t].alias("new_value"), winners[t].alias("prio"), F.lit(k).alias("map_pos")) for k, t in enumerate(order)])
-    changes = both.select("rec_id", F.inline(F.filter(log, lambda x: x["prio"].isNotNull())))
-    labels = F.element_at(F.array(*map(F.lit, providers)), F.col("prio"))
-    table = both.select(*[values[c].alias(c) if c in values else F.col(c) for c in records.columns])
+    rules = tuple(r for r in rules if r.key in offers.columns)
+    if works is not None and "reference" in offers.columns:
+        offers = resolve_offers(offers, works)
+    offers = offers.where(F.col("prio").between(1, len(providers)))
+    doi = F.when(~is_missing(F.col("DI")), strip_ws(F.col("DI")))
+    left = records.select(F.struct(*[f"`{c}`" for c in records.columns]).alias("row"), doi.alias("doi"))
+    best = first_usable(offers, rules).select("lookup", F.struct(*[t for r in rules for t, _ in r.targets]).alias("best"))
+    both = left.join(best, F.col("doi") == F.col("lookup"), "left")
+    order = [t for r in rules for t, _ in r.targets]
+    old = {t: F.col(f"row.`{t}`") for t in order}
+    won = {t: F.when(is_missing(old[t]), F.col(f"best.{t}")) for t in order}
+    log = F.array(*[F.struct(F.lit(t).alias("field"), old[t].cast("string").alias("old_value"), won[t]["value"].alias("new_value"), won[t]["prio"].alias("prio"), F.lit(k).alias("map_pos")) for k, t in enumerate(order)])
+    changes = both.select("row.rec_id", F.inline(F.filter(log, lambda x: x["prio"].isNotNull())))
+    labels = F.element_at(F.array(*map(F.lit, providers)), F.col("prio").cast("int"))
+    table = both.select(*[F.coalesce(won[c]["value"], old[c]).alias(c) if c in won else F.col(f"row.`{c}`") for c in records.columns])
     return Enrichment(table, changes.select("rec_id", "field", "old_value", "new_value", labels.alias("provider"), "prio", "map_pos"), rules)
 
 

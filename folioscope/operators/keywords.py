@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import FilterSpec, hit_count, percent_label
 from ..sources.corpus import normal_keywords
+from ..storage import written
 
 
 @dataclass(frozen=True)
@@ -104,6 +105,12 @@ def chart_total(total: DataFrame) -> DataFrame:
 
 
 def running_totals(counts: DataFrame) -> DataFrame:
-    """Each keyword's count up to each document, by doc_id."""
-    w = Window.partitionBy("keyword").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select("doc_id", "keyword", F.sum("hits").over(w).alias("running"))
+    """Each keyword's count up to each document, by doc_id.
+
+    Ranges of doc_id are summed each by itself and shifted by the sums of the ranges before, so no task holds all of a keyword."""
+    ranged = written(counts.repartitionByRange("doc_id").select("doc_id", "keyword", "hits", F.spark_partition_id().alias("range")), "counts")
+    within = Window.partitionBy("keyword", "range").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("keyword").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("keyword", "range").agg(F.sum("hits").alias("n"))  # a row for each keyword and range
+    before = sums.select("keyword", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return ranged.select("doc_id", "keyword", "range", F.sum("hits").over(within).alias("own")).join(before, ["keyword", "range"]).select("doc_id", "keyword", (F.col("own") + F.col("before")).alias("running"))

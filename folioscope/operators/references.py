@@ -20,6 +20,11 @@ def reference_text(ref: Column) -> Column:
     return F.coalesce(filled(ref["unstructured"]), filled(ref["DOI"]), F.to_json(ref))
 
 
+def reference_value(value: Column) -> Column:
+    """A reference that is neither a list nor a text: its text, cleaned."""
+    return clean_citation(value.cast("string"))
+
+
 def split_references(value: Column) -> Column:
     """Parts of a list in one text, between semicolons; none and empty parts are left out."""
     parts = F.transform(F.split(value, ";"), strip_ws)

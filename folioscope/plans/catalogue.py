@@ -185,7 +185,7 @@ def kwic_window(spark, sf_dir):
 _RECORDS = """SELECT doc_id AS rec_id,
        CASE WHEN doc_id % 3 = 0 THEN 'wos' WHEN doc_id % 3 = 1 THEN 'scopus' ELSE 'pubmed' END AS db,
        CASE WHEN doc_id % 10 = 0 THEN '' WHEN doc_id % 10 = 1 THEN NULL WHEN doc_id % 10 = 2 THEN ' None '
-            ELSE concat('10.5555/d', CAST(doc_id AS {s})) END AS di,
+            WHEN doc_id % 10 = 3 THEN concat(' 10.5555/d', CAST(doc_id AS {s}), '  ') ELSE concat('10.5555/d', CAST(doc_id AS {s})) END AS di,
        CASE WHEN doc_id % 4 = 0 THEN 'none' ELSE substring(text, 1, 40) END AS ti,
        CASE WHEN doc_id % 5 = 0 THEN CAST(2000 + doc_id % 24 AS {s}) ELSE '' END AS py,
        CASE WHEN doc_id % 6 = 0 THEN NULL ELSE source END AS so,
@@ -202,8 +202,9 @@ FROM {documents} CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5, 6]) AS prio) p WHERE
 _STRIP = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 _MISSING = "({c} IS NULL OR lower(" + _STRIP + ") IN ('', 'none'))"
 _DOI_KEY = "concat('doi:', regexp_replace(lower(" + _STRIP.format(c="di") + "), '^https?://(dx\\.)?doi\\.org/', ''))"
-_TITLE_KEY = "concat('ti:', upper(regexp_replace(ti, '[^A-Za-z0-9 ]', '', 'g')), '|', coalesce(py, ''))"
-_DEDUP = f"keyed AS (SELECT *, CASE WHEN NOT {_MISSING.format(c='di')} THEN {_DOI_KEY} WHEN NOT {_MISSING.format(c='ti')} THEN {_TITLE_KEY} END AS k FROM records), ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY CASE db WHEN 'wos' THEN 0 WHEN 'scopus' THEN 1 ELSE 2 END, rec_id) AS r FROM keyed) SELECT rec_id, db, di, ti, py, so, la, bp, ep FROM ranked WHERE r = 1 OR k IS NULL"
+_TITLE = "upper(regexp_replace(ti, '[^\\p{L}\\p{M}\\p{N} ]', '', 'g'))"
+_TITLE_KEY = f"concat('ti:', {_TITLE}, '|', coalesce(py, ''))"
+_DEDUP = f"keyed AS (SELECT *, CASE WHEN NOT {_MISSING.format(c='di')} THEN {_DOI_KEY} WHEN NOT {_MISSING.format(c='ti')} AND trim({_TITLE}) <> '' THEN {_TITLE_KEY} END AS k FROM records), ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY CASE db WHEN 'wos' THEN 0 WHEN 'scopus' THEN 1 ELSE 2 END, rec_id) AS r FROM keyed) SELECT rec_id, db, di, ti, py, so, la, bp, ep FROM ranked WHERE r = 1 OR k IS NULL"
 _REC = "records AS (" + _RECORDS.format(s="VARCHAR", documents="documents") + ")"
 
 
@@ -307,12 +308,12 @@ def first_of_list(spark, sf_dir):
 
 # --- references ----------------------------------------------------------------------------------------------------
 
-_WORKS = "works AS (SELECT concat('W', CAST(doc_id AS VARCHAR)) AS id, " + _CITE.format(c="concat_ws(', ', nullif(upper(concat(lang, ', ', source)), ''), nullif(substring(text, 1, 20), ''), nullif(upper(source), ''), nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE '4' END, ''), '(2001)')") + " AS citation FROM documents WHERE doc_id % 5 <> 0)"
+_WORKS = "works AS (SELECT concat('W', CAST(doc_id AS VARCHAR)) AS id, " + _CITE.format(c="concat_ws(', ', nullif(upper(concat(lang, ', ', source)), ''), nullif(text, ''), nullif(upper(source), ''), nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE '4' END, ''), '(2001)')") + " AS citation FROM documents)"
 
 
 def _works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").where("doc_id % 5 <> 0")
-    return docs.select(F.concat(F.lit("W"), "doc_id").alias("work_id"), F.array("lang", "source").alias("authors"), F.substring("text", 1, 20).alias("title"), F.col("source").alias("journal"), F.when(F.col("doc_id") % 2 == 0, "").otherwise("4").alias("volume"), F.lit("2001").alias("year"))
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select(F.concat(F.lit("W"), "doc_id").alias("work_id"), F.array("lang", "source").alias("authors"), F.col("text").alias("title"), F.col("source").alias("journal"), F.when(F.col("doc_id") % 2 == 0, "").otherwise("4").alias("volume"), F.lit("2001").alias("year"))
 
 
 @query("citation_format", f"WITH {_WORKS} SELECT id AS work_id, citation FROM works")
@@ -320,7 +321,8 @@ def citation_format(spark, sf_dir):
     return references.citations(_works(spark, sf_dir))
 
 
-_REFS = "concat('1. ', lang, ' <i>x</i>; none;; W', CAST(doc_id AS VARCHAR), ' ; https://openalex.org/W', CAST(doc_id + 1 AS VARCHAR), ';', source, ' ')"
+#: The resolver's address is followed by an id that no document has, for every third row.
+_REFS = "concat('1. ', lang, ' <i>x</i>; none;; W', CAST(doc_id AS VARCHAR), ' ; https://openalex.org/W', CAST(CASE WHEN doc_id % 3 = 0 THEN -1 - doc_id ELSE doc_id END AS VARCHAR), ';', source, ' ')"
 
 
 @query("references_string", f"""WITH {_WORKS}, parts AS (SELECT doc_id AS rec_id, list_transform(string_split({_REFS}, ';'), lambda x: {_STRIP.format(c='x')}) AS p FROM documents),
@@ -358,11 +360,11 @@ def provider_json(spark, sf_dir):
 
 # --- enrichment ----------------------------------------------------------------------------------------------------
 
-_RULES = (("title", ("TI",)), ("container-title", ("SO",)), ("issued", ("PY",)), ("page", ("BP", "EP")))
+_RULES = (en.FieldRule.of("title", "TI"), en.FieldRule.of("container-title", "SO"), en.FieldRule.of("issued", "PY"), en.FieldRule.of("page", "BP", "EP"))
 _OFFER_COLUMNS = {"TI": "title", "SO": "container", "PY": "issued", "BP": "bp", "EP": "ep"}
 _OFF = "offers AS (SELECT *, CASE WHEN contains(pages, '-') THEN split_part(pages, '-', 1) ELSE pages END AS bp, CASE WHEN contains(pages, '-') THEN split_part(pages, '-', 2) ELSE '' END AS ep FROM (" + _OFFERS.format(s="VARCHAR", documents="documents") + "))"
 _FILLS = f"{_REC}, {_OFF}, open AS (SELECT * FROM records WHERE NOT {_MISSING.format(c='di')}), " + "fills AS (" + " UNION ALL ".join(
-    f"SELECT rec_id, '{t}' AS field, r.{t.lower()} AS old_value, arg_min(o.{c}, prio) AS new_value, min(prio) AS prio, {k} AS map_pos FROM open r JOIN offers o ON di = doi WHERE {_MISSING.format(c='r.' + t.lower())} AND NOT {_MISSING.format(c='o.' + c)} GROUP BY rec_id, r.{t.lower()}" for k, (t, c) in enumerate(_OFFER_COLUMNS.items())
+    f"SELECT rec_id, '{t}' AS field, r.{t.lower()} AS old_value, arg_min(o.{c}, prio) AS new_value, min(prio) AS prio, {k} AS map_pos FROM open r JOIN offers o ON trim(di) = doi WHERE {_MISSING.format(c='r.' + t.lower())} AND NOT {_MISSING.format(c='o.' + c)} GROUP BY rec_id, r.{t.lower()}" for k, (t, c) in enumerate(_OFFER_COLUMNS.items())
 ) + ")"
 _NAMES = "CASE prio " + " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(en.PROVIDERS, 1)) + " END"
 
@@ -434,3 +436,6 @@ def language_codes(spark, sf_dir):
     names = F.create_map(*[F.lit(x) for pair in _LANG_NAMES.items() for x in pair])
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", names[F.col("lang")].alias("name"))
     return docs.join(F.broadcast(catalogue_table(spark)), "name", "left").select("doc_id", "lang", "code")
+
+
+from . import interchange  # noqa: E402, F401  adds the queries of imports, providers and sinks

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import file_text
+
 #: Turns the bytes of a file into its page texts.
 Extractor = Callable[[bytes], list[str]]
 
@@ -36,8 +37,8 @@ def files(spark: SparkSession, path: str, suffix: str = ".pdf", recursive: bool
     return reader.load(path).select("path", "length", "content")
 
 
-def file_pages(spark: SparkSession, path: str, extractor: Extractor = pdf_extractor, suffix: str = ".pdf", skip_unreadable: bool = False) -> DataFrame:
-    """doc_id (the file's name), page (from 1) and text. An unreadable file ends the job, unless it is to be skipped."""
+def file_pages(spark: SparkSession, path: str, extractor: Extractor = pdf_extractor, suffix: str = ".pdf", skip_unreadable: bool = False, folder: bool = False) -> DataFrame:
+    """doc_id (the file's name, or its folder's), page (from 1) and text. An unreadable file ends the job, unless it is to be skipped."""
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -53,7 +54,7 @@ def file_pages(spark: SparkSession, path: str, extractor: Extractor = pdf_extrac
                 yield pd.DataFrame({"doc_id": name, "page": range(1, len(texts) + 1), "text": texts})
 
     found = files(spark, path, suffix)
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("doc_id"), "content").mapInPandas(extract, "doc_id string, page int, text string")
+    return found.select(F.element_at(F.split("path", "/"), -2 if folder else -1).alias("doc_id"), "content").mapInPandas(extract, "doc_id string, page int, text string")
 
 
 def text_pages(docs: DataFrame, lines: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,8 +75,8 @@ def page_counts(pages: DataFrame) -> DataFrame:
 
 
 def keyword_lines(path: str | None = None, manual: str = "") -> list[str]:
-    """A file's lines if a path is given, else the lines of the manual text."""
-    return (Path(path).read_text(encoding="utf-8") if path else manual).split("\n")
+    """A file's lines if a path is given (of any storage that Spark reads), else the lines of the manual text."""
+    return (file_text(path) if path else manual).split("\n")
 
 
 def normal_keywords(lines: list[str]) -> list[str]:

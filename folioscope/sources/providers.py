@@ -13,11 +13,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fields import authors, is_number, issued_year, strip_ws
+from ..functions.fields import authors, clean_citation, is_number, issued_year, strip_ws
+from ..operators.references import reference_text
+from ..progress import log
 
+#: The shapes of the providers' answers.
 _CSL = "struct<DOI:string,title:string,`container-title`:string,author:array<struct<family:string,given:string,literal:string>>,issued:struct<`date-parts`:array<array<int>>>,volume:string,issue:string,page:string,publisher:string,abstract:string,reference:array<struct<unstructured:string,DOI:string>>,language:string>"
 _WORK = "struct<doi:string,display_name:string,host_venue:struct<display_name:string>,authorships:array<struct<author:struct<display_name:string>>>,publication_year:int,referenced_works:array<string>>"
 _PAPER = "struct<title:string,venue:string,authors:array<struct<name:string>>,year:int,abstract:string,reference:array<struct<doi:string>>>"
+#: The canonical keys.
 KEYS = ("DOI", "title", "container-title", "author", "issued", "volume", "issue", "page", "publisher", "abstract", "reference", "language", "affiliation", "keywords", "corresponding-author", "document-type")
 
 
@@ -47,7 +51,7 @@ def csl(answers: DataFrame, compat: bool = False) -> DataFrame:
     """Provider 2: one CSL record."""
     x = F.col("x")
     parsed = answers.where("status = 200").withColumn("x", F.from_json("body", _CSL)).where(x.isNotNull())
-    refs = F.transform(x["reference"], lambda r: F.coalesce(F.when(r["unstructured"] != "", r["unstructured"]), F.when(r["DOI"] != "", r["DOI"]), F.to_json(r)))
+    refs = F.transform(x["reference"], lambda r: clean_citation(reference_text(r)))
     return _rows(parsed, DOI=strip_ws(x["DOI"]), title=_first_text(x["title"]), container_title=_first_text(x["container-title"]), author=F.when(F.size(x["author"]) > 0, authors(x["author"])), issued=issued_year(x["issued"]["date-parts"], compat=compat), volume=x["volume"], issue=x["issue"], page=x["page"], publisher=x["publisher"], abstract=x["abstract"], reference=F.when(F.size(refs) > 0, F.array_join(refs, "; ")), language=x["language"])
 
 
@@ -118,6 +122,19 @@ def articles(answers: DataFrame) -> DataFrame:
     return answers.where("status = 200").select("lookup", "body").mapInPandas(parse, "lookup string, " + ", ".join(f"`{k}` string" for k in KEYS))
 
 
+def articles_by_key(conversions: DataFrame, answers: DataFrame) -> DataFrame:
+    """Article fields for each converted key. conversions: lookup, status, body; answers: lookup (an article id), status, body. The
+    first converted record counts; a key that converts to nothing, or whose article can't be read, gives no row."""
+    ids = article_ids(conversions).groupBy("lookup").agg(F.min("article_id").alias("article_id"))
+    return articles(ids.join(answers.select(F.col("lookup").alias("article_id"), "status", "body"), "article_id").select("lookup", "status", "body"))
+
+
+def records_by_search(queries: DataFrame, searches: DataFrame, answers: DataFrame) -> DataFrame:
+    """CSL fields for each query: its own number or its search's first hit is looked up. answers: lookup (an id), status, body."""
+    ids = search_ids(queries, searches)
+    return csl(ids.join(answers.select(F.col("lookup").alias("id"), "status", "body"), "id").select(F.col("query").alias("lookup"), "status", "body"))
+
+
 #: What turns the answers of each provider, in order of priority, into rows of canonical keys.
 PARSERS = {"NIH-OCC": citation_list, "PubMed": csl, "PMC": articles, "OpenAlex": works, "Crossref": crossref, "Semantic Scholar": papers}
 
@@ -147,7 +164,8 @@ def fetch(keys: DataFrame, fetcher: Fetcher, attempts: int = 4, pause: float = 3
                     try:
                         answer = fetcher(provider, key)
                         break
-                    except Exception:
+                    except Exception as e:
+                        log.warning("%s, %s: attempt %d of %d failed: %s", provider, key, k + 1, attempts, e)
                         time.sleep(pause if k + 1 < attempts else 0)
                 rows.append((provider, key, *answer))
             yield pd.DataFrame(rows, columns=["provider", "lookup", "status", "body"])

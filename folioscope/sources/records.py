@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import written
+
 #: Columns of a CSV export and the field tags that they become.
 CSV_TAGS = {
     "DOI": "DI", "Title": "TI", "Source title": "SO", "Authors": "AU", "Year": "PY", "Volume": "VL", "Issue": "IS", "Page start": "BP", "Page end": "EP", "Publisher": "PU",
@@ -27,24 +29,32 @@ def csv_records(spark: SparkSession, path: str, tags: dict[str, str] | None = No
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no (from 0) and line of text files: files are split in their rows, so each keeps its order."""
-    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return texts.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    """file, block (where its part of the file begins), line_no (ascending within the block) and line of text files.
+
+    Large files are read in blocks, by a task each. The lines are written once, so that their numbers stay."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+    return written(lines, "lines")
 
 
 def tagged_records(lines: DataFrame, kind: str = "plaintext", db: str = "wos", tags: list[str] | None = None) -> DataFrame:
     """A row for each record of tagged text: columns by tag, repeated and continued values joined by '; ' and ' '.
 
-    A record begins at its format's first tag; lines without a tag continue the value before. tags: the wanted columns (found by a
-    job where not given). Files are the unit: each file's lines meet in one task."""
+    A record begins at its format's first tag; lines without a tag continue the value before; lines before the first record are left
+    out. tags: the wanted columns (found by a job where not given). Blocks of a file are numbered each by itself; what a block begins in
+    the middle of is told by the blocks before it, of which there is a row each. A null line counts as empty; no lines give no rows."""
     pattern, start, names = FORMATS[kind]
-    order = Window.partitionBy("file").orderBy("line_no")
+    order = Window.partitionBy("file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     tag = F.regexp_extract("line", pattern, 1)
-    rows = lines.where(F.trim("line") != "").select("file", "line_no", F.when(tag != "", tag).alias("tag"), F.when(tag != "", F.regexp_extract("line", pattern, 2)).otherwise(F.trim("line")).alias("value"))
-    rows = rows.select("*", F.sum(F.when(F.col("tag") == start, 1).otherwise(0)).over(order).alias("record"), F.sum(F.when(F.col("tag").isNotNull(), 1).otherwise(0)).over(order).alias("entry"))
-    rows = rows.where("record > 0")
+    rows = lines.where(F.trim("line") != "").select("file", "block", "line_no", F.when(tag != "", tag).alias("tag"), F.when(tag != "", F.regexp_extract("line", pattern, 2)).otherwise(F.trim("line")).alias("value"))
+    place = F.struct("block", "line_no")
+    marks = {"record": F.when(F.col("tag") == start, place), "entry": F.when(F.col("tag").isNotNull(), place)}
+    blocks = rows.groupBy("file", "block").agg(*[F.max(m).alias(k) for k, m in marks.items()])
+    carried = blocks.select(F.col("file").alias("of_file"), F.col("block").alias("of_block"), *[F.max(k).over(earlier).alias(f"carried_{k}") for k in marks])
+    rows = rows.select("*", *[F.max(m).over(order).alias(k) for k, m in marks.items()]).join(carried, (F.col("file") == F.col("of_file")) & (F.col("block") == F.col("of_block")))
+    rows = rows.select("file", place.alias("place"), "tag", "value", *[F.coalesce(k, f"carried_{k}").alias(k) for k in marks]).where("record is not null")
     joined = lambda value, by, at: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda x: x[value]), by)
-    entries = rows.groupBy("file", "record", "entry").agg(F.max("tag").alias("tag"), joined("value", " ", "line_no").alias("value"))
+    entries = rows.groupBy("file", "record", "entry").agg(F.max("tag").alias("tag"), joined("value", " ", "place").alias("value"))
     renamed: Column = F.col("tag")
     for old, new in names.items():
         renamed = F.when(F.col("tag") == old, F.lit(new)).otherwise(renamed)
@@ -55,6 +65,6 @@ def tagged_records(lines: DataFrame, kind: str = "plaintext", db: str = "wos", t
 
 
 def concatenated_text(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of all files of a folder, each file followed by an empty line: file, line_no, line."""
+    """Lines of all files of a folder, each file followed by an empty line: file, block, line_no, line."""
     lines = numbered_lines(spark, path)
-    return lines.unionAll(lines.groupBy("file").agg((F.max("line_no") + 1).alias("line_no"), F.lit("").alias("line")))
+    return lines.unionAll(lines.select("file").distinct().select("file", F.lit(2**63 - 1).alias("block"), F.lit(0).cast("long").alias("line_no"), F.lit("").alias("line")))

@@ -5,30 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import enrich
+from ..operators import enrich, records
+from ..progress import log
+
+#: Values are written as they are, white space at their ends and quotes included.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def write_contexts(contexts: DataFrame, path: str) -> None:
     """CSV files of each keyword in a folder of its own, with a header."""
-    contexts.select("keyword", "doc_id", "page", "context").write.partitionBy("keyword").mode("overwrite").csv(path, header=True, escape='"')
+    contexts.select("keyword", "doc_id", "page", "context").write.partitionBy("keyword").mode("overwrite").options(**CSV).csv(path)
 
 
 def write_overview(overview: DataFrame, path: str) -> None:
     """One CSV file, in order of documents: a row each, so small next to the corpus."""
-    overview.coalesce(1).sortWithinPartitions("doc_id").write.mode("overwrite").csv(path, header=True, escape='"')
+    overview.coalesce(1).sortWithinPartitions("doc_id").write.mode("overwrite").options(**CSV).csv(path)
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
     """Text in order of file and line."""
-    lines.repartitionByRange("file", "line_no").sortWithinPartitions("file", "line_no").select("line").write.mode("overwrite").text(path)
+    order = ["file", "block", "line_no"]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
 
 
 def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:
-    df.write.mode("overwrite").options(**({"header": True, "escape": '"'} if kind == "csv" else {})).format(kind).save(path)
+    df.write.mode("overwrite").options(**(CSV if kind == "csv" else {})).format(kind).save(path)
+    log.info("table written to %s", path)
+
+
+def write_indexed(df: DataFrame, path: str, *order: str) -> None:
+    """CSV files with a first column `index`, numbered from 0 in the given order over all files."""
+    numbered = records.with_index(df, *order)
+    write_table(numbered.select("index", *[f"`{c}`" for c in numbered.columns if c != "index"]), path)
 
 
 def change_report(changes: DataFrame) -> DataFrame:
-    """Lines of the change log and their order: title, numbers, each field's edits, then every change."""
+    """Fixed values in the wording. Lines of the change log and their order: title, numbers, each field's edits, then every change."""
     spark = changes.sparkSession
     rule = "-" * 34
     head = spark.createDataFrame([(0, "Changelog of Spreadsheet Updates"), (1, rule), (2, ""), (5, ""), (6, "Detailed Changes:")], "part int, line string")

@@ -9,7 +9,7 @@ from folioscope.functions import fields as fn
 from folioscope.functions import text as tx
 from folioscope.functions.languages import catalogue, code_of
 from folioscope.operators import enrich, keywords, kwic, ocr, records, references
-from folioscope.sources import corpus, providers, sinks
+from folioscope.sources import corpus, providers, sheets, sinks
 from folioscope.sources import records as rec
 from folioscope.streaming import keywords as stream
 
@@ -53,7 +53,7 @@ def test_bad_regex_is_an_error_before_any_job(spark):
         keywords.KeywordSet.of(["", " "])
 
 
-def test_keywords_are_normalised(tmp_path):
+def test_keywords_are_normalised(spark, tmp_path):
     assert corpus.normal_keywords(["B", "a\n", "b", "", "A"]) == ["b", "a"]
     (tmp_path / "k").write_text("x\ny\n")
     assert corpus.keyword_lines(str(tmp_path / "k"), "z") == ["x", "y", ""]
@@ -187,6 +187,31 @@ def test_union_and_dedup(spark):
     assert [(r["index"], r["rec_id"]) for r in indexed] == [(k, k + 1) for k in range(6)]
 
 
+def test_index_of_many_rows(spark):
+    """Over a million rows and adaptive plans, ties and clashing names included: every row once, every number once, in order."""
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1MB")
+    try:
+        df = spark.range(1_200_000).select(F.pmod(F.xxhash64("id"), F.lit(500_000)).alias("k"), F.col("id").alias("_part"), F.lit("x").alias("index"))
+        got = records.with_index(df, "k")
+        assert got.columns == ["k", "_part", "index"]
+        row = got.agg(F.count("*"), F.countDistinct("_part"), F.countDistinct("index"), F.min("index"), F.max("index")).first()
+        assert tuple(row) == (1_200_000, 1_200_000, 1_200_000, 0, 1_199_999)
+        bad = got.alias("a").join(got.select((F.col("index") + 1).alias("index"), F.col("k").alias("before")), "index").where("before > k")
+        assert bad.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert records.with_index(df.limit(0), "k").count() == 0
+
+
+def test_dedup_of_other_scripts_and_repeated_ids(spark):
+    rows = [(1, "wos", None, "数据", "2001"), (2, "wos", None, "中文", "2001"), (3, "wos", None, "Данные", "2001"), (4, "wos", None, "!!!", "2001"), (5, "wos", None, "???", "2001"), (6, "wos", None, "数据!", "2001"),
+            (7, "wos", "10.1/a", "T", "2000"), (7, "scopus", "10.1/a", "T", "2000"), (7, "wos", "10.1/a", "T", "2000"), (None, "pubmed", "10.1/A ", "U", None)]
+    df = spark.createDataFrame(rows, "rec_id int, db string, di string, ti string, py string").withColumn("key", F.lit(1)).withColumn("row", F.lit(2))
+    got = records.dedup(df)
+    assert got.columns == df.columns
+    assert sorted((r["rec_id"], r["db"]) for r in got.collect()) == [(1, "wos"), (2, "wos"), (3, "wos"), (4, "wos"), (5, "wos"), (7, "wos")]
+
+
 def test_columns(spark):
     df = spark.createDataFrame([(1, "a", "b")], "rec_id int, CR string, CR_raw string")
     assert records.swap_reference_column(df).first().asDict() == {"rec_id": 1, "CR": "b"}
@@ -278,7 +303,7 @@ def test_fetch_gives_up(spark):
 
 
 def test_enrichment_equals_a_row_loop(spark):
-    rules = (("title", ("TI",)), ("issued", ("PY",)), ("page", ("BP", "EP")))
+    rules = (enrich.FieldRule.of("title", "TI"), enrich.FieldRule.of("issued", "PY"), enrich.FieldRule.of("page", "BP", "EP"))
     rows = [(k, "10.1/%d" % (k % 7) if k % 5 else [None, "", " none"][k % 3], [None, "", "None", "kept"][k % 4], "" if k % 2 else "1999", "", "5" if k % 3 else "") for k in range(40)]
     offers = [(p, f"10.1/{d}", [None, "none", f"T{p}{d}"][(p + d) % 3], str(2000 + p) if p % 2 else " ", [None, "1-9", "4"][(p * d) % 3]) for p in range(1, 7) for d in range(7) if (p + d) % 4]
     df = spark.createDataFrame(rows, "rec_id int, DI string, TI string, PY string, BP string, EP string")
@@ -303,6 +328,45 @@ def test_enrichment_equals_a_row_loop(spark):
     assert report[3] == f"Total records changed: {len({x[0] for x in log})}" and len(report) > 7 + 2 * len(log) - 1
 
 
+def test_enrichment_of_odd_rows(spark):
+    """White space around keys, a provider that answered twice, and columns that are named as the operator's own."""
+    rules = (enrich.FieldRule.of("title", "TI"), enrich.FieldRule.of("issued", "PY"))
+    df = spark.createDataFrame([(1, " 10.1/x ", "", None, "own"), (2, None, "", None, "own"), (2, "10.1/x", "kept", "", "own")], "rec_id int, DI string, TI string, PY string, lookup string")
+    offers = spark.createDataFrame([(1, "10.1/x", None, "2001"), (1, "10.1/x ", "T", None), (2, "10.1/x", "U", "1990"), (1, None, "V", "1")], "prio int, lookup string, title string, issued string")
+    made = enrich.enrich(df, offers, rules)
+    assert made.table.columns == df.columns
+    assert sorted(map(tuple, made.table.collect()), key=str) == sorted([(1, " 10.1/x ", "T", "2001", "own"), (2, None, "", None, "own"), (2, "10.1/x", "kept", "2001", "own")], key=str)
+    assert enrich.enrich(df, offers.limit(0), rules).changes.count() == 0
+    assert enrich.enrich(df.limit(0), offers, rules).table.count() == 0
+    from folioscope.progress import enrichment_summary
+
+    assert enrichment_summary(df, made.changes) == {"changed": 2, "skipped": 1}
+
+
+def test_sheets(spark, tmp_path):
+    rows = [("a", None, " <x> & \"y\"\n"), (None, "", "\x01_x0041_"), ("é", "7", "")]
+    df = spark.createDataFrame(rows, "A string, B string, `c d` string").coalesce(1)
+    sheets.write_sheet(df, "file://" + str(tmp_path / "t.xlsx"))
+    got = sheets.read_sheet(spark, str(tmp_path / "t.xlsx"))
+    assert got.columns == ["A", "B", "c d"]
+    assert [tuple(r) for r in got.collect()] == rows
+    with pytest.raises(sheets.SheetTooLarge):
+        sheets.workbook(["a"], iter([("x" * 40_000,)]))
+
+
+def test_tagged_text_in_blocks(spark, tmp_path):
+    """Records that run over the blocks of a file are put together."""
+    (tmp_path / "x.txt").write_text("".join(f"PT J\nTI title {k}\n   goes on {k}\nAU a\n   b\nER\n\n" for k in range(400)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        lines = rec.numbered_lines(spark, str(tmp_path))
+        assert lines.select("block").distinct().count() > 5
+        got = rec.tagged_records(lines, tags=["TI", "AU"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["TI"], r["AU"]) for r in got) == sorted((f"title {k} goes on {k}", "a b") for k in range(400))
+
+
 # --- OCR
 
 
