@@ -4,50 +4,24 @@ from __future__ import annotations
 
 import json
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import fresh_path, remove_written, shared_dir, written  # noqa: F401
+
 #: White space that separates words: blank and 0x09-0x0D.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not known:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="folioscope-"))
-        known = spark.sparkContext.getCheckpointDir()
-    return known.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/folioscope/{name}-{uuid.uuid4().hex}"
-
-
 def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Rows of a batch that goes to Python: texts are large, and each worker holds a few batches at a time."""
+    """Rows of a batch that goes to Python, for the whole session, since plans run after the call: texts are large, and each worker holds a
+    few batches at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts the lineage, and lost executors lose nothing of it."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_written(spark: SparkSession) -> None:
-    """Delete all tables that operators have written to the shared folder. DataFrames that operators returned can't be read afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/folioscope")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

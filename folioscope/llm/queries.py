@@ -41,13 +41,13 @@ links AS (SELECT x, y FROM shared JOIN sizes s ON s.doc_id = x JOIN sizes t ON t
 steps AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, steps.y FROM reach JOIN steps ON reach.r = steps.x)
 SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r) AS component_id FROM documents d JOIN reach USING (doc_id) LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id""",
-    # items of five words and more, which all of the table's are
+    # items of five words and more, which all of the table's are; every window of a document that shares a shingle with an item
     "op10_decontaminate": """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS l FROM documents),
 i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS l FROM benchmark),
 wg AS (SELECT doc_id, unnest(range(len(l) - 4)) AS pos, unnest(list_transform(range(1, len(l) - 3), lambda k: array_to_string(l[k : k + 4], ' '))) AS g FROM w WHERE len(l) >= 5),
 ig AS (SELECT item_id, unnest(range(len(l) - 4)) AS pos, unnest(list_transform(range(1, len(l) - 3), lambda k: array_to_string(l[k : k + 4], ' '))) AS g FROM i),
-placed AS (SELECT DISTINCT doc_id, item_id, wg.pos - ig.pos AS start FROM wg JOIN ig USING (g)),
-windows AS (SELECT DISTINCT p.doc_id, p.item_id, len(i.l) AS n_words, greatest(0, least(start, len(w.l) - len(i.l))) AS place FROM placed p JOIN w USING (doc_id) JOIN i USING (item_id)),
+shares AS (SELECT DISTINCT doc_id, item_id FROM wg JOIN ig USING (g)),
+windows AS (SELECT doc_id, item_id, len(i.l) AS n_words, unnest(range(greatest(1, len(w.l) - len(i.l) + 1))) AS place FROM shares JOIN w USING (doc_id) JOIN i USING (item_id)),
 cut AS (SELECT v.*, w.l[place + 1 : place + n_words] AS l FROM windows v JOIN w USING (doc_id)),
 own AS (SELECT doc_id, item_id, place, n_words, g, count(*) AS n FROM (SELECT doc_id, item_id, place, n_words, unnest(list_transform(range(1, len(l) - 3), lambda k: array_to_string(l[k : k + 4], ' '))) AS g FROM cut) GROUP BY ALL),
 theirs AS (SELECT item_id, g, count(*) AS m FROM ig GROUP BY ALL),

@@ -205,15 +205,37 @@ def test_no_leak_is_lost_outside_the_radius(spark):
     assert len(want) >= 20 and sum(0.8 <= v < 0.85 for v in want.values()) >= 16
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     rows = dc.contaminated(*frames).collect()
-    assert any(r["hamming"] > dc.RADIUS for r in rows)
-    for got in (rows, dc.contaminated(*frames, radius=3).collect()):
+    few = dc.contaminated(*frames, radius=3).collect()
+    assert any(r["hamming"] > 3 for r in few)
+    for got in (rows, few):
         assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
 
 
+def test_leaks_that_no_alignment_finds(spark):
+    """Parts of an item in another order, at every kind of place, against all windows; and how many of them the radius itself has."""
+    r = random.Random(11)
+    items, docs = [], []
+    for k in range(30):
+        words = [f"v{k}x{i}" if i % 7 else "and" for i in range(r.choice([5, 9, 31, 45, 80, 81]))]
+        items.append((k, " ".join(words)))
+        cut = r.randrange(len(words))
+        edits = {"swap": words[cut:] + words[:cut], "less": words[: -(len(words) // 10) or None], "same": words, "twice": words + words, "in": words[:cut] + ["new"] + words[cut:]}
+        for j, w in enumerate(edits.values()):
+            docs.append((10 * k + j, " ".join([prose(k + j, r.choice([0, 1, 30])), *w, prose(900 + k, r.choice([0, 2, 50]))])))
+    want = brute_leaks(docs, items)
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = dc.contaminated(*frames).collect()
+    assert {(x["doc_id"], x["item_id"]): round(x["similarity"], 9) for x in got} == {k: round(v, 9) for k, v in want.items()}
+    assert sum(k[0] % 10 == 0 for k in want) >= 8  # swapped parts
+    assert sum(x["hamming"] <= dc.RADIUS for x in got) / len(got) >= 0.9
+
+
 def test_leaks_of_odd_rows(spark):
     items = spark.createDataFrame([(1, prose(1, 60)), (None, "x"), (2, "word word word word word word")], "item_id long, text string")
     got = dc.contaminated(odd_documents(spark), items)
     assert {(7, 1), (8, 1), (10, 2)} == {(r["doc_id"], r["item_id"]) for r in got.collect()}
+    nameless = odd_documents(spark).withColumn("doc_id", F.lit(None).cast("long"))
+    assert {(None, 1), (None, 2)} == {(r["doc_id"], r["item_id"]) for r in dc.contaminated(nameless, items).collect()}
     assert dc.contaminated(empty_documents(spark), items).count() == 0
     assert dc.contaminated(odd_documents(spark), items.limit(0)).count() == 0
 
