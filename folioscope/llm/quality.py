@@ -1,17 +1,18 @@
 """Quality selection by importance resampling.
 
 Two generative models over hashed n-grams are estimated: one of target text (labelled rows of good quality), one of raw
-text (all documents). A document's importance is the log ratio of its probability under the two, per n-gram and scaled
-to a bounded length; adding Gumbel noise and keeping the k largest draws k documents without replacement in proportion
-to their importance. k comes from the corpus: the number of documents whose importance is on the target's side of the
-line that separates the labelled rows best.
+text (all documents). A document's importance is the log ratio of its probability under the two: the sum over its n-grams. Adding
+Gumbel noise and keeping the k largest draws k documents without replacement in proportion to their importance weights. k is given, or
+as large a share of the documents with text as the good ones have among the labelled rows with text.
 
-Tokens: runs of word characters, runs of other marks. N-grams: each token, and pairs and triples of token shapes
-(capitals, lower case, digits, the marks themselves, `=` for a repeated word), hashed to `buckets`.
+N-grams: tokens (runs of word characters, runs of other marks, as they are written) and pairs of neighbouring tokens, hashed to
+`buckets`. Counts are smoothed by one for each bucket. The raw model counts all documents; the target model is fitted on at most
+`fit_rows` good labels, chosen by a hash of doc_id.
 
 Nulls: a null or empty text has no n-grams, importance null, and is not kept; null labels are no labels. Repeated rows are
-drawn one by one. Without labelled rows of both kinds every document with text is kept. Ties are dealt by doc_id's hash. An
-empty table gives no rows. Other columns are ignored.
+drawn one by one, but with the same noise if they share a doc_id; rows without doc_id have noise of their own. Without good labels, or
+with no others, every document with text is kept. Ties go to the first row. A very long text is one row like others. An empty table
+gives no rows. Columns other than doc_id, text and those to keep are ignored.
 """
 
 from __future__ import annotations
@@ -23,33 +24,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import table, written
 
-BUCKETS, SEED, FIT_ROWS, LENGTH, TEMPERATURE = 1 << 16, 11, 20_000, 40.0, 1.0
+BUCKETS, SEED, FIT_ROWS = 1 << 14, 11, 20_000
+#: Rows whose scores come to the driver to find the last one that is kept; where more are left, their range is narrowed once more.
+EDGE_ROWS = 100_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-_CAPS, _LOWER, _MIXED, _DIGITS, _SAME = 1, 2, 3, 4, 5
 
 
 class Features:
-    """Hashed n-grams of texts. Tokens already seen are looked up; the table is dropped when it gets large."""
+    """Hashed n-grams of texts. Hashes of tokens already seen are looked up, and forgotten when they get many."""
 
     def __init__(self, buckets: int = BUCKETS):
         self.buckets = buckets
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known: dict[str, int] = {}
 
-    def _new(self, token: str) -> tuple[int, int]:
+    def _new(self, token: str) -> int:
         import xxhash
 
-        h = xxhash.xxh64_intdigest(token)
-        if token[0].isalnum() or token[0] == "_":
-            shape = _DIGITS if token.isdigit() else _MIXED if len(token) == 1 else _CAPS if token.isupper() else _LOWER if token.islower() else _MIXED
-        else:
-            shape = 6 + h % 1_000_003
         if len(self.known) > 200_000:
             self.known.clear()
-        self.known[token] = found = (h % self.buckets, shape)
+        self.known[token] = found = xxhash.xxh64_intdigest(token)
         return found
 
     def of(self, text: str | None) -> np.ndarray:
@@ -58,16 +54,10 @@ class Features:
         if not tokens:
             return np.zeros(0, np.int64)
         known, new = self.known, self._new
-        pairs = np.array([known.get(t) or new(t) for t in tokens], np.int64)
-        single, shape = pairs[:, 0], pairs[:, 1].copy()
-        same = np.zeros(len(tokens), bool)
-        same[1:] = single[1:] == single[:-1]
-        shape[same] = _SAME
-        s = shape.astype(np.uint64)
+        one = np.array([known.get(t) or new(t) for t in tokens], np.uint64)
         with np.errstate(over="ignore"):
-            two = (s[1:] * np.uint64(0x9E3779B97F4A7C15) + s[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)
-            three = (s[2:] * np.uint64(0xD6E8FEB86659FD93) + s[1:-1] * np.uint64(0xA0761D6478BD642F) + s[:-2] * np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(40)
-        return np.concatenate([single, (two % np.uint64(self.buckets)).astype(np.int64), (three % np.uint64(self.buckets)).astype(np.int64)])
+            two = (one[1:] * np.uint64(0x9E3779B97F4A7C15) + one[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)
+        return (np.concatenate([one, two]) % np.uint64(self.buckets)).astype(np.int64)
 
 
 def _counts(buckets: int):
@@ -90,91 +80,92 @@ def _importance(shared, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, ratio = Features(buckets), shared.value
         for batch in batches:
-            found = [ratio[f] for f in map(features.of, (t.as_py() for t in batch.column("text")))]
+            found = [ratio[features.of(t.as_py())] for t in batch.column("text")]
+            names = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array([float(x.mean()) if len(x) else None for x in found], pa.float64()), pa.array([len(x) for x in found], pa.int64())],
-                [*(c for c in batch.schema.names if c != "text"), "mean_ratio", "n_grams"],
+                [*(batch.column(c) for c in names), pa.array([float(x.sum()) if len(x) else None for x in found], pa.float64()), pa.array([len(x) for x in found], pa.int64())],
+                [*names, "importance", "n_grams"],
             )
 
     return run
 
 
-def cut_line(scores: np.ndarray, good: np.ndarray) -> float:
-    """The score that separates good from bad rows best, in the mean of both classes' error rates; midway in its gap."""
-    order = np.argsort(scores, kind="stable")
-    s, g = scores[order], good[order]
-    kept_good = 1 - np.concatenate([[0], np.cumsum(g)]) / max(1, g.sum())
-    cut_bad = np.concatenate([[0], np.cumsum(~g)]) / max(1, (~g).sum())
-    at = int(np.argmax(np.round(kept_good + cut_bad, 12)))
-    return float((s[at - 1] + s[at]) / 2) if 0 < at < len(s) else float(s[0] - 1 if at == 0 else s[-1] + 1)
-
-
-def importance(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, mean_ratio (log ratio per n-gram; null without n-grams), n_grams, label (true, false or null).
-
-    The raw model counts all rows; the target model those of at most fit_rows good labels, chosen by a hash of doc_id.
-    """
-    known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).select("doc_id", (F.col("quality") == 1).alias("good"))
-    flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def importance(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, fit_rows: int = FIT_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to keep, importance (log target probability less log raw probability; null without n-grams), n_grams, label
+    (true, false or null) and row (a number of its own for each row)."""
+    known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).select("doc_id", (F.col("quality") == 1).alias("label"))
+    flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[f"`{c}`" for c in keep], "text")
     spark = docs.sparkSession
     # the target sample is at most fit_rows ids, so it can be broadcast; raw counts take every row in the same pass
-    sample = known.where("good").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    marked = flagged.join(F.broadcast(sample), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    sample = known.where("label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).withColumnRenamed("label", "good")
+    marked = flagged.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     counted = marked.mapInArrow(_counts(buckets), "bucket long, raw long, target long")
     sums = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # at most `buckets` rows
     table_ = np.zeros((2, buckets))
     table_[0][sums["bucket"].to_numpy()] = sums["raw"].to_numpy()
     table_[1][sums["bucket"].to_numpy()] = sums["target"].to_numpy()
     smooth = (table_ + 1) / (table_.sum(axis=1, keepdims=True) + buckets)
-    ratio = (np.log(smooth[1]) - np.log(smooth[0])) if table_[1].sum() else np.zeros(buckets)
-    shared = spark.sparkContext.broadcast(ratio.astype(np.float32))
-    scored = written(flagged.mapInArrow(_importance(shared, buckets), "doc_id long, mean_ratio double, n_grams long"), "quality")
-    return scored.join(known, "doc_id", "left").select("doc_id", "mean_ratio", "n_grams", F.col("good").alias("label"))
+    ratio = np.log(smooth[1]) - np.log(smooth[0]) if table_[1].sum() else np.zeros(buckets)
+    shared = spark.sparkContext.broadcast(ratio)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flagged.schema if f.name != "text")
+    scored = flagged.mapInArrow(_importance(shared, buckets), f"{kept}, importance double, n_grams long")
+    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "quality")
+    return scored.join(known, "doc_id", "left").select("doc_id", *[f"`{c}`" for c in keep], "importance", "n_grams", "label", "row")
 
 
 def gumbel(seed: int) -> "F.Column":
-    """Gumbel noise from a hash of doc_id: the same in every run and on every retry."""
-    u = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    """Gumbel noise from a hash of doc_id, or of the row where there is none: the same on every retry."""
+    own = F.when(F.col("doc_id").isNull(), F.col("row"))
+    u = (F.pmod(F.xxhash64(F.col("doc_id"), own, F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     return -F.log(-F.log(u))
 
 
-def resample(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, seed: int = SEED, fit_rows: int = FIT_ROWS, k: int | None = None) -> DataFrame:
-    """doc_id, importance, score (importance with its noise), kept: whether the document is among the k drawn."""
-    spark = docs.sparkSession
-    found = importance(docs, labels, buckets, fit_rows)
-    sample = found.where("label is not null and mean_ratio is not null").select("mean_ratio", "label", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(fit_rows).toArrow()
-    marks, good = sample["mean_ratio"].to_numpy(), sample["label"].to_numpy(zero_copy_only=False).astype(bool)
-    both = len(good) and good.any() and not good.all()
-    line = cut_line(marks, good) if both else -1e300
-    spread = float(np.std(marks)) if both else 1.0
-    # importance in units of the labelled rows' spread times LENGTH: of bounded length, so that long texts don't drown the noise
-    weight = F.when(F.col("mean_ratio").isNotNull(), (F.col("mean_ratio") - F.lit(line if both else 0.0)) / F.lit(spread or 1.0) * F.lit(LENGTH))
-    scored = found.select("doc_id", weight.alias("importance"))
-    scored = written(scored.withColumn("score", F.when(F.col("importance").isNotNull(), F.col("importance") + F.lit(TEMPERATURE) * gumbel(seed))), "resample")
-    want = k if k is not None else scored.where("importance > 0" if both else "importance is not null").count()
-    return top_k(scored, want)
-
-
-def top_k(scored: DataFrame, k: int, cells: int = 1 << 12) -> DataFrame:
-    """Mark the k largest scores as kept, exactly, without sorting all rows: a histogram of bounded size finds the cell of
-    the k-th, and only that cell's rows are ranked (by score, then doc_id)."""
-    low, high, n = scored.agg(F.min("score"), F.max("score"), F.count("score")).first()
-    if not n or k <= 0 or k >= n:
-        return scored.withColumn("kept", F.lit(bool(n) and k > 0) & F.col("score").isNotNull())
-    width = (high - low) / cells or 1.0
-    cell = F.least(F.floor((F.col("score") - F.lit(low)) / F.lit(width)), F.lit(cells - 1)).cast("long")
-    scored = scored.withColumn("cell", F.when(F.col("score").isNotNull(), cell))
-    counts = {r["cell"]: r["n"] for r in scored.where("score is not null").groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most `cells` rows
-    above = 0
-    for at in sorted(counts, reverse=True):
-        if above + counts[at] >= k:
-            break
-        above += counts[at]
-    edge = scored.where(F.col("cell") == at)
-    rank = F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))
-    edge = edge.withColumn("kept", rank <= k - above)
-    rest = scored.where(F.col("cell").isNull() | (F.col("cell") != at)).withColumn("kept", F.coalesce(F.col("cell") > at, F.lit(False)))
-    return rest.unionAll(edge).drop("cell")
+def resample(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, seed: int = SEED, fit_rows: int = FIT_ROWS, k: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to keep, importance, score (importance with its noise), kept: whether the row is among the k drawn."""
+    found = importance(docs, labels, buckets, fit_rows, keep)
+    scored = found.withColumn("score", F.when(F.col("importance").isNotNull(), F.col("importance") + gumbel(seed)))
+    scored = written(scored.select("doc_id", *[f"`{c}`" for c in keep], "importance", "score", "label", "row"), "resample")
+    if k is None:
+        n, good, bad = scored.where("score is not null").agg(F.count("*"), F.count_if("label"), F.count_if(~F.col("label"))).first()
+        k = round(n * good / (good + bad)) if good and bad else n
+    return top_k(scored, k).drop("label", "row")
+
+
+def last_of(scored: DataFrame, column: str, k: int, cells: int = 1 << 12) -> tuple[float, int]:
+    """The k-th largest value of a column that has more than k, and how many rows are above it.
+
+    A histogram of bounded size finds the cell of the k-th, again and again, until few rows or one value are left in it."""
+    inside, above = scored.where(F.col(column).isNotNull()), 0
+    while True:
+        low, high, n = inside.agg(F.min(column), F.max(column), F.count("*")).first()
+        if low == high:
+            return low, above
+        if n <= EDGE_ROWS:
+            values = np.sort(inside.select(column).toArrow()[column].to_numpy())[::-1]
+            return values[k - above - 1].item(), above + int((values > values[k - above - 1]).sum())
+        cell = F.least(F.floor((F.col(column) - F.lit(low)) / F.lit((high - low) / cells)), F.lit(cells - 1)).cast("long")
+        counts = {r["cell"]: r["n"] for r in inside.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect()}  # at most `cells` rows
+        for at in sorted(counts, reverse=True):
+            if above + counts[at] >= k:
+                break
+            above += counts[at]
+        inside = inside.where(cell == at)
+
+
+def top_k(scored: DataFrame, k: int, cells: int = 1 << 12, tie: str = "row") -> DataFrame:
+    """Mark the k largest scores as kept, exactly and without sorting all rows; equal ones by the smallest `tie`, which tells rows apart."""
+    n = scored.agg(F.count("score")).first()[0]
+    if k <= 0 or k >= n:
+        return scored.withColumn("kept", F.lit(k > 0) & F.col("score").isNotNull())
+    least, above = last_of(scored, "score", k, cells)
+    equal = scored.where(F.col("score") == F.lit(least)).select((-F.col(tie)).alias("tie"))
+    taken = F.col("score") > F.lit(least)
+    if equal.count() > k - above:
+        last, _ = last_of(equal, "tie", k - above, cells)
+        taken = taken | ((F.col("score") == F.lit(least)) & (-F.col(tie) >= F.lit(last)))
+    else:
+        taken = F.col("score") >= F.lit(least)
+    return scored.withColumn("kept", F.coalesce(taken, F.lit(False)))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,27 +195,28 @@ def test_importance_equals_plain_counts(spark):
         np.add.at(raw, f, 1)
         if (k, 1) in labels:
             np.add.at(target, f, 1)
-    ratio = (np.log(target / target.sum()) - np.log(raw / raw.sum())).astype(np.float32)
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
     for k, t in rows:
         f = features.of(t)
-        assert (got[k]["mean_ratio"] is None) == (len(f) == 0)
-        assert len(f) == 0 or abs(got[k]["mean_ratio"] - ratio[f].mean()) < 1e-6
+        assert (got[k]["importance"] is None) == (len(f) == 0)
+        assert len(f) == 0 or abs(got[k]["importance"] - ratio[f].sum()) < 1e-9
     assert (got[0]["label"], got[4]["label"], got[2]["label"]) == (True, False, None)
 
 
 @pytest.mark.parametrize("k", [0, 1, 7, 500, 999, 1000, 2000])
-def test_top_k_is_exact(spark, k):
+def test_top_k_is_exact(spark, k, monkeypatch):
+    monkeypatch.setattr(quality, "EDGE_ROWS", 3)
     r = np.random.default_rng(k)
     values = [None if x % 50 == 0 else float(v) for x, v in enumerate(np.round(r.standard_cauchy(1000), 1) + 0.0)]
     df = spark.createDataFrame(list(enumerate(values)), "doc_id long, score double")
-    got = {r["doc_id"] for r in quality.top_k(df, k, cells=16).where("kept").collect()}
+    got = {r["doc_id"] for r in quality.top_k(df, k, cells=16, tie="doc_id").where("kept").collect()}
     want = sorted((i for i, v in enumerate(values) if v is not None), key=lambda i: (-values[i], i))[:k]
     assert got == set(want)
 
 
 def test_gumbel_top_k_draws_by_weight(spark):
     """Of two documents, one with ln 3 more importance is drawn first in 3 of 4 pairs."""
-    df = spark.range(40_000).select(F.col("id").alias("doc_id")).withColumn("g", quality.gumbel(1))
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.col("id").alias("row")).withColumn("g", quality.gumbel(1))
     rows = df.select(F.floor(F.col("doc_id") / 2).alias("pair"), (F.col("doc_id") % 2).alias("side"), (F.col("g") + F.when(F.col("doc_id") % 2 == 0, math.log(3)).otherwise(0)).alias("s"))
     first = rows.groupBy("pair").agg(F.max_by("side", "s").alias("side")).where("side = 0").count()
     assert abs(first / 20_000 - 0.75) < 0.015
@@ -231,6 +232,33 @@ def test_odd_quality(spark):
     assert quality.resample(empty_documents(spark), labels).count() == 0
 
 
+def test_draw_equals_a_plain_one(spark):
+    """The whole draw against counts, sums and noise made by hand; it isn't the threshold that the importance alone would give."""
+    import re
+
+    r = np.random.default_rng(2)
+    mixed = lambda share, n: " ".join(str(w) + ("!!" if r.random() < share else "") for w in r.choice(prose(5, 40).split(), n))
+    rows = [(k, mixed([0.1, 0.5, 0.15, 0.2][k % 4], 4)) for k in range(400)]
+    labels = [(k, int(k % 4 == 0)) for k in range(0, 400, 2)]
+    got = {x["doc_id"]: x for x in quality.resample(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), buckets=1 << 22).collect()}
+    grams = lambda t: (lambda w: [*w, *zip(w, w[1:])])(re.findall(r"\w+|[^\w\s]+", t))
+    raw = {g: 0 for _, t in rows for g in grams(t)}
+    target = dict(raw)
+    for k, t in rows:
+        for g in grams(t):
+            raw[g] += 1
+            target[g] += (k, 1) in labels
+    p = lambda c, g: math.log((c[g] + 1) / (sum(c.values()) + (1 << 22)))
+    want = {k: sum(p(target, g) - p(raw, g) for g in grams(t)) for k, t in rows}
+    assert np.mean([abs(got[k]["importance"] - want[k]) < 1e-6 for k in want]) > 0.99  # but for n-grams that share a bucket
+    noise = [got[k]["score"] - got[k]["importance"] for k in want]
+    assert abs(np.mean(noise) - 0.5772) < 0.2 and abs(np.std(noise) - math.pi / math.sqrt(6)) < 0.2
+    order = sorted(got, key=lambda k: -got[k]["score"])
+    kept = {k for k in got if got[k]["kept"]}
+    assert kept == set(order[:200])  # the share of good ones among the labelled is a half
+    assert kept != set(sorted(got, key=lambda k: -got[k]["importance"])[:200]) and kept != {k for k in got if got[k]["importance"] > 0}
+
+
 @pytest.mark.skipif(not HAVE, reason="no tables")
 def test_quality_agrees_with_labels(spark):
     d = DATA.replace("0.001", "0.01")
