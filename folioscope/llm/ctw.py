@@ -1,29 +1,27 @@
 """Language-model scoring by context-tree weighting.
 
-Texts are tokens: words (A-Z in lower case), each spelled as its bytes and a blank, then one end token, the byte 0x0A. A byte is
-eight binary decisions. The context of a decision is the bits of its byte so far and up to DEPTH bytes before it in its token (blanks
-before the token's first byte). At each depth a context has a Krichevsky-Trofimov estimate; a node's weighted probability is half its
-own estimate's and half the product of its children's, the contexts one byte longer. So the model mixes the estimates of all
+A text is read as the bytes of its words (A-Z in lower case) with a blank after each, then one end byte, 0x0A. A byte is eight binary
+decisions. The context of a decision is the bits of its byte so far and the DEPTH bytes before it in the text, over word boundaries
+(blanks before the text's first byte). At each depth a context has a Krichevsky-Trofimov estimate; a node's weighted probability is
+half its own estimate's and half the product of its children's, the contexts one byte longer. So the model mixes the estimates of all
 depths. It depends only on counts, which are sums: they are gathered by grouped aggregation over all training texts.
 
 Training texts may have a class (their language). Each class has a tree of its own, and a text's probability is the mixture
 over classes, weighted by their shares of the training texts: the class of a text that is scored is never read.
 
-Because a token's probability depends on the token alone, texts are scored through tables of distinct tokens:
+1. Blocks of documents become tables of the distinct (DEPTH + 1)-byte strings in them - a context and its byte - with training counts by
+   class, and local dictionaries of words with counts, and each document's local word ids in order. Strings and words that occur only
+   in held-out texts take part with count 0, so everything that has to be scored is there.
+2. Strings are dealt into shares of the tree by a hash of their last two context bytes and merged there, at first in groups of blocks,
+   then all. A share has all nodes of depth 2 and more of its contexts; sums of these give the nodes of depth 1 and 0 (at most
+   256 * 255 + 255 rows a class, held on the driver). Going back down, each string gets its log probability.
+3. These go back to the blocks, whose texts are put together again from words and ids: a document's score is the sum over its strings.
+4. For the unigram base, words are dealt into parts by a hash, their training counts summed over blocks and sent back to them.
 
-1. Blocks of documents become local dictionaries, which are dealt into parts by a hash of the word, and, for each document, its sorted
-   local ids.
-2. Each part of the vocabulary sums its words' training counts over blocks, and turns the words into distinct (DEPTH + 1)-byte strings
-   with counts, dealt by a hash of the last two context bytes. Words that occur only in held-out texts take part with count 0, so
-   every string that has to be scored is there.
-3. Strings with the same two last context bytes meet, and with them all nodes of depth 2 and more; sums of these give the
-   nodes of depth 1 and 0 (at most 256 * 255 + 255 rows a class, held on the driver). Going back down, each string gets its log
-   probability.
-4. These go back to the parts that use the strings and are summed to words', and words' to the blocks that use the words, and
-   there summed to documents'.
+Between steps, what goes from one task to another is packed in one row, as arrays. Numbers of parts and shares follow the numbers of words and
+strings, so that a task holds about PART_WORDS local words or PART_STRINGS strings.
 
-Between steps, what goes from one task to another is packed in one row, as arrays. Numbers of parts follow the numbers of words and
-strings, so that a task holds PART_WORDS local words or PART_STRINGS strings.
+Log probabilities of strings travel with 16 bits of mantissa (a relative error of a string's term of at most 1/130,000).
 
 Nulls: a null text is empty (one token, the end); a null doc_id counts as the text '' where documents are dealt into training and
 held-out ones. Repeated rows count, and are scored, each. Without any training text all counts are 0 and each bit has probability 1/2.
@@ -37,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,10 +43,10 @@ from .common import crc_mod, mix64, packed, small_batches, table, unpacked, writ
 
 DEPTH = 6
 END = b"\n"
-#: Distinct words or tokens of a block, blocks' words of a part of the vocabulary, and parts' strings of a share of the tree.
-BLOCK_WORDS, BLOCK_TOKENS, PART_WORDS, PART_STRINGS = 300_000, 2_500_000, 400_000, 400_000
-#: Words or documents that travel in one row.
-ROW_WORDS, ROW_DOCS = 50_000, 500
+#: Distinct words or tokens of a block, blocks' words of a part of the vocabulary, and blocks' strings of a share of the tree.
+BLOCK_WORDS, BLOCK_TOKENS, PART_WORDS, PART_STRINGS = 500_000, 5_000_000, 400_000, 600_000
+#: Words, documents or strings that travel in one row; blocks whose strings are merged at a time; bytes of texts coded at a time.
+ROW_WORDS, ROW_DOCS, ROW_STRINGS, GROUP, CHUNK = 50_000, 500, 500_000, 64, 1 << 21
 #: Classes with trees of their own; the least frequent labels beyond share the last one.
 CLASSES = 8
 LOG_HALF = math.log(0.5)
@@ -76,23 +75,86 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
-# --- distinct byte strings of words -------------------------------------------------------------------------------
+# --- byte strings of texts ----------------------------------------------------------------------------------------
 
 
-def strings_of(words: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of the words' spellings: the context and the byte as one number, and the word's place."""
-    gap = b" " * (depth + 1)
-    data = np.frombuffer(gap + gap.join(words) + gap, np.uint8)
-    before = np.concatenate([[32], data[:-1]])
-    spelled = ((data != 32) | (before != 32)) & (before != END[0])
-    spelled[: depth + 1] = False
-    codes = np.zeros(len(data) - depth, np.uint64)
+def spelled(text: str | None) -> list[bytes]:
+    """The words of a text and the end."""
+    words = text.encode().lower().split() if text else []  # bytes: only A-Z change, only 0x09-0x0D and blanks separate
+    words.append(END)
+    return words
+
+
+def strings_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte of the texts, one text after the other: the bytes before it and the byte as one number; and the texts' lengths."""
+    gap = b" " * depth
+    data = np.frombuffer(gap + gap.join(texts), np.uint8)
+    codes = np.zeros(len(data) - depth, np.int64)
     for k in range(depth + 1):
-        codes = (codes << np.uint64(8)) | data[k : k + len(codes)].astype(np.uint64)
-    spelled = spelled[depth:]
-    begins = (data != 32) & (before == 32)
-    word = (np.cumsum(begins) - 1)[depth:]
-    return codes[spelled].astype(np.int64), word[spelled]
+        codes <<= 8
+        codes |= data[k : k + len(codes)]
+    lengths = np.array([len(t) for t in texts], np.int64)
+    starts = np.cumsum(lengths + depth) - lengths - depth
+    edge = np.zeros(len(codes) + 1, np.int8)
+    edge[starts] += 1
+    edge[starts + lengths] -= 1
+    return codes[np.cumsum(edge[:-1]) > 0], lengths
+
+
+def lots(texts: list, size: int) -> Iterator[tuple[int, int]]:
+    """Bounds of lots of neighbouring texts of about `size` bytes."""
+    lo, held = 0, 0
+    for k, t in enumerate(texts):
+        held += len(t)
+        if held >= size:
+            yield lo, k + 1
+            lo, held = k + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
+def merged(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of strings and their counts by class as one, in order of strings."""
+    codes, at = np.unique(np.concatenate([c for c, _ in tables]), return_inverse=True)
+    sums = np.concatenate([n for _, n in tables])
+    return codes, np.stack([np.bincount(at, weights=sums[:, k], minlength=len(codes)) for k in range(sums.shape[1])], axis=1).astype(np.int64)
+
+
+def string_counts(texts: list[bytes], kinds: np.ndarray, classes: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings of the texts, and their counts by class; kinds: a class for each text, -1 for held-out ones."""
+    tables = []
+    order = np.argsort(kinds, kind="stable")
+    texts, kinds = [texts[k] for k in order], kinds[order]
+    for lo, hi in lots(texts, CHUNK):
+        codes, lengths = strings_of(texts[lo:hi], depth)
+        coded = pa.array(codes).dictionary_encode()
+        at, n = coded.indices.to_numpy(), len(coded.dictionary)
+        ends = np.cumsum(lengths)
+        sums = np.zeros((n, classes), np.int64)
+        for kind in np.unique(kinds[lo:hi][kinds[lo:hi] >= 0]).tolist():  # texts of a class lie together
+            own = np.flatnonzero(kinds[lo:hi] == kind)
+            sums[:, kind] = np.bincount(at[ends[own[0]] - lengths[own[0]] : ends[own[-1]]], minlength=n)
+        tables.append((coded.dictionary.to_numpy(), sums))
+        if sum(len(c) for c, _ in tables[1:]) > len(tables[0][0]) + 1_000_000:
+            tables = [merged(tables)]
+    return merged(tables) if tables else (np.zeros(0, np.int64), np.zeros((0, classes), np.int64))
+
+
+def lookup_sums(texts: list[bytes], codes: np.ndarray, logs: np.ndarray, depth: int) -> np.ndarray:
+    """For each text the sum, by class, of its strings' logs; codes: all strings, logs: a row for each."""
+    known = pa.array(codes)
+    found = [np.zeros((0, logs.shape[1]))]
+    for lo, hi in lots(texts, CHUNK):
+        own, lengths = strings_of(texts[lo:hi], depth)
+        at = pc.index_in(pa.array(own), value_set=known).to_numpy()
+        found.append(np.add.reduceat(logs[at], np.cumsum(lengths) - lengths, axis=0, dtype=np.float64))
+    return np.concatenate(found)
+
+
+def shortened(logs: np.ndarray) -> np.ndarray:
+    """32-bit floats rounded to 16 bits of mantissa, which pack better."""
+    bits = logs.astype(np.float32).view(np.uint32)
+    return ((bits + np.uint32(0x40)) & np.uint32(0xFFFFFF80)).view(np.float32)
 
 
 # --- the weighted tree --------------------------------------------------------------------------------------------
@@ -189,51 +251,56 @@ def log_probabilities(tree: list[Level], top: tuple[np.ndarray, np.ndarray] | No
 # --- tables -------------------------------------------------------------------------------------------------------
 
 
-def _blocks(classes: int):
-    """Rows of two kinds, of bounded size: a block's words (from local id `first_id` on) with their training counts by class, and its
-    documents (doc_id, held_out, n_tokens, ids)."""
+_BLOCK = "block long, first_id long, n_words long, words array<binary>, trained binary, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, ids binary, n_strings long, codes binary, sums binary"
+
+
+def _blocks(classes: int, depth: int):
+    """Rows of three kinds, of bounded size: a block's words (from local id `first_id` on) with their training counts by class; its
+    documents (doc_id, held_out, n_tokens, ids in order); its strings with their training counts by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        names = ["block", "first_id", "n_words", "words", "trained", "doc_id", "held_out", "n_tokens", "ids"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
-        row = lambda *values: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
+        kinds_of = {"long": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+        fields = [f.split() for f in _BLOCK.split(", ")]
+        row = lambda **values: pa.RecordBatch.from_arrays([pa.array([values.get(n)], kinds_of[k]) for n, k in fields], [n for n, _ in fields])
         block = TaskContext.get().partitionId() << 32
         known: dict[bytes, int] = {}
-        trained: list[list[np.ndarray]] = [[] for _ in range(classes)]
         docs: list[tuple] = []
+        texts: list[bytes] = []
+        kinds: list[int] = []
         tokens = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal block, tokens
             if docs:
+                trained = [[d[3] for d, k in zip(docs, kinds) if k == kind] for kind in range(classes)]
                 counts = np.stack([np.bincount(np.concatenate(t), minlength=len(known)) if t else np.zeros(len(known), np.int64) for t in trained], axis=1)
                 words, counts = list(known), counts.astype(np.uint32)
                 for lo in range(0, len(words), ROW_WORDS):
                     own = words[lo : lo + ROW_WORDS]
-                    yield row(block, lo, len(own), own, packed(counts[lo : lo + ROW_WORDS]), None, None, None, None)
+                    yield row(block=block, first_id=lo, n_words=len(own), words=own, trained=packed(counts[lo : lo + ROW_WORDS]))
                 for lo in range(0, len(docs), ROW_DOCS):
-                    *told, steps = map(list, zip(*docs[lo : lo + ROW_DOCS]))
-                    yield row(block, None, 0, None, None, *told, packed(np.concatenate(steps)))
-            known.clear()
-            docs.clear()
-            for t in trained:
-                t.clear()
+                    doc_id, held_out, n_tokens, ids = map(list, zip(*docs[lo : lo + ROW_DOCS]))
+                    yield row(block=block, doc_id=doc_id, held_out=held_out, n_tokens=n_tokens, ids=packed(np.concatenate(ids).astype(np.uint32)))
+                codes, sums = string_counts(texts, np.array(kinds), classes, depth)
+                for lo in range(0, len(codes), ROW_STRINGS):
+                    own = codes[lo : lo + ROW_STRINGS]
+                    yield row(block=block, n_strings=len(own), codes=packed(np.diff(own, prepend=0)), sums=packed(sums[lo : lo + ROW_STRINGS].astype(np.uint32)))
+            for held in (known, docs, texts, kinds):
+                held.clear()
             block, tokens = block + 1, 0
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 for doc, text, held, kind in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "held_out", "kind"))):
-                    words = text.encode().lower().split() if text else []  # bytes: only A-Z change, only 0x09-0x0D and blanks separate
-                    words.append(END)
+                    words = spelled(text)
                     new = known.setdefault
-                    ids = np.array([new(w, len(known)) for w in words], np.int64)
-                    ids.sort()
-                    if not held:
-                        trained[kind].append(ids.astype(np.int32))
-                    docs.append((doc, held, len(ids), np.diff(ids, prepend=0).astype(np.uint32)))
+                    ids = np.array([new(w, len(known)) for w in words], np.int32)
+                    docs.append((doc, held, len(ids), ids))
+                    texts.append(b" ".join(words))
+                    kinds.append(-1 if held else kind)
                     tokens += len(ids)
                     if len(known) > BLOCK_WORDS or tokens > BLOCK_TOKENS:
                         yield from flush()
@@ -262,83 +329,68 @@ def _deal_words(classes: int, parts: int):
 
 
 def _merge_words(classes: int):
-    """One part: its distinct words and their counts; and for each block its local ids with the words' places."""
+    """One part: its distinct words' training counts; and for each block its local ids with the words' places."""
 
     def run(table: pa.Table) -> pa.Table:
         known: dict[bytes, int] = {}
-        places, sums = [], np.zeros((0, classes), np.int64)
+        places, sums = [], np.zeros(0, np.int64)
         for words, trained in zip(table.column("words"), table.column("trained")):
             at = np.array([known.setdefault(w, len(known)) for w in words.values.to_pylist()], np.int64)
             if len(known) > len(sums):
-                sums = np.concatenate([sums, np.zeros((max(len(known) - len(sums), len(sums)), classes), np.int64)])
-            sums[at] += unpacked(trained.as_py(), np.uint32).reshape(-1, classes)  # a block has each word once
-            places.append(packed(at.astype(np.uint32)))
+                sums = np.concatenate([sums, np.zeros(max(len(known) - len(sums), len(sums)), np.int64)])
+            sums[at] += unpacked(trained.as_py(), np.uint32).reshape(-1, classes).sum(axis=1, dtype=np.int64)  # a row has each word once
+            places.append(at)
         return pa.table({
-            "part": table.column("part")[:1], "words": pa.array([list(known)], pa.list_(pa.binary())), "counts": pa.array([packed(sums[: len(known)])]),
-            "tokens": pa.array([int(sums.sum())]), "types": pa.array([int((sums.sum(axis=1) > 0).sum())]),
-            "blocks": pa.array([table.column("block").to_pylist()]), "ids": pa.array([table.column("ids").to_pylist()], pa.list_(pa.binary())), "places": pa.array([places], pa.list_(pa.binary())),
+            "part": pa.array(table.column("part").to_pylist(), pa.int64()), "tokens": pa.array([int(sums[: len(known)].sum())] + [0] * (len(places) - 1)), "types": pa.array([int((sums[: len(known)] > 0).sum())] + [0] * (len(places) - 1)),
+            "of_block": table.column("block"), "ids": table.column("ids"), "counts": pa.array([packed(sums[at]) for at in places], pa.binary()),
         })
 
     return run
 
 
-def distinct_strings(words: list[bytes], counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct strings of words, and their counts by class; a slice of the words at a time."""
-    codes, sums = np.zeros(0, np.int64), np.zeros((0, counts.shape[1]), np.int64)
-    for lo in range(0, len(words), 60_000):
-        own, word = strings_of(words[lo : lo + 60_000], depth)
-        found, at = np.unique(own, return_inverse=True)
-        new = np.stack([np.bincount(at, weights=counts[lo + word, k], minlength=len(found)) for k in range(counts.shape[1])], axis=1).astype(np.int64)
-        both, at = np.unique(np.concatenate([codes, found]), return_inverse=True)
-        merged = np.zeros((len(both), counts.shape[1]), np.int64)
-        merged[at[: len(codes)]] += sums
-        merged[at[len(codes) :]] += new
-        codes, sums = both, merged
-    return codes, sums
-
-
 def share_of(codes: np.ndarray, shares: int) -> np.ndarray:
     """The share of the tree that a string belongs to, by its last two context bytes."""
     return (mix64((codes >> 8) & 0xFFFF) % np.uint64(shares)).astype(np.int64)
 
 
-def _count_strings(classes: int, depth: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, words, counts in zip(batch.column("part").to_pylist(), batch.column("words"), batch.column("counts")):
-                codes, sums = distinct_strings(words.values.to_pylist(), unpacked(counts.as_py(), np.int64).reshape(-1, classes), depth)
-                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([len(codes)]), pa.array([packed(np.diff(codes, prepend=0))]), pa.array([packed(sums)])], ["part", "n", "codes", "sums"])
-
-    return run
-
+def _deal_strings(classes: int, shares: int, with_sums: bool):
+    """Rows of a block's strings by share: a row for each share that has any."""
 
-def _deal_strings(classes: int, shares: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, codes, sums in zip(*(batch.column(c).to_pylist() for c in ("part", "codes", "sums"))):
-                codes, sums = np.cumsum(unpacked(codes, np.int64)), unpacked(sums, np.int64).reshape(-1, classes)
+            for block, codes, sums in zip(batch.column("block").to_pylist(), batch.column("codes"), batch.column("sums")):
+                codes = np.cumsum(unpacked(codes.as_py(), np.int64))
+                sums = unpacked(sums.as_py(), np.uint32).reshape(-1, classes) if with_sums else None
                 share = share_of(codes, shares)
                 order = np.argsort(share, kind="stable")
                 found, starts = np.unique(share[order], return_index=True)
                 for q, own in zip(found.tolist(), np.split(order, starts[1:])):
-                    yield pa.RecordBatch.from_arrays([pa.array([q]), pa.array([part]), pa.array([packed(np.diff(codes[own], prepend=0))]), pa.array([packed(sums[own])])], ["share", "part", "codes", "sums"])
+                    yield pa.RecordBatch.from_arrays([pa.array([q]), pa.array([block]), pa.array([packed(np.diff(codes[own], prepend=0))]), pa.array([packed(sums[own]) if with_sums else None], pa.binary())], ["share", "block", "codes", "sums"])
 
     return run
 
 
-def _share(table: pa.Table, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct strings of a share and their counts over all parts."""
-    codes = np.concatenate([np.cumsum(unpacked(b.as_py(), np.int64)) for b in table.column("codes")])
-    sums = np.concatenate([unpacked(b.as_py(), np.int64) for b in table.column("sums")]).reshape(-1, classes)
-    found, at = np.unique(codes, return_inverse=True)
-    return found, np.stack([np.bincount(at, weights=sums[:, k], minlength=len(found)) for k in range(classes)])
+def _merge_strings(classes: int, kind: type):
+    """Strings of a share, summed over what a group of blocks, or all groups, have of it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        codes, sums = merged([(np.cumsum(unpacked(c.as_py(), np.int64)), unpacked(n.as_py(), kind).reshape(-1, classes)) for c, n in zip(table.column("codes"), table.column("sums"))])
+        return pa.table({"share": table.column("share")[:1], "codes": pa.array([packed(np.diff(codes, prepend=0))]), "sums": pa.array([packed(sums)])})
+
+    return run
+
+
+def _strings(table: pa.Table, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """A share's strings and their counts by class."""
+    codes, sums = (table.column(c)[0].as_py() for c in ("codes", "sums"))
+    return np.cumsum(unpacked(codes, np.int64)), unpacked(sums, np.int64).reshape(-1, classes).T
 
 
 def _low_sums(classes: int, depth: int):
     """Depth-2 nodes of a share, summed by class, last byte and bits so far."""
 
     def run(table: pa.Table) -> pa.Table:
-        codes, counts = _share(table, classes)
+        codes, counts = _strings(table, classes)
         out = []
         for k in range(classes):
             tree = levels(codes, counts[k], 2, depth)
@@ -352,103 +404,118 @@ def _low_sums(classes: int, depth: int):
 
 
 def _string_scores(classes: int, depth: int, shared):
-    """For each part that uses a share's strings: their log probabilities by class, in the order of the part's strings in the share."""
+    """A share's strings with their log probabilities by class."""
 
     def run(table: pa.Table) -> pa.Table:
-        codes, counts = _share(table, classes)
-        logs = np.stack([log_probabilities(levels(codes, counts[k], 2, depth), shared.value[k]) for k in range(classes)], axis=1).astype(np.float32)
-        own = [np.cumsum(unpacked(b.as_py(), np.int64)) for b in table.column("codes")]
-        return pa.table({"to_part": table.column("part"), "of_share": table.column("share"), "logs": pa.array([packed(logs[np.searchsorted(codes, c)]) for c in own], pa.binary())})
+        codes, counts = _strings(table, classes)
+        logs = np.stack([log_probabilities(levels(codes, counts[k], 2, depth), shared.value[k]) for k in range(classes)], axis=1)
+        return pa.table({"share": table.column("share"), "all_codes": table.column("codes"), "logs": pa.array([packed(shortened(logs))])})
 
     return run
 
 
-def _word_scores(classes: int, depth: int, shares: int):
-    """For each block that uses a part's words: local ids, training counts and log probabilities by class."""
-
-    def run(part: pa.Table, strings: pa.Table) -> pa.Table:
-        words = part.column("words").combine_chunks().values.to_pylist()
-        counts = unpacked(part.column("counts")[0].as_py(), np.int64).reshape(-1, classes)
-        codes, _ = distinct_strings(words, counts, depth)
-        share, logs = share_of(codes, shares), np.zeros((len(codes), classes))
-        for q, blob in zip(strings.column("of_share").to_pylist(), strings.column("logs")):
-            logs[share == q] = unpacked(blob.as_py(), np.float32).reshape(-1, classes)
-        scores = np.zeros((len(words), classes), np.float32)
-        for lo in range(0, len(words), 60_000):
-            own = words[lo : lo + 60_000]
-            found, word = strings_of(own, depth)
-            at = np.searchsorted(codes, found)
-            for k in range(classes):
-                scores[lo : lo + len(own), k] = np.bincount(word, weights=logs[at, k], minlength=len(own))
-        counts = counts.sum(axis=1)
-        out = {"of_block": part.column("blocks").combine_chunks().values, "ids": part.column("ids").combine_chunks().values, "counts": [], "scores": []}
-        for places in part.column("places").combine_chunks().values:
-            at = unpacked(places.as_py(), np.uint32)
-            out["counts"].append(packed(counts[at]))
-            out["scores"].append(packed(scores[at]))
-        return pa.table({k: v if isinstance(v, pa.Array) else pa.array(v, pa.binary()) for k, v in out.items()})
+def _to_blocks(classes: int):
+    """For each row of a block's strings in a share: their log probabilities, in the same order."""
+
+    def run(dealt: pa.Table, scored: pa.Table) -> pa.Table:
+        codes = np.cumsum(unpacked(scored.column("all_codes")[0].as_py(), np.int64))
+        logs = unpacked(scored.column("logs")[0].as_py(), np.float32).reshape(-1, classes)
+        own = [logs[np.searchsorted(codes, np.cumsum(unpacked(c.as_py(), np.int64)))] for c in dealt.column("codes")]
+        none = pa.nulls(len(own), pa.binary())
+        return pa.table({"of_block": dealt.column("block"), "ids": none, "counts": none, "codes": dealt.column("codes"), "logs": pa.array([packed(x) for x in own], pa.binary())})
 
     return run
 
 
-def _document_scores(total: tuple[int, int], prior: list[float]):
-    def run(block: pa.Table, words: pa.Table) -> pa.Table:
-        places = [np.cumsum(unpacked(ids.as_py(), np.uint32).astype(np.int64)) for ids in words.column("ids")]
-        n = 1 + max(int(at[-1]) for at in places)
-        c, logs = np.zeros(n), np.zeros((n, len(prior)), np.float32)
-        for at, counts, scores in zip(places, words.column("counts"), words.column("scores")):
-            c[at] = unpacked(counts.as_py(), np.int64)
-            logs[at] = unpacked(scores.as_py(), np.float32).reshape(-1, len(prior))
+_RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+
+
+def _document_scores(total: tuple[int, int], prior: list[float], depth: int):
+    def run(block: pa.Table, told: pa.Table) -> pa.Table:
+        own = block.filter(pc.is_valid(block.column("words")))
+        words = [w for _, part in sorted(zip(own.column("first_id").to_pylist(), own.column("words").to_pylist())) for w in part]
+        c = np.zeros(len(words), np.int64)
+        strings, logs = [np.zeros(0, np.int64)], [np.zeros((0, len(prior)), np.float32)]
+        for ids, counts, codes, values in zip(*(told.column(k) for k in ("ids", "counts", "codes", "logs"))):
+            if ids.is_valid:
+                c[np.cumsum(unpacked(ids.as_py(), np.uint32).astype(np.int64))] = unpacked(counts.as_py(), np.int64)
+            else:
+                strings.append(np.cumsum(unpacked(codes.as_py(), np.int64)))
+                logs.append(unpacked(values.as_py(), np.float32).reshape(-1, len(prior)))
+        strings, logs = np.concatenate(strings), np.concatenate(logs)
         base = np.log10((c + 1) / (total[0] + total[1] + 1))
         known = (c > 0).astype(np.int64)
-        rows = []
-        for blob, lengths in zip(block.column("ids"), block.column("n_tokens").to_pylist()):
-            for steps in np.split(unpacked(blob.as_py(), np.uint32).astype(np.int64), np.cumsum(lengths)[:-1]):
-                ids = np.cumsum(steps)
-                each = logs[ids].sum(axis=0, dtype=np.float64) + np.array(prior)
-                rows.append((int(known[ids].sum()), float(base[ids].sum()), float(np.logaddexp.reduce(each)) / math.log(10)))
-        n_known, base_score, scores = zip(*rows)
-        out = [*(block.column(k).combine_chunks().flatten() for k in ("doc_id", "held_out", "n_tokens")), pa.array(n_known, pa.int64()), pa.array([total[0]] * len(rows), pa.int64()), pa.array(base_score), pa.array(scores)]
-        return pa.table(out, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        docs = block.filter(pc.is_valid(block.column("ids")))
+        n_known, base_score, scores, lengths = [], [], [], []
+        for blob, n_tokens in zip(docs.column("ids"), docs.column("n_tokens").to_pylist()):
+            ids = unpacked(blob.as_py(), np.uint32).astype(np.int64)
+            starts = np.cumsum(n_tokens) - n_tokens
+            n_known.append(np.add.reduceat(known[ids], starts))
+            base_score.append(np.add.reduceat(base[ids], starts))
+            spelt = list(map(words.__getitem__, ids.tolist()))
+            texts = [b" ".join(spelt[a : a + n]) for a, n in zip(starts.tolist(), n_tokens)]
+            scores.append(np.logaddexp.reduce(lookup_sums(texts, strings, logs, depth) + np.array(prior), axis=1))
+            lengths += [len(t) for t in texts]
+        score = np.concatenate(scores)
+        out = [*(pa.concat_arrays(docs.column(k).chunks).flatten() for k in ("doc_id", "held_out", "n_tokens")), pa.array(np.concatenate(n_known)), pa.array([total[0]] * len(score), pa.int64()), pa.array(np.concatenate(base_score)), pa.array(score / math.log(10)), pa.array(-score / math.log(2) / np.array(lengths))]
+        return pa.table(out, [f.split()[0] for f in _RESULT.split(", ")])
 
     return run
 
 
 def score(docs: DataFrame, held_out: Column, label: str | None = None, depth: int = DEPTH) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the text's probability) of each row.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability) and bits_per_byte (its code
+    length) of each row.
 
-    label: a column that has the class of training rows; null labels are a class."""
+    label: a column that has the class of training rows; null labels are a class. depth: 2 to 6."""
+    if not 2 <= depth <= 6:
+        raise ValueError("a context has 2 to 6 bytes")
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"), (F.col(label) if label else F.lit("")).cast("string").alias("label"))
-    seen = rows.where(~F.col("held_out")).groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(CLASSES).collect()
+    labels = rows.where(~F.col("held_out")).groupBy("label").agg(F.count("*").alias("n"))
+    seen = labels.orderBy(F.desc("n"), "label").limit(CLASSES).collect()
     names = [r["label"] for r in seen]
     classes = max(1, len(names))
     numbers = [r["n"] + 1 for r in seen] or [1]
+    if classes == CLASSES:  # the last class takes all further labels
+        numbers[-1] = 1 + labels.agg(F.sum("n")).first()[0] - sum(r["n"] for r in seen[:-1])
     prior = [math.log(x / sum(numbers)) for x in numbers]
-    kind = F.lit(classes - 1)  # with as many labels as CLASSES or more, the last class takes all further ones
+    kind = F.lit(classes - 1)
     for k, name in reversed(list(enumerate(names[: classes - 1]))):
         kind = F.when(F.col("label").eqNullSafe(F.lit(name)), k).otherwise(kind)
 
-    schema = "block long, first_id long, n_words long, words array<binary>, trained binary, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, ids binary"
-    blocks = written(rows.select("doc_id", "text", "held_out", kind.alias("kind")).mapInArrow(_blocks(classes), schema), "blocks")
-    parts = 1 + (blocks.agg(F.sum("n_words")).first()[0] or 0) // PART_WORDS
+    blocks = written(rows.select("doc_id", "text", "held_out", kind.alias("kind")).mapInArrow(_blocks(classes, depth), _BLOCK), "blocks")
+    n_words, n_strings, n_blocks = blocks.agg(F.sum("n_words"), F.sum("n_strings"), F.countDistinct("block")).first()
+    parts, shares, groups = 1 + (n_words or 0) // PART_WORDS, 1 + (n_strings or 0) // PART_STRINGS, 1 + n_blocks // GROUP
+
+    # counts of words, summed by part and sent back to the blocks
     dealt = blocks.where("words is not null").select("block", "first_id", "words", "trained").mapInArrow(_deal_words(classes, parts), "part long, block long, words array<binary>, trained binary, ids binary")
-    schema = "part long, words array<binary>, counts binary, tokens long, types long, blocks array<long>, ids array<binary>, places array<binary>"
+    schema = "part long, tokens long, types long, of_block long, ids binary, counts binary"
     vocabulary = written(dealt.repartition(parts, "part").groupBy("part").applyInArrow(_merge_words(classes), schema), "vocabulary")
     sizes = vocabulary.agg(F.sum("tokens"), F.sum("types")).first()
     total = (int(sizes[0] or 0), int(sizes[1] or 0))
 
-    strings = written(vocabulary.select("part", "words", "counts").mapInArrow(_count_strings(classes, depth), "part long, n long, codes binary, sums binary"), "strings")
-    shares = 1 + (strings.agg(F.sum("n")).first()[0] or 0) // PART_STRINGS
-    tree = strings.select("part", "codes", "sums").mapInArrow(_deal_strings(classes, shares), "share long, part long, codes binary, sums binary").repartition(shares, "share").groupBy("share")
-    sums = tree.applyInArrow(_low_sums(classes, depth), "kind long, last long, node long, zeros double, ones double, below double").groupBy("kind", "last", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).collect()  # at most CLASSES * 256 * 255 rows
+    # counts of strings, merged by share in two steps; the tree; log probabilities, sent back to the blocks
+    strings = blocks.where("codes is not null").select("block", "codes", "sums")
+    group = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("long").alias("group")
+    schema = "share long, block long, codes binary, sums binary"
+    dealt = strings.mapInArrow(_deal_strings(classes, shares, True), schema).select("*", group).repartition(shares, "share", "group")
+    schema = "share long, codes binary, sums binary"
+    some = dealt.groupBy("share", "group").applyInArrow(_merge_strings(classes, np.uint32), schema)
+    tree = written(some.repartition(shares, "share").groupBy("share").applyInArrow(_merge_strings(classes, np.int64), schema), "tree")
+    sums = tree.groupBy("share").applyInArrow(_low_sums(classes, depth), "kind long, last long, node long, zeros double, ones double, below double").groupBy("kind", "last", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).collect()  # at most CLASSES * 256 * 255 rows
     top = spark.sparkContext.broadcast([top_levels({(r[1], r[2]): (r[3], r[4], r[5]) for r in sums if r[0] == k}) for k in range(classes)])
-    logs = tree.applyInArrow(_string_scores(classes, depth, top), "to_part long, of_share long, logs binary")
-
-    scored = vocabulary.select("part", "words", "counts", "blocks", "ids", "places").groupBy("part").cogroup(logs.groupBy("to_part")).applyInArrow(_word_scores(classes, depth, shares), "of_block long, ids binary, counts binary, scores binary")
-    result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.where("words is null").select("block", "doc_id", "held_out", "n_tokens", "ids").groupBy("block").cogroup(scored.groupBy("of_block")).applyInArrow(_document_scores(total, prior), result)
+    logs = written(tree.groupBy("share").applyInArrow(_string_scores(classes, depth, top), "share long, all_codes binary, logs binary"), "logs")
+    logs = logs.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    again = strings.mapInArrow(_deal_strings(classes, shares, False), "share long, block long, codes binary, sums binary").select("share", "block", "codes", group)
+    schema = "of_block long, ids binary, counts binary, codes binary, logs binary"
+    back = again.groupBy("share", "group").cogroup(logs.groupBy("share", "group")).applyInArrow(_to_blocks(classes), schema)
+
+    none = F.lit(None).cast("binary")
+    told = vocabulary.select("of_block", "ids", "counts", none.alias("codes"), none.alias("logs")).unionAll(back)
+    texts = blocks.where("codes is null").select("block", "first_id", "words", "doc_id", "held_out", "n_tokens", "ids")
+    return texts.groupBy("block").cogroup(told.groupBy("of_block")).applyInArrow(_document_scores(total, prior, depth), _RESULT)
 
 
 def op1_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:

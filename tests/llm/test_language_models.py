@@ -18,15 +18,15 @@ def tokens_of(text):
 class SlowTree:
     """Context-tree weighting, node by node: a context is a tuple of earlier bytes, the nearest first."""
 
-    def __init__(self, tokens, depth):
+    def __init__(self, texts, depth):
         self.depth, self.counts = depth, {}
-        for t in tokens:
+        for t in texts:
             for context, node, bit in self.steps(t):
                 for d in range(depth + 1):
                     self.counts.setdefault((context[:d], node), [0, 0])[bit] += 1
 
-    def steps(self, token):
-        data = token if token == b"\n" else token + b" "
+    def steps(self, text):
+        data = b" ".join(tokens_of(text))
         for k, byte in enumerate(data):
             context = tuple(([32] * self.depth + list(data[:k]))[::-1][: self.depth])
             node = 1
@@ -42,9 +42,9 @@ class SlowTree:
         below = sum(self.log_weighted(c, node) for c in {c for c, n in self.counts if n == node and len(c) == len(context) + 1 and c[:-1] == context})
         return math.log(0.5) + np.logaddexp(kt, below)
 
-    def log_p(self, token):
+    def log_p(self, text):
         total = 0.0
-        for context, node, bit in self.steps(token):
+        for context, node, bit in self.steps(text):
             p = None
             for d in range(self.depth, -1, -1):
                 c = self.counts.get((context[:d], node), (0, 0))
@@ -67,12 +67,12 @@ def brute_scores(rows, depth):
     count = {w: every.count(w) for w in set(every)}
     kinds = sorted({x for _, x in train}, key=str)
     share = {x: sum(k == x for _, k in train) + 1 for x in kinds}
-    trees = {x: SlowTree([w for t, k in train if k == x for w in tokens_of(t)], depth) for x in kinds}
+    trees = {x: SlowTree([t for t, k in train if k == x], depth) for x in kinds}
     out = []
     for d, t, _ in rows:
         words = tokens_of(t)
         base = sum(math.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in words)
-        each = [math.log(share[x] / sum(share.values())) + sum(trees[x].log_p(w) for w in words) for x in kinds]
+        each = [math.log(share[x] / sum(share.values())) + trees[x].log_p(t) for x in kinds]
         score = float(np.logaddexp.reduce(each)) / math.log(10) if each else None
         out.append((str(d), held(d), len(words), sum(w in count for w in words), n, round(base, 6), round(score, 3)))
     return sorted(out)
@@ -95,21 +95,35 @@ def test_small_parts_change_nothing(spark, monkeypatch):
     rows = [(k, prose(k, 30), "en" if k % 2 else "fr") for k in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     whole = got_scores(ctw.score(df, crc_mod("doc_id", 7) == 2, "lang"))
-    monkeypatch.setattr(ctw, "PART_WORDS", 50)
-    monkeypatch.setattr(ctw, "PART_STRINGS", 60)
+    for name, value in (("PART_WORDS", 50), ("PART_STRINGS", 200), ("BLOCK_TOKENS", 100), ("ROW_DOCS", 2), ("ROW_STRINGS", 90), ("GROUP", 2), ("CHUNK", 300)):
+        monkeypatch.setattr(ctw, name, value)
     parts = got_scores(ctw.score(df, crc_mod("doc_id", 7) == 2, "lang"))
     assert [w[:6] for w in whole] == [p[:6] for p in parts] and max(abs(w[6] - p[6]) for w, p in zip(whole, parts)) < 0.01
 
 
+def test_word_order_counts(spark):
+    """The same words in an order that training texts have, and in another, get different scores."""
+    rows = [(k, "alpha beta gamma delta " * 5, "en") for k in range(40)] + [(100, "alpha beta gamma delta", "en"), (101, "delta gamma beta alpha", "en")]
+    got = {r["doc_id"]: r for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id") >= 100, "lang").collect()}
+    assert got[100]["score"] > got[101]["score"] + 1 and got[100]["base_score"] == got[101]["base_score"]
+    assert abs(got[100]["bits_per_byte"] * 24 + got[100]["score"] / math.log10(2)) < 1e-6
+
+
+def test_many_labels(spark):
+    """Labels beyond the last class share it, and its prior is theirs together."""
+    rows = [(k, f"w{k % 12} x", f"l{k % 12:02}") for k in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = ctw.score(df, F.lit(False), "lang", depth=2).collect()
+    assert len(got) == 240 and all(-20 < r["score"] < 0 for r in got)
+
+
 def test_probabilities_add_up():
     """Over all bytes that may follow a context."""
-    words = [b"ab", b"abc", b"b", b"\n", b"abab"]
-    codes, word = ctw.strings_of(words + [bytes([x]) for x in range(33, 256)] + [bytes([x]) for x in range(1, 9)], 2)
-    sums = np.bincount(np.unique(codes, return_inverse=True)[1], weights=np.where(word < len(words), 3.0, 0.0))
-    found = np.unique(codes)
-    logs = ctw.log_probabilities(ctw.levels(found, sums, 0, 2))
-    first = (found >> 8) == 0x2020
-    assert first.sum() > 200 and 0.9 < np.exp(logs[first]).sum() <= 1 + 1e-9
+    texts = [b"ab \n", b"abc b \n", b"abab \n"] * 3
+    codes, sums = ctw.string_counts(texts + [bytes([x]) for x in range(256)], np.array([0] * 9 + [-1] * 256), 1, 2)
+    logs = ctw.log_probabilities(ctw.levels(codes, sums[:, 0], 0, 2))
+    first = (codes >> 8) == 0x2020
+    assert first.sum() == 256 and abs(np.exp(logs[first]).sum() - 1) < 1e-9
 
 
 def test_log_gamma():
