@@ -44,9 +44,9 @@ from .common import crc_mod, mix64, packed, small_batches, table, unpacked, writ
 DEPTH = 6
 END = b"\n"
 #: Distinct words or tokens of a block, blocks' words of a part of the vocabulary, and blocks' strings of a share of the tree.
-BLOCK_WORDS, BLOCK_TOKENS, PART_WORDS, PART_STRINGS = 500_000, 5_000_000, 400_000, 600_000
+BLOCK_WORDS, BLOCK_TOKENS, PART_WORDS, PART_STRINGS = 400_000, 3_000_000, 400_000, 600_000
 #: Words, documents or strings that travel in one row; blocks whose strings are merged at a time; bytes of texts coded at a time.
-ROW_WORDS, ROW_DOCS, ROW_STRINGS, GROUP, CHUNK = 50_000, 500, 500_000, 64, 1 << 21
+ROW_WORDS, ROW_DOCS, ROW_STRINGS, GROUP, CHUNK = 50_000, 500, 500_000, 64, 1 << 20
 #: Classes with trees of their own; the least frequent labels beyond share the last one.
 CLASSES = 8
 LOG_HALF = math.log(0.5)
@@ -70,9 +70,23 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - shift
 
 
+def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
+
+
+#: Estimates of small counts, of which a tree has very many: looked up.
+_SMALL = 128
+_KT = _log_kt(*(x.ravel().astype(np.float64) for x in np.meshgrid(np.arange(_SMALL), np.arange(_SMALL), indexing="ij")))
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """ln of the Krichevsky-Trofimov probability of any sequence with so many zeros and ones."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
+    small = (zeros < _SMALL) & (ones < _SMALL)
+    at = np.where(small, zeros * _SMALL + ones, 0).astype(np.int32)
+    out = _KT[at]
+    large = np.flatnonzero(~small)
+    out[large] = _log_kt(zeros[large], ones[large])
+    return out
 
 
 # --- byte strings of texts ----------------------------------------------------------------------------------------
@@ -113,41 +127,74 @@ def lots(texts: list, size: int) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
+def runs(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal sorted keys begins."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+
+
 def merged(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Tables of strings and their counts by class as one, in order of strings."""
-    codes, at = np.unique(np.concatenate([c for c, _ in tables]), return_inverse=True)
-    sums = np.concatenate([n for _, n in tables])
-    return codes, np.stack([np.bincount(at, weights=sums[:, k], minlength=len(codes)) for k in range(sums.shape[1])], axis=1).astype(np.int64)
+    """Tables of numbers and rows of counts as one, in order of the numbers."""
+    keys = np.concatenate([c for c, _ in tables])
+    order = np.argsort(keys)
+    keys = keys[order]
+    sums, starts = np.concatenate([n for _, n in tables])[order], runs(keys)
+    return keys[starts], np.add.reduceat(sums, starts, axis=0) if len(keys) else sums
 
 
 def string_counts(texts: list[bytes], kinds: np.ndarray, classes: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct strings of the texts, and their counts by class; kinds: a class for each text, -1 for held-out ones."""
-    tables = []
-    order = np.argsort(kinds, kind="stable")
-    texts, kinds = [texts[k] for k in order], kinds[order]
-    for lo, hi in lots(texts, CHUNK):
+    marks = kinds & 15  # a string and its text's class are sorted as one number; 15 stands for no class
+    tables = [(np.zeros(0, np.int64), np.zeros((0, 1), np.uint32))]
+    for lo, hi in lots(texts, 4 * CHUNK):
         codes, lengths = strings_of(texts[lo:hi], depth)
-        coded = pa.array(codes).dictionary_encode()
-        at, n = coded.indices.to_numpy(), len(coded.dictionary)
-        ends = np.cumsum(lengths)
-        sums = np.zeros((n, classes), np.int64)
-        for kind in np.unique(kinds[lo:hi][kinds[lo:hi] >= 0]).tolist():  # texts of a class lie together
-            own = np.flatnonzero(kinds[lo:hi] == kind)
-            sums[:, kind] = np.bincount(at[ends[own[0]] - lengths[own[0]] : ends[own[-1]]], minlength=n)
-        tables.append((coded.dictionary.to_numpy(), sums))
-        if sum(len(c) for c, _ in tables[1:]) > len(tables[0][0]) + 1_000_000:
+        keys = np.sort((codes << 4) | np.repeat(marks[lo:hi], lengths))
+        starts = runs(keys)
+        tables.append((keys[starts], np.diff(starts, append=len(keys)).astype(np.uint32)[:, None]))
+        if sum(len(c) for c, _ in tables[1:]) > 3_000_000:
             tables = [merged(tables)]
-    return merged(tables) if tables else (np.zeros(0, np.int64), np.zeros((0, classes), np.int64))
-
-
-def lookup_sums(texts: list[bytes], codes: np.ndarray, logs: np.ndarray, depth: int) -> np.ndarray:
-    """For each text the sum, by class, of its strings' logs; codes: all strings, logs: a row for each."""
-    known = pa.array(codes)
-    found = [np.zeros((0, logs.shape[1]))]
+    keys, counts = merged(tables)
+    codes, kind = keys >> 4, keys & 15
+    starts = runs(codes)
+    sums = np.zeros((len(starts), classes), np.uint32)
+    at = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(codes)))
+    own = kind < classes
+    sums[at[own], kind[own]] = counts[own, 0]
+    return codes[starts], sums
+
+
+class Places:
+    """Finds the places of strings in a table of distinct ones, all of which are there: in order of a hash's slots, `order` of the table."""
+
+    def __init__(self, codes: np.ndarray):
+        self.bits = max(4, (2 * len(codes)).bit_length())
+        slot = self.slot(codes)
+        self.order = np.argsort(slot, kind="stable")
+        self.codes = codes[self.order]
+        self.starts = np.cumsum(np.bincount(slot + 1, minlength=1 << self.bits)).astype(np.int32)
+
+    def slot(self, codes: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+        return (h >> np.uint64(64 - self.bits)).astype(np.int32)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        at = self.starts[self.slot(codes)]
+        left = np.flatnonzero(self.codes[at] != codes)
+        while len(left):
+            at[left] += 1
+            left = left[self.codes[at[left]] != codes[left]]
+        return at
+
+
+def lookup_sums(texts: list[bytes], places: Places, logs: list[np.ndarray], depth: int) -> np.ndarray:
+    """For each text the sum, by class, of its strings' logs; logs: for each class, in the order of places."""
+    found = [np.zeros((0, len(logs)))]
     for lo, hi in lots(texts, CHUNK):
         own, lengths = strings_of(texts[lo:hi], depth)
-        at = pc.index_in(pa.array(own), value_set=known).to_numpy()
-        found.append(np.add.reduceat(logs[at], np.cumsum(lengths) - lengths, axis=0, dtype=np.float64))
+        at, starts = places.of(own), np.cumsum(lengths) - lengths
+        found.append(np.stack([np.add.reduceat(x[at], starts, dtype=np.float64) for x in logs], axis=1))
     return np.concatenate(found)
 
 
@@ -374,7 +421,7 @@ def _merge_strings(classes: int, kind: type):
     """Strings of a share, summed over what a group of blocks, or all groups, have of it."""
 
     def run(table: pa.Table) -> pa.Table:
-        codes, sums = merged([(np.cumsum(unpacked(c.as_py(), np.int64)), unpacked(n.as_py(), kind).reshape(-1, classes)) for c, n in zip(table.column("codes"), table.column("sums"))])
+        codes, sums = merged([(np.cumsum(unpacked(c.as_py(), np.int64)), unpacked(n.as_py(), kind).reshape(-1, classes).astype(np.int64)) for c, n in zip(table.column("codes"), table.column("sums"))])
         return pa.table({"share": table.column("share")[:1], "codes": pa.array([packed(np.diff(codes, prepend=0))]), "sums": pa.array([packed(sums)])})
 
     return run
@@ -442,7 +489,8 @@ def _document_scores(total: tuple[int, int], prior: list[float], depth: int):
             else:
                 strings.append(np.cumsum(unpacked(codes.as_py(), np.int64)))
                 logs.append(unpacked(values.as_py(), np.float32).reshape(-1, len(prior)))
-        strings, logs = np.concatenate(strings), np.concatenate(logs)
+        places, logs = Places(np.concatenate(strings)), np.concatenate(logs)
+        logs = [logs[places.order, k] for k in range(len(prior))]
         base = np.log10((c + 1) / (total[0] + total[1] + 1))
         known = (c > 0).astype(np.int64)
         docs = block.filter(pc.is_valid(block.column("ids")))
@@ -454,7 +502,7 @@ def _document_scores(total: tuple[int, int], prior: list[float], depth: int):
             base_score.append(np.add.reduceat(base[ids], starts))
             spelt = list(map(words.__getitem__, ids.tolist()))
             texts = [b" ".join(spelt[a : a + n]) for a, n in zip(starts.tolist(), n_tokens)]
-            scores.append(np.logaddexp.reduce(lookup_sums(texts, strings, logs, depth) + np.array(prior), axis=1))
+            scores.append(np.logaddexp.reduce(lookup_sums(texts, places, logs, depth) + np.array(prior), axis=1))
             lengths += [len(t) for t in texts]
         score = np.concatenate(scores)
         out = [*(pa.concat_arrays(docs.column(k).chunks).flatten() for k in ("doc_id", "held_out", "n_tokens")), pa.array(np.concatenate(n_known)), pa.array([total[0]] * len(score), pa.int64()), pa.array(np.concatenate(base_score)), pa.array(score / math.log(10)), pa.array(-score / math.log(2) / np.array(lengths))]
