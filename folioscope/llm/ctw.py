@@ -21,7 +21,8 @@ over classes, weighted by their shares of the training texts: the class of a tex
 Between steps, what goes from one task to another is packed in one row, as arrays. Numbers of parts and shares follow the numbers of words and
 strings, so that a task holds about PART_WORDS local words or PART_STRINGS strings.
 
-Log probabilities of strings travel with 16 bits of mantissa (a relative error of a string's term of at most 1/130,000).
+Log probabilities of strings travel with 11 bits of mantissa: a string's term has a relative error of at most 1/4,096, a text's score far less,
+since the errors of its strings are independent.
 
 Nulls: a null text is empty (one token, the end); a null doc_id counts as the text '' where documents are dealt into training and
 held-out ones. Repeated rows count, and are scored, each. Without any training text all counts are 0 and each bit has probability 1/2.
@@ -43,8 +44,8 @@ from .common import crc_mod, mix64, packed, small_batches, table, unpacked, writ
 
 DEPTH = 6
 END = b"\n"
-#: Distinct words or tokens of a block, blocks' words of a part of the vocabulary, and blocks' strings of a share of the tree.
-BLOCK_WORDS, BLOCK_TOKENS, PART_WORDS, PART_STRINGS = 400_000, 3_000_000, 400_000, 600_000
+#: Tokens of a block, blocks' words of a part of the vocabulary, and blocks' strings of a share of the tree.
+BLOCK_TOKENS, PART_WORDS, PART_STRINGS = 3_000_000, 400_000, 600_000
 #: Words, documents or strings that travel in one row; blocks whose strings are merged at a time; bytes of texts coded at a time.
 ROW_WORDS, ROW_DOCS, ROW_STRINGS, GROUP, CHUNK = 50_000, 500, 500_000, 64, 1 << 20
 #: Classes with trees of their own; the least frequent labels beyond share the last one.
@@ -199,9 +200,9 @@ def lookup_sums(texts: list[bytes], places: Places, logs: list[np.ndarray], dept
 
 
 def shortened(logs: np.ndarray) -> np.ndarray:
-    """32-bit floats rounded to 16 bits of mantissa, which pack better."""
+    """32-bit floats rounded to 11 bits of mantissa, which pack better."""
     bits = logs.astype(np.float32).view(np.uint32)
-    return ((bits + np.uint32(0x40)) & np.uint32(0xFFFFFF80)).view(np.float32)
+    return ((bits + np.uint32(0x800)) & np.uint32(0xFFFFF000)).view(np.float32)
 
 
 # --- the weighted tree --------------------------------------------------------------------------------------------
@@ -312,7 +313,7 @@ def _blocks(classes: int, depth: int):
         fields = [f.split() for f in _BLOCK.split(", ")]
         row = lambda **values: pa.RecordBatch.from_arrays([pa.array([values.get(n)], kinds_of[k]) for n, k in fields], [n for n, _ in fields])
         block = TaskContext.get().partitionId() << 32
-        known: dict[bytes, int] = {}
+        spelt: list[pa.Array] = []  # words of the block's documents
         docs: list[tuple] = []
         texts: list[bytes] = []
         kinds: list[int] = []
@@ -321,36 +322,36 @@ def _blocks(classes: int, depth: int):
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal block, tokens
             if docs:
-                trained = [[d[3] for d, k in zip(docs, kinds) if k == kind] for kind in range(classes)]
-                counts = np.stack([np.bincount(np.concatenate(t), minlength=len(known)) if t else np.zeros(len(known), np.int64) for t in trained], axis=1)
-                words, counts = list(known), counts.astype(np.uint32)
+                coded = pa.chunked_array(spelt).unify_dictionaries()
+                words, ids = coded.chunk(0).dictionary.to_pylist(), np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+                held = np.repeat(np.array(kinds), [d[2] for d in docs])
+                counts = np.stack([np.bincount(ids[held == kind], minlength=len(words)) for kind in range(classes)], axis=1).astype(np.uint32)
+                starts = np.concatenate([[0], np.cumsum([d[2] for d in docs])])
                 for lo in range(0, len(words), ROW_WORDS):
                     own = words[lo : lo + ROW_WORDS]
                     yield row(block=block, first_id=lo, n_words=len(own), words=own, trained=packed(counts[lo : lo + ROW_WORDS]))
                 for lo in range(0, len(docs), ROW_DOCS):
-                    doc_id, held_out, n_tokens, ids = map(list, zip(*docs[lo : lo + ROW_DOCS]))
-                    yield row(block=block, doc_id=doc_id, held_out=held_out, n_tokens=n_tokens, ids=packed(np.concatenate(ids).astype(np.uint32)))
+                    doc_id, held_out, n_tokens = map(list, zip(*docs[lo : lo + ROW_DOCS]))
+                    yield row(block=block, doc_id=doc_id, held_out=held_out, n_tokens=n_tokens, ids=packed(ids[starts[lo] : starts[lo + len(doc_id)]].astype(np.uint32)))
                 codes, sums = string_counts(texts, np.array(kinds), classes, depth)
                 for lo in range(0, len(codes), ROW_STRINGS):
                     own = codes[lo : lo + ROW_STRINGS]
                     yield row(block=block, n_strings=len(own), codes=packed(np.diff(own, prepend=0)), sums=packed(sums[lo : lo + ROW_STRINGS].astype(np.uint32)))
-            for held in (known, docs, texts, kinds):
-                held.clear()
+            for x in (spelt, docs, texts, kinds):
+                x.clear()
             block, tokens = block + 1, 0
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                for doc, text, held, kind in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "held_out", "kind"))):
-                    words = spelled(text)
-                    new = known.setdefault
-                    ids = np.array([new(w, len(known)) for w in words], np.int32)
-                    docs.append((doc, held, len(ids), ids))
-                    texts.append(b" ".join(words))
-                    kinds.append(-1 if held else kind)
-                    tokens += len(ids)
-                    if len(known) > BLOCK_WORDS or tokens > BLOCK_TOKENS:
-                        yield from flush()
+                lot = [spelled(t) for t in part.column("text").to_pylist()]
+                spelt.append(pa.array([w for words in lot for w in words], pa.binary()).dictionary_encode())
+                docs += zip(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), map(len, lot))
+                texts += [b" ".join(words) for words in lot]
+                kinds += [-1 if h else k for h, k in zip(part.column("held_out").to_pylist(), part.column("kind").to_pylist())]
+                tokens += sum(map(len, lot))
+                if tokens > BLOCK_TOKENS:
+                    yield from flush()
         yield from flush()
 
     return run
@@ -379,16 +380,14 @@ def _merge_words(classes: int):
     """One part: its distinct words' training counts; and for each block its local ids with the words' places."""
 
     def run(table: pa.Table) -> pa.Table:
-        known: dict[bytes, int] = {}
-        places, sums = [], np.zeros(0, np.int64)
-        for words, trained in zip(table.column("words"), table.column("trained")):
-            at = np.array([known.setdefault(w, len(known)) for w in words.values.to_pylist()], np.int64)
-            if len(known) > len(sums):
-                sums = np.concatenate([sums, np.zeros(max(len(known) - len(sums), len(sums)), np.int64)])
-            sums[at] += unpacked(trained.as_py(), np.uint32).reshape(-1, classes).sum(axis=1, dtype=np.int64)  # a row has each word once
-            places.append(at)
+        own = table.column("words").combine_chunks()
+        rows = np.diff(own.offsets.to_numpy())
+        at = own.flatten().dictionary_encode().indices.to_numpy()
+        trained = [unpacked(t.as_py(), np.uint32).reshape(-1, classes).sum(axis=1, dtype=np.int64) for t in table.column("trained")]
+        sums = np.bincount(at, weights=np.concatenate(trained)).astype(np.int64)
+        places = np.split(at, np.cumsum(rows)[:-1])
         return pa.table({
-            "part": pa.array(table.column("part").to_pylist(), pa.int64()), "tokens": pa.array([int(sums[: len(known)].sum())] + [0] * (len(places) - 1)), "types": pa.array([int((sums[: len(known)] > 0).sum())] + [0] * (len(places) - 1)),
+            "part": pa.array(table.column("part").to_pylist(), pa.int64()), "tokens": pa.array([int(sums.sum())] + [0] * (len(places) - 1)), "types": pa.array([int((sums > 0).sum())] + [0] * (len(places) - 1)),
             "of_block": table.column("block"), "ids": table.column("ids"), "counts": pa.array([packed(sums[at]) for at in places], pa.binary()),
         })
 
