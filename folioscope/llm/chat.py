@@ -5,9 +5,10 @@ and comparing it with the prefix before locates each turn's span: what the new o
 k turns doesn't begin with its output for k-1 turns rewrites history; that is reported, and the spans are then of the
 final rendering as far as they can be told.
 
-Rendering every prefix costs the square of a conversation's length. Past `window` turns the added text is found by
-rendering the last `window` turns with and without the newest; the pieces are then compared with one full rendering, and
-if they differ, all prefixes are rendered after all. So results never depend on the window.
+Rendering every prefix costs the square of a conversation's length. A template may declare, by an attribute `window`, that what a turn
+adds depends on so many turns at the end only, itself included; past them the added text is found by rendering these turns with and
+without the newest, the pieces are compared with one full rendering, and if they differ, all prefixes are rendered after all. For a
+template that declares nothing every prefix is rendered, whatever it costs.
 
 The template here (`Marked`) writes `<|turn|>role\\ntext<|end|>\\n`. Control strings inside roles and texts, and the escape
 character itself, are escaped reversibly, so that no text can end its turn or open another. Formatted output is parsed
@@ -35,7 +36,6 @@ from pyspark.sql import functions as F
 from .common import table
 
 Turn = tuple[str, str]
-WINDOW = 48
 #: Strings with which a text could pass for markup, of this template and of common others.
 CONTROLS = ("<|turn|>", "<|end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 ESCAPE = "\\"
@@ -54,6 +54,7 @@ class Marked:
     turn: str = "<|turn|>"
     end: str = "<|end|>"
     controls: tuple[str, ...] = CONTROLS
+    window: int = 2  # a turn's output depends on the turn alone
     _codes: dict[str, str] = field(default_factory=dict, compare=False, repr=False)
 
     def __post_init__(self) -> None:
@@ -104,9 +105,10 @@ def _every_prefix(template: Callable[[list[Turn]], str], turns: list[Turn]) -> R
     return Rendered(before, spans, rewrites)
 
 
-def render(template: Callable[[list[Turn]], str], turns: list[Turn], window: int = WINDOW) -> Rendered:
+def render(template: Callable[[list[Turn]], str], turns: list[Turn]) -> Rendered:
     """The whole output and each turn's span, by comparing the outputs of successive prefixes."""
-    if len(turns) <= window:
+    window = getattr(template, "window", None)
+    if window is None or len(turns) <= window:
         return _every_prefix(template, turns)
     head = _every_prefix(template, turns[:window])
     if head.rewrites:
@@ -131,7 +133,7 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | No
         yield conv, [(role or "", text or "") for _, role, text in own]
 
 
-def _format(template: Callable[[list[Turn]], str], window: int):
+def _format(template: Callable[[list[Turn]], str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
@@ -144,7 +146,7 @@ def _format(template: Callable[[list[Turn]], str], window: int):
             return out
 
         for conv, turns in _conversations(batches):
-            got = render(template, turns, window)
+            got = render(template, turns)
             rows.append((conv, got.text, [a for a, _ in got.spans], [b for _, b in got.spans], got.rewrites))
             size += len(got.text)
             if size > 4_000_000:
@@ -155,11 +157,11 @@ def _format(template: Callable[[list[Turn]], str], window: int):
     return run
 
 
-def format_chats(conversations: DataFrame, template: Callable[[list[Turn]], str] | None = None, window: int = WINDOW) -> DataFrame:
+def format_chats(conversations: DataFrame, template: Callable[[list[Turn]], str] | None = None) -> DataFrame:
     """conv_id, formatted, starts and ends (code points) of each turn's span, rewrites."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
-    return rows.mapInArrow(_format(template or Marked(), window), "conv_id long, formatted string, starts array<long>, ends array<long>, rewrites boolean")
+    return rows.mapInArrow(_format(template or Marked()), "conv_id long, formatted string, starts array<long>, ends array<long>, rewrites boolean")
 
 
 def _digest(template: Marked):
@@ -167,27 +169,27 @@ def _digest(template: Marked):
         kinds = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("rewrites", pa.bool_())]
         for batch in batches:
             rows = []
-            for conv, text, ends, rewrites in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "ends", "rewrites"))):
-                parsed = template.parse(text)
-                if [e + len(template.end) + 1 for _, _, e in parsed] != ends:
-                    raise ValueError("spans and output differ")
+            for conv, text, starts, ends, rewrites in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "starts", "ends", "rewrites"))):
+                if [0, *ends] != [*starts, len(text)]:
+                    raise ValueError("spans don't cover the output")
                 turns, loss, loss_chars = hashlib.sha256(), hashlib.sha256(), 0
-                for role, start, end in parsed:
-                    own = template.unescape(text[start:end])
+                for a, b in zip(starts, ends):  # each span is a turn by itself
+                    ((role, start, end),) = template.parse(text[a:b])
+                    own = template.unescape(text[a + start : a + end])
                     turns.update(f"{role}\n{own}\n".encode())
                     if role == "assistant":
                         loss.update(own.encode())
                         loss_chars += len(own)
-                rows.append((conv, len(parsed), turns.hexdigest(), loss_chars, loss.hexdigest(), len(text), rewrites))
+                rows.append((conv, len(ends), turns.hexdigest(), loss_chars, loss.hexdigest(), len(text), rewrites))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows) if rows else [[]] * 7, kinds)], [n for n, _ in kinds])
 
     return run
 
 
 def digests(formatted: DataFrame, template: Marked | None = None) -> DataFrame:
-    """What the formatted output says when it is parsed: numbers of turns and characters, and digests of all turns and of the loss mask."""
+    """What the formatted output says when each turn's span is parsed: numbers of turns and characters, and digests of all turns and of the loss mask."""
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean"
-    return formatted.select("conv_id", "formatted", "ends", "rewrites").mapInArrow(_digest(template or Marked()), schema)
+    return formatted.select("conv_id", "formatted", "starts", "ends", "rewrites").mapInArrow(_digest(template or Marked()), schema)
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The size of df by the optimizer's estimate, which for files is that of the files; 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo n; null counts as ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
@@ -106,6 +112,10 @@ class ByteBpe:
         self._find = re.compile("|".join(map(re.escape, special))) if special else None
         self._encoding = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
+    def ordinary(self, text: str) -> list[int]:
+        """Ids of a text whose special tokens' strings are text like other."""
+        return self._encoding.encode_ordinary(text)
+
     def ids(self, text: str) -> list[int]:
         if self._find and self._find.search(text):
             return self._encoding.encode(text, allowed_special=set(self.special), disallowed_special=())

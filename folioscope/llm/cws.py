@@ -1,11 +1,14 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame operations only.
 
-A document's terms are its pairs of neighbouring words (the last word with nothing), weighted by their counts. A count is a whole
-number, so a term of weight w is w numbered copies, and for each of `slots` samples every copy gets a uniform variate from its
-hash; the copy with the smallest one is the sample. A copy number is drawn from the same variates whatever the weight, so two
-documents draw the same copy of the same term with a probability equal to the generalised Jaccard similarity of their weights,
-as with the gamma variates that real weights need, but without their logarithms. The smallest variate itself stands for (term,
-copy): its 16-bit hash is a slot of the fingerprint, and likeness is the share of equal slots. Copies are as many as words.
+A document's terms are its pairs of neighbouring words (the last word with nothing), weighted by their counts S. For each of `slots`
+samples every term has variates of its own, from a hash of term and slot: r and c of the Gamma(2, 1) distribution and b, uniform. Then
+t = floor(ln S / r + b), ln y = r (t - b), and the term with the smallest ln a = ln c - ln y - r is the sample, together with t. Two
+documents draw the same (term, t) with a probability equal to the generalised Jaccard similarity of their weights. The smallest ln a
+itself stands for (term, t), of which it is made: its 16-bit hash is a slot of the fingerprint, and likeness is the share of equal
+slots.
+
+Gamma variates are looked up: 14 bits of the hash choose one of the distribution's quantiles for r, 12 bits one for c, and 38 bits
+are b, which is what keeps the smallest values apart.
 
 The edited text of a document (its second half replaced by the beginning of the next document by ascending doc_id) is
 fingerprinted beside it. Next documents come from ranges of doc_id: one shuffle of the texts brings a range together, and
@@ -19,23 +22,40 @@ Very long texts are one row like others. An empty table gives no rows. Other col
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, range_buckets, table, written
+from .common import SPACE, plan_bytes, range_buckets, table, written
 
 SLOTS = 128
+#: Bytes of the documents, as the plan estimates them, that a partition of ranges takes.
+PARTITION_BYTES = 128_000_000
 #: Samples that a row is asked for at a time: columns of one aggregation, few enough for compiled code.
-PART = 32
+PART = 8
+
+
+def gamma_quantiles(bits: int) -> np.ndarray:
+    """Quantiles of the Gamma(2, 1) distribution, whose distribution function is 1 - (1 + x) exp(-x), in the middles of 2 ** bits equal shares."""
+    p = (np.arange(1 << bits) + 0.5) / (1 << bits)
+    x = np.ones(len(p))
+    low, high = np.zeros(len(p)), np.full(len(p), 200.0)
+    for _ in range(80):
+        x = (low + high) / 2
+        less = 1 - (1 + x) * np.exp(-x) < p
+        low, high = np.where(less, x, low), np.where(less, high, x)
+    return x
 
 
-def sample_value(h: Column, slot: int) -> Column:
-    """What is minimised over a document's copies of terms for one slot: half of a 64-bit hash of the copy's hash."""
-    g = F.xxhash64(h, F.lit(slot // 2))
-    return F.shiftrightunsigned(g, 32) if slot % 2 else g.bitwiseAND(F.lit(0xFFFFFFFF))
+def sample_value(g: Column, r: Column, log_c: Column, log_weight: Column) -> Column:
+    """ln a of a term for one slot, whose variates come from the hash g. A weight of 1 has t = 0."""
+    b = g.bitwiseAND(F.lit((1 << 38) - 1)) * F.lit(2.0**-38)
+    t = F.when(log_weight == 0, F.lit(0.0)).otherwise(F.floor(log_weight / r + b).cast("double"))
+    return log_c - r * (t - b + F.lit(1.0))
 
 
 def terms_of(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -51,11 +71,15 @@ def fingerprints(rows: DataFrame, keys: list[str], text: str, slots: int = SLOTS
     if slots % PART:
         raise ValueError(f"slots come in {PART}s")
     parts = slots // PART
-    terms = terms_of(rows, keys, text)
-    # each copy comes once for each part of the slots; its number is part of its hash
-    copies = terms.select(*keys, "term", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") * parts - 1)).alias("copy"))
-    copies = copies.select(*keys, "term", (F.col("copy") % parts).cast("int").alias("part"), F.xxhash64("term", "copy").alias("h"))
-    values = copies.groupBy(*keys, "part").agg(F.count("term").alias("n_terms"), *[F.min(sample_value(F.col("h"), k)).alias(f"s{k}") for k in range(PART)])
+    terms = terms_of(rows, keys, text).select(*keys, "term", F.when(F.col("n") == 1, F.lit(0.0)).otherwise(F.log("n")).alias("w"))
+    tables = [F.from_json(F.lit(json.dumps(x.tolist())), "array<double>").alias(name) for name, x in (("gamma", gamma_quantiles(14)), ("log_gamma", np.log(gamma_quantiles(12))))]
+    # each term comes once for each part of the slots; steps of their own, so that nothing is worked out twice. Slots are 64-bit numbers:
+    # the hash mixes those of 32 bits too little, and the samples would depend on each other
+    parted = terms.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), *tables)
+    of = [*keys, "part", "term", "w"]
+    hashes = parted.select(*of, "gamma", "log_gamma", *[F.xxhash64("term", (F.col("part") * PART + k).cast("long")).alias(f"g{k}") for k in range(PART)])
+    drawn = hashes.select(*of, *[c for k in range(PART) for c in (f"g{k}", F.get("gamma", F.shiftrightunsigned(f"g{k}", 50).cast("int")).alias(f"r{k}"), F.get("log_gamma", F.shiftrightunsigned(f"g{k}", 38).bitwiseAND(F.lit(4095)).cast("int")).alias(f"c{k}"))])
+    values = drawn.groupBy(*keys, "part").agg(F.count("term").alias("n_terms"), *[F.min(sample_value(F.col(f"g{k}"), F.col(f"r{k}"), F.col(f"c{k}"), F.col("w"))).alias(f"s{k}") for k in range(PART)])
     values = values.select(*keys, F.struct("part", F.when(F.col("n_terms") > 0, packed_slots()).otherwise(F.array_repeat(F.lit(0).cast("long"), PART // 4)).alias("own")).alias("p"))
     return values.groupBy(*keys).agg(F.flatten(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["own"])).alias("print"))
 
@@ -100,7 +124,7 @@ def edited(text: Column, following: Column) -> Column:
 def fingerprint_documents(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
-    partitions = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), plan_bytes(docs) // PARTITION_BYTES)
     key = ["bucket", "row"]
     rows = with_next(docs, partitions).select(*key, "doc_id", "text", edited(F.col("text"), F.col("next_text")).alias("edited"))
     told = rows.select(*key, "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))

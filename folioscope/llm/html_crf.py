@@ -11,8 +11,9 @@ fixed set of them from a seed: many layouts, invented words.
 White space inside a block becomes one blank (a line break element counts as white space); character references are
 decoded; main blocks are joined by one line end in page order. Scripts, styles, comments and the like are no text.
 Nulls: null or empty html gives an empty text. Broken markup (elements not closed, stray end tags, a page cut off inside
-a tag; a head, noscript, svg, object, iframe or template without its end tag) is read as far as it goes. Repeated rows are extracted each. An empty table gives no rows; other columns are
-ignored.
+a tag; a head, noscript, svg, object, iframe or template without its end tag or closed in itself; a quote that isn't closed) is read as far as it
+goes. Repeated rows are extracted each. Of labellings that are equally likely, the one with fewer main blocks at the end is taken. A very
+long page is read as a whole. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from .common import table
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
+    # a quote that isn't closed before white space or the tag's end is an attribute's character: the tag ends at the next >
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*(?=>|\Z)|[^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
 #: Elements that are no text if they are closed; without an end tag only the tag itself is left out.
@@ -107,7 +109,7 @@ def blocks_of(html: str | None) -> list[Block]:
         if tag == "head":  # both of its tags may be missing; what it holds is no text of its own
             continue
         if tag in _WHOLE:
-            if not m["end"] and tag not in open_ended:
+            if not m["end"] and not m["attrs"].rstrip().endswith("/") and tag not in open_ended:
                 if end := _WHOLE[tag].search(html, at):
                     at = end.end()
                 else:
@@ -160,13 +162,13 @@ def _path_features(path: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[str,
 
 
 def features(block: Block, before: Block | None) -> list[str]:
-    text, low = block.text, block.text[:400].lower()
+    text, low = block.text, block.text.lower()
     n = text.count(" ") + 1
     size = min(n.bit_length(), 7)
     density = block.linked / max(1, len(text))
     out = list(_path_features(block.path))
     out += [f"words {size}", f"links {int(density * 3.99)}", f"stop {text[-1] in '.!?'}", "bias"]
-    out += [f"hint {h}" for h in HINTS if n < 60 and h in low]
+    out += [f"hint {h} {'short' if n < 60 else 'long'}" for h in HINTS if h in low]
     out.append(f"same {before is not None and before.path[:-1] == block.path[:-1]}")
     return out
 

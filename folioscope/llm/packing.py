@@ -4,7 +4,8 @@ Each document's token counts are hashed to a vector, projected to a few dimensio
 documents are range-sorted by that place, and each range is cut into sequences in one stream, so that neighbours share
 sequences. Documents are tokenised once; their ids travel as 16- or 32-bit binaries.
 
-Nulls: a null text is empty (its only id is the end id), a null doc_id stays null. Repeated rows are packed once each.
+Nulls: a null text is empty (its only id is the end id), a null doc_id stays null. Repeated rows are packed once each. A very long text is
+tokenised as a whole, and its row goes from sequence to sequence piece by piece.
 Ties on the curve are dealt by a hash of doc_id, so that a large group of copies is split over ranges. Only the id and
 text columns are read; others are ignored. An empty table gives no rows.
 """
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import encoder, mix64, table, written
 
 SIZE, DIMS, BITS, HASHED = 2048, 3, 8, 256
+#: Bytes of ids in a range of the curve, which a task sorts and cuts; with more than so many ranges, they grow instead (tasks sort on disk).
+RANGE_BYTES, MOST_RANGES = 16_000_000, 20_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -150,7 +153,9 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, end:
     """
     coded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encode(vocabulary, end, "doc_id", "text"), "doc_id long, place long, wide boolean, ids binary")
     coded = written(coded, "packing")
-    return coded.repartitionByRange("place").sortWithinPartitions("place", "doc_id").mapInArrow(_pack(size), PIECES)
+    size_of_all = coded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    ranges = 1 + size_of_all // max(RANGE_BYTES, size_of_all // MOST_RANGES)
+    return coded.repartitionByRange(ranges, "place").sortWithinPartitions("place", "doc_id").mapInArrow(_pack(size), PIECES)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

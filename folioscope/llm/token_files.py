@@ -5,13 +5,18 @@ where documents begin. Files are written through Spark's text sink: one row a do
 the end id's two bytes as the line separator. The scan cuts each file into blocks, searches each block for the end id
 with one vectorised comparison, and stitches documents that span blocks by a prefix scan of the blocks' last separators.
 
-Nulls: a null text is a document of no tokens. Equal or repeated rows are counted once each. An empty table gives no
-rows. Only the id and text columns are read. `docs` must be a plain scan of files: the ids of documents are found again
-by partition and row, and a scan that yields other rows raises an error.
+Texts are encoded without special tokens: the end id's own string inside a text is ordinary text and counts with the ids that it has as
+such. So each end id in a file is a separator.
+
+Nulls: a null text is a document of no tokens; a null doc_id stays null. Equal or repeated rows are counted once each. A very long text
+is one line of its file; files have a bounded number of rows, so that each has about FILE_BYTES / 2 bytes. An empty table gives no rows.
+Only the id and text columns are read. The ids of documents are found again by partition and row: `docs` that isn't a plain scan of files
+is written first, and where the numbers of rows differ an error is raised.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import encoder, fresh_path, table
+from .common import encoder, fresh_path, table, written
 
 END, BLOCK = 50_256, 1 << 19  # ids a block
+#: Bytes of texts that go to one token file (about half as many of ids): as many rows as have so many on average.
+FILE_BYTES = 256_000_000
 
 
 def _encode(vocabulary: str | None, end: int):
@@ -33,22 +40,20 @@ def _encode(vocabulary: str | None, end: int):
             for lo in range(0, len(texts), 1024):
                 lines = []
                 for t in texts.slice(lo, 1024).to_pylist():
-                    ids = np.array(bpe.ids(t) if t else [], np.uint32)
+                    ids = np.array(bpe.ordinary(t) if t else [], np.uint32)
                     if len(ids) and (ids.max() > 0xFFFF or (ids == end).any()):
-                        ids = ids[ids != end]  # the end id's own string inside a text is no token here
-                        if len(ids) and ids.max() > 0xFFFF:
-                            raise ValueError("ids over 16 bits")
+                        raise ValueError("ids over 16 bits, or the end id inside a text")
                     lines.append(ids.astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], ["line"])
 
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end: int = END, text_col: str = "text") -> None:
-    """One flat file for each partition of docs that has rows, its documents in order."""
+def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end: int = END, text_col: str = "text", rows: int = 0) -> None:
+    """Flat files for each partition of docs that has rows, its documents in order; `rows` of them in a file if that is given."""
     separator = int(end).to_bytes(2, "little").decode("latin-1")
     lines = docs.select(F.col(text_col).alias("text")).mapInArrow(_encode(vocabulary, end), "line binary")
-    lines.select(F.col("line").cast("string").alias("value")).write.option("lineSep", separator).option("encoding", "ISO-8859-1").text(path)
+    lines.select(F.col("line").cast("string").alias("value")).write.option("lineSep", separator).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", rows).text(path)
 
 
 def _scan(end: int, block: int):
@@ -87,16 +92,29 @@ def scan_token_files(spark: SparkSession, path: str, end: int = END, block: int
     return found.unionAll(left)
 
 
-def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, n_tokens, file (number of the token file), ordinal and start in it, for every row of docs."""
+def plain_scan(docs: DataFrame) -> bool:
+    """Whether docs yields the rows of files, each time in the same partitions and order."""
+    nodes = [re.match(r"[ :+|-]*(\w+)", line) for line in docs._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    return all(m and m[1] in ("Project", "Filter", "Relation") for m in nodes)
+
+
+def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """doc_id, n_tokens, file (number of the partition's token file), part (of that file), ordinal and start in it, for every row of docs."""
     spark = docs.sparkSession
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs if plain_scan(docs) else written(docs, "documents")
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    rows = max(1, file_bytes * n // size) if size else 0
     path = fresh_path(spark, "tokens")
-    write_token_files(docs, path, vocabulary, text_col=text_col)
-    found = scan_token_files(spark, path, block=block).select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("file"), "ordinal", "start", "n_tokens")
+    write_token_files(docs, path, vocabulary, rows=rows)
+    number = lambda pattern: F.regexp_extract("path", pattern, 1).cast("long")
+    found = scan_token_files(spark, path, block=block).select(number(r"part-(\d+)-").alias("file"), number(r"-c(\d+)\.[^/]*$").alias("part"), "ordinal", "start", "n_tokens")
     row = F.monotonically_increasing_id()
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.shiftright(row, 33).alias("file"), row.bitwiseAND((1 << 33) - 1).alias("ordinal"))
+    place = row.bitwiseAND((1 << 33) - 1)
+    each = F.lit(rows or 1 << 33).cast("long")
+    named = docs.select("doc_id", F.shiftright(row, 33).alias("file"), F.floor(place / each).alias("part"), (place % each).alias("ordinal"))
     sound = F.when(F.col("n_tokens").isNull() | F.col("has").isNull(), F.raise_error(F.lit("token files and documents differ"))).otherwise(F.col("n_tokens"))
-    return named.withColumn("has", F.lit(1)).join(found, ["file", "ordinal"], "full_outer").select("doc_id", sound.cast("long").alias("n_tokens"), "file", "ordinal", "start")
+    return named.withColumn("has", F.lit(1)).join(found, ["file", "part", "ordinal"], "full_outer").select("doc_id", sound.cast("long").alias("n_tokens"), "file", "part", "ordinal", "start")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,8 +43,8 @@ def test_texts_hold_no_control_string():
 
 def test_spans_of_a_template(spark):
     turns = [("user", str(k) * 3) for k in range(130)]
-    for window in (2, 48, 1000):
-        made = chat.render(chat.Marked(), turns, window)
+    for window in (2, 48, 1000, None):
+        made = chat.render(chat.Marked(window=window), turns)
         assert made.text == chat.Marked()(turns) and not made.rewrites
         assert "".join(made.text[a:b] for a, b in made.spans) == made.text
         assert all(chat.Marked()([turn]) == made.text[a:b] for turn, (a, b) in zip(turns, made.spans))
@@ -54,6 +54,8 @@ def test_history_that_is_rewritten_is_found():
     counted = lambda turns: f"{len(turns)} turns\n" + "".join(t for _, t in turns)
     last_only = lambda turns: "".join(f"[{t}]" if k == len(turns) - 1 else t for k, (_, t) in enumerate(turns))
     late = lambda turns: "".join(t for _, t in turns) if len(turns) < 60 else "X" + "".join(t for _, t in turns)
+    between = lambda turns: late(turns) if len(turns) < 70 else "".join(t for _, t in turns)
+    assert chat.render(between, [("user", "ab")] * 100).rewrites
     for template in (counted, last_only, late):
         assert chat.render(template, [("user", "ab")] * 70).rewrites
     closing = lambda turns: "".join(t + "\n" for _, t in turns)
@@ -92,6 +94,9 @@ def text(model, html):
 @pytest.mark.parametrize(
     ("html", "want"),
     [
+        ('<article><p title="a>Hello first paragraph of this.</p><p>And a second one <a href="x">here</a>.</p></article>', "Hello first paragraph of this.\nAnd a second one here."),
+        ("<article><p>Before the picture we say this.</p><svg width=1 /><p>After it we go on.</p><iframe src=x /><p>And on again.</p></article><svg><text>no</text></svg>", "Before the picture we say this.\nAfter it we go on.\nAnd on again."),
+        ("<article><p data-x='1 > 0' title=\"it's <b>\">Words of a paragraph that are kept.</p></article>", "Words of a paragraph that are kept."),
         (None, ""),
         ("", ""),
         ("<article><h1>Title of it</h1><p>One &amp; two\n  three.<p>Four</article><footer>&copy; x", "Title of it\nOne & two three.\nFour"),

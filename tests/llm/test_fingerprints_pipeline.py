@@ -112,7 +112,7 @@ def test_written_tables_can_be_removed(spark):
 
 def test_a_shared_folder_is_made_where_none_is_set():
     class Context:
-        known = None
+        known, master = None, "local[4]"
 
         def getCheckpointDir(self):
             return self.known
@@ -125,6 +125,9 @@ def test_a_shared_folder_is_made_where_none_is_set():
         conf = {}
 
     assert shared_dir(Session()) == shared_dir(Session()) == Session.sparkContext.known
+    Session.sparkContext.known, Session.sparkContext.master = None, "spark://somewhere:7077"
+    with pytest.raises(ValueError):  # executors couldn't read a folder of the driver's machine
+        shared_dir(Session())
 
 
 # --- pipeline
@@ -174,6 +177,18 @@ def test_near_duplicates_are_rows_not_ids(spark):
     assert got == Counter([(None, a), (None, b), (5, c), (5, d), (1, e), (None, f), (None, ""), (None, "")])
 
 
+def test_rows_of_one_id_are_judged_each(spark, tmp_path):
+    """Null and repeated doc_ids, and columns named as the pipeline's own: a leak goes, the other rows of its id stay."""
+    d = fixture(spark, tmp_path)
+    item = spark.read.parquet(f"{d}/benchmark.parquet").first()["text"]
+    rows = [(None, "x " + item, 1), (None, prose(1, 50), 2), (4, item + " y", 3), (4, prose(2, 50), 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, number int").withColumn("row", F.lit("r")).withColumn("_matched_id", F.lit(1))
+    got = cp.drop_leaks(spark, docs, d)
+    assert got.columns == docs.columns and sorted(r["number"] for r in got.collect()) == [2, 4]
+    for stage in (cp.select_quality, cp.select_language, cp.drop_near_duplicates):
+        assert stage(spark, docs, d).columns == docs.columns
+
+
 def test_stages_take_odd_and_empty_tables(spark, tmp_path):
     d = fixture(spark, tmp_path)
     extra = odd_documents(spark)

@@ -86,13 +86,14 @@ def test_query_packs_documents(spark, reference):
 
 
 def test_token_counts(spark, tmp_path, reference):
-    df = saved(spark, tmp_path, odd_documents(spark))
-    for block in (7, 100, token_files.BLOCK):
-        rows = token_files.token_counts(df, block=block).collect()
-        want = []
-        for r in odd_documents(spark).collect():
-            ids = reference.encode(r["text"], add_special_tokens=False).ids if r["text"] else []
-            want.append((-1 if r["doc_id"] is None else r["doc_id"], sum(x != token_files.END for x in ids)))
+    extra = spark.createDataFrame([(900, "hello <|endoftext|> world"), (901, "<|endoftext|>")], "doc_id long, text string")
+    docs = odd_documents(spark).select("doc_id", "text").unionAll(extra)
+    ordinary = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    ordinary.encode_special_tokens = True
+    for df, block, size in ((saved(spark, tmp_path, docs), 7, 1 << 30), (docs.repartition(3), 100, 1 << 30), (saved(spark, tmp_path, docs, "again"), token_files.BLOCK, 9_000)):
+        rows = token_files.token_counts(df, block=block, file_bytes=size).collect()
+        want = [(-1 if r["doc_id"] is None else r["doc_id"], len(ordinary.encode(r["text"], add_special_tokens=False).ids) if r["text"] else 0) for r in docs.collect()]
+        assert any(r["part"] for r in rows) == (size == 9_000)
         assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"]) for r in rows) == sorted(want)
     assert token_files.token_counts(saved(spark, tmp_path, empty_documents(spark), "none")).count() == 0
 
