@@ -1,7 +1,8 @@
 """Corpus pipeline: quality, language, near duplicates, benchmark leaks, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return the columns of docs. Rows are matched by
-doc_id, null included, but near duplicates by row. Nulls, ties, repeated rows and empty tables: as the operator of each stage says.
+Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return the columns of docs, whatever their names.
+Rows are told apart by numbers of their own, so null and repeated doc_ids do no harm. Nulls, ties, repeated rows and empty tables: as the
+operator of each stage says.
 """
 
 from __future__ import annotations
@@ -18,41 +19,42 @@ MIN_SHARE, MIN_CHARS = 0.2, 20
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
-def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    ids = ids.select(F.col("doc_id").alias("_matched_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_matched_id")), how)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """number, doc_id, text and the whole row of docs as `row`, written, so that the numbers stay."""
+    row = F.struct(*[f"`{c}`" for c in docs.columns])
+    return written(docs.select(F.monotonically_increasing_id().alias("number"), "doc_id", "text", row.alias("row")), "numbered")
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling draws; the others go."""
-    drawn = quality.resample(docs, table(spark, sf_dir, "labels"))
-    return _by_id(docs, drawn.where("kept"), "left_semi")
+    """Rows that importance resampling draws; the others go."""
+    rows = _numbered(docs)
+    drawn = quality.resample(rows, table(spark, sf_dir, "labels"), keep=("number",))
+    return rows.join(drawn.where("kept").select("number"), "number", "left_semi").select("row.*")
 
 
 def select_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is known; texts without letters, and longer texts in which no language is found, go."""
     filters = langid.fit(docs)
-    found = langid.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), filters, [F.col("row")])
+    found = langid.identify(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), "text"), filters, [F.col("row")])
     clear = (F.col("lang_pred") != "und") & ((F.col("score") >= MIN_SHARE) | (F.char_length("row.text") < MIN_CHARS))
     return found.where(clear).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of each group of near duplicates; texts without words are in no group.
-
-    Rows are told apart by numbers of their own, so it doesn't matter whether doc_ids are null or repeat."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = written(jaccard_join.components(rows.select(F.col("_row").alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT), "groups").withColumnRenamed("doc_id", "_row")
-    named = groups.where("n_shingles > 0").join(rows.select("_row", "doc_id"), "_row")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("first"))
-    kept = first.select("first._row").unionAll(groups.where("n_shingles = 0").select("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    """The row with the smallest doc_id of each group of near duplicates; texts without words are in no group."""
+    rows = _numbered(docs)
+    groups = written(jaccard_join.components(rows.select(F.col("number").alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT), "groups").withColumnRenamed("doc_id", "number")
+    named = groups.where("n_shingles > 0").join(rows.select("number", "doc_id"), "number")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "number")).alias("first"))
+    kept = first.select("first.number").unionAll(groups.where("n_shingles = 0").select("number"))
+    return rows.join(kept, "number", "left_semi").select("row.*")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return _by_id(docs, leaks, "left_anti")
+    """Rows without a passage of the benchmark."""
+    rows = _numbered(docs)
+    leaks = decontaminate.contaminated(rows.select(F.col("number").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(leaks.select(F.col("doc_id").alias("number")).distinct(), "number", "left_anti").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
