@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, table, written
 
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 12
-#: Rows of the items' shingles or blocks, and of texts' numbers, up to which they are broadcast (some tens of MB); beyond it joins shuffle.
+#: Rows of the items' shingles or blocks, of texts' numbers and of windows found, up to which they are broadcast (some tens of MB); beyond it joins shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -147,7 +147,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, similari
     found = written(scored.where(F.col("similarity") >= similarity).select("window", "item_id", "n_words", "hamming", "similarity"), "found")
 
     best = F.max(F.struct("similarity", (-F.col("start")).alias("at"), (-F.col("hamming")).alias("h"), "n_words")).alias("x")
-    of_texts = windows.drop("grams", "size").join(found, "window").groupBy("text_key", "item_id").agg(best)
+    of_texts = windows.drop("grams", "size").join(few(found, found.count()), "window").groupBy("text_key", "item_id").agg(best)
     rows = hits.select("doc_id", "text_key").distinct().join(of_texts, "text_key").groupBy("doc_id", "item_id").agg(F.max("x").alias("x"))
     return rows.select("doc_id", "item_id", (-F.col("x.at")).cast("long").alias("start_word"), F.col("x.n_words").cast("long").alias("n_words"), (-F.col("x.h")).cast("int").alias("hamming"), F.col("x.similarity").alias("similarity"))
 
