@@ -18,7 +18,7 @@ gives no rows. Columns other than doc_id, text and those to keep are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,17 +120,36 @@ def gumbel(seed: int) -> "F.Column":
     return -F.log(-F.log(u))
 
 
-def resample(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, seed: int = SEED, fit_rows: int = FIT_ROWS, k: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns to keep, importance, score (importance with its noise), kept: whether the row is among the k drawn."""
+def resample(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, seed: int = SEED, fit_rows: int = FIT_ROWS, k: int | Callable[[DataFrame], int] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to keep, importance, score (importance with its noise), kept: whether the row is among the k drawn.
+
+    k may be a function of the scored rows, such as on_the_good_side."""
     found = importance(docs, labels, buckets, fit_rows, keep)
     scored = found.withColumn("score", F.when(F.col("importance").isNotNull(), F.col("importance") + gumbel(seed)))
     scored = written(scored.select("doc_id", *[f"`{c}`" for c in keep], "importance", "score", "label", "row"), "resample")
+    if callable(k):
+        k = k(scored)
     if k is None:
         n, good, bad = scored.where("score is not null").agg(F.count("*"), F.count_if("label"), F.count_if(~F.col("label"))).first()
         k = round(n * good / (good + bad)) if good and bad else n
     return top_k(scored, k).drop("label", "row")
 
 
+def on_the_good_side(scored: DataFrame, fit_rows: int = FIT_ROWS) -> int:
+    """How many documents with n-grams have more importance than the line that separates labelled rows with the fewest errors, good and
+    bad ones having the same weight in all; of equal lines the lowest. Without good or bad rows: all.
+
+    The line is fitted on at most fit_rows good and as many bad rows, chosen by a hash of doc_id."""
+    usable = scored.where(F.col("importance").isNotNull() & F.col("label").isNotNull())
+    each = [np.sort(usable.where(F.col("label") == x).orderBy(F.xxhash64("doc_id"), "row").limit(fit_rows).select("importance").toArrow()["importance"].to_numpy()) for x in (True, False)]
+    good, bad = each
+    if not len(good) or not len(bad):
+        return scored.where("importance is not null").count()
+    lines = np.unique(np.concatenate([[-np.inf], good, bad]))  # rows up to the line are rejected
+    errors = np.searchsorted(good, lines, "right") / len(good) + 1 - np.searchsorted(bad, lines, "right") / len(bad)
+    return scored.where(F.col("importance") > F.lit(float(lines[errors <= errors.min() + 1e-12][0]))).count()
+
+
 def last_of(scored: DataFrame, column: str, k: int, cells: int = 1 << 12) -> tuple[float, int]:
     """The k-th largest value of a column that has more than k, and how many rows are above it.
 
