@@ -26,15 +26,18 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that importance resampling draws; the others go."""
+    """Rows that importance resampling draws, as many as lie on the good side of the line between labelled rows, so that clean ones aren't
+    drawn away; the others go."""
     rows = _numbered(docs)
-    drawn = quality.resample(rows, table(spark, sf_dir, "labels"), keep=("number",))
+    drawn = quality.resample(rows, table(spark, sf_dir, "labels"), k=quality.on_the_good_side, keep=("number",))
     return rows.join(drawn.where("kept").select("number"), "number", "left_semi").select("row.*")
 
 
 def select_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is known; texts without letters, and longer texts in which no language is found, go."""
-    filters = langid.fit(docs)
+    """Documents in a language that is known; texts without letters, and longer texts in which no language is found, go.
+
+    Languages are learned from docs, or from the documents of sf_dir where docs has no column lang."""
+    filters = langid.fit(docs if "lang" in docs.columns else table(spark, sf_dir, "documents"))
     found = langid.identify(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), "text"), filters, [F.col("row")])
     clear = (F.col("lang_pred") != "und") & ((F.col("score") >= MIN_SHARE) | (F.char_length("row.text") < MIN_CHARS))
     return found.where(clear).select("row.*")
