@@ -35,8 +35,8 @@ from .common import SPACE, plan_bytes, range_buckets, table, written
 SLOTS = 128
 #: Bytes of the documents, as the plan estimates them, that a partition of ranges takes.
 PARTITION_BYTES = 128_000_000
-#: Samples that a row is asked for at a time: columns of one aggregation, few enough for compiled code.
-PART = 8
+#: Samples that a row is asked for at a time, for each text: columns of one aggregation, few enough for compiled code (a multiple of four).
+PART = 4
 
 
 def gamma_quantiles(bits: int) -> np.ndarray:
@@ -58,30 +58,40 @@ def sample_value(g: Column, r: Column, log_c: Column, log_weight: Column) -> Col
     return log_c - r * (t - b + F.lit(1.0))
 
 
-def terms_of(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, term (64-bit hash of a pair of words) and n, how often the text has it; a null term for a text without words."""
-    words = F.array_remove(F.split(F.col(text), SPACE), "")
-    split = rows.select(*keys, words.alias("w"))
-    pairs = split.select(*keys, F.explode_outer(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))).alias("p"))
-    return pairs.select(*keys, F.when(F.col("p").isNotNull(), F.xxhash64("p.a", "p.b")).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
+def terms_of(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
+    """keys, term (64-bit hash of a pair of words) and, for each text, n0, n1, ...: how often that text has it; a null term for texts without words."""
+    words = lambda text: F.array_remove(F.split(F.col(text), SPACE), "")
+    split = rows.select(*keys, F.inline(F.array(*[F.struct(F.lit(j).alias("of"), words(text).alias("w")) for j, text in enumerate(texts)])))
+    pairs = split.select(*keys, "of", F.explode_outer(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))).alias("p"))
+    terms = pairs.select(*keys, "of", F.when(F.col("p").isNotNull(), F.xxhash64("p.a", "p.b")).alias("term"))
+    return terms.groupBy(*keys, "term").agg(*[F.count(F.when(F.col("of") == j, 1)).alias(f"n{j}") for j in range(len(texts))])
 
 
 def fingerprints(rows: DataFrame, keys: list[str], text: str, slots: int = SLOTS) -> DataFrame:
     """keys and `print` (numbers of four slots each) of each row, by the keys' groups; keys must tell rows apart."""
+    return fingerprints_of(rows, keys, [text], slots).withColumnRenamed("print0", "print")
+
+
+def fingerprints_of(rows: DataFrame, keys: list[str], texts: list[str], slots: int = SLOTS) -> DataFrame:
+    """keys and, for each of the columns `texts`, print0, print1, ...: a term's variates are drawn once for all texts of a row that have it."""
     if slots % PART:
         raise ValueError(f"slots come in {PART}s")
-    parts = slots // PART
-    terms = terms_of(rows, keys, text).select(*keys, "term", F.when(F.col("n") == 1, F.lit(0.0)).otherwise(F.log("n")).alias("w"))
+    parts, each = slots // PART, range(len(texts))
+    # a text without the term has no weight, and so no value
+    weight = lambda n: F.when(F.col("term").isNull() | (n == 0), F.lit(None)).when(n == 1, F.lit(0.0)).otherwise(F.log(n))
+    terms = terms_of(rows, keys, texts).select(*keys, "term", *[weight(F.col(f"n{j}")).alias(f"w{j}") for j in each])
     tables = [F.from_json(F.lit(json.dumps(x.tolist())), "array<double>").alias(name) for name, x in (("gamma", gamma_quantiles(14)), ("log_gamma", np.log(gamma_quantiles(12))))]
     # each term comes once for each part of the slots; steps of their own, so that nothing is worked out twice. Slots are 64-bit numbers:
     # the hash mixes those of 32 bits too little, and the samples would depend on each other
     parted = terms.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), *tables)
-    of = [*keys, "part", "term", "w"]
+    of = [*keys, "part", "term", *[f"w{j}" for j in each]]
     hashes = parted.select(*of, "gamma", "log_gamma", *[F.xxhash64("term", (F.col("part") * PART + k).cast("long")).alias(f"g{k}") for k in range(PART)])
     drawn = hashes.select(*of, *[c for k in range(PART) for c in (f"g{k}", F.get("gamma", F.shiftrightunsigned(f"g{k}", 50).cast("int")).alias(f"r{k}"), F.get("log_gamma", F.shiftrightunsigned(f"g{k}", 38).bitwiseAND(F.lit(4095)).cast("int")).alias(f"c{k}"))])
-    values = drawn.groupBy(*keys, "part").agg(F.count("term").alias("n_terms"), *[F.min(sample_value(F.col(f"g{k}"), F.col(f"r{k}"), F.col(f"c{k}"), F.col("w"))).alias(f"s{k}") for k in range(PART)])
-    values = values.select(*keys, F.struct("part", F.when(F.col("n_terms") > 0, packed_slots()).otherwise(F.array_repeat(F.lit(0).cast("long"), PART // 4)).alias("own")).alias("p"))
-    return values.groupBy(*keys).agg(F.flatten(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["own"])).alias("print"))
+    least = [F.min(sample_value(F.col(f"g{k}"), F.col(f"r{k}"), F.col(f"c{k}"), F.col(f"w{j}"))).alias(f"s{j}_{k}") for j in each for k in range(PART)]
+    values = drawn.groupBy(*keys, "part").agg(*[F.count(f"w{j}").alias(f"n{j}") for j in each], *least)
+    own = [F.when(F.col(f"n{j}") > 0, packed_slots(f"s{j}_")).otherwise(F.array_repeat(F.lit(0).cast("long"), PART // 4)).alias(f"own{j}") for j in each]
+    values = values.select(*keys, F.struct("part", *own).alias("p")).groupBy(*keys).agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    return values.select(*keys, *[F.flatten(F.col(f"ps.own{j}")).alias(f"print{j}") for j in each])
 
 
 def packed_slots(prefix: str = "s") -> Column:
@@ -128,10 +138,8 @@ def fingerprint_documents(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     key = ["bucket", "row"]
     rows = with_next(docs, partitions).select(*key, "doc_id", "text", edited(F.col("text"), F.col("next_text")).alias("edited"))
     told = rows.select(*key, "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    both = rows.select(*key, F.inline(F.array(*[F.struct(F.lit(k).alias("is_edited"), F.coalesce(c, F.lit("")).alias("t")) for k, c in ((False, F.col("text")), (True, F.col("edited")))])))
-    prints = fingerprints(both, [*key, "is_edited"], "t", slots)
-    first = lambda of: F.first(F.when(of, F.col("print")), ignorenulls=True)  # noqa: E731  there is one of each
-    pairs = prints.groupBy(*key).agg(first(~F.col("is_edited")).alias("fingerprint"), first(F.col("is_edited")).alias("edited_fingerprint"))
+    both = rows.select(*key, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("edited", F.lit("")).alias("edited"))
+    pairs = fingerprints_of(both, key, ["text", "edited"], slots).select(*key, F.col("print0").alias("fingerprint"), F.col("print1").alias("edited_fingerprint"))
     found = written(told.join(pairs, key), "fingerprints")
 
     # the next document's fingerprint: within a range by its row, over its end from the next range's first row
