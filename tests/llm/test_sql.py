@@ -13,7 +13,7 @@ duckdb = pytest.importorskip("duckdb")
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     con.execute(f"CREATE TABLE result AS {queries.ORACLE_SQL[name]}")
     columns = sorted(r[0] for r in con.execute("DESCRIBE result").fetchall())
@@ -26,4 +26,4 @@ def test_query_equals_sql(spark, name):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
