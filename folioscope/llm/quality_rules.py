@@ -6,7 +6,8 @@ weights is divided by its n-grams and PRIOR more, so that a few words decide not
 of whole numbers, so the verdict on a text is the same whatever the order and number of tasks.
 
 N-grams: tokens (runs of ASCII letters, digits and all characters beyond ASCII; runs of ASCII marks) and pairs of neighbours, hashed to
-`buckets`. Counts are smoothed by one for each bucket. Raw counts cover all documents; trusted text is that of at most `fit_rows` ids, the
+`buckets`. Each bucket's count in trusted text is raised by SMOOTH and that in raw text in proportion, so that n-grams too rare to be in
+trusted text weigh little. Raw counts cover all documents; trusted text is that of at most `fit_rows` ids, the
 first by a hash. Without trusted text all weights are 0, and the plain rules alone decide.
 
 Nulls: a null or empty text has no words and fails; a null label is no label; rows with a null doc_id are in no trusted text but are judged.
@@ -30,6 +31,7 @@ from .common import table
 BUCKETS, FIT_ROWS = 1 << 16, 20_000
 #: Millionths of a natural logarithm for each n-gram, and the n-grams of weight 0 that are added to each text.
 THRESHOLD, PRIOR = -150_000, 32
+SMOOTH = 8
 #: The second of a pair is added to the first times this.
 PAIR = 40_503
 #: Words in a window that repeats.
@@ -131,8 +133,8 @@ def ngram_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, fi
         counts[k][sums["bucket"].to_numpy()] = sums[name].to_numpy()
     if not counts[1].sum():
         return np.zeros(buckets, np.int64)
-    share = np.log((counts + 1) / (counts.sum(axis=1, keepdims=True) + buckets))
-    return np.floor((share[1] - share[0]) * 1e6 + 0.5).astype(np.int64)
+    share = counts[1].sum() / counts[0].sum()
+    return np.floor(np.log((counts[1] + SMOOTH) / (counts[0] * share + SMOOTH)) * 1e6 + 0.5).astype(np.int64)
 
 
 def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, fit_rows: int = FIT_ROWS, threshold: int = THRESHOLD, prior: int = PRIOR) -> DataFrame:

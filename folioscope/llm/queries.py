@@ -81,7 +81,7 @@ counted AS (SELECT doc_id, b, count(*) AS c FROM grams GROUP BY ALL),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
 sums AS (SELECT b, sum(c) AS raw, coalesce(sum(c) FILTER (WHERE doc_id IN (SELECT doc_id FROM good)), 0) AS trusted FROM counted GROUP BY b),
 whole AS (SELECT sum(raw) AS raw, sum(trusted) AS trusted FROM sums),
-weights AS (SELECT b, CASE WHEN a.trusted = 0 THEN 0 ELSE CAST(floor((ln((s.trusted + 1) / (a.trusted + {_BUCKETS})) - ln((s.raw + 1) / (a.raw + {_BUCKETS}))) * 1e6 + 0.5) AS BIGINT) END AS weight FROM sums s, whole a),
+weights AS (SELECT b, CASE WHEN a.trusted = 0 THEN 0 ELSE CAST(floor(ln((s.trusted + {quality_rules.SMOOTH}) / (s.raw * (a.trusted / a.raw) + {quality_rules.SMOOTH})) * 1e6 + 0.5) AS BIGINT) END AS weight FROM sums s, whole a),
 llr AS (SELECT doc_id, CAST(sum(c * weight) AS BIGINT) AS llr, CAST(sum(c) AS BIGINT) AS n_grams FROM counted JOIN weights USING (b) GROUP BY doc_id),
 base AS (SELECT doc_id, len(l) AS n_words, length(array_to_string(l, '')) AS word_chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
 coalesce(llr, 0) AS llr, coalesce(n_grams, 0) AS n_grams FROM w JOIN documents USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN llr USING (doc_id))

@@ -137,7 +137,7 @@ def plain_judgement(docs, labels, threshold, prior):
         raw.update(grams(t))
         trusted.update(grams(t) if d in good else [])
     n_raw, n_trusted = sum(raw.values()), sum(trusted.values())
-    weight = lambda b: math.floor((math.log((trusted[b] + 1) / (n_trusted + 65536)) - math.log((raw[b] + 1) / (n_raw + 65536))) * 1e6 + 0.5) if n_trusted else 0
+    weight = lambda b: math.floor(math.log((trusted[b] + 8) / (raw[b] * (n_trusted / n_raw) + 8)) * 1e6 + 0.5) if n_trusted else 0
     out = []
     for d, t in docs:
         base, g = plain_rules(t), grams(t)
