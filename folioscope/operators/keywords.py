@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -49,23 +51,74 @@ def clean_pages(pages: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
     return pages.select("doc_id", "page", spec.clean(F.col("text")).alias("text"))
 
 
-#: Keyword lists up to this length become one expression each, in the page's row.
-INLINE_WORDS = 256
+#: Keyword lists up to this length become one expression each, in the page's row; up to the other, they are broadcast.
+INLINE_WORDS, BROADCAST_WORDS = 256, 1_000_000
+_SPACE = "[ \\t\\n\\x0B\\f\\r]"
+#: What makes a keyword more than its own characters.
+_META = re.compile(r"[\\^$.|?*+()\[\]{}]")
 
 
 def page_hits(pages: DataFrame, keywords: KeywordSet, keep_text: bool = False) -> DataFrame:
     """doc_id, page, ord, keyword, hits (all keywords for every page, zeros too). pages: cleaned.
 
     Counts are made in the page's row, each with a constant pattern that is compiled once, and only they are exploded: no join, no
-    shuffle, and no copies of the text. A longer list is exploded next to the page as a literal array."""
+    shuffle, and no copies of the text. Of longer lists, see `listed_hits`; its counts are set among zeros in the page's row."""
     keywords.validate(pages)
     others = ["doc_id", "page", *["text"] * keep_text]
     if len(keywords.words) <= INLINE_WORDS:
         counted = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(w).alias("keyword"), hit_count(F.col("text"), w, keywords.regex).alias("hits")) for k, w in enumerate(keywords.words)])
         return pages.select(*others, F.inline(counted))
-    listed = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(w).alias("keyword")) for k, w in enumerate(keywords.words)])
-    rows = pages.select("doc_id", "page", "text", F.inline(listed))
-    return rows.select(*others, "ord", "keyword", hit_count(F.col("text"), F.col("keyword"), keywords.regex).alias("hits"))
+    numbered = written(pages.withColumn("number", F.monotonically_increasing_id()), "pages")
+    found = listed_hits(numbered, keywords, ("number",)).groupBy("number").agg(F.map_from_entries(F.collect_list(F.struct("ord", "hits"))).alias("found"))
+    counted = F.transform(_listed(enumerate(keywords.words)), lambda x: F.struct(x["ord"].alias("ord"), x["keyword"].alias("keyword"), F.coalesce(F.col("found")[x["ord"]], F.lit(0)).alias("hits")))
+    return numbered.join(found, "number", "left").select(*others, F.inline(counted))
+
+
+def _listed(words: Iterable[tuple[int, str]]) -> Column:
+    """ord and keyword of each word, as one literal, however many there are."""
+    return F.from_json(F.lit(json.dumps([{"ord": k, "keyword": w} for k, w in words])), "array<struct<ord:int,keyword:string>>")
+
+
+def listed_hits(pages: DataFrame, keywords: KeywordSet, by: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
+    """The columns `by`, ord, keyword, hits of the keywords that a page has, without zeros, for lists of any length. pages: cleaned; rows
+    equal in `by` are one page each only if `by` tells them apart.
+
+    Literal keywords are looked up instead of searched: the page's runs of as many tokens as keywords have are joined with the list, which is
+    broadcast up to a checked number of words; no text is copied, and only matches are shuffled. Regular expressions are counted in the page's
+    row. A match uses up the white space around it, as in `hit_count`, so of overlapping ones the first counts. A null text has no hits; no
+    pages give no rows."""
+    keywords.validate(pages)
+    literal = [(k, w) for k, w in enumerate(keywords.words) if not (keywords.regex and _META.search(w))]
+    patterns = [(k, w) for k, w in enumerate(keywords.words) if keywords.regex and _META.search(w)]
+    parts = []
+    if literal:
+        parts.append(_literal_hits(pages, literal, by))
+    if patterns:
+        counted = F.transform(_listed(patterns), lambda x: F.struct(x["ord"].alias("ord"), x["keyword"].alias("keyword"), hit_count(F.col("text"), x["keyword"]).alias("hits")))
+        parts.append(pages.select(*by, F.inline(F.filter(counted, lambda x: x["hits"] > 0))))
+    return parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
+
+
+def _literal_hits(pages: DataFrame, words: list[tuple[int, str]], by: tuple[str, ...]) -> DataFrame:
+    sizes = {w: len(re.split("[ \t\n\x0b\f\r]", w)) for _, w in words}
+    listed = pages.sparkSession.createDataFrame([(k, w, sizes[w]) for k, w in words], "ord int, keyword string, size int")
+    listed = F.broadcast(listed) if len(words) <= BROADCAST_WORDS else listed
+    # the tokens between single white space characters, and those characters; a run counts if it has one on either side
+    cut = pages.select(*by, F.monotonically_increasing_id().alias("row"), F.split("text", _SPACE).alias("t"), F.regexp_extract_all("text", F.lit(_SPACE), F.lit(0)).alias("s"))
+
+    def run(n: int):
+        def text(i):
+            return F.concat(*[x for j in range(n) for x in ([F.get("s", i + j - 1)] if j else []) + [F.get("t", i + j)]])
+
+        places = F.when(F.size("t") >= n + 2, F.sequence(F.lit(1), F.size("t") - n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(F.lit(n).alias("size"), i.alias("at"), text(i).alias("keyword")))
+
+    runs = F.flatten(F.array(*[run(n) for n in sorted(set(sizes.values()))]))
+    matched = cut.where("t is not null").select(*by, "row", F.inline(runs)).join(listed, ["size", "keyword"])
+    step = lambda acc, at: F.when(at >= acc["next"], F.struct((acc["n"] + 1).alias("n"), (at + F.col("size") + 1).alias("next"))).otherwise(acc)
+    places = matched.groupBy(*by, "row", "ord", "keyword", "size").agg(F.array_sort(F.collect_list("at")).alias("places"))
+    hits = F.aggregate("places", F.struct(F.lit(0).alias("n"), F.lit(0).alias("next")), step, lambda acc: acc["n"])
+    return places.select(*by, "ord", "keyword", hits.alias("hits"))
 
 
 def document_counts(hits: DataFrame) -> DataFrame:

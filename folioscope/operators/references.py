@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import citation, clean_citation, strip_ws, work_id
+from .skew import join_one
 
 
 def citations(works: DataFrame) -> DataFrame:
@@ -33,8 +34,13 @@ def split_references(value: Column) -> Column:
 
 def resolve(rows: DataFrame, refs: Column, works: DataFrame, key: str = "rec_id") -> DataFrame:
     """key and references: each row's references in order, ids of works replaced by their citations (dropped where unknown), others
-    cleaned, joined by '; '. Rows without references get ''."""
+    cleaned, joined by '; '. Rows without references get ''; rows with one key are one. An empty table gives no rows.
+
+    Citations are made of the works that are referred to, not of all; the references of a work that very many refer to are split among
+    tasks."""
     each = rows.select(key, F.posexplode_outer(refs).alias("pos", "ref")).withColumn("work_id", work_id(F.col("ref")))
-    found = each.join(citations(works), "work_id", "left").withColumn("text", F.when(F.col("work_id").isNotNull(), F.col("citation")).otherwise(clean_citation(F.col("ref"))))
+    wanted = each.where("work_id is not null").select("work_id").distinct()
+    found = join_one(each, citations(works.join(wanted, "work_id", "left_semi")), "work_id", "left")
+    found = found.withColumn("text", F.when(F.col("work_id").isNotNull(), F.col("citation")).otherwise(clean_citation(F.col("ref"))))
     ordered = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("pos", "text"))))
     return found.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "; ").alias("references"))

@@ -438,4 +438,4 @@ def language_codes(spark, sf_dir):
     return docs.join(F.broadcast(catalogue_table(spark)), "name", "left").select("doc_id", "lang", "code")
 
 
-from . import interchange  # noqa: E402, F401  adds the queries of imports, providers and sinks
+from . import interchange, matching  # noqa: E402, F401  adds the queries of imports, providers, sinks and matching

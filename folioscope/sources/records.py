@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..storage import written
+from .csv_files import read_csv
 
 #: Columns of a CSV export and the field tags that they become.
 CSV_TAGS = {
@@ -20,8 +21,9 @@ FORMATS = {"plaintext": (r"^([A-Z][A-Z0-9])(?: (.*))?$", "PT", {}), "medline": (
 
 
 def csv_records(spark: SparkSession, path: str, tags: dict[str, str] | None = None, db: str = "scopus") -> DataFrame:
-    """All columns as text; quoted fields may hold line ends and doubled quotes."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+    """Rows of all CSV files of a folder by column name, all as text, with field tags for names; see csv_files.read_csv. A name that is a
+    tag already keeps its place."""
+    df = read_csv(spark, path)
     for old, new in (CSV_TAGS if tags is None else tags).items():
         if old in df.columns:
             df = df.withColumnRenamed(old, new)

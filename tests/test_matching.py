@@ -1,0 +1,240 @@
+"""CSV folders by name and in blocks, records that are one by any key, long keyword lists, works that very many refer to."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from folioscope.functions.fields import citation
+from folioscope.operators import components, keywords, records, references, skew
+from folioscope.sources import csv_files
+from folioscope.sources.records import csv_records
+
+# --- CSV ----------------------------------------------------------------------------------------------------------
+
+
+def put(folder, **files):
+    folder.mkdir(exist_ok=True)
+    for name, content in files.items():
+        (folder / f"{name}.csv").write_bytes(content.encode())
+    return str(folder)
+
+
+def test_columns_go_by_name(spark, tmp_path):
+    path = put(tmp_path / "in", a='DOI,Title\n10.1/a,"A ""q"" t,\nsecond\r\n\n  line"\n10.1/b,5" disk\n', b='﻿Title,DOI,Year\r\n"B, x",10.1/c,2001\r\n\r\n"",10.1/d\r\n', c="", d="title,Extra,Extra,\n1,2,3,4,5\n", e="DOI,Title")
+    df = csv_files.read_csv(spark, path)
+    assert df.columns == ["DOI", "Title", "Year", "Extra", "Extra.1", "_c3"]
+    got = {tuple(r) for r in df.collect()}
+    assert got == {("10.1/a", 'A "q" t,\nsecond\r\n\n  line', None, None, None, None), ("10.1/b", '5" disk', None, None, None, None), ("10.1/c", "B, x", "2001", None, None, None), ("10.1/d", None, None, None, None, None), (None, "1", None, "2", "3", "4")}
+    named = csv_records(spark, path)
+    assert named.columns == ["DI", "TI", "PY", "Extra", "Extra.1", "_c3", "db"]
+
+
+def test_folder_without_records_is_an_error(spark, tmp_path):
+    with pytest.raises(ValueError, match="no CSV records"):
+        csv_files.read_csv(spark, put(tmp_path / "none", a="", b="\n \n"))
+
+
+def test_headers_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(csv_files, "MAX_HEADERS", 1)
+    with pytest.raises(ValueError, match="more than 1 different"):
+        csv_files.read_csv(spark, put(tmp_path / "many", a="A\n1", b="B\n2"))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_one_file_in_many_blocks_equals_one_reader(spark, tmp_path, seed):
+    import csv
+
+    r = random.Random(seed)
+    rows = [[str(i), "".join(r.choice(["a", '"', ",", "\n", "é", " ", "\r\n", "bb"]) for _ in range(r.randrange(40 if seed else 300))), r.choice(["x", 'y"z', "w,w"])] for i in range(1200)]
+    with open(tmp_path / "one.csv", "w", newline="") as f:
+        w = csv.writer(f, quoting=(csv.QUOTE_MINIMAL, csv.QUOTE_ALL)[seed % 2], lineterminator=("\n", "\r\n")[seed % 2])
+        w.writerows([["i", "t", "u"], *rows])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        lines = csv_files.lines_of(spark, str(tmp_path / "one.csv"))
+        assert lines.select("block").distinct().count() > 8
+        got = sorted(([x["i"], x["t"] or "", x["u"]] for x in csv_files.read_csv(spark, str(tmp_path / "one.csv")).collect()), key=lambda x: int(x[0]))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == rows
+
+
+@pytest.mark.parametrize("line", ['a,b"c,d', '"a', '"a""', '"a"""', '""', '"', '""",', 'a"b"', '"a"b"c', '"a","b', ',"', 'x",y"', "", '"a" "b', '"",""', '"""",x', 'a,""b'])
+def test_line_states(spark, line):
+    def walk(inside):
+        state = "q" if inside else "s"
+        for c in line:
+            if state == "q":
+                state = "e" if c == '"' else "q"
+            elif c == '"' and state in "se":
+                state = "q"
+            else:
+                state = "s" if c == "," else "p"
+        return state == "q"
+
+    got = spark.createDataFrame([(line,)], "line string").select(csv_files.ends_inside(F.col("line"), False), csv_files.ends_inside(F.col("line"), True)).first()
+    assert tuple(got) == (walk(False), walk(True))
+
+
+# --- joins with heavy keys ------------------------------------------------------------------------------------------
+
+
+def test_heavy_keys_are_dealt_to_several_tasks(spark):
+    many = spark.range(20_000).selectExpr("case when id % 2 = 0 then 'hot' when id % 101 = 1 then null else concat('k', id % 50) end as key", "id")
+    one = spark.range(60).selectExpr("concat('k', id) as key", "id * 10 as v").unionAll(spark.sql("select 'hot', 7L"))
+    for how in ("inner", "left"):
+        plain = {tuple(r) for r in many.join(one, "key", how).collect()}
+        joined = skew.join_one(many, one, "key", how, least=1_000)
+        assert joined.columns == ["key", "id", "v"]
+        assert {tuple(r) for r in joined.collect()} == plain
+    assert [r["key"] for r in skew.heavy_keys(many, "key", least=1_000).collect()] == ["hot"]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tasks = skew.join_one(many, one, "key", least=1_000).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sizes = sorted(r["count"] for r in tasks)
+    assert len(sizes) == 4 and sizes[-1] < 2 * sizes[len(sizes) // 2]
+
+
+# --- components -----------------------------------------------------------------------------------------------------
+
+
+def plain_components(links):
+    label = {x: x for ab in links for x in ab}
+
+    def root(x):
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        label[b] = a
+    return {x: root(x) for x in label}
+
+
+@pytest.mark.parametrize("kind", ["random", "chain", "star", "copies"])
+def test_components(spark, kind):
+    r = random.Random(5)
+    links = {"random": [(r.randrange(300), r.randrange(300)) for _ in range(200)], "chain": [(k, k + 1) for k in r.sample(range(700), 700)], "star": [(500, k) for k in range(500)] + [(k, k + 1000) for k in range(0, 500, 7)], "copies": [(3, 4)] * 50 + [(5, 5), (4, 2)]}[kind]
+    frame = spark.createDataFrame([*links, (None, 1)], "a long, b long")
+    got = {x["node"]: x["component"] for x in components.connected(frame).collect()}
+    assert got == {k: v for k, v in plain_components([x for x in links if x[0] != x[1]]).items()}
+
+
+def test_no_links_no_components(spark):
+    assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+    with pytest.raises(RuntimeError, match="not settled"):
+        components.connected(spark.createDataFrame([(k, k + 1) for k in range(50)], "a long, b long"), rounds=1)
+
+
+# --- records --------------------------------------------------------------------------------------------------------
+
+
+def record_rows(seed, n):
+    r = random.Random(seed)
+    return [(None if r.random() < 0.05 else k, r.choice(["wos", "scopus", "pubmed", None]), r.choice([None, "", "none", *[f"10.1/{x}" for x in range(n)]]), r.choice([None, "!!", *[f"Title {x}" for x in range(n)]]), r.choice([None, "2001"]), r.choice([None, "", *map(str, range(n))]), k) for k in range(n)]
+
+
+RECORD = "rec_id long, db string, di string, ti string, py string, pmid string, class_size int"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_classes_equal_union_find(spark, seed):
+    rows = record_rows(seed, 80)
+    keys = lambda x: [k for k in ("d" + (x[2] or "") if x[2] and x[2] != "none" else None, f"t{x[3]}|{x[4] or ''}" if x[3] and x[3] != "!!" else None, "p" + x[5] if x[5] else None) if k]
+    at, links = {}, [(i, i) for i in range(len(rows))]
+    for i, x in enumerate(rows):
+        for k in keys(x):
+            links.append((at.setdefault(k, i), i))
+    label = plain_components(links)
+    got = records.duplicate_classes(spark.createDataFrame(rows, RECORD).repartition(3), ids=("pmid",))
+    assert got.columns == ["rec_id", "db", "di", "ti", "py", "pmid", "class_id", "class_size", "kept"]
+    members = {}
+    for i in range(len(rows)):
+        members.setdefault(label[i], []).append(rows[i])
+    least = {i: min((x[0] for x in members[label[i]] if x[0] is not None), default=None) for i in range(len(rows))}
+    want = sorted(str((*rows[i][:6], least[i], len(members[label[i]]))) for i in range(len(rows)))
+    found = got.collect()
+    assert sorted(str(tuple(r)[:-1]) for r in found) == want
+    assert sum(r["kept"] for r in found) == len(members)
+    kept = {r["class_id"]: r for r in found if r["kept"] and r["rec_id"] is not None}
+    rank = lambda db: {"wos": 0, "scopus": 1, "pubmed": 2}.get(db, 3)
+    for group in members.values():
+        first = min(group, key=lambda x: (rank(x[1]), x[0] is None, x[0] or 0))
+        if first[0] is not None:
+            assert kept[min(x[0] for x in group if x[0] is not None)]["rec_id"] == first[0]
+
+
+def test_a_work_with_and_without_doi_is_one(spark):
+    rows = [(1, "pubmed", None, "A title.", "2001", "9", 0), (2, "scopus", "10.1/A", "a TITLE", "2001", None, 0), (3, "wos", "https://doi.org/10.1/a ", None, None, None, 0), (4, "wos", None, None, None, "9", 0), (5, "wos", None, "A title", "1999", None, 0)]
+    frame = spark.createDataFrame(rows, RECORD)
+    assert {(r["rec_id"], r["class_id"]) for r in records.duplicate_classes(frame, ids=("pmid",)).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)}
+    assert {r["rec_id"] for r in records.dedup_any(frame, ids=("pmid",)).collect()} == {3, 5}
+    assert {r["rec_id"] for r in records.dedup_any(frame).collect()} == {3, 4, 5}
+    assert records.dedup_any(frame.limit(0)).count() == 0
+
+
+def test_classes_of_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(skew.join_one, "__defaults__", ("inner", 1 / 1000, 20, 8))
+    frame = spark.range(300).selectExpr("id as rec_id", "'wos' as db", "case when id % 2 = 0 then '10.1/hot' else concat('10.1/', id) end as di", "cast(null as string) as ti", "'' as py")
+    got = records.duplicate_classes(frame).groupBy("class_id").count().collect()
+    assert sorted(r["count"] for r in got) == [1] * 150 + [150]
+
+
+# --- long keyword lists ---------------------------------------------------------------------------------------------
+
+
+def test_listed_hits_equal_searching(spark):
+    r = random.Random(4)
+    words = ["the", "of", "on", "x", "the of", "on  the", " the", "of\tx", "x x", "the x the", "é", "a.c", "no"]
+    texts = [None, "", " the ", "the", " the the the the ", " x x x x x ", "\tof\nof\r\nof "] + ["".join(r.choice(["the", "of", "on", "x", "é", "a.c", "abc"]) + r.choice([" ", " ", " ", "  ", "\t", "\n", "-"]) for _ in range(r.randrange(40))) for _ in range(150)]
+    pages = spark.createDataFrame([(k % 90, 1, f" {t}" if t and k % 2 else t) for k, t in enumerate(texts)], "doc_id long, page int, text string").withColumn("page", F.monotonically_increasing_id())
+    for regex in (False, True):
+        listed = keywords.KeywordSet(tuple(words), regex)
+        want = {tuple(x) for x in keywords.page_hits(pages, listed).where("hits > 0").collect()}
+        got = keywords.listed_hits(pages, listed)
+        assert got.columns == ["doc_id", "page", "ord", "keyword", "hits"]
+        assert {tuple(x) for x in got.collect()} == want and len({x[3] for x in want}) > 8
+
+
+def test_long_lists_copy_no_text(spark):
+    pages = spark.createDataFrame([(1, 1, " w3 w5 w5 w5 ")], "doc_id long, page int, text string")
+    listed = keywords.KeywordSet.of([f"w{k}" for k in range(10_000)], regex=False)
+    found = keywords.listed_hits(pages, listed)
+    assert {(r["keyword"], r["hits"]) for r in found.collect()} == {("w3", 1), ("w5", 2)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    generated = [x for x in plan.splitlines() if "Generate" in x]
+    assert generated and not any("text#" in x for x in generated)
+    dense = keywords.page_hits(pages, listed)
+    assert dense.count() == 10_000 and dense.where("hits > 0").count() == 2
+
+
+# --- references -----------------------------------------------------------------------------------------------------
+
+
+def test_references_to_one_work(spark, monkeypatch):
+    monkeypatch.setattr(skew.join_one, "__defaults__", ("inner", 1 / 1000, 50, 8))
+    works = spark.range(100).selectExpr("concat('W', id) as work_id", "array('a b') as authors", "concat('t', id) as title", "'j' as journal", "'' as volume", "'2001' as year")
+    rows = spark.range(400).selectExpr("id as rec_id", "case when id = 9 then null else array('W7', concat('W', id), concat(id, ') plain'), 'https://openalex.org/W7') end as refs")
+    got = {r["rec_id"]: r["references"] for r in references.resolve(rows, F.col("refs"), works).collect()}
+    cite = lambda k: f"A B, t{k}, J, (2001)"
+    assert got == {k: "" if k == 9 else "; ".join([cite(7), *([cite(k)] if k < 100 else []), "plain", cite(7)]) for k in range(400)}
+
+
+def test_only_works_that_are_referred_to_are_formatted(spark):
+    assert citation  # the expression that must come after the semi-join
+    works = spark.createDataFrame([("W1", ["a"], "t", "j", "", "1")], "work_id string, authors array<string>, title string, journal string, volume string, year string")
+    rows = spark.createDataFrame([(1, ["W1"])], "rec_id long, refs array<string>")
+    plan = references.resolve(rows, F.col("refs"), works)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search("LeftSemi", plan)
