@@ -16,13 +16,12 @@ gives no rows. Columns other than text and lang are ignored.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,106 +29,111 @@ from pyspark.sql.window import Window
 from .common import mix64, table, written
 
 MIN_COUNT, MAX_WORDS, INSIDE, TOP = 10, 3, 50, 2_000
-#: Bits of the broadcast bitmap (8 MB), and different phrases that a task holds before it passes them on.
-BITS, HELD = 1 << 26, 200_000
-#: Parts of a language whose lists are cut to the length wanted before they meet in one task.
-SALT = 16
-_PIECE = re.compile(rb"[^.,;:!?\x0a-\x0d]+")
-_WORD = re.compile(rb"[^\x20\x09]+")
+#: Bits of the broadcast bitmap (8 MB), and words that a task holds before it passes on what it has counted.
+BITS, HELD = 1 << 26, 3_000_000
+#: Parts of a language whose lists are cut to the length wanted before they meet in fewer parts, and at last in one.
+PARTS = (16, 4, 1)
+#: What stands for the end of a piece among the words; no UTF-8 text has that byte.
+END = b"\xff"
+_TABLE = bytes(0xFF if c in b".,;:!?\x0a\x0b\x0c\x0d" else c + 32 if 65 <= c <= 90 else c for c in range(256))
+_OUT = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
 
-def pieces_of(text: str | None) -> Iterator[list[bytes]]:
-    """The words of each piece of a text, as UTF-8; bytes.lower() changes A-Z alone."""
-    if text:
-        for piece in _PIECE.findall(text.encode("utf-8", "replace").lower()):
-            if words := _WORD.findall(piece):
-                yield words
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text as UTF-8, with END after each piece. What is left for split() to part at is blanks and tabs."""
+    return ((text or "").encode("utf-8", "replace").translate(_TABLE) + END).replace(END, b" \xff ").split()
 
 
-class Hashes:
-    """Hashes of runs of words, made from those of the words; hashes of words already seen are looked up, and forgotten when they get many."""
+class Numbers(dict):
+    """A number for each different word, from 0 on, END being the first."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self[END]
 
-    def _new(self, word: bytes) -> int:
-        import xxhash
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
-        if len(self.known) > 300_000:
-            self.known.clear()
-        self.known[word] = found = xxhash.xxh64_intdigest(word)
-        return found
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        known, new = self.known, self._new
-        return np.array([known[w] if w in known else new(w) for w in words], np.uint64)
-
-
-def runs(h: np.ndarray, k: int, lang: int) -> np.ndarray:
-    """A number below BITS for each run of k words."""
-    with np.errstate(over="ignore"):
-        sums = reduce(lambda a, b: a * np.uint64(0x9E3779B97F4A7C15) + b, [h[j : len(h) - k + 1 + j] for j in range(k)])
-        return (mix64(sums + np.uint64(lang)) & np.uint64(BITS - 1)).astype(np.int64)
+def hashed(words: Iterable[bytes]) -> np.ndarray:
+    import xxhash
 
+    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
 
-def _lang_number(lang: str) -> int:
-    import xxhash
 
-    return xxhash.xxh64_intdigest(lang.encode())
+def bit_of(words: list[np.ndarray], lang: np.ndarray) -> np.ndarray:
+    """A number below BITS for each phrase, from the hashes of its first words, second words and so on, and those of the languages."""
+    with np.errstate(over="ignore"):
+        mixed = reduce(lambda a, b: a * np.uint64(0x9E3779B97F4A7C15) + b, words) + lang
+    return (mix64(mixed) & np.uint64(BITS - 1)).astype(np.int64)
+
+
+def _counted(k: int, bits: np.ndarray | None, numbers: Numbers, ids: np.ndarray, langs: list[str], lang: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases of k words among words one after the other. lang: the number of each word's language."""
+    end = ids == 0
+    inside = np.ones(max(len(ids) - k + 1, 0), bool)
+    for j in range(k):
+        inside &= ~end[j : j + len(inside)]
+    if k > 1:
+        h, n = hashed(numbers)[ids], max(len(ids) - k + 2, 0)  # n runs of k - 1 words
+        at = bit_of([h[j : j + n] for j in range(k - 1)], hashed(x.encode() for x in langs)[lang][:n])
+        frequent = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+        inside &= frequent[:-1] & frequent[1:]
+    place = np.flatnonzero(inside)
+    code, size = lang[place].astype(np.int64), len(langs)
+    for j in range(k):
+        if size * len(numbers) >= 1 << 62:
+            distinct, code = np.unique(code, return_inverse=True)
+            size = len(distinct)
+        code, size = code * len(numbers) + ids[place + j], size * len(numbers)
+    _, first, times = np.unique(code, return_index=True, return_counts=True)
+    words, names = pa.array(list(numbers), pa.binary()), pa.array(langs, pa.string())
+    for lo in range(0, len(first), 50_000):
+        here = place[first[lo : lo + 50_000]]
+        phrase = pc.binary_join_element_wise(*[words.take(pa.array(ids[here + j])) for j in range(k)], pa.scalar(b" ", pa.binary()))
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[here])), phrase.cast(pa.string()), pa.array(times[lo : lo + 50_000])], schema=_OUT)
+    if k == 1:
+        n = np.bincount(lang[place], minlength=len(langs))
+        yield pa.RecordBatch.from_arrays([names, pa.array([""] * len(langs)), pa.array(n)], schema=_OUT)
 
 
 def _count(k: int, shared):
     """lang, phrase, f of the phrases of k words; at level 1 the empty phrase counts all words. shared: the bitmap of level k - 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, n_held = Hashes(), {}, 0
+        bits = shared.value if shared else None
+        numbers, ids, langs, lang, held = Numbers(), [], {}, [], 0
 
         def passed_on() -> Iterator[pa.RecordBatch]:
-            for lang, counts in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "phrase", "f"])
-            held.clear()
+            if ids:
+                of_word = np.repeat(np.array(lang, np.int32), [len(x) for x in ids])
+                yield from _counted(k, bits, numbers, np.concatenate(ids), list(langs), of_word)
 
-        bits = shared.value if shared else None
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-                counts = held.setdefault(lang, Counter())
-                before, number = len(counts), _lang_number(lang) if bits is not None else 0
-                words: list[bytes] = []
-                ends: list[int] = []
-                for piece in pieces_of(text.as_py()):
-                    words += piece
-                    ends.append(len(words))
-                if k == 1:
-                    counts.update(words)
-                    if words:
-                        counts[b""] += len(words)
-                elif len(words) >= k:
-                    at = runs(hashes.of(words), k - 1, number)
-                    frequent = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-                    both = (frequent[:-1] & frequent[1:]).astype(bool)
-                    for j in range(1, k):  # runs that begin before a piece's end and end behind it
-                        over = np.array(ends[:-1], np.int64) - j
-                        both[over[(over >= 0) & (over < len(both))]] = False
-                    counts.update([b" ".join(words[i : i + k]) for i in np.flatnonzero(both).tolist()])
-                n_held += len(counts) - before
-                if n_held > HELD:
+            for name, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+                words = words_of(text.as_py())
+                ids.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+                lang.append(langs.setdefault(name, len(langs)))
+                held += len(words)
+                if held > HELD:
                     yield from passed_on()
-                    n_held = 0
+                    numbers, ids, langs, lang, held = Numbers(), [], {}, [], 0
         yield from passed_on()
 
     return run
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """cell and bits of the bitmap for each phrase."""
-    hashes = Hashes()
+    """cell and bits of the bitmap for each phrase; all phrases are of the same number of words."""
     for batch in batches:
-        found = []
-        for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
-            words = phrase.encode().split(b" ")
-            found.append(runs(hashes.of(words), len(words), _lang_number(lang))[0])
-        at = np.array(found, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], ["cell", "bits"])
+        if batch.num_rows:
+            phrases = batch.column("phrase").cast(pa.binary()).to_pylist()
+            names = batch.column("lang").dictionary_encode()
+            lang = hashed(x.encode() for x in names.dictionary.to_pylist())[names.indices.to_numpy()]
+            numbers = Numbers()
+            words = [numbers[w] for w in b" ".join(phrases).split(b" ")]
+            at = bit_of(list(hashed(numbers)[np.array(words)].reshape(len(phrases), -1).T), lang)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], ["cell", "bits"])
 
 
 def _bitmap(level: DataFrame) -> np.ndarray:
@@ -176,9 +180,10 @@ def mine(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT
     """lang, rank, phrase, a, l, r, n, score: the first `top` phrases of each language."""
     found = scored(levels(docs, max_words, min_count), inside)
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALT)))
-    first = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    ranked = found
+    for parts in PARTS:
+        ranked = ranked.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
