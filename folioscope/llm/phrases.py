@@ -157,7 +157,7 @@ def levels(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COU
 
 
 def scored(tables: list[DataFrame], inside: int = INSIDE) -> DataFrame:
-    """lang, phrase, a, l, r, n, score of every candidate that stays."""
+    """lang, phrase, a, l, r, score of every candidate that stays."""
     every = reduce(DataFrame.unionAll, tables).where("phrase <> ''")
     candidates = reduce(DataFrame.unionAll, tables[1:]).withColumn("w", F.split("phrase", " "))
     # what a longer candidate holds
@@ -172,19 +172,20 @@ def scored(tables: list[DataFrame], inside: int = INSIDE) -> DataFrame:
     d = lambda c: f"cast({c} as decimal(19, 0))"
     score = F.expr(f"(cast(1000000 as decimal(7, 0)) * {d('a')} * {d('a')}) div ({d('l')} * {d('r')})")
     least = both.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
-    total = tables[0].where("phrase = ''").select("lang", F.col("f").alias("n"))  # a row for each language
-    return least.join(total, "lang").select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
+    return least.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
 
 
 def mine(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, inside: int = INSIDE, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first `top` phrases of each language."""
-    found = scored(levels(docs, max_words, min_count), inside)
+    tables = levels(docs, max_words, min_count)
+    found = scored(tables, inside)
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
     ranked = found
     for parts in PARTS:
         ranked = ranked.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
         ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    total = tables[0].where("phrase = ''").select("lang", F.col("f").alias("n"))  # a row for each language
+    return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
