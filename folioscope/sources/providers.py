@@ -1,58 +1,92 @@
 """Answers of metadata providers as rows of canonical keys.
 
-Answers are a table: provider, lookup (the key that was asked for, a DOI), status, body. Network access is left to a fetcher that fills it; everything after is column
-expressions, but for the fields of article XML that occur many times."""
+Answers are a table: provider, lookup (the key that was asked for, a DOI), status, body. Network access is left to a fetcher that fills it; everything after
+is column expressions. JSON is read as it comes (VARIANT), so a year may be a number or a text, a title a text or a list, an author a name, a text or a
+list of either; values that aren't there, or of a kind that can't be read, are null.
+
+Nulls: a null body, one that isn't JSON (XML) or not an object, and a status other than 200 give no row. A null lookup is kept. Answers that repeat give a row
+each; no answers give none. Other columns are ignored."""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import authors, clean_citation, is_number, issued_year, strip_ws
 from ..operators.references import reference_text
 from ..progress import log
+from .articles import fields, text_nodes, wrapped
 
-#: The shapes of the providers' answers.
-_CSL = "struct<DOI:string,title:string,`container-title`:string,author:array<struct<family:string,given:string,literal:string>>,issued:struct<`date-parts`:array<array<int>>>,volume:string,issue:string,page:string,publisher:string,abstract:string,reference:array<struct<unstructured:string,DOI:string>>,language:string>"
-_WORK = "struct<doi:string,display_name:string,host_venue:struct<display_name:string>,authorships:array<struct<author:struct<display_name:string>>>,publication_year:int,referenced_works:array<string>>"
-_PAPER = "struct<title:string,venue:string,authors:array<struct<name:string>>,year:int,abstract:string,reference:array<struct<doi:string>>>"
 #: The canonical keys.
 KEYS = ("DOI", "title", "container-title", "author", "issued", "volume", "issue", "page", "publisher", "abstract", "reference", "language", "affiliation", "keywords", "corresponding-author", "document-type")
 
 
-def _names(field):
-    """Non-null names of an array of structs, joined; null if there are none."""
-    kept = F.filter(field, lambda x: x.isNotNull())
-    return F.when(F.size(kept) > 0, F.array_join(kept, "; "))
-
-
 def _rows(df: DataFrame, **values) -> DataFrame:
     found = {k.replace("_", "-"): v for k, v in values.items()}
     return df.select("lookup", *[found.get(k, F.lit(None)).cast("string").alias(k) for k in KEYS])
 
 
-def _first_text(c):
-    """A text, or the first of a list of texts given as JSON."""
-    return F.coalesce(F.get(F.from_json(c, "array<string>"), F.lit(0)), F.when(~F.startswith(c, F.lit("[")), c))
+def _parsed(answers: DataFrame) -> DataFrame:
+    """Answers whose body is a JSON object, as x."""
+    parsed = answers.where("status = 200").withColumn("x", F.try_parse_json("body"))
+    return parsed.where(F.startswith(F.schema_of_variant("x"), F.lit("OBJECT")))
+
+
+def _text(x: Column, path: str) -> Column:
+    """A text or number as text; null for a list or an object."""
+    kind = F.schema_of_variant(F.try_variant_get(x, path, "variant"))
+    return F.when(~kind.rlike("^(ARRAY|OBJECT)"), F.try_variant_get(x, path, "string"))
+
+
+def _list(x: Column, path: str) -> Column:
+    return F.try_variant_get(x, path, "array<variant>")
+
+
+def _one(x: Column, path: str) -> Column:
+    """A text, or the first of a list of them."""
+    return F.coalesce(_text(x, path), _text(x, f"{path}[0]"))
+
+
+def _joined(values: Column) -> Column:
+    """Values that aren't null, joined; null if there are none."""
+    kept = F.filter(values, lambda v: v.isNotNull())
+    return F.when(F.size(kept) > 0, F.array_join(kept, "; "))
+
+
+def _people(x: Column, path: str) -> Column:
+    """Names of a list of persons and texts, or a text as it is."""
+    whole = lambda v: F.when(~F.schema_of_variant(v).rlike("^(ARRAY|OBJECT|VOID)"), F.try_variant_get(v, "$", "string"))
+    person = lambda v: F.struct(_text(v, "$.family").alias("family"), _text(v, "$.given").alias("given"), F.coalesce(_text(v, "$.literal"), whole(v)).alias("literal"))
+    listed = F.transform(_list(x, path), person)
+    return F.coalesce(F.when(F.size(listed) > 0, authors(listed)), _text(x, path))
+
+
+def _year(x: Column, path: str, compat: bool) -> Column:
+    """A plain year, number or text; compat: nothing."""
+    return issued_year(F.lit(None).cast("array<array<int>>"), _text(x, path), compat)
 
 
 def citation_list(answers: DataFrame) -> DataFrame:
     """Provider 1: an array of citations."""
-    parsed = answers.where("status = 200").withColumn("x", F.from_json("body", "struct<citations:array<string>>"))
-    return _rows(parsed.where(F.size("x.citations") > 0), reference=F.array_join("x.citations", "; "))
+    x = F.col("x")
+    cited = F.transform(_list(x, "$.citations"), lambda v: F.try_variant_get(v, "$", "string"))
+    return _rows(_parsed(answers).where(F.size(cited) > 0), reference=F.array_join(cited, "; "))
 
 
 def csl(answers: DataFrame, compat: bool = False) -> DataFrame:
-    """Provider 2: one CSL record."""
+    """Provider 2: one CSL record. compat: a plain year is dropped."""
     x = F.col("x")
-    parsed = answers.where("status = 200").withColumn("x", F.from_json("body", _CSL)).where(x.isNotNull())
-    refs = F.transform(x["reference"], lambda r: clean_citation(reference_text(r)))
-    return _rows(parsed, DOI=strip_ws(x["DOI"]), title=_first_text(x["title"]), container_title=_first_text(x["container-title"]), author=F.when(F.size(x["author"]) > 0, authors(x["author"])), issued=issued_year(x["issued"]["date-parts"], compat=compat), volume=x["volume"], issue=x["issue"], page=x["page"], publisher=x["publisher"], abstract=x["abstract"], reference=F.when(F.size(refs) > 0, F.array_join(refs, "; ")), language=x["language"])
+    record = lambda v: F.struct(_text(v, "$.unstructured").alias("unstructured"), _text(v, "$.DOI").alias("DOI"))
+    said = lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), reference_text(record(v))).otherwise(F.try_variant_get(v, "$", "string"))
+    refs = F.filter(F.transform(_list(x, "$.reference"), lambda v: clean_citation(said(v))), lambda r: r.isNotNull() & (F.lower(r) != "none"))
+    listed = F.coalesce(F.when(F.size(refs) > 0, F.array_join(refs, "; ")), _text(x, "$.reference"))
+    issued = F.coalesce(_text(x, "$.issued['date-parts'][0][0]"), issued_year(F.lit(None).cast("array<array<int>>"), _text(x, "$.issued"), compat))
+    plain = {k: _text(x, f"$.{k}") for k in ("volume", "issue", "page", "publisher", "abstract", "language")}
+    return _rows(_parsed(answers), DOI=strip_ws(_text(x, "$.DOI")), title=_one(x, "$.title"), container_title=_one(x, "$['container-title']"), author=_people(x, "$.author"), issued=issued, reference=listed, **plain)
 
 
 def crossref(answers: DataFrame) -> DataFrame:
@@ -64,16 +98,17 @@ def crossref(answers: DataFrame) -> DataFrame:
 def works(answers: DataFrame, compat: bool = False) -> DataFrame:
     """Provider 4: a work. compat: its plain year is dropped."""
     x = F.col("x")
-    parsed = answers.where("status = 200").withColumn("x", F.from_json("body", _WORK)).where(x.isNotNull())
-    return _rows(parsed, DOI=x["doi"], title=x["display_name"], container_title=x["host_venue"]["display_name"], author=_names(F.transform(x["authorships"], lambda a: a["author"]["display_name"])), issued=issued_year(F.lit(None).cast("array<array<int>>"), x["publication_year"], compat), reference=F.array_join(x["referenced_works"], "; "))
+    people = F.transform(_list(x, "$.authorships"), lambda v: _text(v, "$.author.display_name"))
+    cited = F.transform(_list(x, "$.referenced_works"), lambda v: F.try_variant_get(v, "$", "string"))
+    return _rows(_parsed(answers), DOI=_text(x, "$.doi"), title=_text(x, "$.display_name"), container_title=_text(x, "$.host_venue.display_name"), author=_joined(people), issued=_year(x, "$.publication_year", compat), reference=F.array_join(cited, "; "))
 
 
 def papers(answers: DataFrame, compat: bool = False) -> DataFrame:
     """Provider 6: a paper; its DOI is the key. compat: its plain year is dropped."""
     x = F.col("x")
-    parsed = answers.where("status = 200").withColumn("x", F.from_json("body", _PAPER)).where(x.isNotNull())
-    refs = F.transform(x["reference"], lambda r: F.when(r["doi"] != "", r["doi"]))
-    return _rows(parsed, DOI=F.col("lookup"), title=x["title"], container_title=x["venue"], author=_names(F.transform(x["authors"], lambda a: a["name"])), issued=issued_year(F.lit(None).cast("array<array<int>>"), x["year"], compat), abstract=x["abstract"], reference=_names(refs))
+    people = F.transform(_list(x, "$.authors"), lambda v: _text(v, "$.name"))
+    refs = F.transform(_list(x, "$.reference"), lambda v: F.when(_text(v, "$.doi") != "", _text(v, "$.doi")))
+    return _rows(_parsed(answers), DOI=F.col("lookup"), title=_text(x, "$.title"), container_title=_text(x, "$.venue"), author=_joined(people), issued=_year(x, "$.year", compat), abstract=_text(x, "$.abstract"), reference=_joined(refs))
 
 
 def article_ids(conversions: DataFrame) -> DataFrame:
@@ -88,38 +123,13 @@ def search_ids(queries: DataFrame, searches: DataFrame) -> DataFrame:
     return queries.select("query").distinct().join(found, "query", "left").select("query", F.when(is_number(term), term).otherwise(F.col("found")).alias("id")).where("id is not null")
 
 
-def article_fields(xml: str) -> dict[str, str]:
-    """Canonical keys of one article's XML; {} if it can't be read."""
-    try:
-        root = ElementTree.fromstring(xml)
-    except ElementTree.ParseError:
-        return {}
-    whole = lambda e: "".join(e.itertext()).strip()
-    one = lambda path: (lambda e: whole(e) if e is not None else None)(root.find(path))
-    every = lambda path: [t for t in map(whole, root.iterfind(path)) if t]
-    people = []
-    for name in root.iterfind(".//contrib[@contrib-type='author']/name"):
-        parts = [name.findtext(p) for p in ("surname", "given-names")]
-        people.append((parts[0] or "") + (f", {parts[1]}" if parts[1] is not None else ""))
-    date = root.find(".//pub-date")
-    dois = [(r.findtext(".//pub-id[@pub-id-type='doi']") or "").strip() for r in root.iterfind(".//ref")]
-    found = {
-        "title": one(".//article-title"), "container-title": one(".//journal-title"), "language": root.get("{http://www.w3.org/XML/1998/namespace}lang"), "issued": date.findtext("year") if date is not None else None,
-        "abstract": one(".//abstract"), "author": "; ".join(p for p in people if p), "affiliation": "; ".join(every(".//aff")), "keywords": "; ".join(every(".//kwd")),
-        "corresponding-author": one(".//corresp"), "document-type": root.get("article-type"), "reference": "; ".join(d for d in dois if d),
-    }
-    return {k: v for k, v in found.items() if v}
-
-
 def articles(answers: DataFrame) -> DataFrame:
-    """Provider 3: article XML."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [{"lookup": d} | article_fields(b) for d, b in zip(batch["lookup"], batch["body"])]
-            yield pd.DataFrame([[r.get(k) for k in ("lookup", *KEYS)] for r in rows if len(r) > 1], columns=["lookup", *KEYS], dtype=object)
-
-    return answers.where("status = 200").select("lookup", "body").mapInPandas(parse, "lookup string, " + ", ".join(f"`{k}` string" for k in KEYS))
+    """Provider 3: article XML. What isn't well-formed, and an article without any of the fields, gives no row; what comes more than once is
+    joined by '; '."""
+    read = answers.where("status = 200").select("lookup", wrapped(F.col("body")).alias("xml")).where("xml is not null").withColumn("nodes", text_nodes(F.col("xml")))
+    found = fields(F.col("xml"), F.col("nodes"))
+    rows = read.select("lookup", *[found.get(k, F.lit(None)).cast("string").alias(k) for k in KEYS])
+    return rows.where(F.coalesce(*[F.col(f"`{k}`") for k in found]).isNotNull())
 
 
 def articles_by_key(conversions: DataFrame, answers: DataFrame) -> DataFrame:

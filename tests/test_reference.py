@@ -286,9 +286,9 @@ def test_article_xml(spark):
     xml = """<article xml:lang="en" article-type="research"><front><journal-title>J</journal-title><article-title>A <i>b</i></article-title><contrib contrib-type="author"><name><surname>S</surname><given-names>G</given-names></name></contrib>
     <contrib contrib-type="author"><name><surname>T</surname></name></contrib><aff>X <b>Y</b></aff><aff> </aff><pub-date><year>2003</year></pub-date><abstract>ab</abstract><kwd>k1</kwd><kwd>k2</kwd><corresp>c</corresp></front><ref><pub-id pub-id-type="doi"> d1 </pub-id></ref><ref/></article>"""
     want = {"title": "A b", "container-title": "J", "language": "en", "issued": "2003", "abstract": "ab", "author": "S, G; T", "affiliation": "X Y", "keywords": "k1; k2", "corresponding-author": "c", "document-type": "research", "reference": "d1"}
-    assert providers.article_fields(xml) == want
-    assert providers.article_fields("<broken") == {}
-    assert providers.articles(answers(spark, "PMC", xml)).first()["title"] == "A b"
+    row = providers.articles(answers(spark, "PMC", xml)).first().asDict()
+    assert {k: v for k, v in row.items() if v is not None} == want | {"lookup": "10.1/x"}
+    assert providers.articles(answers(spark, "PMC", "<broken")).count() == 0
 
 
 def test_fetch_gives_up(spark):
