@@ -127,8 +127,11 @@ def document_counts(hits: DataFrame) -> DataFrame:
 
 
 def overview(hits: DataFrame, keywords: KeywordSet) -> DataFrame:
-    """A row for each document, a column for each keyword in input order."""
-    return hits.groupBy("doc_id").pivot("keyword", list(keywords.words)).agg(F.sum("hits")).na.fill(0)
+    """A row for each document, a column for each keyword in input order; that of the keyword `doc_id` is named `doc_id.1`. A document whose
+    pages are all empty has zeros."""
+    counts = hits.groupBy("doc_id").pivot("keyword", list(keywords.words)).agg(F.sum("hits"))
+    counts = counts.toDF("doc_id", *[f"c{k}" for k in range(len(keywords.words))]).na.fill(0, [f"c{k}" for k in range(len(keywords.words))])
+    return counts.toDF("doc_id", *["doc_id.1" if w == "doc_id" else w for w in keywords.words])
 
 
 def totals(hits: DataFrame) -> DataFrame:

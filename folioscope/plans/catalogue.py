@@ -94,12 +94,10 @@ query("filter_basic", "SELECT doc_id, lower(regexp_replace(text, '[^a-zA-Z0-9 ]'
 query("filter_charset", f"SELECT doc_id, lower(translate(text, {_quoted(FILTER_CHARS)}, '')) AS clean FROM documents")(_filtered(FilterSpec.resolve(manual=FILTER_CHARS)))
 query("filter_none", "SELECT doc_id, lower(text) AS clean FROM documents")(_filtered(FilterSpec.resolve()))
 
-_LINES = ("The", "of", "THE", "", "On the", "by-nc", "of", "Error")
-
-
-@query("keyword_normalise", "SELECT lower(keyword) AS keyword, min(ord) AS ord FROM (VALUES " + ", ".join(f"({k}, {_quoted(w)})" for k, w in enumerate(_LINES)) + ") AS x(ord, keyword) WHERE trim(keyword) <> '' GROUP BY lower(keyword)")
+@query("keyword_normalise", "SELECT lower(source) AS keyword, min(doc_id) AS ord FROM documents WHERE trim(source) <> '' GROUP BY lower(source)")
 def keyword_normalise(spark, sf_dir):
-    return corpus.keyword_table(spark.createDataFrame(list(enumerate(_LINES)), "ord int, keyword string"))
+    """A line for each document, in capitals, with the line end of another system."""
+    return corpus.keyword_table(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.concat(F.upper("source"), F.lit("\r\n")).alias("keyword")))
 
 
 # --- keyword counts ------------------------------------------------------------------------------------------------
@@ -186,19 +184,20 @@ _RECORDS = """SELECT doc_id AS rec_id,
        CASE WHEN doc_id % 3 = 0 THEN 'wos' WHEN doc_id % 3 = 1 THEN 'scopus' ELSE 'pubmed' END AS db,
        CASE WHEN doc_id % 10 = 0 THEN '' WHEN doc_id % 10 = 1 THEN NULL WHEN doc_id % 10 = 2 THEN ' None '
             WHEN doc_id % 10 = 3 THEN concat(' 10.5555/d', CAST(doc_id AS {s}), '  ') ELSE concat('10.5555/d', CAST(doc_id AS {s})) END AS di,
-       CASE WHEN doc_id % 4 = 0 THEN 'none' ELSE substring(text, 1, 40) END AS ti,
+       CASE WHEN doc_id % 4 = 0 THEN 'none' ELSE text END AS ti,
        CASE WHEN doc_id % 5 = 0 THEN CAST(2000 + doc_id % 24 AS {s}) ELSE '' END AS py,
        CASE WHEN doc_id % 6 = 0 THEN NULL ELSE source END AS so,
        lang AS la,
        CASE WHEN doc_id % 7 = 0 THEN '12' ELSE '' END AS bp,
        '' AS ep
 FROM {documents}"""
-_OFFERS = """SELECT p.prio, concat('10.5555/d', CAST(doc_id AS {s})) AS doi,
-       CASE WHEN (doc_id + p.prio) % 3 = 0 THEN substring(text, 1, 30) WHEN (doc_id + p.prio) % 3 = 1 THEN 'none' ELSE NULL END AS title,
+#: Of every document six offers; every third is for a DOI that no record has.
+_OFFERS = """SELECT p.prio, concat('10.5555/', CASE WHEN (doc_id * 7 + p.prio) % 3 = 0 THEN 'x' ELSE 'd' END, CAST(doc_id AS {s})) AS doi,
+       CASE WHEN (doc_id + p.prio) % 3 = 0 THEN text WHEN (doc_id + p.prio) % 3 = 1 THEN 'none' ELSE NULL END AS title,
        CASE WHEN (doc_id * p.prio) % 5 = 0 THEN CAST(1990 + doc_id % 30 AS {s}) ELSE '' END AS issued,
        CASE WHEN (doc_id + p.prio) % 4 = 0 THEN concat('J-', source) ELSE NULL END AS container,
        CASE WHEN (doc_id + p.prio) % 2 = 0 THEN concat(CAST(doc_id % 90 AS {s}), '-', CAST(doc_id % 90 + p.prio AS {s})) ELSE '7' END AS pages
-FROM {documents} CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5, 6]) AS prio) p WHERE (doc_id * 7 + p.prio) % 3 <> 0"""
+FROM {documents} CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5, 6]) AS prio) p"""
 _STRIP = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 _MISSING = "({c} IS NULL OR lower(" + _STRIP + ") IN ('', 'none'))"
 _DOI_KEY = "concat('doi:', regexp_replace(lower(" + _STRIP.format(c="di") + "), '^https?://(dx\\.)?doi\\.org/', ''))"
@@ -272,13 +271,12 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 _W = "words AS (SELECT doc_id, lang, source, string_split(replace(text, chr(10), ' '), ' ') AS w FROM documents)"
 
 
-@query("authors", f"WITH {_W}, named AS (SELECT doc_id, [trim(concat(coalesce(w[1], ''), ', ', coalesce(w[2], '')), ', '), CASE WHEN doc_id % 2 = 0 THEN 'The Group' ELSE trim(concat('', ', ', coalesce(w[3], '')), ', ') END, ''] AS n FROM words) SELECT doc_id, array_to_string(list_filter(n, lambda x: x <> ''), '; ') AS authors FROM named")
+@query("authors", f"WITH {_W}, named AS (SELECT doc_id, list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i % 3 = 0 THEN concat('The ', w[i]) ELSE trim(concat(w[i], ', ', coalesce(w[i + 1], '')), ', ') END) AS n FROM words) SELECT doc_id, array_to_string(list_filter(n, lambda x: x <> ''), '; ') AS authors FROM named")
 def authors(spark, sf_dir):
-    person = lambda family, given, literal=F.lit(None).cast("string"): F.struct(family.alias("family"), given.alias("given"), literal.alias("literal"))
-    w = lambda k: F.get("w", F.lit(k))
-    none = F.lit(None).cast("string")
-    group = F.when(F.col("doc_id") % 2 == 0, F.lit("The Group"))
-    return _words(spark, sf_dir).select("doc_id", fn.authors(F.array(person(w(0), w(1)), person(none, w(2), group), person(none, none))).alias("authors"))
+    """Every word as a family name with the next one as given name, every third as the name of a group."""
+    w = lambda i: F.get("w", i)
+    person = lambda x, i: F.struct(x.alias("family"), w(i + 1).alias("given"), F.when(i % 3 == 2, F.concat(F.lit("The "), x)).alias("literal"))
+    return _words(spark, sf_dir).select("doc_id", fn.authors(F.transform("w", person)).alias("authors"))
 
 
 @query("issued_year", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CAST(1990 + doc_id % 30 AS VARCHAR) WHEN doc_id % 3 = 1 THEN CAST(doc_id AS VARCHAR) ELSE '' END AS year, CASE WHEN doc_id % 3 = 0 THEN CAST(1990 + doc_id % 30 AS VARCHAR) ELSE '' END AS compat_year FROM documents")
@@ -347,13 +345,13 @@ def references_list(spark, sf_dir):
 # --- providers -----------------------------------------------------------------------------------------------------
 
 
-@query("provider_json", "SELECT concat('10.9/', CAST(doc_id AS VARCHAR)) AS doi, substring(text, 1, 15) AS title, CASE WHEN doc_id % 2 = 0 THEN source ELSE NULL END AS container, concat(lang, '; ', source) AS author, CAST(1990 + doc_id % 30 AS VARCHAR) AS issued, concat('W', CAST(doc_id AS VARCHAR), '; W1') AS reference FROM documents WHERE doc_id % 4 <> 0")
+@query("provider_json", "SELECT concat('10.9/', CAST(doc_id AS VARCHAR)) AS doi, text AS title, CASE WHEN doc_id % 2 = 0 THEN source ELSE NULL END AS container, concat(lang, '; ', source) AS author, CAST(1990 + doc_id % 30 AS VARCHAR) AS issued, concat('W', CAST(doc_id AS VARCHAR), '; W1') AS reference FROM documents WHERE doc_id % 4 <> 0")
 def provider_json(spark, sf_dir):
     from ..sources import providers
 
     name = lambda c: F.struct(F.struct(c.alias("display_name")).alias("author"))
     venue = F.when(F.col("doc_id") % 2 == 0, F.struct(F.col("source").alias("display_name")))
-    body = F.to_json(F.struct(F.substring("text", 1, 15).alias("display_name"), venue.alias("host_venue"), F.array(name(F.col("lang")), name(F.col("source"))).alias("authorships"), (F.lit(1990) + F.col("doc_id") % 30).alias("publication_year"), F.array(F.concat(F.lit("W"), "doc_id"), F.lit("W1")).alias("referenced_works")))
+    body = F.to_json(F.struct(F.col("text").alias("display_name"), venue.alias("host_venue"), F.array(name(F.col("lang")), name(F.col("source"))).alias("authorships"), (F.lit(1990) + F.col("doc_id") % 30).alias("publication_year"), F.array(F.concat(F.lit("W"), "doc_id"), F.lit("W1")).alias("referenced_works")))
     answers = _table(spark, sf_dir, "documents").select(F.concat(F.lit("10.9/"), "doc_id").alias("lookup"), F.when(F.col("doc_id") % 4 == 0, 404).otherwise(200).alias("status"), body.alias("body"))
     return providers.works(answers).select(F.col("lookup").alias("doi"), "title", F.col("container-title").alias("container"), "author", "issued", "reference")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import fields as fn
 from ..operators import enrich as en
@@ -12,6 +13,7 @@ from ..operators import kwic, ocr, records, references
 from ..progress import answer_summary
 from ..sources import corpus, providers, sheets, sinks
 from ..sources import records as rec
+from ..sources.csv_files import lines_of
 from ..storage import fresh_path, written
 from .catalogue import _CITE, _COUNTS, _FILLS, _NAMES, _RECORDS, _STRIP, _UNION, _WORKS, KEYWORDS, _clean, _enrichment, _hits, _keywords, _kwic_sql, _quoted, _records, _sources, _table, _works, query
 
@@ -41,10 +43,13 @@ def files_recursive(spark, sf_dir):
     return corpus.files(spark, _by_source(spark, sf_dir), ".txt", recursive=True).select(_source().alias("source"), "length")
 
 
-@query("files_flat", "SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS length FROM documents WHERE source = (SELECT min(source) FROM documents) GROUP BY source")
+@query("files_flat", "SELECT count(*) > 0 AS found, CAST(sum(strlen(text) + 1) AS BIGINT) AS length FROM documents")
 def files_flat(spark, sf_dir):
-    first = _docs(spark, sf_dir).agg(F.min("source")).first()[0]
-    return corpus.files(spark, f"{_by_source(spark, sf_dir)}/source={first}", ".txt").select(F.lit(first).alias("source"), "length")
+    """Files of one folder; those of a folder in it aren't seen."""
+    path = fresh_path(spark, "flat")
+    for where in (path, f"{path}/inner"):
+        _docs(spark, sf_dir).select("text").write.mode("append").text(where)
+    return corpus.files(spark, path, ".txt").agg((F.count("*") > 0).alias("found"), F.sum("length").alias("length"))
 
 
 def _lines_of(content: bytes) -> list[str]:
@@ -58,13 +63,13 @@ def file_pages(spark, sf_dir):
     return found.select("doc_id", "page", "text")
 
 
-_LIST = ("The", "of", "THE", "", "On the", "by-nc", "of", "Error")
-
-
-@query("keyword_file", "SELECT * FROM (VALUES ('the', 0), ('of', 1), ('on the', 2), ('by-nc', 3), ('error', 4)) AS x(keyword, ord)")
+@query("keyword_file", "SELECT lower(source) AS keyword, CAST(row_number() OVER (ORDER BY min(doc_id)) - 1 AS INTEGER) AS ord FROM documents GROUP BY lower(source)")
 def keyword_file(spark, sf_dir):
+    """A list of all sources, in small letters and in capitals, with the line ends of another system and blank lines."""
     path = fresh_path(spark, "keywords")
-    spark.createDataFrame([("\n".join(_LIST),)], "value string").coalesce(1).write.text(path)
+    sources = _docs(spark, sf_dir).groupBy(F.lower("source").alias("source")).agg(F.min("doc_id").alias("first")).orderBy("first")
+    listed = sources.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "source"))), lambda x: F.concat(x["source"], F.lit("\r\n\r\n"), F.upper(x["source"]))), "\r\n").alias("value"))
+    listed.coalesce(1).write.text(path)
     words = corpus.normal_keywords(corpus.keyword_lines(path))
     return spark.createDataFrame([(w, k) for k, w in enumerate(words)], "keyword string, ord int")
 
@@ -90,8 +95,8 @@ def import_csv(spark, sf_dir):
     return rec.csv_records(spark, path)
 
 
-_LINE = "string_split(text, chr(10))[{k}]"
-_JOINED = "concat_ws(' ', " + ", ".join(_STRIP.format(c="nullif(" + _LINE.format(k=k) + ", '')") for k in (1, 2)) + ")"
+#: All lines of a text but blank ones, without white space at their ends, joined by a blank.
+_JOINED = "nullif(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: " + _STRIP.format(c="x") + "), lambda x: x <> ''), ' '), '')"
 
 
 def _tagged(spark: SparkSession, sf_dir: str, lines: list) -> str:
@@ -101,21 +106,21 @@ def _tagged(spark: SparkSession, sf_dir: str, lines: list) -> str:
     return path
 
 
-def _line(k: int, before: str) -> F.Column:
-    """Line k of the text behind some text, or an empty line."""
-    value = fn.strip_ws(F.get("l", F.lit(k)))
-    return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(before), value)).otherwise("")
+def _lines(first: str, more: str) -> F.Column:
+    """The text's lines that aren't blank, behind some text; an empty line if there are none."""
+    lines = F.filter(F.transform("l", fn.strip_ws), lambda x: x != "")
+    return F.when(F.size(lines) > 0, F.concat(F.lit(first), F.array_join(lines, "\n" + more))).otherwise("")
 
 
-@query("import_plaintext", f"SELECT CAST(doc_id AS VARCHAR) AS \"UT\", 'J' AS \"PT\", {_JOINED} AS \"TI\", concat(lang, ' ', source) AS \"AU\", 'wos' AS db FROM documents")
+@query("import_plaintext", f"SELECT CAST(doc_id AS VARCHAR) AS \"UT\", 'J' AS \"PT\", {_JOINED} AS \"TI\", concat(lang, '; ', source) AS \"AU\", 'wos' AS db FROM documents")
 def import_plaintext(spark, sf_dir):
-    path = _tagged(spark, sf_dir, [F.lit("FN export"), F.lit("PT J"), F.concat(F.lit("AU "), "lang"), F.concat(F.lit("   "), "source"), _line(0, "TI "), _line(1, "   "), F.concat(F.lit("UT "), "doc_id"), F.lit("ER")])
+    path = _tagged(spark, sf_dir, [F.lit("FN export"), F.lit("PT J"), F.concat(F.lit("AU "), "lang"), F.concat(F.lit("   "), "source"), _lines("TI ", "   "), F.concat(F.lit("UT "), "doc_id"), F.lit("ER")])
     return rec.tagged_records(rec.numbered_lines(spark, path), "plaintext", "wos", ["UT", "PT", "TI", "AU"]).drop("file", "record")
 
 
 @query("import_medline", f"SELECT CAST(doc_id AS VARCHAR) AS \"PMID\", {_JOINED} AS \"TI\", concat(lang, '; ', source) AS \"AU\", CAST(1990 + doc_id % 30 AS VARCHAR) AS \"PY\", 'pubmed' AS db FROM documents")
 def import_medline(spark, sf_dir):
-    path = _tagged(spark, sf_dir, [F.concat(F.lit("PMID- "), "doc_id"), F.concat(F.lit("FAU - "), "lang"), F.concat(F.lit("FAU - "), "source"), F.concat(F.lit("DP  - "), F.lit(1990) + F.col("doc_id") % 30), _line(0, "TI  - "), _line(1, "      ")])
+    path = _tagged(spark, sf_dir, [F.concat(F.lit("PMID- "), "doc_id"), F.concat(F.lit("FAU - "), "lang"), F.concat(F.lit("FAU - "), "source"), F.concat(F.lit("DP  - "), F.lit(1990) + F.col("doc_id") % 30), _lines("TI  - ", "      ")])
     return rec.tagged_records(rec.numbered_lines(spark, path), "medline", "pubmed", ["PMID", "TI", "AU", "PY"]).drop("file", "record")
 
 
@@ -146,27 +151,18 @@ def sink_overview(spark, sf_dir):
     return spark.read.csv(path, schema="doc_id long, " + ", ".join(f"`{w}` long" for w in KEYWORDS), header=True)
 
 
-@query("sink_text", "SELECT source, CAST(count(*) AS BIGINT) AS n_lines, md5(concat(string_agg(text, chr(10) ORDER BY doc_id), chr(10))) AS md5 FROM documents GROUP BY source UNION ALL SELECT '', 0, ''")
+@query("sink_text", """WITH texts AS (SELECT concat(source, '-', CAST(doc_id % 8 AS VARCHAR)) AS folder, doc_id, text FROM documents),
+lines AS (SELECT folder, 0 AS part, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM texts UNION ALL SELECT folder, 1, 0, '', 0 FROM texts GROUP BY folder)
+SELECT CAST(coalesce(sum(strlen(line) + 1) OVER (ORDER BY folder, part, doc_id, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", line FROM lines""")
 def sink_text(spark, sf_dir):
-    """Files of a folder one below the other, an empty line after each; read back as parts between empty lines."""
-    path = fresh_path(spark, "text")
-    sinks.write_lines(rec.concatenated_text(spark, f"{_by_source(spark, sf_dir)}/*"), path)
-    ordered = records.with_index(spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"), "file", "block", "at")
-    whole = file_text_parts(ordered)
-    docs = _docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n_lines"), F.md5(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n"), F.lit("\n"))).alias("md5"))
-    known = docs.join(whole, "md5", "left_semi").select("source", "n_lines", "md5")
-    return known.unionAll(spark.createDataFrame([("", 0, "")], "source string, n_lines long, md5 string"))
-
-
-def file_text_parts(lines: DataFrame) -> DataFrame:
-    """md5 of each run of lines that ends with an empty line; lines: index, value."""
-    ends = lines.where("value = ''").select(F.col("index").alias("end")).orderBy("end")
-    bounds = [r["end"] for r in ends.collect()]  # one for each file of the folder
-    part = F.lit(0)
-    for b in bounds:
-        part = part + F.when(F.col("index") > b, 1).otherwise(0)
-    kept = lines.where("value <> ''").withColumn("part", part)
-    return kept.groupBy("part").agg(F.md5(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "value"))), lambda x: x["value"]), "\n"), F.lit("\n"))).alias("md5"))
+    """Files of many folders one below the other as one text in parts, a line end after each; each line with the place of its first byte."""
+    files, path = fresh_path(spark, "files"), fresh_path(spark, "text")
+    rows = _docs(spark, sf_dir).select(F.concat("source", F.lit("-"), (F.col("doc_id") % 8).cast("string")).alias("folder"), "doc_id", "text")
+    rows.repartition("folder").sortWithinPartitions("folder", "doc_id").select("folder", "text").write.partitionBy("folder").text(files)
+    manifest = sinks.write_merged(rec.concatenated_text(spark, f"{files}/*"), path)
+    lines = lines_of(spark, path).withColumn("part", F.element_at(F.split("file", "/"), -1))
+    within = F.sum(F.octet_length("line") + 1).over(Window.partitionBy("part").orderBy("block", "line_no").rowsBetween(Window.unboundedPreceding, -1))
+    return lines.withColumn("within", F.coalesce(within, F.lit(0))).join(F.broadcast(manifest), "part").select((F.col("offset") + F.col("within")).alias("offset"), "line")
 
 
 @query("sink_indexed", f"SELECT index, rec_id, db, nullif(di, '') AS di FROM ({_UNION})")
@@ -201,7 +197,7 @@ def enrich_column_order(spark, sf_dir):
 
 # --- providers -----------------------------------------------------------------------------------------------------
 
-_T = "substring(text, 1, 15)"
+_T = "text"
 
 
 def _answers(spark: SparkSession, sf_dir: str, body: F.Column, prefix: str = "10.9/") -> DataFrame:
@@ -209,16 +205,12 @@ def _answers(spark: SparkSession, sf_dir: str, body: F.Column, prefix: str = "10
     return _docs(spark, sf_dir).select("doc_id", F.concat(F.lit(prefix), F.col("doc_id").cast("string")).alias("lookup"), F.when(F.col("doc_id") % 4 == 0, 404).otherwise(200).alias("status"), body.alias("body"))
 
 
-def _text(n: int = 15) -> F.Column:
-    return F.substring("text", 1, n)
-
-
 def _csl_body() -> F.Column:
     person = F.struct(F.col("lang").alias("family"), F.col("source").alias("given"))
     ref = F.struct(F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" 2) <b>"), "lang", F.lit("</b>"))).otherwise("").alias("unstructured"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("10.1/"), "source")).otherwise("").alias("DOI"))
     plain = F.struct(F.col("source").alias("unstructured"), F.lit(None).cast("string").alias("DOI"))
     dates = F.struct(F.array(F.array((F.lit(1990) + F.col("doc_id") % 30).cast("int"), F.lit(2))).alias("date-parts"))
-    return F.to_json(F.struct(F.concat(F.lit(" 10.9/"), "doc_id").alias("DOI"), F.array(_text()).alias("title"), F.col("source").alias("container-title"), F.array(person).alias("author"), dates.alias("issued"), F.lit("1-9").alias("page"), F.array(ref, plain).alias("reference")))
+    return F.to_json(F.struct(F.concat(F.lit(" 10.9/"), "doc_id").alias("DOI"), F.array(F.col("text")).alias("title"), F.col("source").alias("container-title"), F.array(person).alias("author"), dates.alias("issued"), F.lit("1-9").alias("page"), F.array(ref, plain).alias("reference")))
 
 
 #: A reference's leading number goes with its point, a DOI's too, as in the behaviour that is matched.
@@ -247,10 +239,10 @@ def provider_citations(spark, sf_dir):
     return providers.citation_list(_answers(spark, sf_dir, F.to_json(F.struct(cited.alias("citations"))))).select("lookup", "reference")
 
 
-@query("provider_paper", f"SELECT concat('10.9/', CAST(doc_id AS VARCHAR)) AS lookup, concat('10.9/', CAST(doc_id AS VARCHAR)) AS doi, {_T} AS title, source AS container, concat(lang, '; ', source) AS author, CAST(1990 + doc_id % 30 AS VARCHAR) AS issued, substring(text, 1, 40) AS abstract, CASE WHEN doc_id % 2 = 0 THEN '10.1/x' END AS reference FROM documents WHERE doc_id % 4 <> 0")
+@query("provider_paper", f"SELECT concat('10.9/', CAST(doc_id AS VARCHAR)) AS lookup, concat('10.9/', CAST(doc_id AS VARCHAR)) AS doi, {_T} AS title, source AS container, concat(lang, '; ', source) AS author, CAST(1990 + doc_id % 30 AS VARCHAR) AS issued, text AS abstract, CASE WHEN doc_id % 2 = 0 THEN '10.1/x' END AS reference FROM documents WHERE doc_id % 4 <> 0")
 def provider_paper(spark, sf_dir):
     refs = F.array(F.struct(F.when(F.col("doc_id") % 2 == 0, "10.1/x").otherwise("").alias("doi")))
-    body = F.to_json(F.struct(_text().alias("title"), F.col("source").alias("venue"), F.array(F.struct(F.col("lang").alias("name")), F.struct(F.col("source").alias("name"))).alias("authors"), (F.lit(1990) + F.col("doc_id") % 30).alias("year"), _text(40).alias("abstract"), refs.alias("reference")))
+    body = F.to_json(F.struct(F.col("text").alias("title"), F.col("source").alias("venue"), F.array(F.struct(F.col("lang").alias("name")), F.struct(F.col("source").alias("name"))).alias("authors"), (F.lit(1990) + F.col("doc_id") % 30).alias("year"), F.col("text").alias("abstract"), refs.alias("reference")))
     return providers.papers(_answers(spark, sf_dir, body)).select("lookup", F.col("DOI").alias("doi"), "title", F.col("container-title").alias("container"), "author", "issued", "abstract", "reference")
 
 
@@ -260,23 +252,23 @@ def _xml(c) -> F.Column:
 
 
 def _article() -> F.Column:
-    parts = ['<article xml:lang="', "lang", '" article-type="', "source", '"><front><journal-title>J ', _xml("source"), "</journal-title><article-title>T <i>", _xml(_text(30)), "</i></article-title>",
+    parts = ['<article xml:lang="', "lang", '" article-type="', "source", '"><front><journal-title>J ', _xml("source"), "</journal-title><article-title>T <i>", _xml(F.col("text")), "</i></article-title>",
              '<contrib contrib-type="author"><name><surname>', _xml("lang"), "</surname><given-names>G</given-names></name></contrib><contrib contrib-type=\"editor\"><name><surname>no</surname></name></contrib>",
              '<contrib contrib-type="author"><name><surname>', _xml("source"), "</surname></name></contrib><aff>A <b>", _xml("lang"), "</b></aff><aff> </aff><aff>B</aff><pub-date><year>", (F.lit(1990) + F.col("doc_id") % 30).cast("string"),
-             "</year></pub-date><pub-date><year>1</year></pub-date><abstract>", _xml(_text(200)), "</abstract><kwd>k1</kwd><kwd>", _xml("lang"), "</kwd><corresp>c ", _xml("source"), "</corresp></front>",
+             "</year></pub-date><pub-date><year>1</year></pub-date><abstract>", _xml(F.col("text")), "</abstract><kwd>k1</kwd><kwd>", _xml("lang"), "</kwd><corresp>c ", _xml("source"), "</corresp></front>",
              '<back><ref><pub-id pub-id-type="doi"> 10.1/', F.col("doc_id").cast("string"), ' </pub-id><pub-id pub-id-type="doi">no</pub-id></ref><ref><pub-id pub-id-type="pmid">5</pub-id></ref><ref><pub-id pub-id-type="doi">10.1/z</pub-id></ref></back>', F.when(F.col("doc_id") % 5 == 1, "").otherwise("</article>")]
     plain = ("lang", "source")
     return F.concat(*[F.col(p) if isinstance(p, str) and p in plain else F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-_ARTICLE_SQL = f"concat('T ', {_STRIP.format(c='substring(text, 1, 30)')}) AS title, concat('J ', source) AS container, lang AS language, CAST(1990 + doc_id % 30 AS VARCHAR) AS issued, {_STRIP.format(c='substring(text, 1, 200)')} AS abstract, concat(lang, ', G; ', source) AS author, concat('A ', lang, '; B') AS affiliation, concat('k1; ', lang) AS keywords, concat('c ', source) AS corresponding, source AS kind, concat('10.1/', CAST(doc_id AS VARCHAR), '; 10.1/z') AS reference"
+_ARTICLE_SQL = f"concat('T ', {_STRIP.format(c='text')}) AS title, concat('J ', source) AS container, lang AS language, CAST(1990 + doc_id % 30 AS VARCHAR) AS issued, {_STRIP.format(c='text')} AS abstract, concat(lang, ', G; ', source) AS author, concat('A ', lang, '; B') AS affiliation, concat('k1; ', lang) AS keywords, concat('c ', source) AS corresponding, source AS kind, concat('10.1/', CAST(doc_id AS VARCHAR), '; 10.1/z') AS reference"
 
 
 def _article_shown(rows: DataFrame) -> DataFrame:
     return rows.select("lookup", fn.strip_ws(F.col("title")).alias("title"), F.col("container-title").alias("container"), "language", "issued", "abstract", "author", "affiliation", "keywords", F.col("corresponding-author").alias("corresponding"), F.col("document-type").alias("kind"), "reference")
 
 
-@query("provider_article", f"SELECT concat('10.9/', CAST(doc_id AS VARCHAR)) AS lookup, {_ARTICLE_SQL} FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 5 <> 1".replace("concat('T ', regexp_replace(substring(text, 1, 30), '^\\s+|\\s+$', '', 'g'))", "regexp_replace(concat('T ', substring(text, 1, 30)), '^\\s+|\\s+$', '', 'g')"))
+@query("provider_article", f"SELECT concat('10.9/', CAST(doc_id AS VARCHAR)) AS lookup, {_ARTICLE_SQL} FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 5 <> 1".replace("concat('T ', regexp_replace(text, '^\\s+|\\s+$', '', 'g'))", "regexp_replace(concat('T ', text), '^\\s+|\\s+$', '', 'g')"))
 def provider_article(spark, sf_dir):
     """Every fifth article breaks off and can't be read."""
     return _article_shown(providers.articles(_answers(spark, sf_dir, _article())))
@@ -337,12 +329,12 @@ def provider_offers(spark, sf_dir):
 
 
 @query("enrich_references", f"""WITH records AS ({_RECORDS.format(s='VARCHAR', documents='documents')}), {_WORKS},
-parts AS (SELECT concat('10.5555/d', CAST(doc_id AS VARCHAR)) AS doi, concat(source, ' [1]') AS own, (SELECT citation FROM works WHERE id = concat('W', CAST(d.doc_id AS VARCHAR))) AS cited FROM documents d WHERE doc_id % 3 <> 0)
+parts AS (SELECT concat('10.5555/', CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE 'd' END, CAST(doc_id AS VARCHAR)) AS doi, concat(source, ' [1]') AS own, citation AS cited FROM documents JOIN works ON id = concat('W', CAST(doc_id AS VARCHAR)))
 SELECT rec_id, di AS "DI", CASE WHEN own IS NOT NULL THEN concat_ws('; ', own, cited) ELSE '' END AS "CR" FROM records LEFT JOIN parts ON trim(di) = doi""")
 def enrich_references(spark, sf_dir):
     rows = _records(spark, sf_dir).select("rec_id", F.col("di").alias("DI"), F.lit("").alias("CR"))
     text = F.concat(F.lit("2. <i>"), "source", F.lit("</i> [1]; W"), "doc_id", F.lit("; none; https://openalex.org/W-1"))
-    offers = _docs(spark, sf_dir).where("doc_id % 3 <> 0").select(F.lit(4).alias("prio"), F.concat(F.lit("10.5555/d"), "doc_id").alias("lookup"), text.alias("reference"))
+    offers = _docs(spark, sf_dir).select(F.lit(4).alias("prio"), F.concat(F.lit("10.5555/"), F.when(F.col("doc_id") % 3 == 0, "x").otherwise("d"), "doc_id").alias("lookup"), text.alias("reference"))
     return en.enrich(rows, offers, works=_works(spark, sf_dir)).table
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -58,16 +59,17 @@ def file_pages(spark: SparkSession, path: str, extractor: Extractor = pdf_extrac
 
 
 def text_pages(docs: DataFrame, lines: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, page (from 1) and text of blocks of lines. Pages are cut inside each row, without a shuffle."""
-    parts = F.split(F.col(text_col), "\n")
+    """doc_id, page (from 1) and text of blocks of lines. Pages are cut inside each row, without a shuffle. A null text is one empty page, as
+    an empty one is."""
+    parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     numbers = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / lines).cast("int"))
     blocks = F.transform(numbers, lambda p: F.array_join(F.slice(parts, p * lines + 1, lines), "\n"))
-    return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(blocks).alias("pos", "text")).select("doc_id", (F.col("pos") + 1).alias("page"), "text")
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(blocks).alias("pos", "text")).select("doc_id", (F.col("pos") + 1).alias("page"), "text")
 
 
 def separated_pages(docs: DataFrame, separator: str = "\f", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pages of texts that have a separator (a form feed) between pages."""
-    return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), separator)).alias("pos", "text")).select("doc_id", (F.col("pos") + 1).alias("page"), "text")
+    """Pages of texts that have a separator (a form feed) between pages. A null text is one empty page."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), separator)).alias("pos", "text")).select("doc_id", (F.col("pos") + 1).alias("page"), "text")
 
 
 def page_counts(pages: DataFrame) -> DataFrame:
@@ -75,17 +77,17 @@ def page_counts(pages: DataFrame) -> DataFrame:
 
 
 def keyword_lines(path: str | None = None, manual: str = "") -> list[str]:
-    """A file's lines if a path is given (of any storage that Spark reads), else the lines of the manual text."""
-    return (file_text(path) if path else manual).split("\n")
+    """A file's lines if a path is given (of any storage that Spark reads), else the lines of the manual text. Lines end with \\n, \\r\\n or \\r."""
+    return re.split("\r\n|\r|\n", file_text(path) if path else manual)
 
 
 def normal_keywords(lines: list[str]) -> list[str]:
     """In lower case, without line ends, each once in first order; blank ones are left out."""
-    found = list(dict.fromkeys(x.rstrip("\n").lower() for x in lines))
+    found = list(dict.fromkeys(x.rstrip("\r\n").lower() for x in lines))
     return [x for x in found if x.strip()]
 
 
 def keyword_table(lines: DataFrame, ord_col: str = "ord", keyword_col: str = "keyword") -> DataFrame:
     """The same for a table of lines: ord (the first position) and keyword."""
-    rows = lines.select(F.col(ord_col).alias("ord"), F.lower(F.rtrim(F.col(keyword_col), F.lit("\n"))).alias("keyword")).where(F.trim("keyword") != "")
+    rows = lines.select(F.col(ord_col).alias("ord"), F.lower(F.rtrim(F.col(keyword_col), F.lit("\r\n"))).alias("keyword")).where(F.trim("keyword") != "")
     return rows.groupBy("keyword").agg(F.min("ord").alias("ord"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..storage import written
-from .csv_files import read_csv
+from .csv_files import lines_of, read_csv
 
 #: Columns of a CSV export and the field tags that they become.
 CSV_TAGS = {
@@ -17,7 +17,9 @@ CSV_TAGS = {
 #: Tags of the second tagged-text format and the field tags that they become; others keep their names.
 MEDLINE_TAGS = {"TI": "TI", "JT": "SO", "FAU": "AU", "DP": "PY", "VI": "VL", "IP": "IS", "PG": "BP", "AB": "AB", "LA": "LA", "AD": "C1", "OT": "DE", "PT": "DT", "LID": "DI", "PMID": "PMID"}
 #: How lines of the two tagged formats look: tag and value of a tagged line, and the tag that begins a record.
-FORMATS = {"plaintext": (r"^([A-Z][A-Z0-9])(?: (.*))?$", "PT", {}), "medline": (r"^([A-Z]{2,4}) *- (.*)$", "PMID", MEDLINE_TAGS)}
+FORMATS = {"plaintext": (r"(?s)^([A-Z][A-Z0-9])(?: (.*))?$", "PT", {}), "medline": (r"(?s)^([A-Z]{2,4}) *- (.*)$", "PMID", MEDLINE_TAGS)}
+#: Tags of the first format of which each continued line is a value of its own.
+LIST_TAGS = ("AU", "AF", "C1", "CR")
 
 
 def csv_records(spark: SparkSession, path: str, tags: dict[str, str] | None = None, db: str = "scopus") -> DataFrame:
@@ -39,7 +41,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tagged_records(lines: DataFrame, kind: str = "plaintext", db: str = "wos", tags: list[str] | None = None) -> DataFrame:
-    """A row for each record of tagged text: columns by tag, repeated and continued values joined by '; ' and ' '.
+    """A row for each record of tagged text: columns by tag, repeated values joined by '; ', continued ones by ' ', or by '; ' where each line of
+    the tag is a value (authors, addresses, references).
 
     A record begins at its format's first tag; lines without a tag continue the value before; lines before the first record are left
     out. tags: the wanted columns (found by a job where not given). Blocks of a file are numbered each by itself; what a block begins in
@@ -55,18 +58,28 @@ def tagged_records(lines: DataFrame, kind: str = "plaintext", db: str = "wos", t
     carried = blocks.select(F.col("file").alias("of_file"), F.col("block").alias("of_block"), *[F.max(k).over(earlier).alias(f"carried_{k}") for k in marks])
     rows = rows.select("*", *[F.max(m).over(order).alias(k) for k, m in marks.items()]).join(carried, (F.col("file") == F.col("of_file")) & (F.col("block") == F.col("of_block")))
     rows = rows.select("file", place.alias("place"), "tag", "value", *[F.coalesce(k, f"carried_{k}").alias(k) for k in marks]).where("record is not null")
-    joined = lambda value, by, at: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda x: x[value]), by)
-    entries = rows.groupBy("file", "record", "entry").agg(F.max("tag").alias("tag"), joined("value", " ", "place").alias("value"))
+    listed = lambda value, at: F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda x: x[value])
+    entries = rows.groupBy("file", "record", "entry").agg(F.max("tag").alias("tag"), listed("value", "place").alias("lines"))
+    by = F.when(F.col("tag").isin(*LIST_TAGS), F.array_join("lines", "; ")) if kind == "plaintext" else F.lit(None)
+    entries = entries.select("file", "record", "entry", "tag", F.coalesce(by, F.array_join("lines", " ")).alias("value"))
     renamed: Column = F.col("tag")
     for old, new in names.items():
         renamed = F.when(F.col("tag") == old, F.lit(new)).otherwise(renamed)
     entries = entries.where(~F.col("tag").isin("EF", "ER", "FN", "VR")).withColumn("tag", renamed)
     wanted = tags or sorted(r["tag"] for r in entries.select("tag").distinct().collect())
-    values = entries.groupBy("file", "record", "tag").agg(joined("value", "; ", "entry").alias("value"))
+    values = entries.groupBy("file", "record", "tag").agg(F.array_join(listed("value", "entry"), "; ").alias("value"))
     return values.groupBy("file", "record").pivot("tag", wanted).agg(F.first("value")).withColumn("db", F.lit(db))
 
 
 def concatenated_text(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of all files of a folder, each file followed by an empty line: file, block, line_no, line."""
-    lines = numbered_lines(spark, path)
-    return lines.unionAll(lines.select("file").distinct().select("file", F.lit(2**63 - 1).alias("block"), F.lit(0).cast("long").alias("line_no"), F.lit("").alias("line")))
+    """Lines of all files of a folder, by path, each file followed by a line end: file, block, line_no, line.
+
+    So a file whose last line is ended is followed by an empty line, as is an empty file, and one whose last line isn't ended is followed by
+    nothing. Which of them it is shows by the files' lengths; nothing is read for it. \\r\\n and \\r become \\n, as when files are read as text."""
+    lines = lines_of(spark, path)
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), "length")
+    known = lines.groupBy("file").agg(F.sum(F.octet_length("line") + 1).alias("bytes"))  # a row a file
+    ended = files.join(known, "file", "left").where(F.coalesce("bytes", F.lit(0)) == F.col("length"))
+    plain = F.regexp_replace(F.regexp_replace("line", "\\r$", ""), "\\r", "\n")
+    last = ended.select("file", F.lit(2**63 - 1).alias("block"), F.lit(0).cast("long").alias("line_no"), F.lit("").alias("line"))
+    return lines.select("file", "block", "line_no", plain.alias("line")).unionAll(last)

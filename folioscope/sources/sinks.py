@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import enrich, records
 from ..progress import log
@@ -18,8 +19,8 @@ def write_contexts(contexts: DataFrame, path: str) -> None:
 
 
 def write_overview(overview: DataFrame, path: str) -> None:
-    """One CSV file, in order of documents: a row each, so small next to the corpus."""
-    overview.coalesce(1).sortWithinPartitions("doc_id").write.mode("overwrite").options(**CSV).csv(path)
+    """CSV files in order of documents, as parts in order."""
+    overview.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").options(**CSV).csv(path)
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
@@ -28,6 +29,16 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
 
 
+def write_merged(lines: DataFrame, path: str) -> DataFrame:
+    """The same, of any length, as parts that are one text when they are put one behind the other; returns the manifest: part (the file's
+    name), offset (of its first byte in the whole), bytes, in order. Nothing is gathered in one task but the manifest, a row a part."""
+    write_lines(lines, path)
+    found = lines.sparkSession.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.col("_metadata.file_name").alias("part"), F.col("length").alias("bytes"))
+    place = F.regexp_extract("part", "^part-([0-9]+)", 1).cast("long")
+    before = F.sum("bytes").over(Window.orderBy(place).rowsBetween(Window.unboundedPreceding, -1))
+    return found.select("part", F.coalesce(before, F.lit(0)).alias("offset"), "bytes").orderBy("offset", "part")
+
+
 def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:
     df.write.mode("overwrite").options(**(CSV if kind == "csv" else {})).format(kind).save(path)
     log.info("table written to %s", path)

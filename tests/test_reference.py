@@ -222,7 +222,7 @@ def test_columns(spark):
 def test_tagged_records(spark, tmp_path):
     (tmp_path / "x.txt").write_text("FN x\nVR 1.0\nPT J\nAU A, B\n   C, D\nTI One\n   two\nER\n\nPT J\nTI Three\nER\nEF\n")
     got = rec.tagged_records(rec.numbered_lines(spark, str(tmp_path))).orderBy("record").collect()
-    assert [(r["TI"], r["AU"]) for r in got] == [("One two", "A, B C, D"), ("Three", None)]
+    assert [(r["TI"], r["AU"]) for r in got] == [("One two", "A, B; C, D"), ("Three", None)]
     (tmp_path / "m").mkdir()
     (tmp_path / "m" / "y.txt").write_text("PMID- 1\nFAU - A, B\nFAU - C, D\nTI  - T\n\nPMID- 2\nTI  - U\n")
     got = rec.tagged_records(rec.numbered_lines(spark, str(tmp_path / "m")), "medline", "pubmed").orderBy("PMID").collect()
@@ -364,7 +364,7 @@ def test_tagged_text_in_blocks(spark, tmp_path):
         got = rec.tagged_records(lines, tags=["TI", "AU"]).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert sorted((r["TI"], r["AU"]) for r in got) == sorted((f"title {k} goes on {k}", "a b") for k in range(400))
+    assert sorted((r["TI"], r["AU"]) for r in got) == sorted((f"title {k} goes on {k}", "a; b") for k in range(400))
 
 
 # --- OCR
