@@ -32,7 +32,7 @@ MIN_COUNT, MAX_WORDS, INSIDE, TOP = 10, 3, 50, 2_000
 #: Bits of the broadcast bitmap (8 MB), and words that a task holds before it passes on what it has counted.
 BITS, HELD = 1 << 26, 1_500_000
 #: Parts of a language whose lists are cut to the length wanted before they meet in fewer parts, and at last in one.
-PARTS = (16, 4, 1)
+PARTS = (16, 4, 2, 1)
 #: What stands for the end of a piece among the words; no UTF-8 text has that byte.
 END = b"\xff"
 _TABLE = bytes(0xFF if c in b".,;:!?\x0a\x0b\x0c\x0d" else c + 32 if 65 <= c <= 90 else c for c in range(256))
