@@ -76,11 +76,12 @@ def concatenated_text(spark: SparkSession, path: str) -> DataFrame:
 
     So a file whose last line is ended is followed by an empty line, as is an empty file, and one whose last line isn't ended is followed by
     nothing. Which of them it is shows by the files' lengths; nothing is read for it. \\r\\n and \\r become \\n, as when files are read as text."""
-    lines = lines_of(spark, path)
-    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), "length")
+    one_way = F.regexp_replace("file", "^file:/+", "file:///")  # local paths are written in two ways
+    lines = lines_of(spark, path).withColumn("file", one_way)
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), "length").withColumn("file", one_way)
     known = lines.groupBy("file").agg(F.sum(F.octet_length("line") + 1).alias("bytes"))  # a row a file
     # readers leave out empty files; the driver has the paths of all
-    every = spark.createDataFrame([(f,) for f in spark.read.text(path).inputFiles()], "file string")
+    every = spark.createDataFrame([(f,) for f in spark.read.text(path).inputFiles()], "file string").select(one_way.alias("file"))
     ended = files.join(known, "file").where(F.col("bytes") == F.col("length")).select("file").unionAll(every.join(known, "file", "left_anti"))
     plain = F.regexp_replace(F.regexp_replace("line", "\\r$", ""), "\\r", "\n")
     last = ended.select("file", F.lit(2**63 - 1).alias("block"), F.lit(0).cast("long").alias("line_no"), F.lit("").alias("line"))

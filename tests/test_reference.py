@@ -130,7 +130,7 @@ def test_counting_is_one_scan_without_copies(spark):
 
 def test_pages(spark):
     docs = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, ""), (3, None)], "doc_id int, text string")
-    assert [tuple(r) for r in corpus.text_pages(docs, 3).orderBy("doc_id", "page").collect()] == [(1, 1, "a\nb\nc"), (1, 2, "d"), (2, 1, "")]
+    assert [tuple(r) for r in corpus.text_pages(docs, 3).orderBy("doc_id", "page").collect()] == [(1, 1, "a\nb\nc"), (1, 2, "d"), (2, 1, ""), (3, 1, "")]
     assert corpus.separated_pages(spark.createDataFrame([(1, "a\fb")], "doc_id int, text string")).count() == 2
 
 
