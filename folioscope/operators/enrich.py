@@ -93,6 +93,51 @@ def enrich(records: DataFrame, offers: DataFrame, rules: tuple[FieldRule, ...] =
     return Enrichment(table, changes.select("rec_id", "field", "old_value", "new_value", labels.alias("provider"), "prio", "map_pos"), rules)
 
 
+#: What a row of the versioned change log has besides its version.
+_CHANGE = ("old_value", "new_value", "provider", "prio", "map_pos")
+
+
+def first_version(changes: DataFrame) -> DataFrame:
+    """A change log as the first version of itself."""
+    return changes.select("rec_id", "field", F.lit(1).alias("version"), *_CHANGE)
+
+
+def latest(versions: DataFrame) -> DataFrame:
+    """The change log that holds: of each record and field the row of the highest version. old_value is what the field had before any version."""
+    found = versions.groupBy("rec_id", "field").agg(F.max_by(F.struct(*_CHANGE), "version").alias("x"))
+    return found.select("rec_id", "field", *[f"x.{c}" for c in _CHANGE])
+
+
+def enrich_again(table: DataFrame, versions: DataFrame, offers: DataFrame, rules: tuple[FieldRule, ...] = MAPPING, providers: tuple[str, ...] = PROVIDERS, works: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """A filled table and its versioned change log, after more offers: the table, and the log with a version more of each field whose value
+    changes. Both are as if all offers had been there from the start: an offer of a provider that comes before the one that filled a field takes its
+    place, one that comes later doesn't, and a field that is still missing is filled.
+
+    table: as `enrich` takes it, after earlier offers; versions: rec_id, field, version and the columns of a change log. Only the log is looked
+    at for what was there before, so a field that a user has filled by hand since stays. rec_id must tell the rows of table apart; rows with a
+    null one are filled as new and not logged against earlier versions. Without offers nothing changes."""
+    rules = tuple(r for r in rules if r.key in offers.columns)
+    if works is not None and "reference" in offers.columns:
+        offers = resolve_offers(offers, works)
+    order = [t for r in rules for t, _ in r.targets]
+    best = first_usable(offers.where(F.col("prio").between(1, len(providers))), rules).select("lookup", F.struct(*order).alias("best"))
+    held = versions.groupBy("rec_id", "field").agg(F.max_by(F.struct("version", *_CHANGE), "version").alias("x"))
+    known = held.groupBy(F.col("rec_id").alias("_rec")).agg(F.map_from_entries(F.collect_list(F.struct("field", "x"))).alias("known"))  # at most a row for each target
+    doi = F.when(~is_missing(F.col("DI")), strip_ws(F.col("DI")))
+    rows = table.select(F.struct(*[f"`{c}`" for c in table.columns]).alias("row"), doi.alias("doi")).join(best, F.col("doi") == F.col("lookup"), "left")
+    rows = rows.join(known, F.col("row.rec_id") == F.col("_rec"), "left")
+    now = {t: F.col(f"row.`{t}`") for t in order}
+    was = {t: F.when(F.col("known")[t]["new_value"].eqNullSafe(now[t].cast("string")), F.col("known")[t]) for t in order}
+    before = {t: F.when(was[t].isNotNull(), was[t]["old_value"]).otherwise(now[t].cast("string")) for t in order}
+    offered = {t: F.when(is_missing(before[t]), F.col(f"best.{t}")) for t in order}
+    wins = {t: offered[t].isNotNull() & (was[t].isNull() | (F.struct(offered[t]["prio"], offered[t]["value"]) < F.struct(was[t]["prio"].cast("int"), was[t]["new_value"]))) for t in order}
+    labels = lambda prio: F.element_at(F.array(*map(F.lit, providers)), prio.cast("int"))
+    change = lambda k, t: F.struct(F.lit(t).alias("field"), (F.coalesce(F.col("known")[t]["version"], F.lit(0)) + 1).alias("version"), before[t].alias("old_value"), offered[t]["value"].alias("new_value"), labels(offered[t]["prio"]).alias("provider"), offered[t]["prio"].alias("prio"), F.lit(k).alias("map_pos"), wins[t].alias("wins"))
+    log = rows.select("row.rec_id", F.inline(F.filter(F.array(*[change(k, t) for k, t in enumerate(order)]), lambda x: x["wins"])))
+    filled = rows.select(*[F.when(wins[c], offered[c]["value"]).otherwise(now[c]).alias(c) if c in now else F.col(f"row.`{c}`") for c in table.columns])
+    return filled, versions.select("rec_id", "field", "version", *_CHANGE).unionByName(log.select("rec_id", "field", "version", *_CHANGE))
+
+
 def column_counts(changes: DataFrame) -> DataFrame:
     """Edits of each field, and the first edit's place (row, provider, mapping), by which fields are listed."""
     return changes.groupBy("field").agg(F.count("*").alias("edits"), F.min(F.struct("rec_id", "prio", "map_pos")).alias("first_edit"))

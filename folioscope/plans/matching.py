@@ -1,16 +1,20 @@
-"""Registered queries of records that are one by any key, long keyword lists, works that very many refer to, and exports of mixed columns."""
+"""Registered queries of records that are one by any key, long keyword lists, works that very many refer to, exports of mixed columns, and of what is
+run again: enrichment with more offers, counts of documents that are sent again."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import enrich as en
 from ..operators import keywords as kw
 from ..operators import records, references
+from ..sources import corpus, sinks
 from ..sources import records as rec
-from ..sources import sinks
-from ..storage import fresh_path
-from .catalogue import _CITE, _MISSING, _PAGES, _STRIP, _WORKS, _clean, _table, _works, query
+from ..storage import fresh_path, written
+from ..streaming import corrections
+from ..streaming.keywords import stream_documents
+from .catalogue import _CITE, _FILLS, _HITS, _MISSING, _NAMES, _PAGES, _RULES, _STRIP, _WORKS, ORACLE_SQL, _clean, _keywords, _offers, _records, _table, _works, query
 
 # --- exports of mixed columns --------------------------------------------------------------------------------------
 
@@ -105,3 +109,72 @@ def references_hot(spark, sf_dir):
     hot = docs.agg(F.concat(F.lit("W"), F.min("doc_id")).alias("hot"))
     rows = docs.crossJoin(F.broadcast(hot)).select(F.col("doc_id").alias("rec_id"), F.array(F.col("source"), F.col("hot"), F.concat(F.lit("W"), "doc_id"), F.concat(F.lit("https://openalex.org/"), "hot")).alias("refs"))
     return references.resolve(rows, F.col("refs"), _works(spark, sf_dir))
+
+
+# --- enrichment run again ------------------------------------------------------------------------------------------
+
+#: The same fills by the offers of later providers alone, from which the second run starts.
+_EARLIER = _FILLS[_FILLS.index("fills AS (") :].replace("fills AS (", "earlier AS (", 1).replace("JOIN offers o", "JOIN (SELECT * FROM offers WHERE prio >= 3) o")
+_SHOWN = "rec_id, field, version, old_value, new_value, {names} AS provider, CAST(prio AS INTEGER) AS prio, CAST(map_pos AS INTEGER) AS map_pos"
+
+
+def _run_twice(spark, sf_dir):
+    """Offers of the last four providers, then those of the first two."""
+    rows = _records(spark, sf_dir).select("rec_id", "db", *[F.col(c.lower()).alias(c) for c in ("DI", "TI", "PY", "SO", "LA", "BP", "EP")])
+    offers = _offers(spark, sf_dir).select("prio", F.col("doi").alias("lookup"), "title", "issued", F.col("container").alias("container-title"), F.col("pages").alias("page"))
+    first = en.enrich(rows, offers.where("prio >= 3"), _RULES)
+    table, log = written(first.table, "enriched"), written(en.first_version(first.changes), "change-log")
+    return en.enrich_again(table, log, offers.where("prio < 3"), _RULES)
+
+
+@query("enrich_again", ORACLE_SQL["enrich_fill"])
+def enrich_again(spark, sf_dir):
+    """The table after two runs is that of one run over all offers."""
+    return _run_twice(spark, sf_dir)[0]
+
+
+@query("enrich_versions", f"WITH {_FILLS}, {_EARLIER}, versions AS (SELECT 1 AS version, * FROM earlier UNION ALL SELECT CASE WHEN e.rec_id IS NULL THEN 1 ELSE 2 END, f.* FROM fills f LEFT JOIN earlier e ON e.rec_id = f.rec_id AND e.field = f.field WHERE e.rec_id IS NULL OR e.prio <> f.prio) SELECT {_SHOWN.format(names=_NAMES)} FROM versions")
+def enrich_versions(spark, sf_dir):
+    return _run_twice(spark, sf_dir)[1]
+
+
+# --- a growing corpus with corrections -----------------------------------------------------------------------------
+
+_LAST = _PAGES.replace("FROM documents", "FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS text FROM documents)")
+
+
+@query("stream_corrections", f"WITH {_HITS.replace(_PAGES, _LAST)} SELECT ord, keyword, CAST(sum(hits) AS BIGINT) AS hits FROM hits GROUP BY ord, keyword")
+def stream_corrections(spark, sf_dir):
+    """Every document comes twice, first with other words; every fifth is taken out by a third version. They arrive in a stream of several batches."""
+    docs = _table(spark, sf_dir, "documents")
+    sent = docs.select("doc_id", F.explode(F.array(*map(F.lit, range(3)))).alias("version"), "text")
+    sent = sent.where("version < 2 or doc_id % 5 = 0").select("doc_id", F.col("version").cast("long").alias("version"), F.when(F.col("version") == 0, F.concat(F.lit(" the error of "), "text", F.lit(" the \n of "))).when(F.col("version") == 1, F.col("text")).alias("text"))
+    path = fresh_path(spark, "stream")
+    sent.repartition(12, "version", F.col("doc_id") % 4).write.parquet(f"{path}/in")
+    arriving = stream_documents(spark, f"{path}/in", "doc_id long, version long, text string", files_a_batch=4)
+    corrections.start(corrections.changes(arriving, _keywords()), f"{path}/changes", f"{path}/checkpoint").awaitTermination()
+    return corrections.totals(spark.read.schema(corrections.CHANGES).parquet(f"{path}/changes"), _keywords())
+
+
+# --- paged text files ----------------------------------------------------------------------------------------------
+
+_PAGED = "paged AS (SELECT concat('folder=', source, '-', CAST(doc_id % 8 AS VARCHAR)) AS doc_id, CAST(row_number() OVER (PARTITION BY source, doc_id % 8 ORDER BY doc_id) AS INTEGER) AS page, text FROM documents)"
+
+
+def _paged(spark, sf_dir) -> str:
+    """Files of many folders, each with the texts of some documents as its pages."""
+    path = fresh_path(spark, "paged-files")
+    rows = _table(spark, sf_dir, "documents").select(F.concat("source", F.lit("-"), (F.col("doc_id") % 8).cast("string")).alias("folder"), "doc_id", "text")
+    rows.repartition("folder").sortWithinPartitions("folder", "doc_id").select("folder", "text").write.option("lineSep", "\f").partitionBy("folder").text(path)
+    return f"{path}/*"
+
+
+@query("paged_files", f"WITH {_PAGED} SELECT doc_id, page, text FROM paged")
+def paged_files(spark, sf_dir):
+    return corpus.paged_files(spark, _paged(spark, sf_dir), folder=True)
+
+
+@query("paged_files_range", f"WITH {_PAGED} SELECT doc_id, page, text FROM paged WHERE page BETWEEN 2 AND 4")
+def paged_files_range(spark, sf_dir):
+    """The second to fourth page of every file."""
+    return corpus.paged_files(spark, _paged(spark, sf_dir), (2, 4), folder=True)

@@ -6,10 +6,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..storage import file_text
+from ..storage import file_text, written
 
 #: Turns the bytes of a file into its page texts.
 Extractor = Callable[[bytes], list[str]]
@@ -58,13 +59,17 @@ def file_pages(spark: SparkSession, path: str, extractor: Extractor = pdf_extrac
     return found.select(F.element_at(F.split("path", "/"), -2 if folder else -1).alias("doc_id"), "content").mapInPandas(extract, "doc_id string, page int, text string")
 
 
+def page_texts(text: Column, lines: int = 3) -> Column:
+    """The texts of a text's blocks of lines, as an array; a null text is one empty block."""
+    parts = F.split(F.coalesce(text, F.lit("")), "\n")
+    numbers = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / lines).cast("int"))
+    return F.transform(numbers, lambda p: F.array_join(F.slice(parts, p * lines + 1, lines), "\n"))
+
+
 def text_pages(docs: DataFrame, lines: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, page (from 1) and text of blocks of lines. Pages are cut inside each row, without a shuffle. A null text is one empty page, as
     an empty one is."""
-    parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    numbers = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / lines).cast("int"))
-    blocks = F.transform(numbers, lambda p: F.array_join(F.slice(parts, p * lines + 1, lines), "\n"))
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(blocks).alias("pos", "text")).select("doc_id", (F.col("pos") + 1).alias("page"), "text")
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(page_texts(F.col(text_col), lines)).alias("pos", "text")).select("doc_id", (F.col("pos") + 1).alias("page"), "text")
 
 
 def separated_pages(docs: DataFrame, separator: str = "\f", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,6 +77,25 @@ def separated_pages(docs: DataFrame, separator: str = "\f", id_col: str = "doc_i
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), separator)).alias("pos", "text")).select("doc_id", (F.col("pos") + 1).alias("page"), "text")
 
 
+def paged_files(spark: SparkSession, path: str, pages: tuple[int, int] | None = None, separator: str = "\f", folder: bool = False) -> DataFrame:
+    """doc_id (the file's name, or its folder's), page (from 1) and text of text files whose pages end with a separator, a form feed.
+
+    Large files are read by several tasks, a block each; a page's number is its place in its block and the pages of the blocks before, of which
+    there is a row each. pages: the first and the last page wanted; blocks that have none of them are left out before their rows are. A last page that
+    isn't ended counts, an empty one behind the last separator doesn't; a file without any byte has no pages."""
+    rows = spark.read.option("lineSep", separator).text(path)
+    named = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("text"))
+    placed = written(named, "paged")
+    blocks = placed.groupBy("file", "block").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"), "n")
+    if pages:
+        blocks = blocks.where((F.col("before") < pages[1]) & (F.col("before") + F.col("n") >= pages[0]))
+    page = (F.col("before") + F.col("row") - F.col("first") + 1).cast("int")
+    found = placed.join(blocks, ["file", "block"]).select(F.element_at(F.split("file", "/"), -2 if folder else -1).alias("doc_id"), page.alias("page"), "text")
+    return found.where(F.col("page").between(*pages)) if pages else found
+
+
 def page_counts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
 

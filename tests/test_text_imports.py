@@ -43,11 +43,13 @@ def test_merged_text_is_exact(spark, tmp_path):
     want = "".join(t.replace("\r\n", "\n").replace("\r", "\n") + "\n" for t in texts).encode()
     spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         manifest = sinks.write_merged(records.concatenated_text(spark, str(tmp_path / "in")), str(tmp_path / "out")).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert hashlib.sha256(merged(tmp_path / "out")).digest() == hashlib.sha256(want).digest()
     assert len(manifest) > 1 and [m["part"] for m in manifest] == sorted(p.name for p in (tmp_path / "out").glob("part-*"))
     for m in manifest:
