@@ -66,12 +66,12 @@ def tokens_ws(text: Column) -> Column:
     return F.filter(F.split(text, f"{WS}+"), lambda x: x != "")
 
 
-def collapse_phrase(tokens: Column, phrase: str) -> Column:
+def collapse_phrase(tokens: Column, phrase: Column | str) -> Column:
     """Tokens with each run of the phrase's words, left to right and not overlapping, made one token."""
-    words = phrase.split()
-    marked = F.array_join(F.transform(tokens, lambda x: F.concat(F.lit("\x01"), x, F.lit("\x01"))), "")
-    run = "".join(f"\x01{w}\x01" for w in words)
-    joined = F.replace(marked, F.lit(run), F.lit(f"\x01{' '.join(words)}\x01"))
+    words = tokens_ws(phrase) if isinstance(phrase, Column) else F.array(*map(F.lit, phrase.split()))
+    mark = lambda x: F.concat(F.lit("\x01"), x, F.lit("\x01"))
+    marked = F.array_join(F.transform(tokens, mark), "")
+    joined = F.replace(marked, F.array_join(F.transform(words, mark), ""), mark(F.array_join(words, " ")))
     return F.when(F.size(tokens) == 0, tokens).otherwise(F.split(F.substring(joined, F.lit(2), F.length(joined) - 2), "\x01\x01"))
 
 

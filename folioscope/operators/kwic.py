@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import context_slice, half_window, hit_count, keyword_class, keyword_tokens
+from ..functions.text import collapse_phrase, context_slice, half_window, hit_count, keyword_class, keyword_tokens, tokens_dash_blank, tokens_ws
+from ..storage import written
+from . import keywords as kw
 from .keywords import KeywordSet
 
 
@@ -20,8 +22,11 @@ def hit_pages(pages: DataFrame, keyword: str, regex: bool = True) -> DataFrame:
 def contexts(pages: DataFrame, keywords: KeywordSet, length: int = 30, compat: bool = False) -> DataFrame:
     """keyword, doc_id, page, pos (of the token, from 0) and context, for every token equal to a keyword on pages with a hit.
 
-    Contexts are cut inside each page's row; only pages that may have a hit of any keyword are read further."""
+    Contexts are cut inside each page's row; only pages that may have a hit of any keyword are read further. For long lists, see
+    `listed_contexts`."""
     keywords.validate(pages)
+    if len(keywords.words) > kw.INLINE_WORDS:
+        return listed_contexts(pages, keywords, length, compat)
     pattern = keywords.prefilter()
     pages = pages.where(F.col("text").rlike(pattern)) if pattern else pages
     # tokens of each kind are a column, made once a page and only where a keyword of the kind has a hit
@@ -40,10 +45,26 @@ def contexts(pages: DataFrame, keywords: KeywordSet, length: int = 30, compat: b
     return made.select("keyword", "doc_id", "page", "pos", "context")
 
 
-def _contexts_of(word: str, tokens: Column, half: int, compat: bool) -> Column:
+def listed_contexts(pages: DataFrame, keywords: KeywordSet, length: int = 30, compat: bool = False) -> DataFrame:
+    """The same as `contexts` for lists of any length: what a page has of the list is found as by `keywords.listed_hits`, and its contexts are cut in
+    its row, to which the few keywords that it has are joined once. A null text has none; no pages give no rows."""
+    numbered = written(pages.select("doc_id", "page", "text").withColumn("number", F.monotonically_increasing_id()), "pages")
+    had = kw.listed_hits(numbered, keywords, ("number",)).groupBy("number").agg(F.array_sort(F.collect_list("keyword")).alias("had"))
+    rows = numbered.join(had, "number").select("doc_id", "page", "had", tokens_dash_blank(F.col("text")).alias("t"), tokens_ws(F.col("text")).alias("w"))
+    half = half_window(length)
+
+    def each(word: Column) -> Column:
+        tokens = F.when(F.contains(word, F.lit("-")), F.col("w")).when(F.contains(word, F.lit(" ")), collapse_phrase(F.col("t"), word)).otherwise(F.col("t"))
+        return _contexts_of(word, tokens, half, compat)
+
+    return rows.select("doc_id", "page", F.inline(F.flatten(F.transform("had", each)))).select("keyword", "doc_id", "page", "pos", "context")
+
+
+def _contexts_of(word: Column | str, tokens: Column, half: int, compat: bool) -> Column:
     """(keyword, pos, context) of each token equal to the word."""
-    places = F.filter(F.transform(tokens, lambda x, i: F.when(x == F.lit(word), i)), lambda i: i.isNotNull())
-    return F.transform(places, lambda i: F.struct(F.lit(word).alias("keyword"), i.alias("pos"), context_slice(tokens, i, half, compat).alias("context")))
+    word = F.lit(word) if isinstance(word, str) else word
+    places = F.filter(F.transform(tokens, lambda x, i: F.when(x == word, i)), lambda i: i.isNotNull())
+    return F.transform(places, lambda i: F.struct(word.alias("keyword"), i.alias("pos"), context_slice(tokens, i, half, compat).alias("context")))
 
 
 def contexts_by_frame(pages: DataFrame, keyword: str, length: int = 30) -> DataFrame:

@@ -17,7 +17,8 @@ from ..sources.csv_files import lines_of
 from ..storage import fresh_path, written
 from .catalogue import _CITE, _COUNTS, _FILLS, _NAMES, _RECORDS, _STRIP, _UNION, _WORKS, KEYWORDS, _clean, _enrichment, _hits, _keywords, _kwic_sql, _quoted, _records, _sources, _table, _works, query
 
-_RULE = "-" * 34
+#: Fixed value: the rule line of a change report.
+_RULE = "----------------------------------"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:

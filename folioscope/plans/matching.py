@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import enrich as en
 from ..operators import keywords as kw
-from ..operators import records, references
+from ..operators import kwic, records, references
 from ..sources import corpus, sinks
 from ..sources import records as rec
 from ..storage import fresh_path, written
@@ -97,6 +97,26 @@ def keyword_long_list(spark, sf_dir):
     return kw.listed_hits(pages, _long_list(pages)).select("doc_id", "page", "keyword", "hits")
 
 
+#: A list of plain words of medium frequency: so many, after so many that are more frequent.
+_SOME_WORDS, _SKIPPED = 400, 600
+
+
+@query("kwic_long_list", f"""WITH {_PAGES}, cut AS (SELECT doc_id, page, lower(text) AS text, regexp_split_to_array(lower(text), {_BLANKS}) AS t FROM pages),
+inner_words AS (SELECT doc_id, page, unnest(t[2 : len(t) - 1]) AS w FROM cut WHERE len(t) >= 3),
+listed AS (SELECT w FROM inner_words WHERE regexp_full_match(w, '[a-z]+') GROUP BY w ORDER BY count(*) DESC, w LIMIT {_SOME_WORDS} OFFSET {_SKIPPED}),
+hits AS (SELECT DISTINCT doc_id, page, w FROM inner_words JOIN listed USING (w)),
+tokens AS (SELECT doc_id, page, t, unnest(range(len(t))) AS pos, unnest(t) AS w FROM (SELECT doc_id, page, regexp_split_to_array(text, '[- ]') AS t FROM cut))
+SELECT w AS keyword, doc_id, CAST(page AS INTEGER) AS page, CAST(pos AS INTEGER) AS pos, array_to_string(t[greatest(pos - 15, 0) + 1 : pos + 15], ' ') AS context FROM tokens JOIN hits USING (doc_id, page, w)""")
+def kwic_long_list(spark, sf_dir):
+    """Contexts of hundreds of keywords at once."""
+    pages = _clean(spark, sf_dir)
+    blank = "[ \\t\\n\\x0B\\f\\r]"
+    cut = pages.select(F.split("text", blank).alias("t")).where(F.size("t") >= 3)
+    words = cut.select(F.explode(F.slice("t", 2, F.size("t") - 2)).alias("w")).where(F.regexp_like("w", F.lit("^[a-z]+$")))
+    listed = [r["w"] for r in words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").offset(_SKIPPED).limit(_SOME_WORDS).collect()]
+    return kwic.contexts(pages, kw.KeywordSet.of(listed), 30)
+
+
 # --- works that very many refer to ---------------------------------------------------------------------------------
 
 

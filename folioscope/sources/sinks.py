@@ -53,7 +53,7 @@ def write_indexed(df: DataFrame, path: str, *order: str) -> None:
 def change_report(changes: DataFrame) -> DataFrame:
     """Fixed values in the wording. Lines of the change log and their order: title, numbers, each field's edits, then every change."""
     spark = changes.sparkSession
-    rule = "-" * 34
+    rule = "----------------------------------"
     head = spark.createDataFrame([(0, "Changelog of Spreadsheet Updates"), (1, rule), (2, ""), (5, ""), (6, "Detailed Changes:")], "part int, line string")
     head = head.select("part", F.lit(0).cast("long").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"), F.lit(0).alias("d"), "line")
     total = enrich.changed_rows(changes).select(F.lit(3).alias("part"), F.lit(0).cast("long").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"), F.lit(0).alias("d"), F.concat(F.lit("Total records changed: "), "changed_rows").alias("line"))

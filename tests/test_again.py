@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,14 +79,18 @@ def test_stream_takes_back_what_is_sent_again(spark, tmp_path):
     words, r = keywords.KeywordSet.of(["the", "of", "no"]), random.Random(3)
     text = lambda: r.choice([None, "".join(r.choice([" the ", " of ", "x ", "\n"]) for _ in range(r.randrange(30)))])
     batches = [[(r.choice([None, *range(8)]), r.choice([None, *range(5)]), text()) for _ in range(12)] for _ in range(5)]
+
+    def count(t):
+        lines = (t or "").split("\n")
+        pages = ["\n".join(lines[i : i + 3]) for i in range(0, len(lines), 3)]
+        return [sum(len(re.findall(rf"\s{w}\s", p)) for p in pages) for w in words.words]
+
     last = {}
     for batch in batches:
         new = {}
         for d, v, t in batch:
             if v is not None and (d not in last or v > last[d][0]):
                 new.setdefault((d, v), []).append(t)
-        count = lambda t: [n for (n,) in [(sum(len(__import__("re").findall(rf"\s{w}\s", "\n".join(p))) for p in pages(t)),) for w in words.words]]
-        pages = lambda t: [((t or "").split("\n"))[i : i + 3] for i in range(0, len((t or "").split("\n")), 3)]
         for (d, v), ts in sorted(new.items(), key=lambda x: x[0][1]):
             last[d] = (v, min(map(count, ts)))
     for k, batch in enumerate(batches):

@@ -238,3 +238,19 @@ def test_only_works_that_are_referred_to_are_formatted(spark):
     rows = spark.createDataFrame([(1, ["W1"])], "rec_id long, refs array<string>")
     plan = references.resolve(rows, F.col("refs"), works)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search("LeftSemi", plan)
+
+
+def test_contexts_of_long_lists(spark, monkeypatch):
+    from folioscope.operators import kwic
+
+    r = random.Random(6)
+    texts = [None, "", " on the on the ", "x-y a x-y "] + ["".join(r.choice(["the", "of", "on", "x-y", "é", "abc"]) + r.choice([" ", " ", "  ", "\t", "\n", "-"]) for _ in range(r.randrange(50))) for _ in range(80)]
+    pages = spark.createDataFrame([(k, 1, f" {t}" if t else t) for k, t in enumerate(texts)], "doc_id long, page int, text string")
+    listed = keywords.KeywordSet.of(["the", "on the", "x-y", "of on the", "é", "on  the", "zz"])
+    for compat in (False, True):
+        want = {tuple(x) for x in kwic.contexts(pages, listed, 7, compat).collect()}
+        monkeypatch.setattr(keywords, "INLINE_WORDS", 2)
+        got = kwic.contexts(pages, listed, 7, compat)
+        assert got.columns == ["keyword", "doc_id", "page", "pos", "context"]
+        assert {tuple(x) for x in got.collect()} == want and len({x[0] for x in want}) >= 4
+        monkeypatch.undo()
