@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +26,38 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/folioscope/{name}-{uuid.uuid4().hex}"
 
 
+_recorders: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that are written meanwhile."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders.remove(paths)
+
+
+def remove_unread(spark: SparkSession, paths: list[str], used: DataFrame) -> list[str]:
+    """Delete tables at paths, but for those that `used` reads from; returns the paths that stay."""
+    names = [p.rsplit("/", 1)[-1] for p in paths]  # a name of its own each
+    read = {n for n in names for f in used.inputFiles() if f"/{n}/" in f}
+    for path, name in zip(paths, names):
+        if name not in read:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return [p for p, n in zip(paths, names) if n in read]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts the lineage, and lost executors lose nothing of it."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    for paths in _recorders:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
