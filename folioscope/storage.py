@@ -37,7 +37,7 @@ def recorded() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _recorders.remove(paths)
+        _recorders[:] = [x for x in _recorders if x is not paths]
 
 
 def remove_unread(spark: SparkSession, paths: list[str], used: DataFrame) -> list[str]:

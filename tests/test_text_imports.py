@@ -65,3 +65,18 @@ def test_documents_without_text_have_zeros(spark):
     assert found.columns == ["doc_id", "the", "doc_id.1", "of"]
     assert {tuple(r) for r in found.collect()} == {(1, 0, 0, 0), (2, 0, 0, 0), (3, 1, 0, 1)}
     assert {tuple(r) for r in corpus.separated_pages(docs).collect()} >= {(1, 1, ""), (2, 1, "")}
+
+
+def test_tables_that_nothing_reads_are_removed(spark):
+    import os
+
+    from folioscope import storage
+
+    rows = spark.range(5)
+    with storage.recorded() as outer, storage.recorded() as inner:
+        first, second = storage.written(rows, "first"), storage.written(rows, "second")
+    third = storage.written(rows, "third")
+    assert len(inner) == 2 and outer == inner
+    assert storage.remove_unread(spark, inner, second.where("id > 1")) == [inner[1]]
+    assert [os.path.exists(p.removeprefix("file://")) for p in inner] == [False, True]
+    assert second.count() == third.count() == 5 and first is not None
