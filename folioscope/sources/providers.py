@@ -126,10 +126,12 @@ def search_ids(queries: DataFrame, searches: DataFrame) -> DataFrame:
 def articles(answers: DataFrame) -> DataFrame:
     """Provider 3: article XML. What isn't well-formed, and an article without any of the fields, gives no row; what comes more than once is
     joined by '; '."""
-    read = answers.where("status = 200").select("lookup", wrapped(F.col("body")).alias("xml")).where("xml is not null").withColumn("nodes", text_nodes(F.col("xml")))
-    found = fields(F.col("xml"), F.col("nodes"))
-    rows = read.select("lookup", *[found.get(k, F.lit(None)).cast("string").alias(k) for k in KEYS])
-    return rows.where(F.coalesce(*[F.col(f"`{k}`") for k in found]).isNotNull())
+    # rows are made by generators, below which the optimizer moves no condition, so that nothing is worked out twice
+    read = answers.where("status = 200").select("lookup", F.explode(F.array_compact(F.array(wrapped(F.col("body"))))).alias("xml"))
+    read = read.select("lookup", F.explode(F.array(F.struct("xml", text_nodes(F.col("xml")).alias("nodes")))).alias("x"))
+    found = fields(F.col("x.xml"), F.col("x.nodes"))
+    made = F.array(F.struct(*[found.get(k, F.lit(None)).cast("string").alias(k) for k in KEYS]))
+    return read.select("lookup", F.inline(F.filter(made, lambda r: F.coalesce(*[r[k] for k in found]).isNotNull())))
 
 
 def articles_by_key(conversions: DataFrame, answers: DataFrame) -> DataFrame:
