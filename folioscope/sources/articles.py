@@ -6,6 +6,8 @@ are looked for. What the first element of a name holds, or each of them, is then
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,9 +44,18 @@ def wrapped(body: Column) -> Column:
     ended = F.regexp_replace(begun, rf"(</({names})\s*>)", f"{_END}$2{_ENDED}$1")
     # the last element is only read if everything before it could be, but for the name in the end tag next to it
     whole = F.concat(F.lit(f"<{_WRAP}><{_INNER}>"), ended, F.lit(f"</{_INNER}><{_LAST}>1</{_LAST}></{_WRAP}>"))
-    foreign = F.regexp_replace(whole, "(?s)<!--.*?-->", "").rlike(_ENTITY)
-    read = F.from_xml(whole, f"struct<`{_LAST}`:string>", {"mode": "PERMISSIVE", "rowTag": _WRAP})[_LAST]
-    return F.when(~foreign & ~whole.rlike(_CONTROL) & (read == "1"), whole)
+
+    def checked(x: Column) -> Column:
+        foreign = F.regexp_replace(x, "(?s)<!--.*?-->", "").rlike(_ENTITY)
+        read = F.from_xml(x, f"struct<`{_LAST}`:string>", {"mode": "PERMISSIVE", "rowTag": _WRAP})[_LAST]
+        return F.when(~foreign & ~x.rlike(_CONTROL) & (read == "1"), x)
+
+    return _once(whole, checked)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once, however often it is used and under whatever conditions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _between(name: str) -> str:
@@ -56,8 +67,8 @@ def _plain(text: Column) -> Column:
 
 
 def _first(text: Column, name: str) -> Column:
-    """What the first element of a name holds, with marks; null if there is none."""
-    return F.when(F.regexp_like(text, F.lit(_between(name))), F.regexp_extract(text, _between(name), 1))
+    """What the first element of a name holds, with marks; '' if there is none."""
+    return F.regexp_extract(text, _between(name), 1)
 
 
 def _each(text: Column, name: str) -> Column:
@@ -69,21 +80,21 @@ def _joined(values: Column) -> Column:
 
 
 def _author(name: Column) -> Column:
-    given = _first(name, "given-names")
-    return F.concat(F.coalesce(_plain(_first(name, "surname")), F.lit("")), F.coalesce(F.concat(F.lit(", "), _plain(given)), F.lit("")))
+    # given names that are there but empty leave their comma
+    given = F.when(F.contains(name, F.lit(f"{_BEGIN}given-names{_NAMED}")), F.concat(F.lit(", "), _plain(_first(name, "given-names"))))
+    return F.concat(_plain(_first(name, "surname")), F.coalesce(given, F.lit("")))
 
 
 def fields(xml: Column, nodes: Column) -> dict[str, Column]:
-    """Canonical keys of an article. xml: wrapped; nodes: its text nodes, joined."""
+    """Canonical keys of an article, '' where there is nothing. xml: wrapped; nodes: its text nodes, joined."""
     attribute = lambda name: F.xpath_string(xml, F.lit(f"/{_WRAP}/{_INNER}/*[1]/@*[name()='{name}']"))
     whole = lambda name: strip_ws(_plain(_first(nodes, name)))
     every = lambda name: _joined(F.transform(_each(nodes, name), lambda x: strip_ws(_plain(x))))
-    found = {
+    return {
         "title": whole("article-title"), "container-title": whole("journal-title"), "language": attribute("xml:lang"), "issued": _plain(_first(_first(nodes, "pub-date"), "year")), "abstract": whole("abstract"),
         "author": _joined(F.transform(_each(nodes, "name"), _author)), "affiliation": every("aff"), "keywords": every("kwd"), "corresponding-author": whole("corresp"), "document-type": attribute("article-type"),
         "reference": _joined(F.transform(_each(nodes, "ref"), lambda x: strip_ws(_plain(_first(x, "pub-id"))))),
     }
-    return {k: F.when(v != "", v) for k, v in found.items()}
 
 
 def text_nodes(xml: Column) -> Column:

@@ -131,6 +131,7 @@ def articles(answers: DataFrame) -> DataFrame:
     read = read.select("lookup", F.explode(F.array(F.struct("xml", text_nodes(F.col("xml")).alias("nodes")))).alias("x"))
     found = fields(F.col("x.xml"), F.col("x.nodes"))
     made = F.array(F.struct(*[found.get(k, F.lit(None)).cast("string").alias(k) for k in KEYS]))
+    made = F.transform(made, lambda r: F.struct(*[F.when(r[k] != "", r[k]).alias(k) for k in KEYS]))
     return read.select("lookup", F.inline(F.filter(made, lambda r: F.coalesce(*[r[k] for k in found]).isNotNull())))
 
 
