@@ -5,10 +5,11 @@ and comparing it with the prefix before locates each turn's span: what the new o
 k turns doesn't begin with its output for k-1 turns rewrites history; that is reported, and the spans are then of the
 final rendering as far as they can be told.
 
-Rendering every prefix costs the square of a conversation's length. A template may declare, by an attribute `window`, that what a turn
-adds depends on so many turns at the end only, itself included; past them the added text is found by rendering these turns with and
-without the newest, the pieces are compared with one full rendering, and if they differ, all prefixes are rendered after all. For a
-template that declares nothing every prefix is rendered, whatever it costs.
+Every prefix is rendered, whatever a template declares, until PREFIX_CHARS characters of one conversation have been put out. That is the
+square of a conversation's length, and only conversations of very many turns pass it. Past it, a template may declare, by an
+attribute `window`, that what a turn adds depends on so many turns at the end only, itself included; the added text is then found by rendering
+these turns with and without the newest, and the pieces are compared with one full rendering. If they differ, and for a template that declares
+nothing, all prefixes are rendered, whatever it costs.
 
 The template here (`Marked`) writes `<|turn|>role\\ntext<|end|>\\n`. Control strings inside roles and texts, and the escape
 character itself, are escaped reversibly, so that no text can end its turn or open another. Formatted output is parsed
@@ -39,6 +40,10 @@ Turn = tuple[str, str]
 #: Strings with which a text could pass for markup, of this template and of common others.
 CONTROLS = ("<|turn|>", "<|end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 ESCAPE = "\\"
+#: Characters of a conversation's prefixes that are rendered before a declared window is used.
+PREFIX_CHARS = 1 << 28
+#: Turns of up to so many characters whose output is remembered, and how many of them.
+SHORT_CHARS, SHORT_TURNS = 1 << 16, 512
 
 
 @lru_cache(maxsize=16)
@@ -68,8 +73,13 @@ class Marked:
         back = {v: k for k, v in self._codes.items()} | {ESCAPE + "N": "\n"}
         return re.sub(re.escape(ESCAPE) + ".", lambda m: back[m[0]], text, flags=re.DOTALL)
 
+    def one(self, turn: Turn) -> str:
+        """The output of a turn."""
+        role, text = turn
+        return f"{self.turn}{self.escape(role).replace(chr(10), ESCAPE + 'N')}\n{self.escape(text)}{self.end}\n"
+
     def __call__(self, turns: list[Turn]) -> str:
-        return "".join(f"{self.turn}{self.escape(role).replace(chr(10), ESCAPE + 'N')}\n{self.escape(text)}{self.end}\n" for role, text in turns)
+        return "".join(_remembered(self, t) if len(t[1]) <= SHORT_CHARS and len(t[0]) <= SHORT_CHARS else self.one(t) for t in turns)
 
     def parse(self, output: str) -> list[tuple[str, int, int]]:
         """(role, start, end) of each turn: where its escaped text lies in the output."""
@@ -84,6 +94,12 @@ class Marked:
         return found
 
 
+@lru_cache(maxsize=SHORT_TURNS)
+def _remembered(template: Marked, turn: Turn) -> str:
+    """A turn's output, which the prefixes of a conversation repeat."""
+    return template.one(turn)
+
+
 @dataclass(frozen=True)
 class Rendered:
     text: str
@@ -91,10 +107,18 @@ class Rendered:
     rewrites: bool  # a prefix's output isn't how the next begins
 
 
-def _every_prefix(template: Callable[[list[Turn]], str], turns: list[Turn]) -> Rendered:
-    before, spans, rewrites = template([]), [], False
+def render(template: Callable[[list[Turn]], str], turns: list[Turn], chars: int = PREFIX_CHARS) -> Rendered:
+    """The whole output and each turn's span, by comparing the outputs of successive prefixes."""
+    window = getattr(template, "window", None)
+    before, spans, rewrites, done = template([]), [], False, 0
     for k in range(1, len(turns) + 1):
+        if window is not None and done > chars and not rewrites and k > window:
+            rest = _by_window(template, turns, k - 1, before, spans, window)
+            if rest:
+                return rest
+            window = None
         now = template(turns[:k])
+        done += len(now)
         start = len(before)
         if not now.startswith(before):
             rewrites = True
@@ -105,25 +129,20 @@ def _every_prefix(template: Callable[[list[Turn]], str], turns: list[Turn]) -> R
     return Rendered(before, spans, rewrites)
 
 
-def render(template: Callable[[list[Turn]], str], turns: list[Turn]) -> Rendered:
-    """The whole output and each turn's span, by comparing the outputs of successive prefixes."""
-    window = getattr(template, "window", None)
-    if window is None or len(turns) <= window:
-        return _every_prefix(template, turns)
-    head = _every_prefix(template, turns[:window])
-    if head.rewrites:
-        return _every_prefix(template, turns)
-    parts, spans, at = [head.text], list(head.spans), len(head.text)
-    for k in range(window, len(turns)):
+def _by_window(template: Callable[[list[Turn]], str], turns: list[Turn], known: int, before: str, spans: list[tuple[int, int]], window: int) -> Rendered | None:
+    """The turns from number `known` on, by what each adds to the few before it; None if that isn't what the template makes of them all.
+    before, spans: the output of the turns before, and where they are in it."""
+    parts, spans, at = [before], list(spans), len(before)
+    for k in range(known, len(turns)):
         recent = turns[k - window + 1 : k + 1]
         without, now = template(recent[:-1]), template(recent)
         if not now.startswith(without):
-            return _every_prefix(template, turns)
+            return None
         parts.append(now[len(without) :])
         spans.append((at, at + len(parts[-1])))
         at = spans[-1][1]
     whole = "".join(parts)
-    return Rendered(whole, spans, False) if whole == template(turns) else _every_prefix(template, turns)
+    return Rendered(whole, spans, False) if whole == template(turns) else None
 
 
 def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[Turn]]]:

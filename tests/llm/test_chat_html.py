@@ -62,6 +62,39 @@ def test_history_that_is_rewritten_is_found():
     assert not chat.render(closing, [("user", "ab")] * 70).rewrites
 
 
+@pytest.mark.parametrize("window", [None, 1, 2, 5, 12])
+def test_a_declared_window_hides_no_rewriting(window):
+    class Once:
+        """Marks the begin of a conversation of seven turns, and of no other."""
+
+        def __call__(self, turns):
+            return "!" * (len(turns) == 7) + "".join(t for _, t in turns)
+
+    template = Once()
+    template.window = window
+    made = chat.render(template, [("user", f"{k};") for k in range(12)])
+    assert made.rewrites and made.text == template([("user", f"{k};") for k in range(12)])
+
+
+@pytest.mark.parametrize("chars", [0, 100, 5000, 1 << 28])
+def test_spans_past_the_bound_of_prefixes(chars):
+    turns = [("user" if k % 2 else "assistant", "<s>" * (k % 4) + str(k)) for k in range(90)]
+    every = chat.render(chat.Marked(window=None), turns)
+    for window in (1, 2, 30, 200):
+        assert chat.render(chat.Marked(window=window), turns, chars) == every
+    # a template that depends on more than it declares is rendered prefix by prefix after all
+    numbered = lambda turns: "".join(f"{k}:{t};" for k, (_, t) in enumerate(turns))
+    plain = chat.render(numbered, turns)
+    numbered.window = 2
+    assert chat.render(numbered, turns, chars) == plain
+
+
+def test_long_turns_are_rendered_as_short_ones_are():
+    long = [("user", "<s>x" * 20_000), ("r" * 70_000, "a"), ("assistant", "<s>")]
+    made = chat.render(chat.Marked(), long)
+    assert [chat.Marked().unescape(made.text[a:b]) for _, a, b in chat.Marked().parse(made.text)] == [t for _, t in long]
+
+
 def test_position_in_the_template_does_not_matter():
     numbered = lambda turns: "".join(f"{k}:{t};" for k, (_, t) in enumerate(turns))
     made = chat.render(numbered, [("user", "x")] * 120)
