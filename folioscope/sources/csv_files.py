@@ -102,12 +102,15 @@ def column_names(header: str) -> list[str]:
     return names
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, ragged: str = "drop") -> DataFrame:
     """All rows of the CSV files of a folder, all columns as text, by name.
 
     Columns come in the order of their first file; what a file doesn't have is null. Names that differ in case only are one column. Empty
-    values, quoted or not, are null. Missing fields at a row's end are null; fields beyond the header's are left out. Blank
-    records are left out; a file without any record has no columns, a folder without one gives an error. Rows may repeat."""
+    values, quoted or not, are null. Missing fields at a row's end are null; fields beyond the header's are left out, or, with ragged="error",
+    end the job if they aren't empty. Blank records are left out; a file without any record has no columns, a folder without one gives an
+    error. Rows may repeat."""
+    if ragged not in ("drop", "error"):
+        raise ValueError("ragged is drop or error")
     records = written(whole_records(lines_of(spark, path)), "csv-records")
     firsts = written(records.groupBy("file").agg(F.min("place").alias("first"), F.min_by("text", "place").alias("header")), "csv-files")  # a row a file
     found = firsts.groupBy("header").agg(F.min("file").alias("file")).orderBy("file").limit(MAX_HEADERS + 1).collect()
@@ -120,11 +123,15 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     order = {name.lower(): None for names in headers.values() for name in names}
     spelled = {c.lower(): c for c in columns}
     columns = [spelled[c] for c in order]
-    places = [(h, [{n.lower(): k for k, n in enumerate(names)}.get(c.lower(), -1) for c in columns]) for h, names in headers.items()]
-    files = firsts.join(F.broadcast(spark.createDataFrame(places, "header string, places array<int>")), "header").select("file", "first", "places")
-    width = max(map(len, headers.values()))
+    places = [(h, len(names), [{n.lower(): k for k, n in enumerate(names)}.get(c.lower(), -1) for c in columns]) for h, names in headers.items()]
+    files = firsts.join(F.broadcast(spark.createDataFrame(places, "header string, names int, places array<int>")), "header").select("file", "first", "names", "places")
+    width = max(map(len, headers.values())) + (ragged == "error")
     schema = ", ".join(f"c{k} string" for k in range(width))
     rows = records.join(F.broadcast(files) if files.count() <= BROADCAST_FILES else files, "file").where(F.col("place") != F.col("first"))
-    parsed = rows.select("places", F.from_csv("text", schema, {"escape": '"', "multiLine": "true"}).alias("row"))
-    values = parsed.select("places", F.array(*[f"row.c{k}" for k in range(width)]).alias("v"))
+    parsed = rows.select("file", "text", "names", "places", F.from_csv("text", schema, {"escape": '"', "multiLine": "true"}).alias("row"))
+    v = F.array(*[f"row.c{k}" for k in range(width)])
+    if ragged == "error":
+        beyond = F.exists(F.slice(v, F.col("names") + 1, F.lit(width)), lambda x: x.isNotNull())
+        v = F.when(beyond, F.raise_error(F.concat(F.lit("more fields than columns in "), "file", F.lit(": "), F.substring("text", 1, 200))).cast("array<string>")).otherwise(v)
+    values = parsed.select("places", v.alias("v"))
     return values.select(*[F.get("v", F.col("places")[k]).alias(c) for k, c in enumerate(columns)])

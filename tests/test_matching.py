@@ -33,6 +33,25 @@ def test_columns_go_by_name(spark, tmp_path):
     assert named.columns == ["DI", "TI", "PY", "Extra", "Extra.1", "_c3", "db"]
 
 
+def test_fields_beyond_the_header(spark, tmp_path):
+    path = put(tmp_path, a="A,B\n1,2,\n3\n", b="B,C,D\n4,5,6,,\n")
+    for ragged in ("drop", "error"):
+        rows = sorted(tuple(x or "" for x in r) for r in csv_files.read_csv(spark, path, ragged).select("A", "B", "C", "D").collect())
+        assert rows == [("", "4", "5", "6"), ("1", "2", "", ""), ("3", "", "", "")]
+    for k, record in enumerate(("1,2,3", "1,2,,x")):  # within another file's columns, and beyond all
+        path = put(tmp_path / f"more{k}", a=f"A,B\n{record}\n", b="A,B,C\n1,2,3\n")
+        assert csv_files.read_csv(spark, path).count() == 2
+        with pytest.raises(Exception, match="more fields than columns"):
+            csv_files.read_csv(spark, path, ragged="error").collect()
+    with pytest.raises(ValueError, match="ragged"):
+        csv_files.read_csv(spark, path, ragged="x")
+
+
+def test_a_tag_that_is_taken_is_not_given_again(spark, tmp_path):
+    df = csv_records(spark, put(tmp_path, a="DI,DOI,Title,db\n1,2,t,own\n"))
+    assert df.columns == ["DI", "DOI", "TI", "db"] and tuple(df.first()) == ("1", "2", "t", "scopus")
+
+
 def test_folder_without_records_is_an_error(spark, tmp_path):
     with pytest.raises(ValueError, match="no CSV records"):
         csv_files.read_csv(spark, put(tmp_path / "none", a="", b="\n \n"))
