@@ -14,6 +14,8 @@ from ..storage import file_text, written
 
 #: Turns the bytes of a file into its page texts.
 Extractor = Callable[[bytes], list[str]]
+#: Rows of the table of blocks that are broadcast.
+BROADCAST_BLOCKS = 1_000_000
 
 
 class ExtractorUnavailable(RuntimeError):
@@ -81,18 +83,20 @@ def paged_files(spark: SparkSession, path: str, pages: tuple[int, int] | None =
     """doc_id (the file's name, or its folder's), page (from 1) and text of text files whose pages end with a separator, a form feed.
 
     Large files are read by several tasks, a block each; a page's number is its place in its block and the pages of the blocks before, of which
-    there is a row each. pages: the first and the last page wanted; blocks that have none of them are left out before their rows are. A last page that
-    isn't ended counts, an empty one behind the last separator doesn't; a file without any byte has no pages."""
+    there is a row each, broadcast up to a checked number, so the texts aren't shuffled. They are written once, since how files are dealt to tasks
+    may change with the executors between two readings. pages: the first and the last page wanted; what isn't is left out where it is read
+    again. A last page that isn't ended counts, an empty one behind the last separator doesn't; a file without any byte has no pages."""
     rows = spark.read.option("lineSep", separator).text(path)
     named = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("text"))
     placed = written(named, "paged")
-    blocks = placed.groupBy("file", "block").agg(F.min("row").alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = blocks.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"), "n")
+    counted = placed.groupBy("file", "block").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    blocks = written(counted.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"), "n"), "blocks")
     if pages:
         blocks = blocks.where((F.col("before") < pages[1]) & (F.col("before") + F.col("n") >= pages[0]))
     page = (F.col("before") + F.col("row") - F.col("first") + 1).cast("int")
-    found = placed.join(blocks, ["file", "block"]).select(F.element_at(F.split("file", "/"), -2 if folder else -1).alias("doc_id"), page.alias("page"), "text")
+    small = F.broadcast(blocks) if blocks.count() <= BROADCAST_BLOCKS else blocks
+    found = placed.join(small, ["file", "block"]).select(F.element_at(F.split("file", "/"), -2 if folder else -1).alias("doc_id"), page.alias("page"), "text")
     return found.where(F.col("page").between(*pages)) if pages else found
 
 

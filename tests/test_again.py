@@ -126,3 +126,22 @@ def test_paged_files_are_read_in_blocks(spark, tmp_path):
     plan = part._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Filter") >= 2
     assert list(itertools.islice(sorted(x[0] for x in some), 1)) == ["a.txt"]
+
+
+def test_paged_texts_are_not_shuffled(spark, tmp_path, monkeypatch):
+    for name, n in (("a", 400), ("b", 1), ("c", 90)):
+        (tmp_path / f"{name}.txt").write_bytes("".join(f"{name}{k} line\n" * 3 + "\f" for k in range(n)).encode())
+    size = "spark.sql.files.maxPartitionBytes"
+    try:
+        spark.conf.set(size, "1000b")
+        found, part = corpus.paged_files(spark, str(tmp_path)), corpus.paged_files(spark, str(tmp_path), (90, 120))
+        spark.conf.set(size, "7000b")  # other blocks from here on
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        want = {(f"{name}.txt", k + 1, f"{name}{k} line\n" * 3) for name, n in (("a", 400), ("b", 1), ("c", 90)) for k in range(n)}
+        assert {tuple(x) for x in found.collect()} == want and found.count() == len(want)
+        assert {tuple(x) for x in part.collect()} == {x for x in want if 90 <= x[1] <= 120}
+        monkeypatch.setattr(corpus, "BROADCAST_BLOCKS", 0)
+        assert {tuple(x) for x in corpus.paged_files(spark, str(tmp_path), (1, 3)).collect()} == {x for x in want if x[1] <= 3}
+    finally:
+        spark.conf.unset(size)
