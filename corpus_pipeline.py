@@ -101,7 +101,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Stages learn models and draw samples, which SQL can't express; the tests hold run() against a brute-force version.
+#: Stages learn models and draw samples, which SQL can't express; the tests hold the quality, near-duplicate and decontamination stages against
+#: brute-force versions, each on its own input.
 ORACLE_SQL = None
 
 
