@@ -63,9 +63,13 @@ def file_pages(spark: SparkSession, path: str, extractor: Extractor = pdf_extrac
 
 def page_texts(text: Column, lines: int = 3) -> Column:
     """The texts of a text's blocks of lines, as an array; a null text is one empty block."""
-    parts = F.split(F.coalesce(text, F.lit("")), "\n")
-    numbers = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / lines).cast("int"))
-    return F.transform(numbers, lambda p: F.array_join(F.slice(parts, p * lines + 1, lines), "\n"))
+
+    def cut(parts: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / lines).cast("int"))
+        return F.transform(numbers, lambda p: F.array_join(F.slice(parts, p * lines + 1, lines), "\n"))
+
+    # lines in an array of their own, so that a text is split once, not once a page
+    return F.get(F.transform(F.array(F.split(F.coalesce(text, F.lit("")), "\n")), cut), F.lit(0))
 
 
 def text_pages(docs: DataFrame, lines: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
