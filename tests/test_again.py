@@ -145,3 +145,50 @@ def test_paged_texts_are_not_shuffled(spark, tmp_path, monkeypatch):
         assert {tuple(x) for x in corpus.paged_files(spark, str(tmp_path), (1, 3)).collect()} == {x for x in want if x[1] <= 3}
     finally:
         spark.conf.unset(size)
+
+
+def test_rows_without_a_doi_are_spread(spark):
+    """Rows without a DOI don't meet in one task of the join."""
+    rows = spark.createDataFrame([(k, None if k % 2 else "none", "t" * 200, "", "", "") for k in range(2000)], RECORDS).repartition(4)
+    best = spark.createDataFrame([("10.1/a", 1)], "lookup string, best int")
+    joined = en._with_best(rows, best.hint("merge"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = joined.rdd.glom().map(len).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 2000 and max(sizes) < 1000 and joined.where("lookup is not null").count() == 0
+
+
+@pytest.mark.parametrize("text", ["", " \n", "none", " NoNe\t", "none of", " \u0085", "none\u0085", "nonenone", "x", "\u2028", "\x0bnone\r\n"])
+def test_missing_is_told_as_by_stripping(spark, text):
+    from folioscope.functions.fields import is_missing, strip_ws
+
+    c = F.col("c")
+    got, want = spark.createDataFrame([(text,)], "c string").select(is_missing(c), F.lower(strip_ws(c)).isin("", "none")).first()
+    assert got == want
+
+
+def test_pages_are_cut_once_and_documents_share_a_call(spark):
+    docs = spark.createDataFrame([(k, 0, " the \n of ") for k in range(300)], "doc_id long, version long, text string")
+    words = keywords.KeywordSet.of(["the", "of", "no"])
+    counted = corrections.document_rows(docs, words)
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("sequence(") == 1
+    assert {tuple(r["counts"]) for r in counted.collect()} == {(1, 1, 0)}
+
+
+def test_a_state_holds_many_documents():
+    import pandas as pd
+
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    state = State()
+    rows = lambda *r: iter([pd.DataFrame(r, columns=["id", "known", "version", "counts"])])
+    deltas = lambda out: {tuple(None if pd.isna(x) else int(x) for x in r) for d in out for r in d.itertuples(index=False)}
+    assert deltas(corrections._changed((0,), rows((1, True, 1, [2, 0]), (0, False, 5, [0, 1]), (1, True, 2, [3, 1])), state)) == {(1, 0, 3), (1, 1, 1), (None, 1, 1)}
+    assert deltas(corrections._changed((0,), rows((1, True, 2, [9, 9]), (0, True, 1, [1, 0]), (0, False, 6, [0, 0])), state)) == {(0, 0, 1), (None, 1, -1)}
+    assert list(corrections._changed((0,), rows((1, True, 0, [7, 7])), state)) == []
