@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.text import FilterSpec, hit_count, percent_label
@@ -53,6 +55,8 @@ def clean_pages(pages: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
 
 #: Keyword lists up to this length become one expression each, in the page's row; up to the other, they are broadcast.
 INLINE_WORDS, BROADCAST_WORDS = 256, 1_000_000
+#: Rows of hits that a task gathers before it puts them out.
+OUTPUT_ROWS = 50_000
 _SPACE = "[ \\t\\n\\x0B\\f\\r]"
 #: What makes a keyword more than its own characters.
 _META = re.compile(r"[\\^$.|?*+()\[\]{}]")
@@ -83,8 +87,8 @@ def listed_hits(pages: DataFrame, keywords: KeywordSet, by: tuple[str, ...] = ("
     """The columns `by`, ord, keyword, hits of the keywords that a page has, without zeros, for lists of any length. pages: cleaned; rows
     equal in `by` are one page each only if `by` tells them apart.
 
-    Literal keywords are looked up instead of searched: the page's runs of as many tokens as keywords have are joined with the list, which is
-    broadcast up to a checked number of words; no text is copied, and only matches are shuffled. Regular expressions are counted in the page's
+    Literal keywords are looked up instead of searched: the page's runs of as many tokens as keywords have are looked up in the list, which is
+    broadcast up to a checked number of words, and nothing is shuffled; beyond it runs are joined with the list, and matches are shuffled. Regular expressions are counted in the page's
     row. A match uses up the white space around it, as in `hit_count`, so of overlapping ones the first counts. A null text has no hits; no
     pages give no rows."""
     keywords.validate(pages)
@@ -99,10 +103,56 @@ def listed_hits(pages: DataFrame, keywords: KeywordSet, by: tuple[str, ...] = ("
     return parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
 
 
+def _counted(words: dict[str, int], sizes: list[int], text: str) -> dict[int, int]:
+    """Hits of each word in a page: the runs of as many tokens as words have are looked up."""
+    parts = re.split(f"({_SPACE})", text)
+    tokens, between = parts[::2], parts[1::2]
+    found: dict[int, int] = {}
+    for n in sizes:
+        free: dict[int, int] = {}  # where a word may be matched again
+        inner = tokens[1:-n] if n == 1 else map("".join, zip(*[x for j in range(n) for x in ([between[j:]] if j else []) + [tokens[1 + j : len(tokens) - n + j]]])) if len(tokens) > n + 1 else ()
+        for at, word in enumerate(inner):
+            k = words.get(word)
+            if k is not None and free.get(k, 0) <= at:
+                free[k] = at + n + 1
+                found[k] = found.get(k, 0) + 1
+    return found
+
+
 def _literal_hits(pages: DataFrame, words: list[tuple[int, str]], by: tuple[str, ...]) -> DataFrame:
+    """Up to a checked number of words are sent to the tasks, which look them up page by page, so that nothing is shuffled."""
+    if len(words) > BROADCAST_WORDS:
+        return _joined_hits(pages, words, by)
+    sizes = sorted({len(re.split(_SPACE, w)) for _, w in words})
+    listed = pages.sparkSession.sparkContext.broadcast({w: k for k, w in words})
+    rows = pages.select(*by, "text").where("text is not null")
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(listed.value.keys(), pa.string())
+        at = dict(zip(listed.value, range(len(names))))
+        ords = pa.array(listed.value.values(), pa.int32())
+        for batch in batches:
+            texts, first = batch.column(len(by)), 0
+            while first < len(texts):  # a part of a batch at a time, as pages of many words have many rows
+                row, word, hits = [], [], []
+                while first < len(texts) and len(row) < OUTPUT_ROWS:
+                    found = _counted(at, sizes, texts[first].as_py())
+                    row += [first] * len(found)
+                    word += found.keys()
+                    hits += found.values()
+                    first += 1
+                row, word = pa.array(row, pa.int64()), pa.array(word, pa.int64())
+                columns = [c.take(row) for c in batch.columns[: len(by)]] + [ords.take(word), names.take(word), pa.array(hits, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, [*by, "ord", "keyword", "hits"])
+
+    fields = [rows.schema[c] for c in by]
+    return rows.mapInArrow(look_up, StructType([*fields, StructField("ord", IntegerType()), StructField("keyword", StringType()), StructField("hits", IntegerType())]))
+
+
+def _joined_hits(pages: DataFrame, words: list[tuple[int, str]], by: tuple[str, ...]) -> DataFrame:
+    """The same for longer lists: runs of tokens are joined with the list, and matches are shuffled."""
     sizes = {w: len(re.split("[ \t\n\x0b\f\r]", w)) for _, w in words}
     listed = pages.sparkSession.createDataFrame([(k, w, sizes[w]) for k, w in words], "ord int, keyword string, size int")
-    listed = F.broadcast(listed) if len(words) <= BROADCAST_WORDS else listed
     # the tokens between single white space characters, and those characters; a run counts if it has one on either side
     cut = pages.select(*by, F.monotonically_increasing_id().alias("row"), F.split("text", _SPACE).alias("t"), F.regexp_extract_all("text", F.lit(_SPACE), F.lit(0)).alias("s"))
 

@@ -273,3 +273,30 @@ def test_contexts_of_long_lists(spark, monkeypatch):
         assert got.columns == ["keyword", "doc_id", "page", "pos", "context"]
         assert {tuple(x) for x in got.collect()} == want and len({x[0] for x in want}) >= 4
         monkeypatch.undo()
+
+
+def test_looked_up_words_are_not_shuffled(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, 1, "x a a a b c b c b y"), (1, 2, None), (2, 1, " a\nb c d "), (3, 1, "a"), (4, 1, "x a b c d y")], "doc_id long, page int, text string")
+    listed = keywords.KeywordSet.of(["a", "b c", "a b c", "c b"], regex=False)
+    found = keywords.listed_hits(pages, listed)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {tuple(r) for r in found.collect()}
+    monkeypatch.setattr(keywords, "BROADCAST_WORDS", 0)
+    joined = keywords.listed_hits(pages, listed)
+    assert joined.schema.simpleString() == found.schema.simpleString()
+    assert got == {tuple(r) for r in joined.collect()} and (1, 1, 0, "a", 2) in got
+    monkeypatch.setattr(keywords, "OUTPUT_ROWS", 1)
+    monkeypatch.undo()
+
+
+def test_classes_are_found_without_rows_and_long_keys(spark):
+    from folioscope.storage import recorded
+
+    rows = spark.createDataFrame([(1, "wos", "10.1/a", "t" * 5000, "1"), (2, "scopus", "10.1/A", "x", "1"), (3, "wos", None, "T" * 5000, "1"), (4, "wos", None, None, "1")], "rec_id long, db string, di string, ti string, py string")
+    with recorded() as paths:
+        found = records.duplicate_classes(rows)
+        got = {(r["rec_id"], r["class_id"], r["class_size"], r["kept"]) for r in found.collect()}
+    assert got == {(1, 1, 3, True), (2, 1, 3, False), (3, 1, 3, False), (4, 4, 1, True)}
+    tables = {p.rsplit("/", 1)[-1].split("-")[0]: spark.read.parquet(p) for p in paths}
+    assert "row" not in tables["classes"].columns
+    assert max(len(k) for r in tables["records"].select("keys").collect() for k in r["keys"]) == 32
