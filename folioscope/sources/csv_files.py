@@ -20,7 +20,7 @@ from ..storage import written
 
 #: Files of different first records that a folder may have; their names of columns come to the driver.
 MAX_HEADERS = 10_000
-#: Rows of the table of files that are broadcast.
+#: Rows of the tables of files and of blocks that are broadcast.
 BROADCAST_FILES = 100_000
 #: Where a line stands: before a field, in a plain field (or behind a quoted one), in a quoted field, behind a quote in a quoted field.
 START, PLAIN, QUOTED, QUOTE = range(4)
@@ -78,14 +78,16 @@ def whole_records(lines: DataFrame) -> DataFrame:
     placed = placed.select("file", "block", "line_no", "line", inside.alias("inside"), F.when(inside, F.col("in_")).otherwise(F.col("out_")).alias("open"))
     stripped = F.regexp_replace("line", "\\r$", "")
     place = F.struct("block", "line_no")
+    # written before it is used twice, with each line's begin of its record within the block, so that lines are shuffled once for both
+    own = F.max(F.when(~F.col("inside"), place)).over(Window.partitionBy("file", "block").orderBy("line_no"))
+    placed = written(placed.withColumn("own", own), "parts")
     alone = placed.where(~F.col("inside") & ~F.col("open")).select("file", place.alias("place"), stripped.alias("text"))
     # only lines of records of several lines are put together
-    parts = written(placed.where(F.col("inside") | F.col("open")).select("file", "block", "line_no", "line", "inside"), "parts")
-    start = F.when(~F.col("inside"), place)
-    own = F.max(start).over(Window.partitionBy("file", "block").orderBy("line_no"))
-    firsts = parts.groupBy("file", "block").agg(F.max(start).alias("start"))
+    parts = placed.where(F.col("inside") | F.col("open"))
+    firsts = parts.groupBy("file", "block").agg(F.max("own").alias("start"))
     carried = firsts.select("file", "block", F.max("start").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    joined = parts.withColumn("own", own).join(carried, ["file", "block"]).select("file", F.coalesce("own", "carried").alias("place"), F.struct(place.alias("at"), "line").alias("part"))
+    carried = written(carried, "carried")
+    joined = parts.join(F.broadcast(carried) if carried.count() <= BROADCAST_FILES else carried, ["file", "block"]).select("file", F.coalesce("own", "carried").alias("place"), F.struct(place.alias("at"), "line").alias("part"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["line"]), "\n")
     several = joined.groupBy("file", "place").agg(F.regexp_replace(text, "\\r$", "").alias("text"))
     return alone.unionAll(several).where(F.trim("text") != "")
