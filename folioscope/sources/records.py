@@ -58,6 +58,8 @@ def tagged_records(lines: DataFrame, kind: str = "plaintext", db: str = "wos", t
     carried = blocks.select(F.col("file").alias("of_file"), F.col("block").alias("of_block"), *[F.max(k).over(earlier).alias(f"carried_{k}") for k in marks])
     rows = rows.select("*", *[F.max(m).over(order).alias(k) for k, m in marks.items()]).join(carried, (F.col("file") == F.col("of_file")) & (F.col("block") == F.col("of_block")))
     rows = rows.select("file", place.alias("place"), "tag", "value", *[F.coalesce(k, f"carried_{k}").alias(k) for k in marks]).where("record is not null")
+    # dealt by record once, which serves the three groupings below
+    rows = rows.repartition("file", "record")
     listed = lambda value, at: F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda x: x[value])
     entries = rows.groupBy("file", "record", "entry").agg(F.max("tag").alias("tag"), listed("value", "place").alias("lines"))
     by = F.when(F.col("tag").isin(*LIST_TAGS), F.array_join("lines", "; ")) if kind == "plaintext" else F.lit(None)

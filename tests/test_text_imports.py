@@ -80,3 +80,21 @@ def test_tables_that_nothing_reads_are_removed(spark):
     assert storage.remove_unread(spark, inner, second.where("id > 1")) == [inner[1]]
     assert [os.path.exists(p.removeprefix("file://")) for p in inner] == [False, True]
     assert second.count() == third.count() == 5 and first is not None
+
+
+def test_lines_of_records_are_shuffled_a_few_times_only(spark, tmp_path):
+    """CSV lines are written once before they are used twice, and tagged lines are dealt by record once."""
+    from folioscope.sources import csv_files
+    from folioscope.sources.records import numbered_lines, tagged_records
+    from folioscope.storage import recorded
+
+    (tmp_path / "a.csv").write_text('h,i\n1,"x\ny"\n2,z\n')
+    with recorded() as paths:
+        found = csv_files.whole_records(csv_files.lines_of(spark, str(tmp_path / "a.csv")))
+        assert {r["text"] for r in found.collect()} == {"h,i", '1,"x\ny"', "2,z"}
+    assert not any(f"/{p.rsplit('/', 1)[-1]}/" in f for p in paths if "/lines-" in p for f in found.inputFiles()), "lines are not shuffled again"
+    (tmp_path / "b.txt").write_text("PT J\nAU a\n   b\nTI t\nER\n\nPT J\nTI u\n   v\nER\n")
+    tagged = tagged_records(numbered_lines(spark, str(tmp_path / "b.txt")), tags=["PT", "AU", "TI"])
+    assert {(r["AU"], r["TI"]) for r in tagged.collect()} == {("a; b", "t"), (None, "u v")}
+    plan = tagged._jdf.queryExecution().sparkPlan().toString()
+    assert "RepartitionByExpression" in tagged._jdf.queryExecution().optimizedPlan().toString() and plan
