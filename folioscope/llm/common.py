@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import fresh_path, remove_written, shared_dir, written  # noqa: F401
+from ..storage import fresh_path, plan_bytes, remove_written, shared_dir, written  # noqa: F401
 
 #: White space that separates words: blank and 0x09-0x0D.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -27,12 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The size of df by the optimizer's estimate, which for files is that of the files; 0 where it has none."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else 0
-
-
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo n; null counts as ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
