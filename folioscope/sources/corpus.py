@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..storage import file_text, written
 
-#: Turns the bytes of a file into its page texts.
-Extractor = Callable[[bytes], list[str]]
+
+
+@dataclass(frozen=True)
+class Separated:
+    """Text files whose pages end with a separator: they need no file whole, so they may be of any size."""
+
+    separator: str = "\f"
+
+
+#: Turns the bytes of a file into its page texts, or says how text files are cut.
+Extractor = Callable[[bytes], Iterable[str]] | Separated
+#: Characters of page texts that leave Python at a time.
+PAGES_CHARS = 4_000_000
 #: Rows of the table of blocks that are broadcast.
 BROADCAST_BLOCKS = 1_000_000
 
@@ -42,23 +54,43 @@ def files(spark: SparkSession, path: str, suffix: str = ".pdf", recursive: bool
 
 
 def file_pages(spark: SparkSession, path: str, extractor: Extractor = pdf_extractor, suffix: str = ".pdf", skip_unreadable: bool = False, folder: bool = False) -> DataFrame:
-    """doc_id (the file's name, or its folder's), page (from 1) and text. An unreadable file ends the job, unless it is to be skipped."""
+    """doc_id (the file's name, or its folder's), page (from 1) and text. An unreadable file ends the job, unless it is to be skipped.
+
+    Files of pages with a separator are read in blocks by Spark, as `paged_files` does, whose text is never unreadable. Other extractors get a file
+    whole, one at a time, and its pages leave Python in batches of bounded size: a task holds its largest file and what the extractor makes of it.
+    Extractors that give their pages one by one need no list of them; of a file that is to be skipped the list is made first."""
+    if isinstance(extractor, Separated):
+        return paged_files(spark, path, separator=extractor.separator, folder=folder, suffix=suffix)
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def put(name: str, first: int, texts: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(texts), pa.string()), pa.array(range(first, first + len(texts)), pa.int32()), pa.array(texts, pa.string())], ["doc_id", "page", "text"])
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["doc_id"], batch["content"]):
-                try:
-                    texts = extractor(content)
-                except ExtractorUnavailable:
-                    raise
-                except Exception:
-                    if not skip_unreadable:
-                        raise
-                    continue
-                yield pd.DataFrame({"doc_id": name, "page": range(1, len(texts) + 1), "text": texts})
+            for name, content in zip(batch.column("doc_id"), batch.column("content")):
+                found = extractor(content.as_py()) if not skip_unreadable else _read(extractor, content.as_py())
+                first, held, texts = 1, 0, []
+                for text in found:
+                    texts.append(text)
+                    held += len(text)
+                    if held >= PAGES_CHARS:
+                        yield put(name.as_py(), first, texts)
+                        first, held, texts = first + len(texts), 0, []
+                if texts:
+                    yield put(name.as_py(), first, texts)
 
     found = files(spark, path, suffix)
-    return found.select(F.element_at(F.split("path", "/"), -2 if folder else -1).alias("doc_id"), "content").mapInPandas(extract, "doc_id string, page int, text string")
+    return found.select(F.element_at(F.split("path", "/"), -2 if folder else -1).alias("doc_id"), "content").mapInArrow(extract, "doc_id string, page int, text string")
+
+
+def _read(extractor: Callable[[bytes], Iterable[str]], content: bytes) -> list[str]:
+    """A file's pages, none if it can't be read."""
+    try:
+        return list(extractor(content))
+    except ExtractorUnavailable:
+        raise
+    except Exception:
+        return []
 
 
 def page_texts(text: Column, lines: int = 3) -> Column:
@@ -83,14 +115,14 @@ def separated_pages(docs: DataFrame, separator: str = "\f", id_col: str = "doc_i
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), separator)).alias("pos", "text")).select("doc_id", (F.col("pos") + 1).alias("page"), "text")
 
 
-def paged_files(spark: SparkSession, path: str, pages: tuple[int, int] | None = None, separator: str = "\f", folder: bool = False) -> DataFrame:
+def paged_files(spark: SparkSession, path: str, pages: tuple[int, int] | None = None, separator: str = "\f", folder: bool = False, suffix: str = "") -> DataFrame:
     """doc_id (the file's name, or its folder's), page (from 1) and text of text files whose pages end with a separator, a form feed.
 
     Large files are read by several tasks, a block each; a page's number is its place in its block and the pages of the blocks before, of which
     there is a row each, broadcast up to a checked number, so the texts aren't shuffled. They are written once, since how files are dealt to tasks
     may change with the executors between two readings. pages: the first and the last page wanted; what isn't is left out where it is read
     again. A last page that isn't ended counts, an empty one behind the last separator doesn't; a file without any byte has no pages."""
-    rows = spark.read.option("lineSep", separator).text(path)
+    rows = spark.read.option("lineSep", separator).option("pathGlobFilter", f"*{suffix}").text(path)
     named = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("text"))
     placed = written(named, "paged")
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators import enrich as en
+from folioscope.sources import corpus
 
 RULES = (en.FieldRule.of("title", "TI"), en.FieldRule.of("page", "BP", "EP"))
 
@@ -46,3 +47,27 @@ def test_counts_of_changes_move_no_texts(spark, monkeypatch, tmp_path, partition
         plan = counted._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" in plan and "value_TI" not in plan and " AS row#" not in plan
     assert en.changed_rows(made.changes).first()[0] == 400 and en.unchanged_records(read, made.changes).count() == 0
+
+
+def test_text_files_are_cut_without_python(spark, tmp_path):
+    """A file of pages with a separator is read by several tasks and never whole."""
+    for name, n in (("a", 900), ("b", 1), ("c", 0)):
+        (tmp_path / f"s={name}").mkdir()
+        (tmp_path / f"s={name}" / "x.txt").write_text("".join(f"{name} é {k}\r\n" for k in range(n)), newline="")
+    (tmp_path / "s=a" / "y.md").write_text("other\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        found = corpus.file_pages(spark, str(tmp_path / "*"), corpus.Separated("\n"), ".txt", folder=True)
+        assert found.rdd.getNumPartitions() > 3 and "MapIn" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in found.collect()} == {(f"s={n}", k + 1, f"{n} é {k}\r") for n, k in [("b", 0), *(("a", k) for k in range(900))]}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_extractors_may_give_pages_one_by_one(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"x" * 3)
+    big = 1_500_000
+    one_by_one = lambda content: (f"{k}" + "y" * big for k in range(2 * len(content)))
+    for skip in (False, True):
+        got = corpus.file_pages(spark, str(tmp_path), one_by_one, skip_unreadable=skip)
+        assert [tuple(r) for r in got.selectExpr("doc_id", "page", "left(text, 1)", "length(text)").orderBy("page").collect()] == [("a.pdf", k + 1, str(k), big + 1) for k in range(6)]
