@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zipfile
+
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.operators import enrich as en
-from folioscope.sources import corpus
+from folioscope.sources import corpus, sheets
 
 RULES = (en.FieldRule.of("title", "TI"), en.FieldRule.of("page", "BP", "EP"))
 
@@ -71,3 +74,32 @@ def test_extractors_may_give_pages_one_by_one(spark, tmp_path):
     for skip in (False, True):
         got = corpus.file_pages(spark, str(tmp_path), one_by_one, skip_unreadable=skip)
         assert [tuple(r) for r in got.selectExpr("doc_id", "page", "left(text, 1)", "length(text)").orderBy("page").collect()] == [("a.pdf", k + 1, str(k), big + 1) for k in range(6)]
+
+
+def test_sheets_are_made_in_tasks(spark, tmp_path, monkeypatch):
+    """A table of more rows than a sheet may have goes to several workbooks, and no row to the driver."""
+    monkeypatch.setattr(sheets, "MOST_ROWS", 5)
+    rows = [(str(k) if k % 3 else None, "é<&\n\r\x01" * (k % 4)) for k in range(40)]
+    df = spark.createDataFrame(rows, "A string, `b.c` string").repartition(3)
+    with pytest.raises(sheets.SheetTooLarge):
+        sheets.write_sheet(df, str(tmp_path / "one.xlsx"))
+    monkeypatch.undo()
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    path = "file://" + str(tmp_path / "many")
+    sheets.write_sheets(df, path)
+    files = sorted((tmp_path / "many").glob("*.xlsx"))
+    assert len(files) == 3 and all(zipfile.ZipFile(f).testzip() is None and zipfile.ZipFile(f).comment == b"\n" for f in files)
+    got = sheets.read_sheet(spark, path + "/*.xlsx")
+    assert got.columns == ["A", "b.c"] and sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
+    sheets.write_sheets(df.limit(0), path + "0")
+    none = sheets.read_sheet(spark, path + "0/*.xlsx")
+    assert none.columns == ["A", "b.c"] and none.count() == 0
+
+
+def test_a_task_makes_several_workbooks(spark, tmp_path):
+    """More rows than a workbook takes, in one task."""
+    path = str(tmp_path / "books")
+    sheets.write_sheets(spark.range(sheets.BOOK_ROWS + 5).coalesce(1).selectExpr("cast(id as string) a"), path)
+    assert len(list((tmp_path / "books").glob("*.xlsx"))) == 2
+    got = sheets.read_sheet(spark, path + "/*.xlsx").selectExpr("count(*)", "count(distinct a)", "max(cast(a as long))").first()
+    assert tuple(got) == (sheets.BOOK_ROWS + 5, sheets.BOOK_ROWS + 5, sheets.BOOK_ROWS + 4)
