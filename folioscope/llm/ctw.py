@@ -44,8 +44,9 @@ from .common import crc_mod, mix64, packed, small_batches, table, unpacked, writ
 
 DEPTH = 6
 END = b"\n"
-#: Tokens of a block, blocks' words of a part of the vocabulary, and blocks' strings of a share of the tree.
-BLOCK_TOKENS, PART_WORDS, PART_STRINGS = 3_000_000, 400_000, 600_000
+#: Tokens of a block, blocks' words of a part of the vocabulary, and blocks' strings of a share of the tree. A block's strings are sent to it once each, so
+#: that few large blocks move less than many small ones, which repeat most of them.
+BLOCK_TOKENS, PART_WORDS, PART_STRINGS = 5_500_000, 400_000, 400_000
 #: Words, documents or strings that travel in one row; blocks whose strings are merged at a time; bytes of texts coded at a time.
 ROW_WORDS, ROW_DOCS, ROW_STRINGS, GROUP, CHUNK = 50_000, 500, 500_000, 64, 1 << 20
 #: Classes with trees of their own; the least frequent labels beyond share the last one.
@@ -324,7 +325,7 @@ def _blocks(classes: int, depth: int):
             if docs:
                 coded = pa.chunked_array(spelt).unify_dictionaries()
                 words, ids = coded.chunk(0).dictionary.to_pylist(), np.concatenate([c.indices.to_numpy() for c in coded.chunks])
-                held = np.repeat(np.array(kinds), [d[2] for d in docs])
+                held = np.repeat(np.array(kinds, np.int8), [d[2] for d in docs])
                 counts = np.stack([np.bincount(ids[held == kind], minlength=len(words)) for kind in range(classes)], axis=1).astype(np.uint32)
                 starts = np.concatenate([[0], np.cumsum([d[2] for d in docs])])
                 for lo in range(0, len(words), ROW_WORDS):
@@ -333,7 +334,11 @@ def _blocks(classes: int, depth: int):
                 for lo in range(0, len(docs), ROW_DOCS):
                     doc_id, held_out, n_tokens = map(list, zip(*docs[lo : lo + ROW_DOCS]))
                     yield row(block=block, doc_id=doc_id, held_out=held_out, n_tokens=n_tokens, ids=packed(ids[starts[lo] : starts[lo + len(doc_id)]].astype(np.uint32)))
+                # words and ids aren't held while strings are counted
+                spelt.clear()
+                del coded, words, ids, held, counts, starts, own
                 codes, sums = string_counts(texts, np.array(kinds), classes, depth)
+                texts.clear()
                 for lo in range(0, len(codes), ROW_STRINGS):
                     own = codes[lo : lo + ROW_STRINGS]
                     yield row(block=block, n_strings=len(own), codes=packed(np.diff(own, prepend=0)), sums=packed(sums[lo : lo + ROW_STRINGS].astype(np.uint32)))

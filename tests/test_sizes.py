@@ -103,3 +103,11 @@ def test_a_task_makes_several_workbooks(spark, tmp_path):
     assert len(list((tmp_path / "books").glob("*.xlsx"))) == 2
     got = sheets.read_sheet(spark, path + "/*.xlsx").selectExpr("count(*)", "count(distinct a)", "max(cast(a as long))").first()
     assert tuple(got) == (sheets.BOOK_ROWS + 5, sheets.BOOK_ROWS + 5, sheets.BOOK_ROWS + 4)
+
+
+def test_a_partition_of_five_million_tokens_is_one_block(spark):
+    """Blocks that are smaller than what a task reads repeat most of their strings, which are sent to each."""
+    ctw = pytest.importorskip("folioscope.llm.ctw")
+    rows = spark.range(50).coalesce(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a "), 100_000).alias("text"), F.lit(False).alias("held_out"), F.lit(0).alias("kind"))
+    found = rows.mapInArrow(ctw._blocks(1, 6), ctw._BLOCK).agg(F.countDistinct("block")).first()
+    assert found[0] == 1
