@@ -76,21 +76,26 @@ def fingerprints_of(rows: DataFrame, keys: list[str], texts: list[str], slots: i
     """keys and, for each of the columns `texts`, print0, print1, ...: a term's variates are drawn once for all texts of a row that have it."""
     if slots % PART:
         raise ValueError(f"slots come in {PART}s")
-    parts, each = slots // PART, range(len(texts))
-    # a text without the term has no weight, and so no value
-    weight = lambda n: F.when(F.col("term").isNull() | (n == 0), F.lit(None)).when(n == 1, F.lit(0.0)).otherwise(F.log(n))
-    terms = terms_of(rows, keys, texts).select(*keys, "term", *[weight(F.col(f"n{j}")).alias(f"w{j}") for j in each])
+    parts, each, shared = slots // PART, range(len(texts)), len(texts)
+    # a term that comes as often in every text is one row for all of them (of = shared), another is one for each text that has it
+    own = F.array(*[F.struct(F.lit(j).alias("of"), F.col(f"n{j}").alias("n")) for j in each])
+    alike = reduce(Column.__and__, [F.col("n0") == F.col(f"n{j}") for j in each])
+    counted = terms_of(rows, keys, texts).select(*keys, "term", F.inline(F.when(alike, F.array(F.struct(F.lit(shared).alias("of"), F.col("n0").alias("n")))).otherwise(own))).where("n > 0")
+    # a text without words has no weight, and so no value
+    weight = F.when(F.col("term").isNull(), F.lit(None)).when(F.col("n") == 1, F.lit(0.0)).otherwise(F.log("n"))
     tables = [F.from_json(F.lit(json.dumps(x.tolist())), "array<double>").alias(name) for name, x in (("gamma", gamma_quantiles(14)), ("log_gamma", np.log(gamma_quantiles(12))))]
     # each term comes once for each part of the slots; steps of their own, so that nothing is worked out twice. Slots are 64-bit numbers:
     # the hash mixes those of 32 bits too little, and the samples would depend on each other
-    parted = terms.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), *tables)
-    of = [*keys, "part", "term", *[f"w{j}" for j in each]]
-    hashes = parted.select(*of, "gamma", "log_gamma", *[F.xxhash64("term", (F.col("part") * PART + k).cast("long")).alias(f"g{k}") for k in range(PART)])
+    parted = counted.select(*keys, "of", "term", weight.alias("w")).select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), *tables)
+    # the groups' last column is a hash of the others, which alone are mixed so little by an aggregation's map that many of its groups meet in one place
+    groups = [*keys, "of", "part", "mixed"]
+    of = [*groups, "w"]
+    hashes = parted.select(*keys, "of", "part", F.xxhash64(*keys, "of", "part").alias("mixed"), "w", "gamma", "log_gamma", *[F.xxhash64("term", (F.col("part") * PART + k).cast("long")).alias(f"g{k}") for k in range(PART)])
     drawn = hashes.select(*of, *[c for k in range(PART) for c in (f"g{k}", F.get("gamma", F.shiftrightunsigned(f"g{k}", 50).cast("int")).alias(f"r{k}"), F.get("log_gamma", F.shiftrightunsigned(f"g{k}", 38).bitwiseAND(F.lit(4095)).cast("int")).alias(f"c{k}"))])
-    least = [F.min(sample_value(F.col(f"g{k}"), F.col(f"r{k}"), F.col(f"c{k}"), F.col(f"w{j}"))).alias(f"s{j}_{k}") for j in each for k in range(PART)]
-    values = drawn.groupBy(*keys, "part").agg(*[F.count(f"w{j}").alias(f"n{j}") for j in each], *least)
-    own = [F.when(F.col(f"n{j}") > 0, packed_slots(f"s{j}_")).otherwise(F.array_repeat(F.lit(0).cast("long"), PART // 4)).alias(f"own{j}") for j in each]
-    values = values.select(*keys, F.struct("part", *own).alias("p")).groupBy(*keys).agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    least = drawn.groupBy(*groups).agg(*[F.min(sample_value(F.col(f"g{k}"), F.col(f"r{k}"), F.col(f"c{k}"), F.col("w"))).alias(f"s{k}") for k in range(PART)])
+    values = least.groupBy(*keys, "part").agg(*[F.min(F.when(F.col("of").isin(j, shared), F.col(f"s{k}"))).alias(f"s{j}_{k}") for j in each for k in range(PART)])
+    packs = [F.when(F.col(f"s{j}_0").isNotNull(), packed_slots(f"s{j}_")).otherwise(F.array_repeat(F.lit(0).cast("long"), PART // 4)).alias(f"own{j}") for j in each]
+    values = values.select(*keys, F.struct("part", *packs).alias("p")).groupBy(*keys).agg(F.sort_array(F.collect_list("p")).alias("ps"))
     return values.select(*keys, *[F.flatten(F.col(f"ps.own{j}")).alias(f"print{j}") for j in each])
 
 
@@ -134,9 +139,10 @@ def edited(text: Column, following: Column) -> Column:
 def fingerprint_documents(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
-    partitions = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), plan_bytes(docs) // PARTITION_BYTES)
+    # a task's groups - of each row, part of the slots and kind of term - are few enough for the aggregation's small, fast map
+    partitions = max(12 * int(spark.conf.get("spark.sql.shuffle.partitions")), plan_bytes(docs) // PARTITION_BYTES)
     key = ["bucket", "row"]
-    rows = with_next(docs, partitions).select(*key, "doc_id", "text", edited(F.col("text"), F.col("next_text")).alias("edited"))
+    rows = with_next(docs, partitions, 2).select(*key, "doc_id", "text", edited(F.col("text"), F.col("next_text")).alias("edited"))
     told = rows.select(*key, "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     both = rows.select(*key, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("edited", F.lit("")).alias("edited"))
     pairs = fingerprints_of(both, key, ["text", "edited"], slots).select(*key, F.col("print0").alias("fingerprint"), F.col("print1").alias("edited_fingerprint"))

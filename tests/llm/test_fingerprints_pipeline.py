@@ -64,6 +64,19 @@ def test_accuracy_of_the_samples_in_use(spark):
     assert abs(error.mean()) < 0.012 and np.sqrt((error**2).mean()) < 0.047 and abs(error).max() < 0.15
 
 
+def test_terms_of_both_texts_are_drawn_once(spark):
+    """Texts that are printed together have the fingerprints they have alone, and a term that both have as often is drawn once for both."""
+    pairs = [(1, "a b c d a b", "a b x y"), (2, "", "a b"), (3, "x y", ""), (4, "", ""), (5, "k l " * 9, "k l " * 4 + "m"), (6, "same words", "same words")]
+    df = spark.createDataFrame([(k, a, b) for k, a, b in pairs], "k long, one string, other string")
+    both = {r["k"]: r for r in cws.fingerprints_of(df, ["k"], ["one", "other"]).collect()}
+    alone = [{r["k"]: r["print"] for r in cws.fingerprints(df, ["k"], text).collect()} for text in ("one", "other")]
+    assert {k: (r["print0"], r["print1"]) for k, r in both.items()} == {k: (alone[0][k], alone[1][k]) for k, _, _ in pairs}
+    assert set(both[2]["print0"]) == {0} and set(both[4]["print1"]) == {0} and set(both[3]["print0"]) != {0}
+    plan = cws.fingerprints_of(df, ["k"], ["one", "other"])._jdf.queryExecution().optimizedPlan().toString()
+    drawn = next(x for x in plan.splitlines() if "Aggregate" in x and "FLOOR" in x)
+    assert drawn.count("FLOOR") == cws.PART  # a draw a slot, where each of the two texts had its own
+
+
 def test_odd_fingerprints(spark):
     df = odd_documents(spark)
     rows = cws.fingerprint_documents(df).collect()
