@@ -134,28 +134,41 @@ def runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
 
 
-def merged(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Tables of numbers and rows of counts as one, in order of the numbers."""
-    keys = np.concatenate([c for c, _ in tables])
-    order = np.argsort(keys)
-    keys = keys[order]
-    sums, starts = np.concatenate([n for _, n in tables])[order], runs(keys)
-    return keys[starts], np.add.reduceat(sums, starts, axis=0) if len(keys) else sums
-
-
-def string_counts(texts: list[bytes], kinds: np.ndarray, classes: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct strings of the texts, and their counts by class; kinds: a class for each text, -1 for held-out ones."""
-    marks = kinds & 15  # a string and its text's class are sorted as one number; 15 stands for no class
+def merged(tables: list[tuple[np.ndarray, np.ndarray]], size: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of ascending numbers and rows of counts as one, in order of the numbers; about `size` rows are sorted at a time."""
+    longest = max((c for c, _ in tables), key=len)
+    steps = 1 + sum(len(c) for c, _ in tables) // size
+    edges = np.unique(longest[np.arange(1, steps) * len(longest) // steps]) if len(longest) else longest
+    cuts = [[0, *np.searchsorted(c, edges).tolist(), len(c)] for c, _ in tables]
+    found = []
+    for k in range(len(edges) + 1):
+        keys = np.concatenate([c[at[k] : at[k + 1]] for (c, _), at in zip(tables, cuts)])
+        order = np.argsort(keys)
+        keys = keys[order]
+        sums, starts = np.concatenate([n[at[k] : at[k + 1]] for (_, n), at in zip(tables, cuts)])[order], runs(keys)
+        found.append((keys[starts], np.add.reduceat(sums, starts, axis=0, dtype=sums.dtype) if len(keys) else sums))
+    return np.concatenate([c for c, _ in found]), np.concatenate([n for _, n in found])
+
+
+def marked_counts(texts: list[bytes], kinds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings of the texts with their class in the lowest 4 bits, and how often each comes; kinds: as for string_counts."""
+    marks = (kinds & 15).astype(np.int8)  # a string and its text's class are sorted as one number; 15 stands for no class
     tables = [(np.zeros(0, np.int64), np.zeros((0, 1), np.uint32))]
-    for lo, hi in lots(texts, 4 * CHUNK):
-        codes, lengths = strings_of(texts[lo:hi], depth)
-        keys = np.sort((codes << 4) | np.repeat(marks[lo:hi], lengths))
+    for lo, hi in lots(texts, 2 * CHUNK):
+        keys, lengths = strings_of(texts[lo:hi], depth)
+        keys <<= 4
+        keys |= np.repeat(marks[lo:hi], lengths)
+        keys.sort()
         starts = runs(keys)
         tables.append((keys[starts], np.diff(starts, append=len(keys)).astype(np.uint32)[:, None]))
-        if sum(len(c) for c, _ in tables[1:]) > 3_000_000:
+        if sum(len(c) for c, _ in tables[1:]) > 2_000_000:
             tables = [merged(tables)]
-    keys, counts = merged(tables)
-    codes, kind = keys >> 4, keys & 15
+    return merged(tables)
+
+
+def by_class(keys: np.ndarray, counts: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Marked strings and their counts as strings and their counts by class."""
+    codes, kind = keys >> 4, (keys & 15).astype(np.int8)
     starts = runs(codes)
     sums = np.zeros((len(starts), classes), np.uint32)
     at = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(codes)))
@@ -164,6 +177,11 @@ def string_counts(texts: list[bytes], kinds: np.ndarray, classes: int, depth: in
     return codes[starts], sums
 
 
+def string_counts(texts: list[bytes], kinds: np.ndarray, classes: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings of the texts, and their counts by class; kinds: a class for each text, -1 for held-out ones."""
+    return by_class(*marked_counts(texts, kinds, depth), classes)
+
+
 class Places:
     """Finds the places of strings in a table of distinct ones, all of which are there: in order of a hash's slots, `order` of the table."""
 
@@ -324,24 +342,28 @@ def _blocks(classes: int, depth: int):
             nonlocal block, tokens
             if docs:
                 coded = pa.chunked_array(spelt).unify_dictionaries()
-                words, ids = coded.chunk(0).dictionary.to_pylist(), np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+                spelt.clear()
+                words, ids = coded.chunk(0).dictionary, np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+                del coded
                 held = np.repeat(np.array(kinds, np.int8), [d[2] for d in docs])
                 counts = np.stack([np.bincount(ids[held == kind], minlength=len(words)) for kind in range(classes)], axis=1).astype(np.uint32)
                 starts = np.concatenate([[0], np.cumsum([d[2] for d in docs])])
                 for lo in range(0, len(words), ROW_WORDS):
                     own = words[lo : lo + ROW_WORDS]
-                    yield row(block=block, first_id=lo, n_words=len(own), words=own, trained=packed(counts[lo : lo + ROW_WORDS]))
+                    yield row(block=block, first_id=lo, n_words=len(own), words=own.to_pylist(), trained=packed(counts[lo : lo + ROW_WORDS]))
                 for lo in range(0, len(docs), ROW_DOCS):
                     doc_id, held_out, n_tokens = map(list, zip(*docs[lo : lo + ROW_DOCS]))
                     yield row(block=block, doc_id=doc_id, held_out=held_out, n_tokens=n_tokens, ids=packed(ids[starts[lo] : starts[lo + len(doc_id)]].astype(np.uint32)))
                 # words and ids aren't held while strings are counted
-                spelt.clear()
-                del coded, words, ids, held, counts, starts, own
-                codes, sums = string_counts(texts, np.array(kinds), classes, depth)
+                del words, ids, held, counts, starts, own
+                pa.default_memory_pool().release_unused()
+                keys, counts = marked_counts(texts, np.array(kinds), depth)
                 texts.clear()
-                for lo in range(0, len(codes), ROW_STRINGS):
-                    own = codes[lo : lo + ROW_STRINGS]
-                    yield row(block=block, n_strings=len(own), codes=packed(np.diff(own, prepend=0)), sums=packed(sums[lo : lo + ROW_STRINGS].astype(np.uint32)))
+                starts = runs(keys >> 4)
+                for lo in range(0, len(starts), ROW_STRINGS):
+                    part = slice(starts[lo], starts[lo + ROW_STRINGS] if lo + ROW_STRINGS < len(starts) else None)
+                    own, sums = by_class(keys[part], counts[part], classes)
+                    yield row(block=block, n_strings=len(own), codes=packed(np.diff(own, prepend=0)), sums=packed(sums))
             for x in (spelt, docs, texts, kinds):
                 x.clear()
             block, tokens = block + 1, 0

@@ -117,6 +117,25 @@ def test_many_labels(spark):
     assert len(got) == 240 and all(-20 < r["score"] < 0 for r in got)
 
 
+def test_tables_are_merged_in_bounded_memory():
+    """Tables are merged a slice of the numbers at a time: what is held beside them doesn't grow with all of them."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    tables = [(np.sort(rng.choice(900_000, 750_000, replace=False)), rng.integers(1, 9, (750_000, 1), np.uint32)) for _ in range(8)]
+    want = sum(np.bincount(c, weights=n[:, 0], minlength=900_000) for c, n in tables)
+    tracemalloc.start()
+    try:
+        codes, sums = ctw.merged(tables)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (codes == np.flatnonzero(want)).all() and (sums[:, 0] == want[codes]).all()
+    assert peak < 100_000_000
+    none = (np.zeros(0, np.int64), np.zeros((0, 2), np.uint32))
+    assert ctw.merged([none, none])[1].shape == (0, 2)
+
+
 def test_probabilities_add_up():
     """Over all bytes that may follow a context."""
     texts = [b"ab \n", b"abc b \n", b"abab \n"] * 3
