@@ -1,14 +1,15 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame operations only.
 
-A document's terms are its pairs of neighbouring words (the last word with nothing), weighted by their counts S. For each of `slots`
-samples every term has variates of its own, from a hash of term and slot: r and c of the Gamma(2, 1) distribution and b, uniform. Then
-t = floor(ln S / r + b), ln y = r (t - b), and the term with the smallest ln a = ln c - ln y - r is the sample, together with t. Two
-documents draw the same (term, t) with a probability equal to the generalised Jaccard similarity of their weights. The smallest ln a
-itself stands for (term, t), of which it is made: its 16-bit hash is a slot of the fingerprint, and likeness is the share of equal
-slots.
+A document's terms are its pairs of neighbouring words (the last word with nothing), weighted by their counts: a term that comes n times
+is n elements, the numbered copies 1 to n. In round d (0, 1, 2, ...) every element throws one dart, by a hash of term, copy and d: it hits one
+of `slots` slots, at a height of d + u, u uniform in [0, 1). A slot's sample is the lowest dart in it. What an element throws depends on
+nothing but itself, and elements are alike, so the lowest dart of two texts together is equally often that of each of their elements: two
+documents have the same sample with a probability equal to the generalised Jaccard similarity of their weights. The height itself stands for
+the dart: its 16-bit hash is a slot of the fingerprint, and likeness is the share of equal slots.
 
-Gamma variates are looked up: 14 bits of the hash choose one of the distribution's quantiles for r, 12 bits one for c, and 38 bits
-are b, which is what keeps the smallest values apart.
+Higher darts don't count once each slot is hit, so a text of n words throws for ceil(HITS * slots / n) rounds, instead of drawing for each term
+and slot. Where no dart hits a slot (one text in 10 ** 8 or less), it takes the sample of the next slot of its four that has one; this too is told
+by the text alone.
 
 The edited text of a document (its second half replaced by the beginning of the next document by ascending doc_id) is
 fingerprinted beside it. Next documents come from ranges of doc_id: one shuffle of the texts brings a range together, and
@@ -22,10 +23,8 @@ Very long texts are one row like others. An empty table gives no rows. Other col
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,36 +34,22 @@ from .common import SPACE, plan_bytes, range_buckets, table, written
 SLOTS = 128
 #: Bytes of the documents, as the plan estimates them, that a partition of ranges takes.
 PARTITION_BYTES = 128_000_000
-#: Samples that a row is asked for at a time, for each text: columns of one aggregation, few enough for compiled code (a multiple of four).
+#: Slots that a number of the fingerprint holds, and that are columns of one aggregation.
 PART = 4
+#: Darts of a text for each slot: each slot is missed with a probability of exp(-HITS).
+HITS = 24
 
 
-def gamma_quantiles(bits: int) -> np.ndarray:
-    """Quantiles of the Gamma(2, 1) distribution, whose distribution function is 1 - (1 + x) exp(-x), in the middles of 2 ** bits equal shares."""
-    p = (np.arange(1 << bits) + 0.5) / (1 << bits)
-    x = np.ones(len(p))
-    low, high = np.zeros(len(p)), np.full(len(p), 200.0)
-    for _ in range(80):
-        x = (low + high) / 2
-        less = 1 - (1 + x) * np.exp(-x) < p
-        low, high = np.where(less, x, low), np.where(less, high, x)
-    return x
-
-
-def sample_value(g: Column, r: Column, log_c: Column, log_weight: Column) -> Column:
-    """ln a of a term for one slot, whose variates come from the hash g. A weight of 1 has t = 0."""
-    b = g.bitwiseAND(F.lit((1 << 38) - 1)) * F.lit(2.0**-38)
-    t = F.when(log_weight == 0, F.lit(0.0)).otherwise(F.floor(log_weight / r + b).cast("double"))
-    return log_c - r * (t - b + F.lit(1.0))
-
-
-def terms_of(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
-    """keys, term (64-bit hash of a pair of words) and, for each text, n0, n1, ...: how often that text has it; a null term for texts without words."""
+def terms_of(rows: DataFrame, keys: list[str], texts: list[str], slots: int) -> DataFrame:
+    """keys, term (64-bit hash of a pair of words) and, for each text, n0, n1, ...: how often that text has it, and r0, r1, ...: rounds of that
+    text, where it has the term; a null term for texts without words."""
     words = lambda text: F.array_remove(F.split(F.col(text), SPACE), "")
     split = rows.select(*keys, F.inline(F.array(*[F.struct(F.lit(j).alias("of"), words(text).alias("w")) for j, text in enumerate(texts)])))
-    pairs = split.select(*keys, "of", F.explode_outer(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))).alias("p"))
-    terms = pairs.select(*keys, "of", F.when(F.col("p").isNotNull(), F.xxhash64("p.a", "p.b")).alias("term"))
-    return terms.groupBy(*keys, "term").agg(*[F.count(F.when(F.col("of") == j, 1)).alias(f"n{j}") for j in range(len(texts))])
+    split = split.select("*", F.ceil(F.lit(float(HITS * slots)) / F.greatest(F.size("w"), F.lit(1))).alias("rounds"))
+    pairs = split.select(*keys, "of", "rounds", F.explode_outer(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))).alias("p"))
+    terms = pairs.select(*keys, "of", F.when(F.col("p").isNotNull(), F.col("rounds")).otherwise(1).alias("rounds"), F.when(F.col("p").isNotNull(), F.xxhash64("p.a", "p.b")).alias("term"))
+    of = lambda j, value: F.when(F.col("of") == j, value)
+    return terms.groupBy(*keys, "term").agg(*[x for j in range(len(texts)) for x in (F.count(of(j, 1)).alias(f"n{j}"), F.max(of(j, F.col("rounds"))).alias(f"r{j}"))])
 
 
 def fingerprints(rows: DataFrame, keys: list[str], text: str, slots: int = SLOTS) -> DataFrame:
@@ -72,37 +57,43 @@ def fingerprints(rows: DataFrame, keys: list[str], text: str, slots: int = SLOTS
     return fingerprints_of(rows, keys, [text], slots).withColumnRenamed("print0", "print")
 
 
+def darts_of(rows: DataFrame, keys: list[str], texts: list[str], slots: int) -> DataFrame:
+    """keys, of, round and dart (64-bit hash; null for texts without words): an element's dart is thrown once for all texts of a row that have
+    it, of: whose it is, a bit for each text."""
+    each = range(len(texts))
+    copies = terms_of(rows, keys, texts, slots).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1), *[F.col(f"n{j}") for j in each]))).alias("copy"))
+    limits = [F.when(F.col("copy") <= F.col(f"n{j}"), F.col(f"r{j}")).otherwise(0).alias(f"r{j}") for j in each]
+    thrown = copies.select(*keys, F.when(F.col("term").isNotNull(), F.xxhash64("term", "copy")).alias("element"), *limits)
+    thrown = thrown.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), *[F.col(f"r{j}") for j in each]) - 1)).alias("round"))
+    of = reduce(Column.bitwiseOR, [F.when(F.col("round") < F.col(f"r{j}"), F.lit(1 << j)).otherwise(0) for j in each])
+    return thrown.select(*keys, of.alias("of"), "round", F.when(F.col("element").isNotNull(), F.xxhash64("element", "round")).alias("dart"))
+
+
 def fingerprints_of(rows: DataFrame, keys: list[str], texts: list[str], slots: int = SLOTS) -> DataFrame:
-    """keys and, for each of the columns `texts`, print0, print1, ...: a term's variates are drawn once for all texts of a row that have it."""
+    """keys and, for each of the columns `texts`, print0, print1, ..., each the same as if its text were alone."""
     if slots % PART:
         raise ValueError(f"slots come in {PART}s")
-    parts, each, shared = slots // PART, range(len(texts)), len(texts)
-    # a term that comes as often in every text is one row for all of them (of = shared), another is one for each text that has it
-    own = F.array(*[F.struct(F.lit(j).alias("of"), F.col(f"n{j}").alias("n")) for j in each])
-    alike = reduce(Column.__and__, [F.col("n0") == F.col(f"n{j}") for j in each])
-    counted = terms_of(rows, keys, texts).select(*keys, "term", F.inline(F.when(alike, F.array(F.struct(F.lit(shared).alias("of"), F.col("n0").alias("n")))).otherwise(own))).where("n > 0")
-    # a text without words has no weight, and so no value
-    weight = F.when(F.col("term").isNull(), F.lit(None)).when(F.col("n") == 1, F.lit(0.0)).otherwise(F.log("n"))
-    tables = [F.from_json(F.lit(json.dumps(x.tolist())), "array<double>").alias(name) for name, x in (("gamma", gamma_quantiles(14)), ("log_gamma", np.log(gamma_quantiles(12))))]
-    # each term comes once for each part of the slots; steps of their own, so that nothing is worked out twice. Slots are 64-bit numbers:
-    # the hash mixes those of 32 bits too little, and the samples would depend on each other
-    parted = counted.select(*keys, "of", "term", weight.alias("w")).select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), *tables)
+    parts, each, bits = slots // PART, range(len(texts)), len(texts)
+    # a dart's first 32 bits tell its slot, its last 40 how high it is within its round; what has no words has a row without a dart
+    slot = F.shiftright(F.shiftrightunsigned("dart", 32) * slots, 32)
+    hit = darts_of(rows, keys, texts, slots).select(*keys, "of", "round", "dart", slot.alias("slot"))
+    hit = hit.select(*keys, F.shiftleft(F.coalesce(F.shiftright("slot", 2), F.lit(0)), bits).bitwiseOR(F.col("of")).alias("at"), F.col("slot").bitwiseAND(F.lit(PART - 1)).alias("lane"), "round", "dart")
     # the groups' last column is a hash of the others, which alone are mixed so little by an aggregation's map that many of its groups meet in one place
-    groups = [*keys, "of", "part", "mixed"]
-    of = [*groups, "w"]
-    hashes = parted.select(*keys, "of", "part", F.xxhash64(*keys, "of", "part").alias("mixed"), "w", "gamma", "log_gamma", *[F.xxhash64("term", (F.col("part") * PART + k).cast("long")).alias(f"g{k}") for k in range(PART)])
-    drawn = hashes.select(*of, *[c for k in range(PART) for c in (f"g{k}", F.get("gamma", F.shiftrightunsigned(f"g{k}", 50).cast("int")).alias(f"r{k}"), F.get("log_gamma", F.shiftrightunsigned(f"g{k}", 38).bitwiseAND(F.lit(4095)).cast("int")).alias(f"c{k}"))])
-    least = drawn.groupBy(*groups).agg(*[F.min(sample_value(F.col(f"g{k}"), F.col(f"r{k}"), F.col(f"c{k}"), F.col("w"))).alias(f"s{k}") for k in range(PART)])
-    values = least.groupBy(*keys, "part").agg(*[F.min(F.when(F.col("of").isin(j, shared), F.col(f"s{k}"))).alias(f"s{j}_{k}") for j in each for k in range(PART)])
-    packs = [F.when(F.col(f"s{j}_0").isNotNull(), packed_slots(f"s{j}_")).otherwise(F.array_repeat(F.lit(0).cast("long"), PART // 4)).alias(f"own{j}") for j in each]
-    values = values.select(*keys, F.struct("part", *packs).alias("p")).groupBy(*keys).agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    return values.select(*keys, *[F.flatten(F.col(f"ps.own{j}")).alias(f"print{j}") for j in each])
+    hit = hit.select(*keys, "at", F.xxhash64(*keys, "at").alias("mixed"), "lane", "round", F.col("dart").bitwiseAND(F.lit((1 << 40) - 1)).alias("low"))
+    height = F.floor((F.col("round") + F.col("low") * F.lit(2.0**-40)) * F.lit(2.0**40))
+    least = hit.groupBy(*keys, "at", "mixed").agg(*[F.min(F.when(F.col("lane") == k, height)).alias(f"s{k}") for k in range(PART)])
+    its = lambda j: F.col("at").bitwiseAND(F.lit(1 << j)) != 0
+    values = least.groupBy(*keys, F.shiftright("at", bits).alias("part")).agg(*[F.min(F.when(its(j), F.col(f"s{k}"))).alias(f"s{j}_{k}") for j in each for k in range(PART)])
+    values = values.select(*keys, F.struct("part", F.struct(*[packed_slots(f"s{j}_").alias(f"own{j}") for j in each])).alias("p")).groupBy(*keys).agg(F.map_from_entries(F.collect_list("p")).alias("ps"))
+    own = lambda j: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")), lambda k: F.coalesce(F.col("ps")[k][f"own{j}"], F.lit(0).cast("long")))
+    return values.select(*keys, *[own(j).alias(f"print{j}") for j in each])
 
 
-def packed_slots(prefix: str = "s") -> Column:
-    """The 16-bit hashes of PART smallest values, four in a number."""
-    lane = lambda k: F.shiftleft(F.xxhash64(f"{prefix}{k}").bitwiseAND(F.lit(0xFFFF)), 48 - 16 * (k % 4))
-    return F.array(*[reduce(Column.bitwiseOR, [lane(k) for k in range(low, low + 4)]) for low in range(0, PART, 4)])
+def packed_slots(prefix: str) -> Column:
+    """The 16-bit hashes of four samples in a number; a slot without one takes the next one's. Null if there is none."""
+    sample = lambda k: F.coalesce(*[F.col(f"{prefix}{(k + step) % PART}") for step in range(PART)])
+    lane = lambda k: F.shiftleft(F.xxhash64(sample(k)).bitwiseAND(F.lit(0xFFFF)), 48 - 16 * k)
+    return F.when(sample(0).isNotNull(), reduce(Column.bitwiseOR, [lane(k) for k in range(PART)]))
 
 
 def printed(print_: Column) -> Column:
@@ -139,7 +130,7 @@ def edited(text: Column, following: Column) -> Column:
 def fingerprint_documents(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
-    # a task's groups - of each row, part of the slots and kind of term - are few enough for the aggregation's small, fast map
+    # a task's groups - of each row, part of the slots and whose a dart is - are few enough for the aggregation's small, fast map
     partitions = max(12 * int(spark.conf.get("spark.sql.shuffle.partitions")), plan_bytes(docs) // PARTITION_BYTES)
     key = ["bucket", "row"]
     rows = with_next(docs, partitions, 2).select(*key, "doc_id", "text", edited(F.col("text"), F.col("next_text")).alias("edited"))

@@ -77,6 +77,22 @@ def test_terms_of_both_texts_are_drawn_once(spark):
     assert drawn.count("FLOOR") == cws.PART  # a draw a slot, where each of the two texts had its own
 
 
+def test_darts_are_few_and_told_by_the_text(spark, monkeypatch):
+    """A long text throws a dart for each word, a short one as many as its slots need: not one for each word and slot. A slot that no dart hits takes another's sample."""
+    rows = [(1, prose(1, 4000)), (2, prose(2, 300)), (3, "x " * 5000), (4, "one"), (5, "")]
+    df = spark.createDataFrame(rows, "k long, text string")
+    darts = {r["k"]: r["count"] for r in cws.darts_of(df, ["k"], ["text"], cws.SLOTS).where("dart is not null").groupBy("k").count().collect()}
+    for k, text in rows[:4]:
+        n = len(text.split())
+        assert max(n, cws.HITS * cws.SLOTS) <= darts[k] < n + cws.HITS * cws.SLOTS
+    assert 5 not in darts
+    full = {r["k"]: r["print"] for r in cws.fingerprints(df, ["k"], "text").collect()}
+    monkeypatch.setattr(cws, "HITS", 1)  # a third of the slots of short texts are missed
+    few = {r["k"]: r["print"] for r in cws.fingerprints(df.unionAll(df.selectExpr("k + 10", "text")), ["k"], "text").collect()}
+    assert all(len(x) == cws.SLOTS // 4 for x in [*full.values(), *few.values()]) and all(few[k] == few[k + 10] for k, _ in rows)
+    assert few[1] == full[1] and few[4] != full[4] and set(few[5]) == {0}
+
+
 def test_odd_fingerprints(spark):
     df = odd_documents(spark)
     rows = cws.fingerprint_documents(df).collect()
