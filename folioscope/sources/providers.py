@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.fields import authors, clean_citation, is_number, issued_year, strip_ws
 from ..operators.references import reference_text
 from ..progress import log
-from .articles import fields, text_nodes, wrapped
+from .articles import fields, root_tag, text_nodes, wrapped
 
 #: The canonical keys.
 KEYS = ("DOI", "title", "container-title", "author", "issued", "volume", "issue", "page", "publisher", "abstract", "reference", "language", "affiliation", "keywords", "corresponding-author", "document-type")
@@ -128,8 +128,8 @@ def articles(answers: DataFrame) -> DataFrame:
     joined by '; '."""
     # rows are made by generators, below which the optimizer moves no condition, so that nothing is worked out twice
     read = answers.where("status = 200").select("lookup", F.explode(F.array_compact(F.array(wrapped(F.col("body"))))).alias("xml"))
-    read = read.select("lookup", F.explode(F.array(F.struct("xml", text_nodes(F.col("xml")).alias("nodes")))).alias("x"))
-    found = fields(F.col("x.xml"), F.col("x.nodes"))
+    read = read.select("lookup", F.explode(F.array(F.struct(root_tag(F.col("xml")).alias("tag"), text_nodes(F.col("xml")).alias("nodes")))).alias("x"))
+    found = fields(F.col("x.tag"), F.col("x.nodes"))
     made = F.array(F.struct(*[found.get(k, F.lit(None)).cast("string").alias(k) for k in KEYS]))
     made = F.transform(made, lambda r: F.struct(*[F.when(r[k] != "", r[k]).alias(k) for k in KEYS]))
     return read.select("lookup", F.inline(F.filter(made, lambda r: F.coalesce(*[r[k] for k in found]).isNotNull())))

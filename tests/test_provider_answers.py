@@ -6,6 +6,7 @@ import json
 from xml.etree import ElementTree
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.sources import articles, providers
 
@@ -114,3 +115,16 @@ def test_references_may_be_records_or_texts(spark):
 def test_bodies_that_are_no_objects_give_no_row(spark, parse):
     assert parse(answers(spark, None, "", "no json", "[1]", '"text"', "null", "{")).count() == 0
     assert parse(answers(spark, "{}", status=500)).count() == 0
+
+
+def test_an_article_is_parsed_once(spark):
+    """Its attributes are read from the first element's start tag alone, whatever stands before or in it, and as XML reads them."""
+    xml = (
+        """<article article-type='a&gt;"b"' note="x > y / z"\n xml:lang = "d&#101;"><kwd xml:lang="no">k</kwd></article>""", "<?xml version='1.0'?><!-- <article xml:lang='no'> --><article xml:lang='en'/>",
+        "<article><kwd xml:lang='no' article-type='no'>k</kwd></article>", "<article lang='no' x:lang='no' article-type=' a\nb '><kwd>k</kwd></article>", "<article note='xml:lang=en'><kwd>k</kwd></article>", "no <!-- <a> --> <?p <b>?> <article xml:lang='fr'><kwd>k</kwd></article>",
+    )
+    made = providers.articles(answers(spark, *xml))
+    got = {(r["language"], r["document-type"], r["keywords"]) for r in made.collect()}
+    assert got == {("de", 'a>"b"', "k"), ("en", None, None), (None, None, "k"), (None, " a b ", "k"), ("fr", None, "k")}
+    long = answers(spark, "<article xml:lang='en'><abstract>" + "a " * 5000 + "</abstract></article>", "text", "<article>")
+    assert column(long.withColumn("tag", articles.root_tag(articles.wrapped(F.col("body")))), "tag") == {"0": "<article xml:lang='en'/>", "1": None, "2": None}
