@@ -24,8 +24,9 @@ _BEGIN, _NAMED, _END, _ENDED = "\ue000", "\ue001", "\ue002", "\ue003"
 _MARK = f"{_BEGIN}[^{_NAMED}]*{_NAMED}|{_END}[^{_ENDED}]*{_ENDED}"
 _WRAP, _INNER, _LAST = "folioscope-article", "folioscope-inner", "folioscope-last"
 _ENTITY = "&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);)"
-#: Characters that XML doesn't have, as they are and by number.
-_CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]|&#0*(?:[0-8]|1[124-9]|2\d|3[01]);|&#x0*(?:[0-8bcBCe-fE-F]|1[0-9a-fA-F]);"
+#: Characters that XML doesn't have, as they are and by number: two patterns, each of which is searched for fast, unlike their alternation.
+_CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]"
+_CONTROL_REFERENCE = r"&#0*(?:[0-8]|1[124-9]|2\d|3[01]);|&#x0*(?:[0-8bcBCe-fE-F]|1[0-9a-fA-F]);"
 
 
 def wrapped(body: Column) -> Column:
@@ -51,7 +52,7 @@ def wrapped(body: Column) -> Column:
     def checked(x: Column) -> Column:
         foreign = F.when(F.contains(x, F.lit("<!--")), F.regexp_replace(x, "(?s)<!--.*?-->", "")).otherwise(x).rlike(_ENTITY)
         read = F.from_xml(x, f"struct<`{_LAST}`:string>", {"mode": "PERMISSIVE", "rowTag": _WRAP})[_LAST]
-        return F.when(~foreign & ~x.rlike(_CONTROL) & (read == "1"), x)
+        return F.when(~foreign & ~x.rlike(_CONTROL) & ~(F.contains(x, F.lit("&#")) & x.rlike(_CONTROL_REFERENCE)) & (read == "1"), x)
 
     return _once(whole, checked)
 
