@@ -24,6 +24,8 @@ MAX_HEADERS = 10_000
 BROADCAST_FILES = 100_000
 #: Where a line stands: before a field, in a plain field (or behind a quoted one), in a quoted field, behind a quote in a quoted field.
 START, PLAIN, QUOTED, QUOTE = range(4)
+#: The parser loses NUL in quoted values, so it gets MARK and 0 for NUL, MARK and 1 for MARK. A value that is MARK alone is thus no text.
+MARK, NUL = "\x01", "\x00"
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
@@ -104,13 +106,23 @@ def column_names(header: str) -> list[str]:
     return names
 
 
-def read_csv(spark: SparkSession, path: str, ragged: str = "drop") -> DataFrame:
+def _marked(text: Column) -> Column:
+    marked = F.replace(F.replace(text, F.lit(MARK), F.lit(MARK + "1")), F.lit(NUL), F.lit(MARK + "0"))
+    return F.when(F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(NUL)), marked).otherwise(text)
+
+
+def _unmarked(value: Column) -> Column:
+    plain = F.replace(F.replace(value, F.lit(MARK + "0"), F.lit(NUL)), F.lit(MARK + "1"), F.lit(MARK))
+    return F.when(F.contains(value, F.lit(MARK)), plain).otherwise(value)
+
+
+def read_csv(spark: SparkSession, path: str, ragged: str = "drop", keep_empty: bool = False) -> DataFrame:
     """All rows of the CSV files of a folder, all columns as text, by name.
 
     Columns come in the order of their first file; what a file doesn't have is null. Names that differ in case only are one column. Empty
-    values, quoted or not, are null. Missing fields at a row's end are null; fields beyond the header's are left out, or, with ragged="error",
-    end the job if they aren't empty. Blank records are left out; a file without any record has no columns, a folder without one gives an
-    error. Rows may repeat."""
+    values, quoted or not, are null; with keep_empty, quoted ones are empty texts, as Spark writes them. Missing fields at a row's end are null;
+    fields beyond the header's are left out, or, with ragged="error", end the job if they aren't empty. Blank records are left out; a file
+    without any record has no columns, a folder without one gives an error. Rows may repeat."""
     if ragged not in ("drop", "error"):
         raise ValueError("ragged is drop or error")
     records = written(whole_records(lines_of(spark, path)), "csv-records")
@@ -130,10 +142,11 @@ def read_csv(spark: SparkSession, path: str, ragged: str = "drop") -> DataFrame:
     width = max(map(len, headers.values())) + (ragged == "error")
     schema = ", ".join(f"c{k} string" for k in range(width))
     rows = records.join(F.broadcast(files) if files.count() <= BROADCAST_FILES else files, "file").where(F.col("place") != F.col("first"))
-    parsed = rows.select("file", "text", "names", "places", F.from_csv("text", schema, {"escape": '"', "multiLine": "true"}).alias("row"))
-    v = F.array(*[f"row.c{k}" for k in range(width)])
+    parsed = rows.select("file", "text", "names", "places", F.from_csv(_marked(F.col("text")), schema, {"escape": '"', "multiLine": "true", "nullValue": MARK}).alias("row"))
+    fields = [_unmarked(F.col(f"row.c{k}")) for k in range(width)]
+    v = F.array(*[x if keep_empty else F.nullif(x, F.lit("")) for x in fields])
     if ragged == "error":
-        beyond = F.exists(F.slice(v, F.col("names") + 1, F.lit(width)), lambda x: x.isNotNull())
+        beyond = F.exists(F.slice(v, F.col("names") + 1, F.lit(width)), lambda x: F.coalesce(x, F.lit("")) != "")
         v = F.when(beyond, F.raise_error(F.concat(F.lit("more fields than columns in "), "file", F.lit(": "), F.substring("text", 1, 200))).cast("array<string>")).otherwise(v)
     values = parsed.select("places", v.alias("v"))
     return values.select(*[F.get("v", F.col("places")[k]).alias(c) for k, c in enumerate(columns)])

@@ -22,10 +22,10 @@ FORMATS = {"plaintext": (r"(?s)^([A-Z][A-Z0-9])(?: (.*))?$", "PT", {}), "medline
 LIST_TAGS = ("AU", "AF", "C1", "CR")
 
 
-def csv_records(spark: SparkSession, path: str, tags: dict[str, str] | None = None, db: str = "scopus", ragged: str = "drop") -> DataFrame:
+def csv_records(spark: SparkSession, path: str, tags: dict[str, str] | None = None, db: str = "scopus", ragged: str = "drop", keep_empty: bool = False) -> DataFrame:
     """Rows of all CSV files of a folder by column name, all as text, with field tags for names; see csv_files.read_csv. A name that is a
     tag already keeps its place, and a column whose tag is taken keeps its name. A column db of the files' own gives way to the database's name."""
-    df = read_csv(spark, path, ragged)
+    df = read_csv(spark, path, ragged, keep_empty)
     for old, new in (CSV_TAGS if tags is None else tags).items():
         if old in df.columns and new.lower() not in {c.lower() for c in df.columns if c != old}:
             df = df.withColumnRenamed(old, new)
