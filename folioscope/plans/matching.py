@@ -23,10 +23,13 @@ from .catalogue import _CITE, _FILLS, _HITS, _MISSING, _NAMES, _PAGES, _RULES, _
 def import_csv_mixed(spark, sf_dir):
     """Three exports in one folder, columns in other orders, some only in one; whole texts, line ends and quotes included."""
     path = fresh_path(spark, "mixed")
-    column = {"DOI": F.col("doc_id"), "Title": F.col("text"), "Year": F.lit("2001"), "Source title": F.concat(F.col("source"), F.lit(', "'), F.col("lang"), F.lit('"')), "other": F.col("lang")}
+    rest = F.col("doc_id") % 3
+    column = {"DOI": F.col("doc_id"), "Title": F.col("text"), "Year": F.when(rest.isNotNull(), "2001"), "Source title": F.concat_ws("", "source", F.lit(', "'), "lang", F.lit('"')), "other": F.col("lang")}
+    # documents without an id, or with one below 0, go with the first
+    export = F.when(rest.isin(1, 2), rest).otherwise(0)
     for k, names in enumerate((("DOI", "Title", "Year"), ("Title", "Source title", "DOI"), ("other", "Year", "DOI", "Title"))):
-        sinks.write_table(_table(spark, sf_dir, "documents").where(F.col("doc_id") % 3 == k).select(*[column[n].alias(n) for n in names]), f"{path}/{k}")
-    return rec.csv_records(spark, f"{path}/*").select("DI", "TI", "PY", "SO", "other", "db")
+        sinks.write_table(_table(spark, sf_dir, "documents").where(export == k).select(*[column[n].alias(n) for n in names]), f"{path}/{k}")
+    return rec.csv_records(spark, f"{path}/*", keep_empty=True).select("DI", "TI", "PY", "SO", "other", "db")
 
 
 # --- records that are one by any key -------------------------------------------------------------------------------

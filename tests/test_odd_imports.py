@@ -29,6 +29,13 @@ def test_import_csv_keeps_odd_texts(spark, tmp_path):
     equals_sql(spark, tmp_path / "none", "import_csv", [])
 
 
+def test_import_csv_mixed_keeps_odd_texts_and_ids(spark, tmp_path):
+    """Each text in each of the three exports; ids that are missing or below 0 too."""
+    rows = [(3 * k + s, t, ("en", "", None)[k % 3], ("src1", None)[k % 2]) for s in range(3) for k, t in enumerate(TEXTS)]
+    equals_sql(spark, tmp_path / "some", "import_csv_mixed", [*rows, (None, "no id", "en", "src1"), (-1, "a", "en", "src1"), (-2, "b", "en", "src1"), (-3, "", "en", "src1")])
+    equals_sql(spark, tmp_path / "none", "import_csv_mixed", [])
+
+
 def test_quoted_empty_values_are_texts_if_they_shall(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b'A,B,C\n"",,"x\x00,\x01"\n1,""\n')
     got = lambda **more: {tuple(r) for r in csv_files.read_csv(spark, str(tmp_path), **more).collect()}
